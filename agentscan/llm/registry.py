@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentscan.llm import contamination, mixing, sharding
+from agentscan.llm import contamination, jaccard, licences, mixing, sharding
 from agentscan.llm.common import prepare, read
 
 
@@ -29,12 +29,21 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read(spark, sf_dir, "documents"))
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return jaccard.jaccard_join(read(spark, sf_dir, "documents")).select("doc_id", "copy_class", "class_id", "n_links")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_contamination, op4_mixing, op6_sharding)}
+    return {f.__name__: f for f in (op1_contamination, op4_mixing, op5_licences, op6_sharding, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
