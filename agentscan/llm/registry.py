@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentscan.llm import contamination, jaccard, licences, mixing, sharding
+from agentscan.llm import archives, contamination, jaccard, language, licences, mixing, neighbours, pages, sharding, tokens
 from agentscan.llm.common import prepare, read
 
 
@@ -23,6 +23,15 @@ def op1_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return archives.round_trip(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -37,13 +46,30 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = read(spark, sf_dir, "documents")
+    found = language.identify(docs.select("doc_id", "text"), language.train(docs), keep=["doc_id"])
+    return found.select("doc_id", (language.fold(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return tokens.token_counts(read(spark, sf_dir, "documents"), tokens.vocabulary_path(), keep=["doc_id"])
+
+
+def op9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return pages.extract(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return jaccard.jaccard_join(read(spark, sf_dir, "documents")).select("doc_id", "copy_class", "class_id", "n_links")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_contamination, op4_mixing, op5_licences, op6_sharding, op10_jaccard)}
+    return {f.__name__: f for f in (op1_contamination, op2_archives, op3_neighbours, op4_mixing, op5_licences, op6_sharding, op7_language, op8_tokens, op9_pages, op10_jaccard)}
 
 
 def oracle_sql() -> dict[str, str]:
