@@ -80,13 +80,13 @@ def map_text(
 ) -> DataFrame:
     """``df``'s columns ``keep`` (all, if None) and the columns that a batch function adds.
 
-    ``make`` runs once a task and returns the function, which gets part of a batch and returns
-    one array for each field of ``added``. An added name that ``df`` has already replaces it.
+    ``make`` runs once a task and returns the function, which gets part of a batch, with the text as
+    ``__text__``, and returns one array for each field of ``added``. An added name that ``df`` has already replaces it.
     """
     names = {f.name for f in added}
     keep = [c for c in (df.columns if keep is None else keep) if c not in names]
-    inner = "__text__"
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias(inner))
+    inner = column if column in keep else "__text__"
+    src = df.select(*[F.col(f"`{c}`") for c in keep], *([] if inner in keep else [F.col(f"`{column}`").alias(inner)]))
     schema = T.StructType([src.schema[c] for c in keep] + list(added))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,6 +94,7 @@ def map_text(
         for batch in batches:
             for part in slices(batch, inner, most):
                 kept = [part.column(c) for c in keep]
-                yield pa.RecordBatch.from_arrays(kept + work(part), names=keep + added.fieldNames())
+                seen = pa.RecordBatch.from_arrays([*kept, part.column(inner)], names=[*keep, "__text__"])
+                yield pa.RecordBatch.from_arrays(kept + work(seen), names=keep + added.fieldNames())
 
     return src.mapInArrow(run, schema)

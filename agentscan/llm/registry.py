@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from agentscan.llm import archives, contamination, jaccard, language, licences, mixing, neighbours, pages, sharding, tokens
 from agentscan.llm.common import prepare, read
 
@@ -68,8 +69,12 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(read(spark, sf_dir, "documents")).select("doc_id", "copy_class", "class_id", "n_links")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_contamination, op2_archives, op3_neighbours, op4_mixing, op5_licences, op6_sharding, op7_language, op8_tokens, op9_pages, op10_jaccard)}
+    return {f.__name__: f for f in (op1_contamination, op2_archives, op3_neighbours, op4_mixing, op5_licences, op6_sharding, op7_language, op8_tokens, op9_pages, op10_jaccard, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
