@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentscan.functions.rules import lines, quoted, sql_lines
+from agentscan.functions.rules import holding, lines, quoted, sql_lines
 from agentscan.sources.derived import SQL_ARTIFACTS, artifacts
 
 _LEFT = "(?:^|[^A-Za-z0-9_-])"
@@ -55,6 +55,8 @@ REDACTIONS = (
     ("pem-private-key", r"-----BEGIN [A-Z ]+ KEY-----[^-]*-----END [A-Z ]+ KEY-----", "[REDACTED_PRIVATE_KEY]"),
     ("connection-string", r"(?i)(?:postgres|mysql|mongodb|redis)://[^\s'\"]+", "[REDACTED_CONNECTION_STRING]"),
 )
+#: Literals of which every shape holds one.
+WORDS = ("sk-", "sk_", "akia", "ghp_", "gho_", "ghs_", "ghu_", "github_pat_", "glpat-", "hf_", "npm_", "sg.", "aiza", "xox", "aws", "secret", "://", "token", "api_key", "password")
 MOST_BYTES = 1_048_576
 WITHHELD = "[WITHHELD: content exceeds the redaction size limit and was not inspected]"
 #: Lines longer than this are not read for credentials.
@@ -63,7 +65,7 @@ LINE_CAP = 4096
 
 def secret_hits(texts: DataFrame, keep: list[str]) -> DataFrame:
     """Credentials of texts (``keep``, content): the first of each type on a line, placeholders left out."""
-    rows = lines(texts, "content", keep).where(F.length("line") <= LINE_CAP)
+    rows = holding(lines(holding(texts, "content", WORDS), "content", keep), "line", WORDS).where(F.length("line") <= LINE_CAP)
     found = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.struct(F.lit(t).alias("type"), F.regexp_extract("line", p, 1).alias("value"))) for t, p in SHAPES]))
     hits = rows.where(F.col("line").rlike("|".join(f"(?:{p})" for _, p in SHAPES))).select(*keep, "line_no", F.inline(found))
     real = ~F.col("value").rlike(PLACEHOLDER) & ~((F.length("value") >= 16) & F.contains(F.lit(RUNS), F.col("value")))
@@ -144,7 +146,7 @@ ENV = r"^\s*(?:export\s+)?([A-Z][A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD))\s*=\s*(
 
 
 def q_env(spark, sf_dir):
-    rows = lines(artifacts(spark, sf_dir), "content", ["id", "path"])
+    rows = lines(artifacts(spark, sf_dir).where(F.contains(F.col("content"), F.lit("="))), "content", ["id", "path"]).where(F.contains(F.col("line"), F.lit("=")))
     return rows.where(F.col("line").rlike(ENV)).select("id", "line_no", F.regexp_extract("line", ENV, 1).alias("name"), F.length(F.regexp_extract("line", ENV, 2)).alias("value_chars"))
 
 
