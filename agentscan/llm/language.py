@@ -39,30 +39,40 @@ class Network:
         f = np.float32
         self.w = {}
         for d in "fb":
-            self.w[f"x{d}"] = rng.normal(0, 0.3, (256, 3 * h)).astype(f)  # input and bias of update, reset, candidate
-            self.w[f"u{d}"] = rng.normal(0, 1 / np.sqrt(h), (h, 3 * h)).astype(f)
+            for gate in "urc":  # update, reset, candidate
+                self.w[f"x{gate}{d}"] = rng.normal(0, 0.3, (256, h)).astype(f)  # a byte's input and the bias
+                self.w[f"r{gate}{d}"] = rng.normal(0, 1 / np.sqrt(h), (h, h)).astype(f)
             self.w[f"o{d}"] = rng.normal(0, 1 / np.sqrt(h), (h, n)).astype(f)
         self.w["b"] = np.zeros(n, f)
 
     def _states(self, d: str, seq: np.ndarray, trace: list | None = None) -> np.ndarray:
-        """States after each of the steps (steps x lanes x hidden) of bytes (steps x lanes), in reading order."""
-        h = HIDDEN
-        x, u = self.w[f"x{d}"], self.w[f"u{d}"]
-        state = np.zeros((seq.shape[1], h), np.float32)
-        out = np.empty((*seq.shape, h), np.float32)
-        for t in range(len(seq)):
-            inp, rec = x[seq[t]], state @ u
-            gates = inp[:, : 2 * h] + rec[:, : 2 * h]
-            gates *= 0.5
-            np.tanh(gates, out=gates)
-            gates *= 0.5
-            gates += 0.5  # the logistic function
-            update, reset = gates[:, :h], gates[:, h:]
-            cand = np.tanh(inp[:, 2 * h :] + reset * rec[:, 2 * h :])
+        """States after each of the steps (steps x lanes x hidden) of bytes (steps x lanes), in reading order.
+
+        Gates are hard logistic functions: a quarter of their input and a half, cut to 0 to 1. Each
+        gate has arrays of its own, so that all of them are contiguous.
+        """
+        x, r = ({g: self.w[f"{k}{g}{d}"] * (1 if g == "c" else 0.25) for g in "urc"} for k in "xr")
+        x["u"], x["r"] = x["u"] + np.float32(0.5), x["r"] + np.float32(0.5)
+        state = np.zeros((seq.shape[1], HIDDEN), x["c"].dtype)
+        out = np.empty((*seq.shape, HIDDEN), state.dtype)
+        for t, at in enumerate(seq):
+            gate = {}
+            for g in "ur":
+                v = x[g].take(at, 0)
+                v += state @ r[g]
+                gate[g] = np.clip(v, 0, 1, out=v)
+            rec = state @ r["c"]
+            cand = gate["r"] * rec
+            cand += x["c"].take(at, 0)
+            np.tanh(cand, out=cand)
             if trace is not None:
-                trace.append((state, update, reset, rec[:, 2 * h :], cand))
-            state = state + update * (cand - state)
-            out[t] = state
+                trace.append((state, gate["u"], gate["r"], rec, cand))
+                new = cand - state
+            else:
+                new = np.subtract(cand, state, out=cand)
+            new *= gate["u"]
+            new += state
+            out[t] = state = new
         return out
 
     def probabilities(self, seq: np.ndarray) -> np.ndarray:
@@ -89,23 +99,25 @@ class Network:
         dz /= steps * lanes
         g = {"of": np.einsum("tlh,tln->hn", f, dz), "ob": np.einsum("tlh,tln->hn", b[::-1], dz), "b": dz.sum((0, 1))}
         for d, trace, order, dout in (("f", tf, seq, dz @ self.w["of"].T), ("b", tb, seq[::-1], (dz @ self.w["ob"].T)[::-1])):
-            u = self.w[f"u{d}"]
-            du, din = np.zeros_like(u), np.empty((steps, lanes, 3 * h), np.float32)
-            carry = np.zeros((lanes, h), np.float32)
+            r = {gate: self.w[f"r{gate}{d}"] for gate in "urc"}
+            into = {gate: np.empty((steps, lanes, h), f.dtype) for gate in "urc"}
+            dr = {gate: np.zeros_like(v) for gate, v in r.items()}
+            carry = np.zeros((lanes, h), f.dtype)
             for t in range(steps - 1, -1, -1):
                 state, update, reset, rec, cand = trace[t]
                 ds = dout[t] + carry
-                dcand = ds * update * (1 - cand * cand)
-                dupdate = ds * (cand - state) * update * (1 - update)
-                dreset = dcand * rec * reset * (1 - reset)
-                drec = np.concatenate([dupdate, dreset, dcand * reset], 1)
-                din[t, :, :h], din[t, :, h : 2 * h], din[t, :, 2 * h :] = dupdate, dreset, dcand
-                du += state.T @ drec
-                carry = ds * (1 - update) + drec @ u.T
-            g[f"u{d}"] = du
-            gx = np.zeros_like(self.w[f"x{d}"])
-            np.add.at(gx, order.ravel(), din.reshape(-1, 3 * h))
-            g[f"x{d}"] = gx
+                into["c"][t] = dcand = ds * update * (1 - cand * cand)
+                into["u"][t] = ds * (cand - state) * (0.25 * ((update > 0) & (update < 1)))
+                into["r"][t] = dcand * rec * (0.25 * ((reset > 0) & (reset < 1)))
+                back = {"u": into["u"][t], "r": into["r"][t], "c": dcand * reset}
+                carry = ds * (1 - update)
+                for gate, v in back.items():
+                    dr[gate] += state.T @ v
+                    carry += v @ r[gate].T
+            for gate in "urc":
+                g[f"r{gate}{d}"] = dr[gate]
+                g[f"x{gate}{d}"] = np.zeros_like(self.w[f"x{gate}{d}"])
+                np.add.at(g[f"x{gate}{d}"], order.ravel(), into[gate].reshape(-1, h))
         return loss, g
 
     def fit(self, texts: list[bytes], labels: np.ndarray, seed: int = 11) -> None:
@@ -148,7 +160,7 @@ class Network:
             steps = int(size[lanes[0]])
             at = start[lanes][None, :] + np.arange(steps)[:, None]
             inside = np.arange(steps)[:, None] < size[lanes][None, :]
-            seq = np.where(inside, data[np.minimum(at, len(data) - 1)], 32)
+            seq = np.where(inside, data[np.minimum(at, len(data) - 1)], 32).astype(np.intp)
             p = self.probabilities(seq)
             if not inside.all():
                 p *= inside[:, :, None]
@@ -164,15 +176,17 @@ def fold(key: Column) -> Column:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Network | None:
     """A network fitted on at most SAMPLE_DOCS labelled documents outside the held-out fold.
 
-    The sample is the documents with the least hash of key and text, the same at any partitioning;
+    The sample is drawn by a hash of key and text, the same at any partitioning;
     None if no document has a label and a letter.
     """
     body = F.col(f"`{text}`")
     held = docs.select(F.col(f"`{key}`").alias("k"), body.alias("t"), F.col(f"`{lang}`").cast("string").alias("l"))
-    usable = held.where(F.col("l").isNotNull() & (fold(F.col("k")) != 0) & F.col("t").rlike("\\p{L}"))
+    n = held.where(F.col("l").isNotNull() & (fold(F.col("k")) != 0)).count()
+    share = min(1.0, 1.2 * SAMPLE_DOCS / max(n, 1))
     room = F.greatest(F.length("t") - SPAN, F.lit(0)) + 1
     pieces = F.transform(F.sequence(F.lit(1), F.lit(PIECES)), lambda i: F.substring("t", F.pmod(F.xxhash64("h", i), room).cast("int") + 1, F.lit(SPAN)))
-    rows = usable.withColumn("h", F.xxhash64("k", "t")).select("l", "h", F.array_distinct(pieces).alias("pieces")).orderBy("h", "l", "pieces").limit(SAMPLE_DOCS).collect()
+    drawn = held.withColumn("h", F.xxhash64("k", "t")).where(F.pmod(F.xxhash64("h"), F.lit(1 << 30)) < int(share * (1 << 30)))  # some SAMPLE_DOCS rows, so few leave each task
+    rows = drawn.where(F.col("l").isNotNull() & (fold(F.col("k")) != 0) & F.col("t").rlike("\\p{L}")).select("l", "h", F.array_distinct(pieces).alias("pieces")).orderBy("h", "l", "pieces").limit(SAMPLE_DOCS).collect()
     if not rows:
         return None
     languages = sorted({r["l"] for r in rows})

@@ -90,7 +90,7 @@ def test_gradients_match_differences():
     r = np.random.default_rng(3)
     seq, lab = r.integers(0, 256, (7, 5)), np.array([0, 1, 2, 1, 0])
     _, g = net.gradients(seq, lab)
-    for k in ("uf", "ub", "of", "ob", "b"):
+    for k in ("ruf", "rrb", "rcf", "of", "ob", "b"):
         i = tuple(r.integers(0, s) for s in net.w[k].shape)
         keep, e = net.w[k][i], 1e-2
         net.w[k][i] = keep + e
