@@ -1,0 +1,242 @@
+"""Findings of all file detectors: catalogue joins, scores, verdicts, suppression, diffs, coverage."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from agentscan.functions.rules import quoted, scan, sql_scan
+from agentscan.operators import static
+from agentscan.operators.text import INJECTION, INJECTION_WORDS, MANIPULATION, MANIPULATION_WORDS, SKILL, SKILL_WORDS
+from agentscan.sources.derived import SQL_ARTIFACTS, artifacts
+
+#: Weights of severities, what they rank as, and the score's decay.
+WEIGHTS = {"critical": 25.0, "high": 15.0, "medium": 8.0, "low": 3.0}
+RANKS = {"critical": 4, "high": 3, "medium": 2, "low": 1, "info": 0}
+DECAY, GOVERNANCE, REPEAT, AFTER, CAP = 150.0, 0.4, 0.1, 3, 69
+#: How ids by prefix are catalogued: category, attack family, class, words of the fix.
+CATALOGUE = (
+    ("SKILL", "skill", "supply-chain", "execution", "Remove the dangerous command from the skill."),
+    ("INJ", "injection-hardening", "prompt-injection", "manipulation", "Treat the text as data, not as instructions."),
+    ("MAN", "governance", "scanner-evasion", "manipulation", "Remove text that addresses the scanner."),
+    ("NET", "network", "exposure", "access", "Bind to the local interface and verify certificates."),
+    ("CODE", "code", "code-execution", "execution", "Avoid evaluating or deserialising input."),
+    ("ENV", "configuration", "misconfiguration", "access", "Turn debug settings off."),
+)
+_BOTH = [(SKILL, SKILL_WORDS, ""), (INJECTION, INJECTION_WORDS, "INJ-"), (MANIPULATION, MANIPULATION_WORDS, "MAN-"), (static.LINE_RULES, static.LINE_WORDS, "")]
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, path, id, check_id, severity): what the file detectors find, one row a file and check."""
+    a = artifacts(spark, sf_dir)
+    out = None
+    for rules, words, prefix in _BOTH:
+        f = scan(a, "content", rules, ["project_id", "path", "id"], words).select("project_id", "path", "id", F.concat(F.lit(prefix), "check_id").alias("check_id"), "severity")
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+SQL_FINDINGS = f"{SQL_ARTIFACTS}, findings AS (" + " UNION ALL ".join(f"SELECT project_id, path, id, {quoted(p)} || check_id AS check_id, severity FROM ({sql_scan('artifacts', 'content', r, 'project_id, path, id')})" for r, _, p in _BOTH) + ")"
+
+
+def weight(severity: Column) -> Column:
+    return F.coalesce(*[F.when(severity == k, F.lit(v)) for k, v in WEIGHTS.items()], F.lit(0.0))
+
+
+def rank(severity: Column) -> Column:
+    return F.coalesce(*[F.when(severity == k, F.lit(v)) for k, v in RANKS.items()], F.lit(0))
+
+
+def prefix(check: Column) -> Column:
+    return F.regexp_extract(check, "^([A-Z]+)", 1)
+
+
+def catalogued(f: DataFrame) -> DataFrame:
+    """Findings with category, family, class and fix; unknown ids keep nulls."""
+    c = f.sparkSession.createDataFrame(list(CATALOGUE), "p string, category string, family string, attack_class string, fix string")
+    return f.withColumn("p", prefix(F.col("check_id"))).join(F.broadcast(c), "p", "left").drop("p")
+
+
+_CAT_SQL = "catalogue(p, category, family, attack_class, fix) AS (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in CATALOGUE) + ")"
+
+
+def score(f: DataFrame, by: list[str]) -> DataFrame:
+    """Raw and shown score of each group of findings.
+
+    A finding's weight is lowered for governance, and from the fourth of one check on. Findings of one
+    group and check differ only in severity here, so they are counted by severity first and ranked by
+    arithmetic: one check with very many findings is a few rows.
+    """
+    n = f.groupBy(*by, "check_id", "severity", F.col("category").isin("governance", "injection-hardening").alias("gov")).agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*by, "check_id").orderBy(F.desc(rank(F.col("severity")))).rowsBetween(Window.unboundedPreceding, -1)
+    n = n.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    full = F.greatest(F.least(F.lit(AFTER) - F.col("ahead"), F.col("n")), F.lit(0))
+    w = weight(F.col("severity")) * F.when(F.col("gov"), GOVERNANCE).otherwise(1.0) * (full + (F.col("n") - full) * REPEAT)
+    g = n.groupBy(*by).agg(F.sum(w).alias("sum"), F.sum("n").alias("n_findings"), F.max(F.col("severity").isin("critical", "high")).alias("open_high"))
+    raw = F.floor(100 * F.exp(-F.round("sum", 6) / DECAY) + 0.5).cast("int")
+    return g.select(*by, "n_findings", F.round("sum", 6).alias("weight"), raw.alias("raw_score"), F.when(F.col("open_high"), F.least(raw, F.lit(CAP))).otherwise(raw).alias("score"))
+
+
+_W = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items()) + " ELSE 0 END"
+_R = "CASE severity " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in RANKS.items()) + " ELSE 0 END"
+
+
+def sql_score(by: str, source: str = "cat") -> str:
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY {by}, check_id ORDER BY {_R} DESC) AS k FROM {source}),
+w AS (SELECT {by}, severity, {_W} * CASE WHEN category IN ('governance', 'injection-hardening') THEN {GOVERNANCE} ELSE 1 END * CASE WHEN k > {AFTER} THEN {REPEAT} ELSE 1 END AS w FROM ranked),
+g AS (SELECT {by}, count(*) AS n_findings, round(sum(w), 6) AS weight, bool_or(severity IN ('critical', 'high')) AS open_high FROM w GROUP BY {by}),
+scored AS (SELECT {by}, n_findings, weight, floor(100 * exp(-weight / {DECAY}) + 0.5)::INT AS raw_score, CASE WHEN open_high THEN least({CAP}, floor(100 * exp(-weight / {DECAY}) + 0.5)::INT) ELSE floor(100 * exp(-weight / {DECAY}) + 0.5)::INT END AS score FROM g)"""
+
+
+SQL_CAT = f"{SQL_FINDINGS}, {_CAT_SQL}, cat AS (SELECT f.*, category, family, attack_class, fix FROM findings f LEFT JOIN catalogue c ON c.p = regexp_extract(f.check_id, '^([A-Z]+)', 1))"
+
+
+def q_findings(spark, sf_dir):
+    return catalogued(findings(spark, sf_dir)).select("path", "check_id", "severity", "category", "family", "attack_class", "fix")
+
+
+def q_scored(spark, sf_dir):
+    return score(catalogued(findings(spark, sf_dir)), ["project_id", "path"])
+
+
+def q_scorecard(spark, sf_dir):
+    return score(catalogued(findings(spark, sf_dir)), ["project_id"])
+
+
+def q_pivot(spark, sf_dir):
+    """Counts of severities of each project, a column each."""
+    return findings(spark, sf_dir).groupBy("project_id").pivot("severity", list(WEIGHTS)).count().fillna(0)
+
+
+SQL_PIVOT = f"WITH {SQL_FINDINGS} SELECT project_id, " + ", ".join(f"count(*) FILTER (severity = '{k}') AS {k}" for k in WEIGHTS) + " FROM findings GROUP BY project_id"
+
+
+def q_verdicts(spark, sf_dir):
+    """Exit status of every file: 2 unread (over the size limit), 1 with an open high or critical, else 0; no score if unread."""
+    a = artifacts(spark, sf_dir).select("path", (F.octet_length("content") > 20000).alias("unread"))
+    f = score(catalogued(findings(spark, sf_dir)), ["path"])
+    high = findings(spark, sf_dir).where(F.col("severity").isin("critical", "high")).select("path").distinct().withColumn("high", F.lit(True))
+    j = a.join(f, "path", "left").join(high, "path", "left")
+    status = F.when(F.col("unread"), 2).when(F.col("high"), 1).otherwise(0)
+    return j.select("path", status.alias("exit_status"), F.when(~F.col("unread"), F.coalesce("score", F.lit(100))).alias("score"))
+
+
+SQL_VERDICTS = f"""WITH {SQL_CAT}, {sql_score("path")}, h AS (SELECT DISTINCT path FROM findings WHERE severity IN ('critical', 'high')), a AS (SELECT path, strlen(content) > 20000 AS unread FROM artifacts)
+SELECT a.path, CASE WHEN unread THEN 2 WHEN h.path IS NOT NULL THEN 1 ELSE 0 END AS exit_status, CASE WHEN NOT unread THEN coalesce(score, 100) END AS score FROM a LEFT JOIN scored USING (path) LEFT JOIN h USING (path)"""
+
+
+def q_path_forward(spark, sf_dir):
+    """What each project would score without its critical and high findings."""
+    f = catalogued(findings(spark, sf_dir))
+    now = score(f, ["project_id"]).select("project_id", F.col("score").alias("score_now"))
+    then = score(f.where(~F.col("severity").isin("critical", "high")), ["project_id"]).select("project_id", F.col("score").alias("score_then"))
+    n = f.groupBy("project_id").agg(F.count_if(F.col("severity") == "critical").alias("criticals"), F.count_if(F.col("severity") == "high").alias("highs"))
+    return now.join(then, "project_id", "left").join(n, "project_id").select("project_id", "score_now", F.coalesce("score_then", F.lit(100)).alias("score_then"), "criticals", "highs")
+
+
+SQL_PATH_FORWARD = f"""WITH {SQL_CAT}, lower AS (SELECT * FROM cat WHERE severity NOT IN ('critical', 'high')), {sql_score("project_id")}, {sql_score("project_id", "lower").replace("ranked", "ranked2").replace("w AS", "w2 AS").replace("FROM w ", "FROM w2 ").replace("g AS", "g2 AS").replace("FROM g)", "FROM g2)").replace("scored AS", "scored2 AS")},
+n AS (SELECT project_id, count(*) FILTER (severity = 'critical') AS criticals, count(*) FILTER (severity = 'high') AS highs FROM cat GROUP BY project_id)
+SELECT project_id, scored.score AS score_now, coalesce(scored2.score, 100) AS score_then, criticals, highs FROM scored LEFT JOIN scored2 USING (project_id) JOIN n USING (project_id)"""
+
+#: Suppressions: tier, path glob or null, check id or null, whether the finding still counts, expiry or null.
+SUPPRESSIONS = ((1, "*/test/*", None, False, None), (2, "*/docs/*", "MAN-self_attestation", True, None), (3, None, "SKILL-006", True, None), (3, None, "SKILL-008", True, "2020-01-01"))
+
+
+def glob(g: str) -> str:
+    """A case-insensitive pattern of a path glob with *."""
+    return "(?i)^" + "".join(".*" if c == "*" else "\\" + c if c in ".+?()[]{}^$|\\" else c for c in g) + "$"
+
+
+def suppressed(f: DataFrame, rules=SUPPRESSIONS, today: str = "2024-06-01") -> DataFrame:
+    """Findings with the first suppression that covers them (least tier, expired ones left out) and whether they count."""
+    tier = F.least(*[F.when((F.col("path").rlike(glob(p)) if p else F.lit(True)) & (F.col("check_id") == c if c else F.lit(True)), F.struct(F.lit(t).alias("tier"), F.lit(i).alias("rule"), F.lit(s).alias("scored"))) for i, (t, p, c, s, x) in enumerate(rules) if x is None or x >= today])
+    out = f.withColumn("s", tier)
+    return out.select(*f.columns, F.col("s.rule").alias("suppressed_by"), (F.col("s").isNull() | F.col("s.scored")).alias("counts"))
+
+
+def q_suppression(spark, sf_dir):
+    """Disclosed suppressions: findings by check and rule, and how many still count."""
+    s = suppressed(findings(spark, sf_dir))
+    return s.groupBy("check_id", "suppressed_by").agg(F.count("*").alias("n"), F.count_if("counts").alias("counted"))
+
+
+_SUP = [(i, t, p, c, s) for i, (t, p, c, s, x) in enumerate(SUPPRESSIONS) if x is None or x >= "2024-06-01"]
+_CASE = " ".join(f"WHEN {' AND '.join(([f'regexp_matches(path, {quoted(glob(p))})'] if p else []) + ([f'check_id = {quoted(c)}'] if c else []))} THEN {i}" for i, t, p, c, s in sorted(_SUP, key=lambda r: r[1]))
+SQL_SUPPRESSION = f"""WITH {SQL_FINDINGS}, s AS (SELECT *, CASE {_CASE} END::INT AS suppressed_by FROM findings)
+SELECT check_id, suppressed_by, count(*) AS n, count(*) FILTER (suppressed_by IS NULL OR suppressed_by IN ({', '.join(str(r[0]) for r in _SUP if r[4])})) AS counted FROM s GROUP BY ALL"""
+
+
+def snapshot_diff(old: DataFrame, new: DataFrame, identity: list[str]) -> DataFrame:
+    """Multiset difference of two snapshots: introduced, fixed and kept findings of each identity."""
+    a = old.groupBy(*identity).agg(F.count("*").alias("a"))
+    b = new.groupBy(*identity).agg(F.count("*").alias("b"))
+    n, o = F.coalesce("b", F.lit(0)), F.coalesce("a", F.lit(0))
+    return a.join(b, identity, "full_outer").select(*identity, F.greatest(n - o, F.lit(0)).alias("introduced"), F.greatest(o - n, F.lit(0)).alias("fixed"), F.least(n, o).alias("kept"))
+
+
+def q_new_vs_existing(spark, sf_dir):
+    """The findings now against an earlier snapshot, in which every tenth document was another."""
+    f = findings(spark, sf_dir)
+    old = f.where("id % 10 <> 3").unionByName(f.where("id % 10 = 4"))
+    return snapshot_diff(old, f, ["project_id", "check_id"])
+
+
+SQL_NEW = f"""WITH {SQL_FINDINGS}, old AS (SELECT * FROM findings WHERE id % 10 <> 3 UNION ALL SELECT * FROM findings WHERE id % 10 = 4),
+a AS (SELECT project_id, check_id, count(*) AS a FROM old GROUP BY ALL), b AS (SELECT project_id, check_id, count(*) AS b FROM findings GROUP BY ALL)
+SELECT project_id, check_id, greatest(coalesce(b, 0) - coalesce(a, 0), 0) AS introduced, greatest(coalesce(a, 0) - coalesce(b, 0), 0) AS fixed, least(coalesce(a, 0), coalesce(b, 0)) AS kept FROM a FULL JOIN b USING (project_id, check_id)"""
+
+
+def q_set_difference(spark, sf_dir):
+    """The same by exceptAll: findings that the earlier snapshot lacks, counted."""
+    f = findings(spark, sf_dir).select("path", "check_id")
+    return f.exceptAll(findings(spark, sf_dir).where("id % 10 <> 3").select("path", "check_id")).groupBy("check_id").count()
+
+
+SQL_SET = f"WITH {SQL_FINDINGS} SELECT check_id, count(*) AS count FROM (SELECT path, check_id FROM findings EXCEPT ALL SELECT path, check_id FROM findings WHERE id % 10 <> 3) GROUP BY check_id"
+
+
+def q_tiers(spark, sf_dir):
+    """Findings in reading order within their project: place by tier, severity and path."""
+    f = catalogued(findings(spark, sf_dir))
+    tier = F.when(F.col("attack_class") == "execution", 1).when(F.col("severity") == "critical", 2).when(F.col("attack_class") == "manipulation", 3).when(F.col("severity") == "high", 4).otherwise(5)
+    n = f.groupBy("project_id", tier.alias("tier"), "severity").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+    return n.withColumn("place", F.row_number().over(Window.partitionBy("project_id").orderBy("tier", F.desc(rank(F.col("severity"))))))
+
+
+SQL_TIERS = f"""WITH {SQL_CAT}, t AS (SELECT *, CASE WHEN attack_class = 'execution' THEN 1 WHEN severity = 'critical' THEN 2 WHEN attack_class = 'manipulation' THEN 3 WHEN severity = 'high' THEN 4 ELSE 5 END AS tier FROM cat),
+n AS (SELECT project_id, tier, severity, count(*) AS n, min(path) AS first_path FROM t GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY tier, {_R} DESC)::INT AS place FROM n"""
+
+
+def q_coverage(spark, sf_dir):
+    """Files of each kind by project: examined, truncated (over the size limit), and those with findings."""
+    a = artifacts(spark, sf_dir).select("project_id", "path", F.regexp_extract("path", "([^/]+)$", 1).alias("kind"), (F.octet_length("content") > 20000).alias("cut"))
+    f = findings(spark, sf_dir).select("path").distinct().withColumn("hit", F.lit(1))
+    return a.join(f, "path", "left").groupBy("project_id", "kind").agg(F.count_if(~F.col("cut")).alias("examined"), F.count_if("cut").alias("truncated"), F.count("hit").alias("with_findings"))
+
+
+SQL_COVERAGE = f"""WITH {SQL_FINDINGS}, f AS (SELECT DISTINCT path, 1 AS hit FROM findings)
+SELECT project_id, regexp_extract(path, '([^/]+)$', 1) AS kind, count(*) FILTER (strlen(content) <= 20000) AS examined, count(*) FILTER (strlen(content) > 20000) AS truncated, count(hit) AS with_findings FROM artifacts LEFT JOIN f USING (path) GROUP BY ALL"""
+
+
+def q_census(spark, sf_dir):
+    """Findings by class and family, with totals (rollup)."""
+    c = catalogued(findings(spark, sf_dir))
+    return c.rollup("attack_class", "family").agg(F.count("*").alias("n"), F.count_distinct("check_id").alias("checks"), F.grouping_id().alias("level"))
+
+
+SQL_CENSUS = f"WITH {SQL_CAT} SELECT attack_class, family, count(*) AS n, count(DISTINCT check_id) AS checks, grouping(attack_class, family)::BIGINT AS level FROM cat GROUP BY ROLLUP (attack_class, family)"
+
+QUERIES = {
+    "source_scorecard": (q_scorecard, f"WITH {SQL_CAT}, {sql_score('project_id')} SELECT * FROM scored"),
+    "findings_catalogued": (q_findings, f"WITH {SQL_CAT} SELECT path, check_id, severity, category, family, attack_class, fix FROM cat"),
+    "findings_scored": (q_scored, f"WITH {SQL_CAT}, {sql_score('project_id, path')} SELECT * FROM scored"),
+    "severity_pivot": (q_pivot, SQL_PIVOT),
+    "file_verdicts": (q_verdicts, SQL_VERDICTS),
+    "path_forward": (q_path_forward, SQL_PATH_FORWARD),
+    "suppression": (q_suppression, SQL_SUPPRESSION),
+    "new_vs_existing": (q_new_vs_existing, SQL_NEW),
+    "snapshot_difference": (q_set_difference, SQL_SET),
+    "tier_order": (q_tiers, SQL_TIERS),
+    "coverage": (q_coverage, SQL_COVERAGE),
+    "attack_census": (q_census, SQL_CENSUS),
+}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from agentscan.operators import hidden, pages, secrets, text
+from agentscan.operators import events, hidden, pages, profiles, scoring, secrets, static, text
 
-MODULES = (text, secrets, hidden, pages)
+MODULES = (text, secrets, hidden, pages, events, profiles, static, scoring)
 
 
 def queries() -> dict:
