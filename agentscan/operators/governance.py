@@ -1,0 +1,171 @@
+"""Governance controls over sentences, benchmark compliance and detection quality."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from agentscan.functions.rules import quoted
+from agentscan.operators.profiles import SQL_CONSTRAINTS, constraints
+from agentscan.operators.scoring import SQL_FINDINGS, findings
+from agentscan.operators.secrets import SQL_SECRETS, secrets
+from agentscan.sources.derived import SQL_ARTIFACTS, artifacts, read
+
+#: Controls: id, domain, severity, keywords of evidence.
+CONTROLS = (
+    ("SOUL-TH-001", "Trust Hierarchy", "HIGH", ("trust", "authority", "principal", "hierarchy", "precedence", "priority")),
+    ("SOUL-TH-002", "Trust Hierarchy", "MEDIUM", ("conflict", "override", "precedence", "escalat")),
+    ("SOUL-TH-005", "Trust Hierarchy", "LOW", ("trust hierarchy", "hierarchy levels", "trust structure", "trust path", "hierarchy definition", "trust order")),
+    ("SOUL-CB-001", "Capability Boundaries", "HIGH", ("allow", "permit", "can do", "authorized", "capabilities")),
+    ("SOUL-CB-002", "Capability Boundaries", "HIGH", ("deny", "prohibit", "must not", "cannot", "forbidden", "restricted")),
+    ("SOUL-CB-003", "Capability Boundaries", "MEDIUM", ("file", "directory", "path", "network", "endpoint", "url", "api")),
+    ("SOUL-CB-004", "Capability Boundaries", "LOW", ("least privilege", "minimal", "only needed", "minimum necessary")),
+    ("SOUL-DH-001", "Data Handling", "HIGH", ("personal data", "sensitive", "encrypted", "privacy")),
+    ("SOUL-HV-001", "Human Oversight", "CRITICAL", ("human", "approval", "oversight", "escalate")),
+    ("SOUL-IH-001", "Injection Hardening", "CRITICAL", ("untrusted", "injection", "ignore instructions", "system prompt")),
+)
+#: Sentences that void their file's evidence.
+VIOLATION = r"(?i)ignore all|no restrictions|full access|without asking"
+
+
+def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each project and control, whether an untainted sentence gives evidence.
+
+    One pass over the texts: each file yields the controls that it supports, and these are combined by
+    project before they are shuffled.
+    """
+    a = artifacts(spark, sf_dir).where(~F.col("content").rlike(VIOLATION)).withColumn("low", F.lower("content"))
+    met = F.array(*[F.struct(F.lit(c).alias("control_id"), F.lit(d).alias("domain"), F.lit(s).alias("severity"), any_of([F.contains(F.col("low"), F.lit(k)) for k in ks]).alias("passed")) for c, d, s, ks in CONTROLS])
+    return a.select("project_id", F.inline(met)).groupBy("project_id", "control_id", "domain", "severity").agg(F.max("passed").alias("passed"))
+
+
+def any_of(conditions):
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
+_CONTROL_SQL = " UNION ALL ".join(f"SELECT project_id, {quoted(c)} AS control_id, {quoted(d)} AS domain, {quoted(s)} AS severity, bool_or({' OR '.join(f'contains(lower(content), {quoted(k)})' for k in ks)}) AS passed FROM clean GROUP BY project_id" for c, d, s, ks in CONTROLS)
+SQL_CONTROLS = f"{SQL_ARTIFACTS}, clean AS (SELECT * FROM artifacts WHERE NOT regexp_matches(content, {quoted(VIOLATION)})), controls AS ({_CONTROL_SQL})"
+
+
+def grades(c: DataFrame) -> DataFrame:
+    """Score (mean of the domains' percentages), grade with the critical floor, level and conformance."""
+    d = c.groupBy("project_id", "domain").agg((100.0 * F.count_if("passed") / F.count("*")).alias("pct"), F.count_if(~F.col("passed") & (F.col("severity") == "CRITICAL")).alias("crit"), F.count_if(~F.col("passed") & (F.col("severity") == "HIGH")).alias("high"), F.count_if(~F.col("passed")).alias("failing"))
+    g = d.groupBy("project_id").agg(F.floor(F.avg("pct") + 0.5).cast("int").alias("score"), F.sum("crit").alias("crit"), F.sum("high").alias("high"), F.sum("failing").alias("failing"))
+    s = F.col("score")
+    grade = F.when(s >= 80, "A").when(s >= 60, "B").when(s >= 40, "C").when(s >= 20, "D").otherwise("F")
+    floored = F.when((F.col("crit") > 0) & (s >= 60), "C").otherwise(grade)
+    level = F.when(s == 0, "not-started").when(s >= 80, "hardened").when(s >= 60, "standard").when(s >= 40, "developing").otherwise("initial")
+    conformance = F.when(F.col("crit") > 0, "none").when((F.col("failing") == 0) & (s >= 75), "hardened").when((F.col("high") == 0) & (s >= 60), "standard").otherwise("essential")
+    return g.select("project_id", "score", floored.alias("grade"), level.alias("level"), conformance.alias("conformance"))
+
+
+def q_controls(spark, sf_dir):
+    return controls(spark, sf_dir)
+
+
+def q_grades(spark, sf_dir):
+    return grades(controls(spark, sf_dir))
+
+
+SQL_GRADES = f"""WITH {SQL_CONTROLS}, d AS (SELECT project_id, domain, 100.0::DOUBLE * count(*) FILTER (passed) / count(*) AS pct, count(*) FILTER (NOT passed AND severity = 'CRITICAL') AS crit, count(*) FILTER (NOT passed AND severity = 'HIGH') AS high, count(*) FILTER (NOT passed) AS failing FROM controls GROUP BY ALL),
+g AS (SELECT project_id, floor(avg(pct) + 0.5)::INT AS score, sum(crit) AS crit, sum(high) AS high, sum(failing) AS failing FROM d GROUP BY project_id)
+SELECT project_id, score, CASE WHEN crit > 0 AND score >= 60 THEN 'C' WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' WHEN score >= 20 THEN 'D' ELSE 'F' END AS grade,
+CASE WHEN score = 0 THEN 'not-started' WHEN score >= 80 THEN 'hardened' WHEN score >= 60 THEN 'standard' WHEN score >= 40 THEN 'developing' ELSE 'initial' END AS level,
+CASE WHEN crit > 0 THEN 'none' WHEN failing = 0 AND score >= 75 THEN 'hardened' WHEN high = 0 AND score >= 60 THEN 'standard' ELSE 'essential' END AS conformance FROM g"""
+
+#: Controls of the benchmark: id, level, checks whose findings fail it; without checks it can't be measured here.
+BENCHMARK = (("1.1", "L1", ()), ("1.2", "L1", ("SKILL-002", "SKILL-008")), ("2.1", "L1", ("NET-001", "NET-003")), ("2.2", "L1", ("CODE-001",)), ("3.1", "L2", ("INJ-instruction-override", "INJ-fake-system-tag")), ("3.2", "L2", ("MAN-self_attestation",)), ("3.3", "L2", ("SKILL-004",)), ("4.1", "L3", ("CODE-004", "ENV-002")), ("4.2", "L3", ("SKILL-005",)))
+
+
+def compliance(f: DataFrame, files: DataFrame) -> DataFrame:
+    """Status of each control in each project (failed, passed, unverified), rolled up by level."""
+    pairs = [(c, level, k) for c, level, ks in BENCHMARK for k in (ks or (None,))]
+    c = F.broadcast(f.sparkSession.createDataFrame(pairs, "control_id string, level string, check_id string"))
+    failed = f.join(c, "check_id").select("project_id", "control_id").distinct().withColumn("failed", F.lit(True))
+    ids = F.broadcast(f.sparkSession.createDataFrame([(c, level, bool(ks)) for c, level, ks in BENCHMARK], "control_id string, level string, automated boolean"))
+    every = files.select("project_id").distinct().select("project_id", F.explode(F.array(*[F.lit(c) for c, _, _ in BENCHMARK])).alias("control_id")).join(ids, "control_id")
+    status = F.when(F.col("failed"), "failed").when(~F.col("automated"), "unverified").otherwise("passed")
+    s = every.join(failed, ["project_id", "control_id"], "left").select("project_id", "level", status.alias("status"))
+    g = s.rollup("project_id", "level").agg(F.count_if(F.col("status") == "passed").alias("passed"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "unverified").alias("unverified"))
+    return g.where("project_id is not null").select("*", F.round(F.try_divide(F.col("passed") * 100.0, F.col("passed") + F.col("failed")), 6).alias("pct"))
+
+
+def q_compliance(spark, sf_dir):
+    return compliance(findings(spark, sf_dir), artifacts(spark, sf_dir))
+
+
+_B = ", ".join(f"({quoted(c)}, {quoted(level)}, {str(bool(ks)).lower()})" for c, level, ks in BENCHMARK)
+_BK = ", ".join(f"({quoted(c)}, {quoted(k)})" for c, _, ks in BENCHMARK for k in ks)
+SQL_COMPLIANCE = f"""WITH {SQL_FINDINGS}, b(control_id, level, automated) AS (VALUES {_B}), k(control_id, check_id) AS (VALUES {_BK}), failed AS (SELECT DISTINCT project_id, control_id FROM findings JOIN k USING (check_id)),
+s AS (SELECT p.project_id, level, CASE WHEN f.control_id IS NOT NULL THEN 'failed' WHEN NOT automated THEN 'unverified' ELSE 'passed' END AS status FROM (SELECT DISTINCT project_id FROM artifacts) p CROSS JOIN b LEFT JOIN failed f ON f.project_id = p.project_id AND f.control_id = b.control_id),
+g AS (SELECT project_id, level, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'unverified') AS unverified FROM s GROUP BY ROLLUP (project_id, level))
+SELECT *, round(passed * 100.0::DOUBLE / nullif(passed + failed, 0), 6) AS pct FROM g WHERE project_id IS NOT NULL"""
+
+
+def ratings(c: DataFrame) -> DataFrame:
+    """Rating of each project by its levels' percentages; a level without a measurement feeds no rung."""
+    p = c.where("level is not null").groupBy("project_id").pivot("level", ["L1", "L2", "L3"]).agg(F.first("pct"))
+    rung = F.when((F.col("L1") == 100) & (F.col("L2") == 100), "Certified").when((F.col("L1") == 100) & (F.col("L2") >= 90), "Compliant").when(F.col("L1") >= 90, "Passing").when(F.col("L1") >= 70, "Needs Improvement").when(F.col("L1").isNotNull(), "Not Passing").otherwise("Not Assessed")
+    return p.withColumn("rating", rung)
+
+
+def q_ratings(spark, sf_dir):
+    return ratings(q_compliance(spark, sf_dir))
+
+
+SQL_RATINGS = f"""WITH c AS ({SQL_COMPLIANCE}), p AS (SELECT project_id, max(pct) FILTER (level = 'L1') AS "L1", max(pct) FILTER (level = 'L2') AS "L2", max(pct) FILTER (level = 'L3') AS "L3" FROM c GROUP BY project_id)
+SELECT *, CASE WHEN "L1" = 100 AND "L2" = 100 THEN 'Certified' WHEN "L1" = 100 AND "L2" >= 90 THEN 'Compliant' WHEN "L1" >= 90 THEN 'Passing' WHEN "L1" >= 70 THEN 'Needs Improvement' WHEN "L1" IS NOT NULL THEN 'Not Passing' ELSE 'Not Assessed' END AS rating FROM p"""
+
+
+def quality(r: DataFrame) -> DataFrame:
+    """Detection quality by surface and over all: counts, precision, recall, F1, false-positive rate, gates."""
+    g = r.groupingSets([["surface"], []], "surface").agg(F.count_if(F.col("truth") & F.col("flag")).alias("tp"), F.count_if(~F.col("truth") & F.col("flag")).alias("fp"), F.count_if(F.col("truth") & ~F.col("flag")).alias("fn"), F.count_if(~F.col("truth") & ~F.col("flag")).alias("tn"))
+    div = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    p, q = div(F.col("tp"), F.col("tp") + F.col("fp")), div(F.col("tp"), F.col("tp") + F.col("fn"))
+    third = lambda x: F.floor(x * 1000 + 0.5) / 1000
+    return g.select(F.coalesce("surface", F.lit("all")).alias("surface"), "tp", "fp", "fn", "tn", third(p).alias("precision"), third(q).alias("recall"), third(div(2 * p * q, p + q)).alias("f1"), third(div(F.col("fp"), F.col("fp") + F.col("tn"))).alias("fpr"), ((q >= 0.85) & (p >= 0.9) & (div(2 * p * q, p + q) >= 0.8)).alias("gates_met"))
+
+
+#: Fixed value: words of the toxic documents, as a detector to be judged.
+TOXIC = r"(?i)\b(?:worthless|pathetic|disgusting|stupid|idiot)\b"
+
+
+def q_quality(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", F.col("text").rlike(TOXIC).alias("flag"))
+    t = read(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("truth"))
+    return quality(d.join(t, "doc_id").select(F.col("source").alias("surface"), "truth", "flag"))
+
+
+SQL_QUALITY = f"""WITH r AS (SELECT source AS surface, toxic = 1 AS truth, regexp_matches(text, {quoted(TOXIC)}) AS flag FROM documents JOIN labels USING (doc_id)),
+g AS (SELECT coalesce(surface, 'all') AS surface, count(*) FILTER (truth AND flag) AS tp, count(*) FILTER (NOT truth AND flag) AS fp, count(*) FILTER (truth AND NOT flag) AS fn, count(*) FILTER (NOT truth AND NOT flag) AS tn FROM r GROUP BY GROUPING SETS ((surface), ())),
+m AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS q FROM g), f AS (SELECT *, coalesce(2 * p * q / nullif(p + q, 0), 0) AS f FROM m)
+SELECT surface, tp, fp, fn, tn, floor(p * 1000 + 0.5) / 1000 AS precision, floor(q * 1000 + 0.5) / 1000 AS recall, floor(f * 1000 + 0.5) / 1000 AS f1, floor(coalesce(fp / nullif(fp + tn, 0), 0) * 1000 + 0.5) / 1000 AS fpr, q >= 0.85 AND p >= 0.9 AND f >= 0.8 AS gates_met FROM f"""
+
+
+def q_consensus(spark, sf_dir):
+    """Static and behavioural verdicts of a project: a static failure is never lowered."""
+    static = findings(spark, sf_dir).groupBy("project_id").agg(F.max(F.when(F.col("severity") == "critical", 4).when(F.col("severity") == "high", 3).otherwise(2)).alias("static_rank"))
+    probes = constraints(spark, sf_dir).groupBy("project_id").agg(F.max(F.when(F.col("bypass_risk") > 0.5, 3).otherwise(1)).alias("probe_rank"))
+    leaks = secrets(spark, sf_dir).groupBy("project_id").agg(F.lit(4).alias("leak_rank"))
+    every = artifacts(spark, sf_dir).select("project_id").distinct()
+    j = every.join(static, "project_id", "left").join(probes, "project_id", "left").join(leaks, "project_id", "left").fillna(0)
+    worst = F.greatest("static_rank", "probe_rank", "leak_rank")
+    return j.select("project_id", "static_rank", "probe_rank", "leak_rank", F.when(worst >= 4, "block").when(worst == 3, "review").otherwise("allow").alias("verdict"))
+
+
+SQL_CONSENSUS = f"""WITH {SQL_FINDINGS}, {SQL_CONSTRAINTS.replace(SQL_ARTIFACTS + ", ", "").replace("lines AS", "clines AS").replace("FROM lines", "FROM clines")}, {SQL_SECRETS.replace(SQL_ARTIFACTS + ", ", "")},
+s AS (SELECT project_id, max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 ELSE 2 END) AS r FROM findings GROUP BY 1), p AS (SELECT project_id, max(CASE WHEN bypass_risk > 0.5 THEN 3 ELSE 1 END) AS r FROM constraints GROUP BY 1), k AS (SELECT DISTINCT project_id, 4 AS r FROM secrets),
+j AS (SELECT a.project_id, coalesce(s.r, 0)::INT AS static_rank, coalesce(p.r, 0)::INT AS probe_rank, coalesce(k.r, 0)::INT AS leak_rank FROM (SELECT DISTINCT project_id FROM artifacts) a LEFT JOIN s USING (project_id) LEFT JOIN p USING (project_id) LEFT JOIN k USING (project_id))
+SELECT *, CASE WHEN greatest(static_rank, probe_rank, leak_rank) >= 4 THEN 'block' WHEN greatest(static_rank, probe_rank, leak_rank) = 3 THEN 'review' ELSE 'allow' END AS verdict FROM j"""
+
+QUERIES = {
+    "governance_controls": (q_controls, f"WITH {SQL_CONTROLS} SELECT * FROM controls"),
+    "governance_grade": (q_grades, SQL_GRADES),
+    "benchmark_compliance": (q_compliance, SQL_COMPLIANCE),
+    "benchmark_rating": (q_ratings, SQL_RATINGS),
+    "detection_quality": (q_quality, SQL_QUALITY),
+    "consensus_verdicts": (q_consensus, SQL_CONSENSUS),
+}
