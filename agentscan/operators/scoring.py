@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agentscan.functions.rules import quoted, scan, sql_scan
+from agentscan.functions.rules import quoted, scan_families, sql_scan
 from agentscan.operators import static
 from agentscan.operators.text import INJECTION, INJECTION_WORDS, MANIPULATION, MANIPULATION_WORDS, SKILL, SKILL_WORDS
 from agentscan.sources.derived import SQL_ARTIFACTS, artifacts
@@ -28,12 +28,8 @@ _BOTH = [(SKILL, SKILL_WORDS, ""), (INJECTION, INJECTION_WORDS, "INJ-"), (MANIPU
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project_id, path, id, check_id, severity): what the file detectors find, one row a file and check."""
-    a = artifacts(spark, sf_dir)
-    out = None
-    for rules, words, prefix in _BOTH:
-        f = scan(a, "content", rules, ["project_id", "path", "id"], words).select("project_id", "path", "id", F.concat(F.lit(prefix), "check_id").alias("check_id"), "severity")
-        out = f if out is None else out.unionByName(f)
-    return out
+    families = [([r._replace(check_id=prefix + r.check_id) for r in rules], words) for rules, words, prefix in _BOTH]
+    return scan_families(artifacts(spark, sf_dir), "content", families, ["project_id", "path", "id"]).select("project_id", "path", "id", "check_id", "severity")
 
 
 SQL_FINDINGS = f"{SQL_ARTIFACTS}, findings AS (" + " UNION ALL ".join(f"SELECT project_id, path, id, {quoted(p)} || check_id AS check_id, severity FROM ({sql_scan('artifacts', 'content', r, 'project_id, path, id')})" for r, _, p in _BOTH) + ")"
