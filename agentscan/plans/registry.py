@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from agentscan.operators import events, governance, hidden, pages, profiles, prompts, scoring, secrets, static, text
+from agentscan.operators import classifier, events, governance, hidden, pages, profiles, prompts, scoring, secrets, static, text
 
-MODULES = (text, secrets, hidden, pages, events, profiles, static, scoring, governance, prompts)
+MODULES = (text, secrets, hidden, pages, events, profiles, static, scoring, governance, prompts, classifier)
 
 
 def queries() -> dict:
