@@ -318,6 +318,6 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     counts = links.groupBy(F.col("u").alias("key")).agg(F.sum("near_docs").alias("near_docs"))
     tied = classes.select("key", "n", "copy_class").join(counts, "key", "left").join(root.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     tied = written(tied, "tied")
-    group = tied.groupBy("root").agg(F.min("copy_class").alias("class_id"))
+    group = written(tied.groupBy("root").agg(F.min("copy_class").alias("class_id")), "groups")  # so that the join shuffles both sides, and a large group's rows can be split
     result = tied.join(group, "root").select("key", "copy_class", "class_id", (F.col("n") - 1 + F.coalesce("near_docs", F.lit(0))).alias("n_links"))
     return signed.select("doc_id", "text_hash", "key").join(result, "key", "left").select("doc_id", "text_hash", F.coalesce("copy_class", F.when(F.col("key").isNull(), F.col("doc_id"))).alias("copy_class"), F.coalesce("class_id", F.when(F.col("key").isNull(), F.col("doc_id"))).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
