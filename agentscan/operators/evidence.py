@@ -1,0 +1,264 @@
+"""Clause-level evidence, risk surfaces, skill files, intents held against findings, and their rollups."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from agentscan.functions.rules import Rule, lines, quoted, scan, sql_lines, sql_scan
+from agentscan.operators.profiles import SQL_INTENT, SQL_TYPES, q_intent, typed
+from agentscan.operators.scoring import SQL_CAT, SQL_FINDINGS, catalogued, findings
+from agentscan.sources.derived import SQL_ARTIFACTS, artifacts, pick, read, sql_pick
+
+CLAUSE = "[.;!?]+(?:\\s|$)| but | however "
+
+
+def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, id, line_no, clause): lines cut into clauses."""
+    rows = lines(artifacts(spark, sf_dir), "content", ["project_id", "id"])
+    return rows.select("project_id", "id", "line_no", F.explode(F.split("line", CLAUSE)).alias("clause")).withColumn("clause", F.trim("clause")).where("clause <> ''")
+
+
+SQL_CLAUSES = f"{SQL_ARTIFACTS}, lines AS ({sql_lines('artifacts', 'project_id, id')}), c0 AS (SELECT project_id, id, line_no, trim(unnest(regexp_split_to_array(line, {quoted(CLAUSE)}))) AS clause FROM lines), clauses AS (SELECT * FROM c0 WHERE clause <> '')"
+
+#: Verbs that gather or send, credential nouns, addresses, and words that deny a grant.
+HARVEST = r"(?i)\b(?:read|collect|harvest|steal|gather|print|reveal|send|forward)\b"
+NOUN = r"(?i)\b(?:credentials?|passwords?|tokens?|api[ _-]?keys?|secrets?|system prompt|logs?)\b|~/\.(?:ssh|aws)"
+SEND = r"(?i)\b(?:send|post|forward|upload|fetch|curl|wget)\b"
+URL = r"https?://[^\s'\")]+"
+GRANT = r"(?i)\b(?:can|may|always|allowed to|permitted to|full access)\b"
+NEGATED = r"(?i)\b(?:not|never|no|cannot|without|refuse)\b"
+
+
+def q_harvest(spark, sf_dir):
+    """Clauses whose gathering verb stands before the credential it governs."""
+    c = clauses(spark, sf_dir).where(F.col("clause").rlike(HARVEST) & F.col("clause").rlike(NOUN))
+    verb, noun = F.length(F.regexp_extract("clause", f"(?s)^(.*?)(?:{HARVEST})", 1)), F.length(F.regexp_extract("clause", f"(?s)^(.*?)(?:{NOUN})", 1))
+    return c.where(verb < noun).select("id", "line_no", "clause", verb.alias("verb_at"), noun.alias("noun_at"))
+
+
+SQL_HARVEST = f"""WITH {SQL_CLAUSES}, p AS (SELECT id, line_no, clause, length(regexp_extract(clause, {quoted(f'(?s)^(.*?)(?:{HARVEST})')}, 1))::INT AS verb_at, length(regexp_extract(clause, {quoted(f'(?s)^(.*?)(?:{NOUN})')}, 1))::INT AS noun_at FROM clauses WHERE regexp_matches(clause, {quoted(HARVEST)}) AND regexp_matches(clause, {quoted(NOUN)})) SELECT * FROM p WHERE verb_at < noun_at"""
+
+
+def q_transmission(spark, sf_dir):
+    """Clauses that hold both a sending verb and an address, with the address's host."""
+    c = clauses(spark, sf_dir).where(F.col("clause").rlike(SEND) & F.col("clause").rlike(URL))
+    return c.select("id", "line_no", F.regexp_extract("clause", "https?://([^/\\s'\")]+)", 1).alias("host"))
+
+
+SQL_TRANSMISSION = f"WITH {SQL_CLAUSES} SELECT id, line_no, regexp_extract(clause, {quoted('https?://([^/' + chr(92) + 's' + chr(39) + chr(34) + ')]+)')}, 1) AS host FROM clauses WHERE regexp_matches(clause, {quoted(SEND)}) AND regexp_matches(clause, {quoted(URL)})"
+
+
+def q_grants(spark, sf_dir):
+    """Grants in prose, and whether one of the six words before denies them."""
+    c = clauses(spark, sf_dir).where(F.col("clause").rlike(GRANT))
+    before = F.regexp_extract("clause", f"(?s)^(.*?)(?:{GRANT})", 1)
+    reach = F.array_join(F.slice(F.reverse(F.split(F.trim(before), "\\s+")), 1, 6), " ")
+    return c.select("id", "line_no", F.lower(F.regexp_extract("clause", GRANT, 0)).alias("grant"), reach.rlike(NEGATED).alias("denied"))
+
+
+SQL_GRANTS = f"""WITH {SQL_CLAUSES}, g AS (SELECT id, line_no, clause, regexp_extract(clause, {quoted(f'(?s)^(.*?)(?:{GRANT})')}, 1) AS b FROM clauses WHERE regexp_matches(clause, {quoted(GRANT)}))
+SELECT id, line_no, lower(regexp_extract(clause, {quoted(GRANT)}, 0)) AS "grant", regexp_matches(array_to_string(list_reverse(regexp_split_to_array(trim(b), '\\s+'))[1:6], ' '), {quoted(NEGATED)}) AS denied FROM g"""
+
+#: Risk surfaces with the attack class, a confidence each, and what excuses them.
+SURFACES = [
+    Rule("prompt-injection", "0.9", r"(?i)ignore all (?:previous|earlier) instructions", "SKILL-INJECT", r"(?i)must never ignore"),
+    Rule("control-token", "0.85", r"(?i)\[SYSTEM (?:OVERRIDE|UPDATE)\]|<\|im_start\|>", "PROMPT-INJECT"),
+    Rule("dynamic-eval", "0.7", r"\beval\s*\(|pickle\.loads", "CODE-EXEC"),
+    Rule("pipe-to-shell", "0.9", r"(?i)\b(?:curl|wget)\b[^\n|]{0,200}\|\s*(?:ba)?sh", "SKILL-EXEC"),
+    Rule("credential-harvest", "0.8", r"~/\.(?:ssh|aws|kube)", "CRED-HARVEST"),
+    Rule("exfiltration", "0.8", r"(?i)webhook\.site|requestbin|ngrok\.io", "DATA-EXFIL"),
+    Rule("scanner-evasion", "0.6", r"(?i)do not flag", "EVASION"),
+    Rule("reverse-shell", "0.95", r"/dev/(?:tcp|udp)/", "SKILL-EXEC"),
+]
+SURFACE_WORDS = ("ignore all", "[system", "im_start", "eval", "pickle", "curl", "wget", "~/.", "webhook", "requestbin", "ngrok", "do not flag", "/dev/")
+
+
+def risk_surfaces(spark, sf_dir):
+    s = scan(artifacts(spark, sf_dir), "content", SURFACES, ["project_id", "path"], SURFACE_WORDS)
+    return s.select("project_id", "path", F.col("check_id").alias("surface"), F.col("name").alias("attack_class"), F.col("severity").cast("double").alias("confidence"), F.substring("matched", 1, 80).alias("evidence"))
+
+
+SQL_SURFACES = f"{SQL_ARTIFACTS}, surfaces AS (SELECT project_id, path, check_id AS surface, name AS attack_class, severity::DOUBLE AS confidence, substr(matched, 1, 80) AS evidence FROM ({sql_scan('artifacts', 'content', SURFACES, 'project_id, path')}))"
+
+
+def q_evasion(spark, sf_dir):
+    """Files with two surfaces or more above 0.7, in a project where some intent is suspicious or worse."""
+    s = risk_surfaces(spark, sf_dir).groupBy("project_id", "path").agg(F.count_if(F.col("confidence") > 0.7).alias("strong"), F.max("confidence").alias("worst"), F.count_distinct("attack_class").alias("classes"))
+    bad = q_intent(spark, sf_dir).where("intent <> 'benign'").select("path", "intent")
+    return s.join(bad, "path").select("project_id", "path", "intent", "strong", "worst", "classes", (F.col("strong") >= 2).alias("evasive"))
+
+
+SQL_EVASION = f"""WITH intents AS ({SQL_INTENT}), {SQL_SURFACES}, s AS (SELECT project_id, path, count(*) FILTER (confidence > 0.7) AS strong, max(confidence) AS worst, count(DISTINCT attack_class) AS classes FROM surfaces GROUP BY ALL)
+SELECT project_id, s.path, intent, strong, worst, classes, strong >= 2 AS evasive FROM s JOIN intents i ON i.path = s.path WHERE intent <> 'benign'"""
+
+
+def q_reconciled(spark, sf_dir):
+    """Intents held against findings: benign with a high finding, or a concern without any, become unknown."""
+    f = findings(spark, sf_dir).groupBy("path").agg(F.count("*").alias("n"), F.count_if(F.col("severity").isin("critical", "high")).alias("high"))
+    j = q_intent(spark, sf_dir).join(f, "path", "left")
+    n, high = F.coalesce("n", F.lit(0)), F.coalesce("high", F.lit(0))
+    why = F.when((F.col("intent") == "benign") & (high > 0), "contradicted").when((F.col("intent") != "benign") & (n == 0), "uncorroborated")
+    return j.select("path", "intent", F.when(why.isNotNull(), "unknown").otherwise(F.col("intent")).alias("reconciled"), why.alias("reason"))
+
+
+SQL_RECONCILED = f"""WITH intents AS ({SQL_INTENT}), {SQL_FINDINGS}, f AS (SELECT path, count(*) AS n, count(*) FILTER (severity IN ('critical', 'high')) AS high FROM findings GROUP BY path),
+j AS (SELECT i.path, intent, CASE WHEN intent = 'benign' AND coalesce(high, 0) > 0 THEN 'contradicted' WHEN intent <> 'benign' AND coalesce(n, 0) = 0 THEN 'uncorroborated' END AS reason FROM intents i LEFT JOIN f ON f.path = i.path)
+SELECT path, intent, CASE WHEN reason IS NOT NULL THEN 'unknown' ELSE intent END AS reconciled, reason FROM j"""
+
+#: Default severities of check ids by prefix of whole parts; the longest prefix decides.
+DEFAULTS = (("SKILL", "high"), ("SKILL-005", "critical"), ("INJ", "high"), ("INJ-zero-width-char", "low"), ("MAN", "medium"), ("NET", "high"), ("CODE", "critical"), ("CODE-004", "low"))
+
+
+def q_severities(spark, sf_dir):
+    """Default severity of every check found, from the longest catalogued prefix, else medium."""
+    ids = findings(spark, sf_dir).groupBy("check_id").agg(F.count("*").alias("n"))
+    parts = F.split("check_id", "-")
+    pre = ids.select("check_id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "-"))).alias("prefix"))
+    table = spark.createDataFrame(list(DEFAULTS), "prefix string, severity string")
+    best = pre.join(F.broadcast(table), "prefix", "left").groupBy("check_id", "n").agg(F.max_by("severity", F.when(F.col("severity").isNotNull(), F.length("prefix"))).alias("s"))
+    return best.select("check_id", "n", F.coalesce("s", F.lit("medium")).alias("default_severity"))
+
+
+_D = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in DEFAULTS)
+SQL_SEVERITIES = f"""WITH {SQL_FINDINGS}, t(prefix, severity) AS (VALUES {_D}), i AS (SELECT check_id, count(*) AS n FROM findings GROUP BY 1)
+SELECT check_id, n, coalesce((SELECT arg_max(severity, length(prefix)) FROM t WHERE i.check_id = prefix OR starts_with(i.check_id, prefix || '-')), 'medium') AS default_severity FROM i"""
+
+
+def q_located(spark, sf_dir):
+    """Line of each file finding, from a trigger that occurs exactly once in the text."""
+    f = scan(artifacts(spark, sf_dir), "content", SURFACES, ["path", "content"], SURFACE_WORDS)
+    once = F.size(F.expr("split(content, concat('\\\\Q', matched, '\\\\E'), -1)")) == 2
+    line = F.length(F.expr("substring_index(content, matched, 1)")) - F.length(F.replace(F.expr("substring_index(content, matched, 1)"), F.lit("\n"), F.lit(""))) + 1
+    return f.where(F.length("matched") >= 8).select("path", F.col("check_id").alias("surface"), F.when(once, line).alias("line_no"))
+
+
+SQL_LOCATED = f"""WITH {SQL_ARTIFACTS}, h AS ({sql_scan('artifacts', 'content', SURFACES, 'path, content')})
+SELECT path, check_id AS surface, CASE WHEN len(string_split(content, matched)) = 2 THEN len(string_split(string_split(content, matched)[1], chr(10)))::INT END AS line_no FROM h WHERE length(matched) >= 8"""
+
+#: Front matter of skill files, with the id where % stands.
+HEADS = ("---\nname: skill-%\nversion: 1.%.0\ntools: [read, send]\ncapabilities:\n  - network:outbound\n---", "---\nname: acme/tool-%\npermissions: [filesystem:*, shell:exec]\n---", "no front matter %", "---\nname: helper-%\nversion: 0.%\ndependencies: [skill-1, skill-2]\n---")
+
+
+def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("project_id"), F.concat_ws("\n", F.replace(pick(HEADS, F.col("doc_id")), F.lit("%"), F.col("doc_id").cast("string")), "text").alias("content"))
+
+
+_SKILLS = f"skills AS (SELECT doc_id AS id, source AS project_id, concat_ws(chr(10), replace({sql_pick(HEADS, 'doc_id')}, '%', doc_id::VARCHAR), text) AS content FROM documents)"
+_FRONT = r"(?s)^---\n(.*?)\n---"
+
+
+def front_matter(df: DataFrame) -> DataFrame:
+    """Name, publisher, version and lists of skill files' front matter; nulls where there is none."""
+    head = F.regexp_extract("content", _FRONT, 1)
+    field = lambda k: F.nullif(F.regexp_extract(head, f"(?m)^{k}:[ ]*([^\\n\\[]+)$", 1), F.lit(""))
+    listed = lambda k: F.nullif(F.regexp_replace(F.regexp_extract(head, f"(?m)^{k}:[ ]*\\[([^\\]]*)\\]", 1), ",\\s+", ","), F.lit(""))
+    name = field("name")
+    return df.select("id", name.alias("name"), F.nullif(F.regexp_extract(name, "^([^/]+)/", 1), F.lit("")).alias("publisher"), field("version").alias("version"), listed("tools").alias("tools"), listed("permissions").alias("permissions"), listed("dependencies").alias("dependencies"))
+
+
+def q_front(spark, sf_dir):
+    return front_matter(skills(spark, sf_dir))
+
+
+def _sf(k):
+    return f"nullif(regexp_extract(h, '(?m)^{k}:[ ]*([^\\n\\[]+)$', 1), '')"
+
+
+def _sl(k):
+    return f"nullif(regexp_replace(regexp_extract(h, '(?m)^{k}:[ ]*\\[([^\\]]*)\\]', 1), ',\\s+', ',', 'g'), '') AS {k}"
+
+
+SQL_FRONT = f"WITH {_SKILLS}, h AS (SELECT id, regexp_extract(content, '{_FRONT}', 1) AS h FROM skills) SELECT id, {_sf('name')} AS name, nullif(regexp_extract({_sf('name')}, '^([^/]+)/', 1), '') AS publisher, {_sf('version')} AS version, {_sl('tools')}, {_sl('permissions')}, {_sl('dependencies')} FROM h"
+
+
+def q_skill_risk(spark, sf_dir):
+    """Risk of skills from publisher, permissions and a revocation list (skills of returned orders' customers)."""
+    f = front_matter(skills(spark, sf_dir))
+    revoked = read(spark, sf_dir, "customer").where("c_custkey % 10 = 1").select(F.col("c_custkey").alias("id"), F.lit(True).alias("revoked"))
+    perms = F.coalesce("permissions", F.lit(""))
+    risk = F.when(F.col("revoked"), "blocked").when(perms.rlike("shell:|filesystem:\\*"), "high").when(F.col("name").isNull(), "unknown").when(F.col("publisher").isNull(), "medium").otherwise("low")
+    trust = F.when(F.col("revoked"), "blocked").when(F.col("publisher").isNotNull(), "verified").when(F.col("version").isNotNull(), "listed").otherwise("listed-unscanned")
+    return f.join(revoked, "id", "left").select("id", risk.alias("risk"), trust.alias("trust"))
+
+
+SQL_SKILL_RISK = f"""WITH f AS ({SQL_FRONT}), j AS (SELECT f.*, c_custkey IS NOT NULL AS revoked FROM f LEFT JOIN customer ON c_custkey = f.id AND c_custkey % 10 = 1)
+SELECT id, CASE WHEN revoked THEN 'blocked' WHEN regexp_matches(coalesce(permissions, ''), 'shell:|filesystem:\\*') THEN 'high' WHEN name IS NULL THEN 'unknown' WHEN publisher IS NULL THEN 'medium' ELSE 'low' END AS risk,
+CASE WHEN revoked THEN 'blocked' WHEN publisher IS NOT NULL THEN 'verified' WHEN version IS NOT NULL THEN 'listed' ELSE 'listed-unscanned' END AS trust FROM j"""
+
+
+def q_asff(spark, sf_dir):
+    """Findings in batches of a hundred within their project: sizes, worst severity and a hash of what is sent."""
+    f = findings(spark, sf_dir).withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("project_id").orderBy("path", "check_id", "severity")) - 1) / 100))
+    return f.groupBy("project_id", "batch").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "critical").alias("criticals"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "path", "check_id"))), "\n"), 256).alias("ids_sha256"))
+
+
+SQL_ASFF = f"""WITH {SQL_FINDINGS}, f AS (SELECT *, (row_number() OVER (PARTITION BY project_id ORDER BY path, check_id, severity) - 1) // 100 AS batch FROM findings)
+SELECT project_id, batch, count(*) AS n, count(*) FILTER (severity = 'critical') AS criticals, sha256(string_agg(path || '|' || check_id, chr(10) ORDER BY path || '|' || check_id)) AS ids_sha256 FROM f GROUP BY ALL"""
+
+
+def q_cards(spark, sf_dir):
+    """A card of each project: hosts it names, capabilities of its files by type, and destructive words."""
+    t = typed(artifacts(spark, sf_dir))
+    hosts = F.array_distinct(F.regexp_extract_all("content", F.lit("https?://([A-Za-z0-9.\\-]+)"), F.lit(1)))
+    g = t.select("project_id", "artifact_type", hosts.alias("hosts"), F.col("content").rlike("(?i)\\b(?:rm -rf|drop table|os\\.system|exec)\\b").alias("destructive"))
+    return g.groupBy("project_id").agg(F.count_distinct("artifact_type").alias("types"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hosts")))), ",").alias("hosts"), F.count_if("destructive").alias("destructive_files"))
+
+
+SQL_CARDS = f"""WITH t AS ({SQL_TYPES}), {SQL_ARTIFACTS}, h AS (SELECT project_id, array_to_string(list_sort(list_distinct(list(x))), ',') AS hosts FROM (SELECT project_id, unnest(regexp_extract_all(content, 'https?://([A-Za-z0-9.\\-]+)', 1)) AS x FROM artifacts) GROUP BY 1)
+SELECT a.project_id, count(DISTINCT artifact_type) AS types, coalesce(max(h.hosts), '') AS hosts, count(*) FILTER (regexp_matches(content, '(?i)\\b(?:rm -rf|drop table|os\\.system|exec)\\b')) AS destructive_files FROM artifacts a JOIN t USING (path) LEFT JOIN h ON h.project_id = a.project_id GROUP BY a.project_id"""
+
+
+def q_exposure(spark, sf_dir):
+    """Captured responses of hosts: what they serve that they shouldn't, and an exposure score with its grade."""
+    p = read(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), F.col("page_id").alias("id"), F.startswith(F.col("url"), F.lit("http://")).alias("plain"), F.col("html").rlike("(?i)token = \"|api[_-]?key").alias("key"))
+    found = F.array_compact(F.array(F.when(F.col("plain"), F.struct(F.lit("NET-002").alias("check_id"), F.lit(10.0).alias("w"))), F.when(F.col("key"), F.struct(F.lit("API-KEY-EXPOSED").alias("check_id"), F.lit(25.0).alias("w"))), F.when(F.col("id") % 17 == 0, F.struct(F.lit("CONFIG-EXPOSED").alias("check_id"), F.lit(15.0).alias("w")))))
+    g = p.groupBy("host").agg(F.sum(F.aggregate(F.transform(found, lambda x: x["w"]), F.lit(0.0), lambda a, b: a + b)).alias("w"), F.sum(F.size(found)).alias("n"))
+    score = F.floor(100 * F.exp(-F.col("w") / 150) + 0.5).cast("int")
+    return g.select("host", "n", score.alias("score"), F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F").alias("grade"))
+
+
+SQL_EXPOSURE = """WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, starts_with(url, 'http://')::INT AS a, regexp_matches(html, '(?i)token = "|api[_-]?key')::INT AS b, (page_id % 17 = 0)::INT AS c FROM pages),
+g AS (SELECT host, sum(a + b + c)::BIGINT AS n, floor(100 * exp(-sum(a * 10.0::DOUBLE + b * 25 + c * 15) / 150) + 0.5)::INT AS score FROM p GROUP BY host)
+SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM g"""
+
+
+def q_probes(spark, sf_dir):
+    """Probe results of artifacts (orders' lines as probes): failures, verdict, and claims that they refute."""
+    li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("artifact"), (F.col("l_returnflag") != "R").alias("passed"), (F.col("l_quantity") > 40).alias("critical"))
+    g = li.groupBy("artifact").agg(F.count("*").alias("probes"), F.count_if(~F.col("passed")).alias("failed"), F.count_if(~F.col("passed") & F.col("critical")).alias("critical_failed"))
+    bad = (F.col("critical_failed") >= 2) | (F.col("failed") / F.col("probes") > 0.3)
+    return g.select("artifact", "probes", "failed", F.when(bad, "malicious").when(F.col("failed") > 0, "suspicious").otherwise("clean").alias("verdict"), F.round(1 - F.col("failed") / F.col("probes"), 6).alias("claim_accuracy")).groupBy("verdict").agg(F.count("*").alias("artifacts"), F.sum("failed").alias("failed"), F.round(F.avg("claim_accuracy"), 6).alias("claim_accuracy"))
+
+
+SQL_PROBES = """WITH g AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS f, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 40) AS c FROM lineitem GROUP BY 1),
+v AS (SELECT *, CASE WHEN c >= 2 OR f / n > 0.3 THEN 'malicious' WHEN f > 0 THEN 'suspicious' ELSE 'clean' END AS verdict, round(1 - f / n, 6) AS a FROM g) SELECT verdict, count(*) AS artifacts, sum(f)::BIGINT AS failed, round(avg(a), 6) AS claim_accuracy FROM v GROUP BY verdict"""
+
+
+def q_summary(spark, sf_dir):
+    """Scan summary of projects, unmeasured files left out: files, findings, classes and worst severity."""
+    a = artifacts(spark, sf_dir).where(F.octet_length("content") <= 20000).groupBy("project_id").agg(F.count("*").alias("files"))
+    f = catalogued(findings(spark, sf_dir)).groupBy("project_id").agg(F.count("*").alias("findings"), F.array_join(F.array_sort(F.collect_set("attack_class")), ",").alias("classes"), F.max(F.when(F.col("severity") == "critical", 4).when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)).alias("worst"))
+    return a.join(f, "project_id", "left")
+
+
+SQL_SUMMARY = f"""WITH {SQL_CAT}, a AS (SELECT project_id, count(*) AS files FROM artifacts WHERE strlen(content) <= 20000 GROUP BY 1), f AS (SELECT project_id, count(*) AS findings, array_to_string(list_sort(list(DISTINCT attack_class)), ',') AS classes, max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)::INT AS worst FROM cat GROUP BY 1) SELECT * FROM a LEFT JOIN f USING (project_id)"""
+
+QUERIES = {
+    "credential_harvest": (q_harvest, SQL_HARVEST),
+    "colocated_transmission": (q_transmission, SQL_TRANSMISSION),
+    "permission_grants": (q_grants, SQL_GRANTS),
+    "risk_surfaces": (risk_surfaces, f"WITH {SQL_SURFACES} SELECT * FROM surfaces"),
+    "evasion_rollup": (q_evasion, SQL_EVASION),
+    "intent_reconciled": (q_reconciled, SQL_RECONCILED),
+    "default_severities": (q_severities, SQL_SEVERITIES),
+    "finding_lines": (q_located, SQL_LOCATED),
+    "skill_front_matter": (q_front, SQL_FRONT),
+    "skill_risk": (q_skill_risk, SQL_SKILL_RISK),
+    "asff_batches": (q_asff, SQL_ASFF),
+    "profile_cards": (q_cards, SQL_CARDS),
+    "exposure_score": (q_exposure, SQL_EXPOSURE),
+    "probe_verdicts": (q_probes, SQL_PROBES),
+    "scan_summary": (q_summary, SQL_SUMMARY),
+}
