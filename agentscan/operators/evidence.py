@@ -189,25 +189,26 @@ CASE WHEN revoked THEN 'blocked' WHEN publisher IS NOT NULL THEN 'verified' WHEN
 
 
 def q_asff(spark, sf_dir):
-    """Findings in batches of a hundred within their project: sizes, worst severity and a hash of what is sent."""
-    f = findings(spark, sf_dir).withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("project_id").orderBy("path", "check_id", "severity")) - 1) / 100))
-    return f.groupBy("project_id", "batch").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "critical").alias("criticals"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "path", "check_id"))), "\n"), 256).alias("ids_sha256"))
+    """Findings in batches of at most a hundred, numbered within slices of a project: sizes, worst severity, a hash of the ids."""
+    f = findings(spark, sf_dir).withColumn("slice", F.floor(F.col("id") / 1000))
+    f = f.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("project_id", "slice").orderBy("path", "check_id", "severity")) - 1) / 100))
+    return f.groupBy("project_id", "slice", "batch").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "critical").alias("criticals"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "path", "check_id"))), "\n"), 256).alias("ids_sha256"))
 
 
-SQL_ASFF = f"""WITH {SQL_FINDINGS}, f AS (SELECT *, (row_number() OVER (PARTITION BY project_id ORDER BY path, check_id, severity) - 1) // 100 AS batch FROM findings)
-SELECT project_id, batch, count(*) AS n, count(*) FILTER (severity = 'critical') AS criticals, sha256(string_agg(path || '|' || check_id, chr(10) ORDER BY path || '|' || check_id)) AS ids_sha256 FROM f GROUP BY ALL"""
+SQL_ASFF = f"""WITH {SQL_FINDINGS}, f AS (SELECT *, id // 1000 AS slice, (row_number() OVER (PARTITION BY project_id, id // 1000 ORDER BY path, check_id, severity) - 1) // 100 AS batch FROM findings)
+SELECT project_id, slice, batch, count(*) AS n, count(*) FILTER (severity = 'critical') AS criticals, sha256(string_agg(path || '|' || check_id, chr(10) ORDER BY path || '|' || check_id)) AS ids_sha256 FROM f GROUP BY ALL"""
 
 
 def q_cards(spark, sf_dir):
-    """A card of each project: hosts it names, capabilities of its files by type, and destructive words."""
+    """A card of each project: how many hosts it names, its types of files, and destructive words."""
     t = typed(artifacts(spark, sf_dir))
-    hosts = F.array_distinct(F.regexp_extract_all("content", F.lit("https?://([A-Za-z0-9.\\-]+)"), F.lit(1)))
-    g = t.select("project_id", "artifact_type", hosts.alias("hosts"), F.col("content").rlike("(?i)\\b(?:rm -rf|drop table|os\\.system|exec)\\b").alias("destructive"))
-    return g.groupBy("project_id").agg(F.count_distinct("artifact_type").alias("types"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("hosts")))), ",").alias("hosts"), F.count_if("destructive").alias("destructive_files"))
+    hosts = t.select("project_id", F.explode(F.regexp_extract_all("content", F.lit("https?://([A-Za-z0-9.\\-]+)"), F.lit(1))).alias("host")).groupBy("project_id").agg(F.count_distinct("host").alias("hosts"), F.min("host").alias("first_host"))
+    g = t.groupBy("project_id").agg(F.count_distinct("artifact_type").alias("types"), F.count_if(F.col("content").rlike("(?i)\\b(?:rm -rf|drop table|os\\.system|exec)\\b")).alias("destructive_files"))
+    return g.join(hosts, "project_id", "left")
 
 
-SQL_CARDS = f"""WITH t AS ({SQL_TYPES}), {SQL_ARTIFACTS}, h AS (SELECT project_id, array_to_string(list_sort(list_distinct(list(x))), ',') AS hosts FROM (SELECT project_id, unnest(regexp_extract_all(content, 'https?://([A-Za-z0-9.\\-]+)', 1)) AS x FROM artifacts) GROUP BY 1)
-SELECT a.project_id, count(DISTINCT artifact_type) AS types, coalesce(max(h.hosts), '') AS hosts, count(*) FILTER (regexp_matches(content, '(?i)\\b(?:rm -rf|drop table|os\\.system|exec)\\b')) AS destructive_files FROM artifacts a JOIN t USING (path) LEFT JOIN h ON h.project_id = a.project_id GROUP BY a.project_id"""
+SQL_CARDS = f"""WITH t AS ({SQL_TYPES}), {SQL_ARTIFACTS}, h AS (SELECT project_id, count(DISTINCT x) AS hosts, min(x) AS first_host FROM (SELECT project_id, unnest(regexp_extract_all(content, 'https?://([A-Za-z0-9.\\-]+)', 1)) AS x FROM artifacts) GROUP BY 1)
+SELECT a.project_id, count(DISTINCT artifact_type) AS types, any_value(h.hosts) AS hosts, any_value(h.first_host) AS first_host, count(*) FILTER (regexp_matches(content, '(?i)\\b(?:rm -rf|drop table|os\\.system|exec)\\b')) AS destructive_files FROM artifacts a JOIN t USING (path) LEFT JOIN h ON h.project_id = a.project_id GROUP BY a.project_id"""
 
 
 def q_exposure(spark, sf_dir):

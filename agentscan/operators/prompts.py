@@ -189,14 +189,15 @@ SELECT path, CASE WHEN a IS NULL THEN 'extra' WHEN b IS NULL THEN 'missing' ELSE
 
 
 def q_tree(spark, sf_dir):
-    """A hash of each project: over its directories' hashes, each over its files' sorted lines."""
-    f = artifacts(spark, sf_dir).select("project_id", "id", "path", F.sha2("content", 256).alias("h")).withColumn("dir", F.col("id") % 16)
-    d = f.groupBy("project_id", "dir").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "h"))), lambda x: F.concat(x["path"], F.lit(":"), x["h"])), "\n"), 256).alias("h"))
-    return d.groupBy("project_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dir", "h"))), lambda x: x["h"]), "\n"), 256).alias("tree_hash"))
+    """A hash of each project: a tree of hashes with at most 256 leaves under a node, so no node gathers more."""
+    t = artifacts(spark, sf_dir).select("project_id", F.col("id").alias("k"), F.sha2(F.concat("path", F.lit(":"), F.sha2("content", 256)), 256).alias("h"))
+    for _ in range(4):
+        t = t.groupBy("project_id", F.floor(F.col("k") / 256).alias("k")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("k").alias("c"), "h"))), lambda x: x["h"]), "\n"), 256).alias("h"))
+    return t.groupBy("project_id").agg(F.min("h").alias("tree_hash"), F.count("*").alias("roots"))
 
 
-SQL_TREE = f"""WITH {SQL_ARTIFACTS}, d AS (SELECT project_id, id % 16 AS dir, sha256(string_agg(path || ':' || sha256(content), chr(10) ORDER BY path)) AS h FROM artifacts GROUP BY ALL)
-SELECT project_id, sha256(string_agg(h, chr(10) ORDER BY dir)) AS tree_hash FROM d GROUP BY project_id"""
+_LEVELS = ", ".join(f"t{n + 1} AS (SELECT project_id, k // 256 AS k, sha256(string_agg(h, chr(10) ORDER BY k, h)) AS h FROM t{n} GROUP BY project_id, k // 256)" for n in range(4))
+SQL_TREE = f"""WITH {SQL_ARTIFACTS}, t0 AS (SELECT project_id, id AS k, sha256(path || ':' || sha256(content)) AS h FROM artifacts), {_LEVELS} SELECT project_id, min(h) AS tree_hash, count(*) AS roots FROM t4 GROUP BY project_id"""
 
 
 def q_duplicates(spark, sf_dir):
