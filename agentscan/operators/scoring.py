@@ -22,6 +22,18 @@ CATALOGUE = (
     ("NET", "network", "exposure", "access", "Bind to the local interface and verify certificates."),
     ("CODE", "code", "code-execution", "execution", "Avoid evaluating or deserialising input."),
     ("ENV", "configuration", "misconfiguration", "access", "Turn debug settings off."),
+    ("SOUL", "governance", "governance", "manipulation", "State the rule without exceptions."),
+    ("AUTH", "access", "authentication", "access", "Require authentication and name the origins."),
+    ("SESSION", "access", "authentication", "access", "Let sessions end and keep tokens from scripts."),
+    ("CRED", "credentials", "credential-exposure", "access", "Move the secret to a vault."),
+    ("LLM", "network", "exposure", "access", "Serve the model to known callers only."),
+    ("AITOOL", "network", "exposure", "access", "Serve the tool to known callers only."),
+    ("DEP", "supply", "supply-chain", "execution", "Pin versions and drop install scripts."),
+    ("SUPPLY", "supply", "supply-chain", "execution", "Remove the source and review what it ran."),
+    ("ENCRYPT", "crypto", "weak-crypto", "access", "Use current ciphers and transport."),
+    ("HEARTBEAT", "governance", "remote-instructions", "manipulation", "Pin and verify what is fetched."),
+    ("SANDBOX", "isolation", "isolation", "execution", "Run without root or privileges."),
+    ("DOCKERINJ", "isolation", "code-execution", "execution", "Do not put variables into container commands."),
 )
 _BOTH = [(SKILL, SKILL_WORDS, ""), (INJECTION, INJECTION_WORDS, "INJ-"), (MANIPULATION, MANIPULATION_WORDS, "MAN-"), (static.LINE_RULES, static.LINE_WORDS, "")]
 

@@ -10,27 +10,77 @@ from pyspark.sql import functions as F
 from agentscan.functions.rules import Rule, lines, quoted, scan, sql_lines, sql_scan
 from agentscan.sources.derived import SQL_ARTIFACTS, artifacts
 
-LINE_RULES = [
-    Rule("NET-001", "high", r"0\.0\.0\.0", "binds to all interfaces"),
-    Rule("NET-003", "high", r"(?i)verify\s*=\s*False|rejectUnauthorized\s*:\s*false", "certificates are not verified"),
-    Rule("ENV-002", "medium", r"(?i)\bdebug\s*[:=]\s*true\b", "debug is on"),
-    Rule("CODE-001", "critical", r"\beval\s*\(|\bnew Function\s*\(", "evaluates input"),
-    Rule("CODE-002", "critical", r"\bpickle\.loads?\s*\(|\byaml\.load\s*\([^)]*\)", "deserialises input", r"SafeLoader"),
-    Rule("CODE-003", "high", r"\bos\.system\s*\(|child_process|subprocess\.[a-z]+\([^)]*shell\s*=\s*True", "runs a shell"),
-    Rule("CODE-004", "low", r"(?:^|[\s'\"(])/tmp/[A-Za-z]", "shared temporary path"),
-]
-LINE_WORDS = ("0.0.0.0", "verify", "rejectunauthorized", "debug", "eval", "function", "pickle", "yaml.load", "os.system", "child_process", "subprocess", "/tmp/")
+#: (check, severity, pattern, meaning, a literal in lower case that every match holds, excuse)
+_LINES = (
+    ("NET-001", "high", r"0\.0\.0\.0", "binds to all interfaces", "0.0.0.0", None),
+    ("NET-003", "high", r"(?i)verify\s*=\s*False|rejectUnauthorized\s*:\s*false", "certificates are not verified", "false", None),
+    ("ENV-002", "medium", r"(?i)\bdebug\s*[:=]\s*true\b", "debug is on", "debug", None),
+    ("CODE-001", "critical", r"\beval\s*\(", "evaluates input", "eval", None),
+    ("CODE-002", "critical", r"\bpickle\.loads?\s*\(|\byaml\.load\s*\([^)]*\)", "deserialises input", ".load", r"SafeLoader"),
+    ("CODE-003", "high", r"\bos\.system\s*\(|child_process", "runs a shell", "s", None),
+    ("CODE-004", "low", r"(?:^|[\s'\"(])/tmp/[A-Za-z]", "shared temporary path", "/tmp/", None),
+    ("SANDBOX-002", "high", r"(?i)\bUSER root\b|privileged:\s*true", "runs as root or privileged", "r", None),
+    ("DOCKERINJ-001", "critical", r"(?i)docker exec \$", "docker exec with a variable", "docker exec", None),
+    ("AUTH-004", "medium", r"(?i)origin:\s*['\"]\*", "any origin is allowed", "origin", None),
+    ("CRED-004", "critical", r"(?i)jwt\.sign\([^)]*['\"]secret", "signing secret in source", "jwt.sign", None),
+    ("SESSION-001", "medium", r"(?i)httpOnly:\s*false", "cookie is readable by scripts", "httponly", None),
+    ("SESSION-002", "medium", r"(?i)session never expires", "sessions never end", "session never", None),
+    ("SESSION-004", "medium", r"localStorage\.setItem\(['\"]token", "token in browser storage", "localstorage", None),
+    ("INJ-002", "high", r"\.innerHTML\s*=", "input becomes markup", "innerhtml", None),
+    ("INJ-003", "critical", r"(?i)select \* from [^;\n]{0,80}['\"]\s*\+", "query joined from strings", "select", None),
+    ("ENCRYPT-002", "high", r"(?i)createHash\(['\"]md5|\bDES\b keys", "weak cipher or hash", "keys", None),
+    ("ENCRYPT-004", "high", r"TLSv1\.0", "outdated transport", "tlsv1", None),
+    ("AITOOL-001", "high", r"(?i)jupyter [^\n;]{0,80}--ip=0\.0\.0\.0", "notebook served publicly", "jupyter", None),
+    ("AITOOL-002", "high", r"(?i)launch\(share=True", "demo shared publicly", "launch", None),
+    ("AITOOL-003", "high", r"(?i)mlflow server [^\n;]{0,80}0\.0\.0\.0", "tracking server served publicly", "mlflow", None),
+    ("LLM-001", "high", r"(?i)OLLAMA_HOST=0\.0\.0\.0|vllm serve [^\n;]{0,80}0\.0\.0\.0", "model served publicly", "0.0.0.0", None),
+    ("LOG-002", "high", r"(?i)(?:console\.log|logger\.\w+)\((?:password|token|secret)", "secret in a log", "log", None),
+    ("HEARTBEAT-001", "high", r"(?i)heartbeat [^\n]{0,80}fetch http://", "instructions fetched without verification", "heartbeat", None),
+    ("HEARTBEAT-005", "medium", r"(?i)heartbeat every \d+\s*[sm]\b", "heartbeat too frequent", "heartbeat", None),
+    ("DEP-003", "medium", r"\"[a-z@/-]+\":\s*\"\*\"", "any version of a package", "\"*\"", None),
+    ("DEP-004", "high", r"\"(?:pre|post)install\"\s*:|--unsafe-perm", "script at install time", "install", None),
+    ("TOCTOU-001", "medium", r"existsSync\([^)]*\)[^\n]{0,40}readFileSync", "checked, then used", "existssync", None),
+    ("CLIPASS-001", "high", r"--password=\S+", "credential as an argument", "--password=", None),
+    ("MEM-004", "high", r"(?i)memory\.\w+\([^)]*\) is shared", "memory shared between users", "memory.", None),
+    ("SOUL-OVERRIDE", "critical", r"(?i)may override SOUL", "a skill may override governance", "override soul", None),
+    ("SOUL-ESCAPE-CLAUSE", "high", r"(?i)\bunless the user (?:insists|asks)", "a clause voids the rule", "unless the user", None),
+    ("SOUL-UNVERIFIABLE-CLAIM", "medium", r"(?i)\bGDPR\b[^\n]{0,40}\bSOC ?2\b", "stacked claims of compliance", "gdpr", None),
+    ("UNICODE-STEGO-003", "critical", r"eval\(atob\(", "evaluates decoded text", "atob", None),
+    ("UNICODE-STEGO-002", "medium", r"String\.fromCharCode", "decoder of hidden text", "fromcharcode", None),
+    ("SUPPLY-005", "critical", r"\bC2 at \d{1,3}(?:\.\d{1,3}){3}", "command server address", "c2 at", None),
+    ("SUPPLY-008", "high", r"(?i)archive password:", "archive with a password", "archive password", None),
+    ("A2A-001", "medium", r"/\.well-known/agent\.json", "agent card is public", "agent.json", None),
+    ("A2A-003", "high", r"(?i)tasks need no auth", "task endpoint without authentication", "no auth", None),
+    ("API-003", "high", r"[?&]api_key=", "key in a URL", "api_key=", None),
+    ("MCP-SSE-001", "medium", r"(?i)SSE endpoint at /", "event stream exposed", "sse endpoint", None),
+    ("MCP-TOOLS-001", "medium", r"/tools/list\b", "tool list exposed", "/tools/list", None),
+    ("PERM-001", "high", r"\bchmod 777\b", "writable by everyone", "chmod 777", None),
+    ("RAG-003", "high", r"(?i)vector store at 0\.0\.0\.0", "public vector store", "vector store", None),
+)
+LINE_RULES = [Rule(c, s, p, n, x) for c, s, p, n, _, x in _LINES]
+LINE_WORDS = tuple(dict.fromkeys({"s": "os.system", "r": "user root", "false": "false"}.get(w, w) for *_, w, _ in _LINES)) + ("child_process", "privileged", "createhash", "--unsafe-perm")
 #: (check, severity, what a relevant project has, what it must have as well, meaning)
 ABSENCE = (
     ("AUDIT-001", "medium", r"(?i)\bexec\b|\bos\.system\b", r"(?i)audit log", "runs commands without an audit log"),
     ("RATE-001", "medium", r"(?i)\blisten\s*\(", r"(?i)rate limit", "serves without a rate limit"),
     ("PROMPT-002", "high", r"(?i)you are|assistant", r"(?i)must not share|never execute", "prompts without a prohibition"),
+    ("AUTH-002", "high", r"(?i)\blisten\s*\(|endpoint at /", r"(?i)authenticat", "serves without authentication"),
+    ("LOG-001", "low", r"(?i)console\.log|logger\.", r"(?i)structured log", "logs without structure"),
+    ("MEM-002", "medium", r"(?i)memory\.", r"(?i)memory integrity", "memory without an integrity check"),
+    ("RAG-004", "medium", r"(?i)vector store", r"(?i)signed source", "retrieval without provenance"),
+    ("SANDBOX-001", "high", r"(?i)\bexec\b|docker exec", r"(?i)seccomp|gvisor", "runs commands without isolation"),
+    ("ENCRYPT-001", "medium", r"(?i)personal data|sensitive", r"(?i)encrypted", "sensitive data without encryption"),
+    ("TOOL-004", "medium", r"(?i)always execute", r"(?i)requires (?:approval|confirmation)", "tools without confirmation"),
+    ("SEC-002", "low", r"(?i)api_key|token", r"(?i)rotat", "secrets without rotation"),
     ("AIM-001", "low", r"(?i)agent", r"(?i)identity declaration", "no identity is declared"),
 )
 #: (check, severity, signals that must all occur in a file, meaning)
 COMBINATIONS = (
     ("SHELL-EXFIL-001", "critical", (r"~/\.(?:ssh|aws)", r"(?i)fetch\(|curl"), "credential files and an outgoing request"),
     ("SOUL-CONTRADICTION", "high", (r"(?i)must not share", r"(?i)execute untrusted code"), "claims and commands together"),
+    ("SOUL-CONSENT", "medium", (r"(?i)full access", r"(?i)without asking|no restrictions"), "broad capability without consent"),
+    ("AGENT-CRED-001", "high", (r"(?i)exec\(|bash", r"~/\.(?:ssh|aws)"), "shell and credentials together"),
+    ("SKILL-CHAIN", "critical", (r"(?i)curl", r"(?i)\| bash"), "downloads and runs"),
     ("A2A-002", "high", (r"(?i)listen\s*\(", r"(?i)verify\s*=\s*False"), "open endpoint without verification"),
 )
 
