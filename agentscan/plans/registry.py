@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from agentscan.operators import classifier, events, evidence, governance, hidden, pages, profiles, prompts, scoring, secrets, static, text
+from agentscan.operators import classifier, events, evidence, governance, hidden, pages, profiles, prompts, scoring, secrets, static, structure, text
 
-MODULES = (text, secrets, hidden, pages, events, profiles, static, scoring, governance, prompts, evidence, classifier)
+MODULES = (text, secrets, hidden, pages, events, profiles, static, scoring, governance, prompts, evidence, structure, classifier)
 
 
 def queries() -> dict:
