@@ -14,6 +14,7 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +32,8 @@ FIELDS = {
 }
 #: Fixed value: the profile of a revisit that repeats a payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: How archives are compressed; the level reaches the codec as a setting of the write.
+GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
 CAPTURED = "20240101000000"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public name space of URLs
 
@@ -66,7 +69,7 @@ def _arc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_arc(pages: DataFrame, path: str) -> None:
     """Writes page_id, url and html as gzipped ARC files, one for each partition."""
     rows = pages.select("page_id", "url", "html", F.spark_partition_id().alias("part"))
-    rows.mapInArrow(_arc_rows, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    rows.mapInArrow(_arc_rows, "value string").write.options(lineSep="\n", **GZIP).text(path)
 
 
 def arc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -103,7 +106,7 @@ def _page_of(head: bytes) -> int | None:
     return int(m[1]) if m else None
 
 
-_ARC_OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("head", pa.string()), ("payload", pa.string()), ("digest", pa.string()), ("size", pa.int64())])
+_ARC_OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("date", pa.string()), ("head", pa.string()), ("payload", pa.binary()), ("digest", pa.string()), ("size", pa.int64())])
 
 
 def _parse_arc(with_payload: bool):
@@ -115,7 +118,7 @@ def _parse_arc(with_payload: bool):
                     if fields["URL"].startswith("filedesc://"):
                         continue
                     head, payload = _split_http(content)
-                    rows.append((_page_of(head), fields["URL"], fields["Archive-date"], head.decode(), payload.decode("utf-8", "replace") if with_payload else None, hashlib.sha256(payload).hexdigest(), len(payload)))
+                    rows.append((_page_of(head), fields["URL"], fields["Archive-date"], head.decode(), zlib.compress(payload, 1) if with_payload else None, hashlib.sha256(payload).hexdigest(), len(payload)))
                     held += len(content)
                     if held > 4_000_000:
                         yield pa.RecordBatch.from_pylist([dict(zip(_ARC_OUT.names, r, strict=True)) for r in rows], schema=_ARC_OUT)
@@ -127,9 +130,9 @@ def _parse_arc(with_payload: bool):
 
 
 def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """page_id, url, date, head (HTTP), payload (null if not asked for), digest and size of ARC records."""
+    """page_id, url, date, head (HTTP), payload (deflated; null if not asked for), digest and size of ARC records."""
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(_parse_arc(with_payload), "page_id long, url string, date string, head string, payload string, digest string, size long")
+    return files.mapInArrow(_parse_arc(with_payload), "page_id long, url string, date string, head string, payload binary, digest string, size long")
 
 
 def _warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +145,7 @@ def _warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = False
         for r in batch.to_pylist():
             revisit = r["refers_to"] is not None
-            block = r["head"] + ("" if revisit else r["payload"])
+            block = r["head"] + ("" if revisit else zlib.decompress(r["payload"]).decode("utf-8", "replace"))
             head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Target-URI: {r['url']}", f"WARC-Date: {_iso(r['date'])}", f"WARC-Record-ID: <{record_id(r['page_id'], r['digest'])}>", f"WARC-Payload-Digest: sha256:{r['digest']}", "Content-Type: application/http; msgtype=response"]
             if revisit:
                 head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(r['refers_to'], r['digest'])}>"]
@@ -170,7 +173,7 @@ def convert(spark: SparkSession, arc: str, warc: str) -> None:
     records = read_arc(spark, arc).alias("r")
     a = again.alias("a")
     decided = records.join(a, F.col("r.page_id").eqNullSafe(F.col("a.page_id")) & (F.col("r.digest") == F.col("a.digest")), "left").select("r.*", "a.refers_to", F.spark_partition_id().alias("part"))
-    decided.mapInArrow(_warc_rows, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(warc)
+    decided.mapInArrow(_warc_rows, "value string").write.options(lineSep="\r\n\r\n", **GZIP).text(warc)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
