@@ -308,7 +308,7 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     cluster = components(near)
     cluster = cluster.unionByName(cluster.select(F.col("root").alias("u"), "root").distinct())
 
-    sizes = cluster.groupBy("root").agg(F.count("*").alias("m"))
+    sizes = written(cluster.groupBy("root").agg(F.count("*").alias("m")), "sizes")
     wanted = cluster.join(sizes, "root").select(F.col("u").alias("key"), F.col("root").alias("cluster"), "m").join(classes.select("key", "n", "one"), "key")
     texts = base.join(wanted.select("*", F.col("one.doc_id").alias("w_id"), F.col("one.text_hash").alias("w_hash")), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
     met = _blocks(texts.select("key", "cluster", "m", "n", "text"), "m", CLUSTER_BLOCK).repartition(parts, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
