@@ -64,24 +64,41 @@ SELECT id, run_no, n_symbols, array_to_string(list_transform(generate_series(0,
 BASE64, HEX = "\\b[A-Za-z0-9+/]{24,}={0,2}", "\\b(?:[0-9a-fA-F]{2}){12,}\\b"
 
 
+#: Layers of encoding that are opened, and tokens of a text that are tried in each.
+LAYERS, TOKENS = 3, 32
+
+
+def decoded(texts, layers: int = LAYERS):
+    """Texts hidden in base64 and hex tokens of texts (id, content), layer by layer: id, layer, encoding, decoded.
+
+    A layer decodes what the one before revealed; at most TOKENS tokens of each kind are tried in a text.
+    """
+    out, current = None, texts
+    for layer in range(1, layers + 1):
+        level = None
+        for kind, p in (("base64", BASE64), ("hex", HEX)):
+            t = current.where(F.col("content").rlike(p)).select("id", F.lit(layer).alias("layer"), F.lit(kind).alias("encoding"), F.explode(F.slice(F.array_distinct(F.regexp_extract_all("content", F.lit(p), F.lit(0))), 1, TOKENS)).alias("token"))
+            raw = F.try_to_binary("token", F.lit("base64")) if kind == "base64" else F.unhex("token")
+            t = t.where(F.length("token") % (4 if kind == "base64" else 2) == 0).withColumn("decoded", raw.cast("string")).where("is_valid_utf8(decoded)").drop("token")
+            level = t if level is None else level.unionByName(t)
+        out = level if out is None else out.unionByName(level)
+        current = level.select("id", F.col("decoded").alias("content"))
+    return out
+
+
 def q_encoded(spark, sf_dir):
-    """Base64 and hex tokens whose decoded text carries a payload; the rules run again on what was hidden."""
-    a = artifacts(spark, sf_dir)
-    kinds = [("base64", BASE64), ("hex", HEX)]
-    found = None
-    for kind, p in kinds:
-        t = a.where(F.col("content").rlike(p)).select("id", F.lit(kind).alias("encoding"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(p), F.lit(0)))).alias("token"))
-        raw = F.try_to_binary("token", F.lit(kind)) if kind == "base64" else F.unhex("token")
-        t = t.where(F.length("token") % (4 if kind == "base64" else 2) == 0).withColumn("decoded", raw.cast("string")).where("is_valid_utf8(decoded)")
-        found = t if found is None else found.unionByName(t)
-    return found.where(F.col("decoded").rlike(PAYLOAD)).select("id", "encoding", "decoded")
-
-
-SQL_ENCODED = f"""WITH {SQL_ARTIFACTS}, t AS (
-SELECT id, 'base64' AS encoding, unnest(list_distinct(regexp_extract_all(content, {quoted(BASE64)}))) AS token FROM artifacts UNION ALL
-SELECT id, 'hex', unnest(list_distinct(regexp_extract_all(content, {quoted(HEX)}))) FROM artifacts),
-d AS (SELECT id, encoding, TRY(decode(CASE WHEN encoding = 'base64' THEN from_base64(token) ELSE unhex(token) END)) AS decoded FROM t WHERE length(token) % (CASE WHEN encoding = 'base64' THEN 4 ELSE 2 END) = 0)
-SELECT id, encoding, decoded FROM d WHERE decoded IS NOT NULL AND regexp_matches(decoded, {quoted(PAYLOAD)})"""
+    """Encoded tokens, up to three layers deep, whose text carries a payload: the rules run again on what was hidden."""
+    return decoded(artifacts(spark, sf_dir).select("id", "content")).where(F.col("decoded").rlike(PAYLOAD))
+
+
+def _sql_layer(n: int, source: str) -> str:
+    return f"""t{n} AS (SELECT id, 'base64' AS encoding, unnest(list_distinct(regexp_extract_all(content, {quoted(BASE64)}))[1:{TOKENS}]) AS token FROM {source} UNION ALL
+SELECT id, 'hex', unnest(list_distinct(regexp_extract_all(content, {quoted(HEX)}))[1:{TOKENS}]) FROM {source}),
+d{n} AS (SELECT id, {n} AS layer, encoding, TRY(decode(CASE WHEN encoding = 'base64' THEN from_base64(token) ELSE unhex(token) END)) AS content FROM t{n} WHERE length(token) % (CASE WHEN encoding = 'base64' THEN 4 ELSE 2 END) = 0)"""
+
+
+SQL_ENCODED = f"""WITH {SQL_ARTIFACTS}, {", ".join(_sql_layer(n, "artifacts" if n == 1 else f"d{n - 1}") for n in range(1, LAYERS + 1))}, d AS ({" UNION ALL ".join(f"SELECT * FROM d{n}" for n in range(1, LAYERS + 1))})
+SELECT id, layer, encoding, content AS decoded FROM d WHERE content IS NOT NULL AND regexp_matches(content, {quoted(PAYLOAD)})"""
 
 QUERIES = {
     "invisible_chars": (q_invisible, SQL_INVISIBLE),
