@@ -19,7 +19,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,7 +180,7 @@ def _bucket_links(need: list[int]):
     return run
 
 
-def _verified(need: list[int], threshold: Fraction, k: int):
+def _verified(threshold: Fraction, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["cluster", "bi", "bj"], 64):
             begin = np.append(_changes(t, ["cluster", "bi", "bj"]), t.num_rows)
@@ -214,7 +214,7 @@ def _verify_group(g: pa.Table, threshold: Fraction, k: int) -> Iterator[pa.Recor
     copies = g["n"].to_numpy()[rows]
     blk, cross = g["blk"].to_numpy()[rows], g["bi"][0].as_py() != g["bj"][0].as_py()
     mark = np.zeros(int(ids.max()) + 1, np.int64)
-    links, docs, x, y = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64), [], []
+    linked, docs, x, y = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64), [], []
     for m in range(len(rows)):
         own = ids[starts[m] : starts[m] + n[m]]
         mark[own] = 1
@@ -225,40 +225,44 @@ def _verify_group(g: pa.Table, threshold: Fraction, k: int) -> Iterator[pa.Recor
         if cross:
             near &= blk != blk[m]
         hit = np.flatnonzero(near)
-        links[m], docs[m] = len(hit), copies[hit].sum()
+        linked[m], docs[m] = len(hit) > 0, copies[hit].sum()
         x += [m] * len(hit)
         y += hit.tolist()
     if x:
         root = _roots(len(rows), np.array(x), np.array(y))
-        some = np.flatnonzero(links)
+        some = np.flatnonzero(linked)
         key = [want[r] for r in rows]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([key[m] for m in some], pa.binary()), pa.array([key[root[m]] for m in some], pa.binary()), pa.array(links[some]), pa.array(docs[some])],
-            names=["u", "v", "near_classes", "near_docs"],
+            [pa.array([key[m] for m in some], pa.binary()), pa.array([key[root[m]] for m in some], pa.binary()), pa.array(docs[some]), pa.array([g["blocks"][0].as_py() == 1] * len(some))],
+            names=["u", "v", "near_docs", "whole"],
         )
 
 
+def _observed(df: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
+    """``df`` (u, v) written, and the number and a hash of its rows, told by the write itself."""
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), tag)
+    return out, (seen.get["n"], seen.get["h"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node of the links (u, v), root the least node of its component.
 
     Large-star and small-star steps in turn, each a few joins and aggregates; what is between is
-    written to the shared folder, the least neighbours too, so that a join with them shuffles both
-    sides and a star's many rows can be split. A star of any size is many rows and not one.
+    written to the shared folder, a star's least neighbours too, so that the join with them shuffles
+    both sides and a star's many rows can be split. A star of any size is many rows and not one.
     """
-    e = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    last = None
-    while True:
+    e, last = _observed(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    while last[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = written(large, "large")
-        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least, "u")
-        e = written(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u != v").distinct(), "links")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")  # u has its smaller neighbours alone, so few rows
+        e, now = _observed(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u != v").distinct(), "links")
         if now == last:
-            return e.select("u", F.col("v").alias("root"))
+            break
         last = now
+    return e.select("u", F.col("v").alias("root"))
 
 
 ADDED = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("sig", T.BinaryType())])
@@ -278,7 +282,7 @@ def _blocks(df: DataFrame, members: str, most: int) -> DataFrame:
     n = F.ceil(F.col(members) / F.lit(most)).cast("int")
     blk = F.pmod(F.xxhash64("key", F.lit("block")), n).cast("int")
     pair = F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("bi"), F.greatest(o, F.col("blk")).alias("bj"))))
-    return df.withColumn("blk", blk).withColumn("p", pair).withColumns({"bi": F.col("p.bi"), "bj": F.col("p.bj")}).drop("p", members)
+    return df.withColumn("blk", blk).withColumn("p", pair).withColumns({"bi": F.col("p.bi"), "bj": F.col("p.bj")}).withColumn("blocks", n).drop("p", members)
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -312,9 +316,10 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     wanted = cluster.join(sizes, "root").select(F.col("u").alias("key"), F.col("root").alias("cluster"), "m").join(classes.select("key", "n", "one"), "key")
     texts = base.join(wanted.select("*", F.col("one.doc_id").alias("w_id"), F.col("one.text_hash").alias("w_hash")), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
     met = _blocks(texts.select("key", "cluster", "m", "n", "text"), "m", CLUSTER_BLOCK).repartition(parts, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
-    links = written(met.select("cluster", "bi", "bj", "blk", "key", "n", "text").mapInArrow(_verified(need, exact, k), "u binary, v binary, near_classes long, near_docs long"), "verified")
+    links = written(met.select("cluster", "bi", "bj", "blk", "blocks", "key", "n", "text").mapInArrow(_verified(exact, k), "u binary, v binary, near_docs long, whole boolean"), "verified")
 
-    root = components(links.select("u", "v"))
+    # a cluster of one block has its groups already; those of several blocks are joined up
+    root = links.where("whole").select("u", F.col("v").alias("root")).unionByName(components(links.where("not whole").select("u", "v")))
     counts = links.groupBy(F.col("u").alias("key")).agg(F.sum("near_docs").alias("near_docs"))
     tied = classes.select("key", "n", "copy_class").join(counts, "key", "left").join(root.withColumnRenamed("u", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     tied = written(tied, "tied")
