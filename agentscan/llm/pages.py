@@ -1,11 +1,11 @@
 """Main text of web pages by nearest-URL page differencing.
 
 Pages are ordered by host and path, and each is paired with the neighbour on its host whose path has
-the longer common beginning. Its lines outside the declared article are aligned with the neighbour's by
-their longest common subsequence, and the shared lines are deleted: menus, notices and footers of a
-site stand on both pages. What the markup itself declares as boilerplate goes as well, whether the
-neighbour has it or not. Only hashes of lines are exchanged between pages; the pages' own text is
-moved once.
+the longer common beginning. All lines that the markup leaves, a declared article's among them, are
+aligned with the neighbour's by their longest common subsequence, and the shared lines are deleted:
+menus, notices and footers of a site stand on both pages. Then the markup checks what is left: what it
+declares as boilerplate goes, whether the neighbour has it or not, and so does what stands outside a
+declared article. Only hashes of lines are exchanged between pages; the pages' own text is moved once.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ NAMES = set(
     "sidebar footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login comments comment commentlist "
     "respond disqus share sharing social related recommended pagination pager skip toolbar topbar masthead widget".split()
 )
+#: Fixed value: articles that share a greater part of their lines are copies, whose shared lines are no boilerplate.
+COPY = 0.75
 _NAME = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -202,21 +204,23 @@ def shared(mine: list[int], other: list[int]) -> list[int]:
 def main_text(lines: list[tuple[str, bool, bool]], drop: set[int]) -> str:
     """The kept lines, joined by line breaks.
 
-    ``drop`` holds numbers of lines outside the article. A page with an article keeps the article's
-    lines; one without keeps what differencing leaves, or all, if it would leave nothing.
+    ``drop`` holds numbers of lines that the neighbour has as well. A page with an article keeps the
+    article's other lines, or all of them, if it is a copy of the neighbour's; one without keeps what
+    differencing leaves, or all, if it would leave nothing.
     """
-    if any(article and not bad for _, article, bad in lines):
-        return "\n".join(t for t, article, bad in lines if article and not bad)
-    plain = [(i, t) for i, (t, _, bad) in enumerate(lines) if not bad]
+    own = [(i, t) for i, (t, article, bad) in enumerate(lines) if article and not bad]
+    plain = own or [(i, t) for i, (t, _, bad) in enumerate(lines) if not bad]
     left = [t for i, t in plain if i not in drop]
+    if own and len(own) - len(left) > COPY * len(own):
+        left = []
     return "\n".join(left or [t for _, t in plain])
 
 
 def _hashes(part: pa.RecordBatch) -> list[pa.Array]:
-    """Hashes of the lines outside the article, and their numbers."""
+    """Hashes of the lines that the markup leaves, and their numbers."""
     hs, at = [], []
     for html in part.column("__text__").to_pylist():
-        own = [(i, int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)) for i, (t, article, _) in enumerate(lines_of(html)) if not article]
+        own = [(i, int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)) for i, (t, _, bad) in enumerate(lines_of(html)) if not bad]
         at.append([i for i, _ in own])
         hs.append([h for _, h in own])
     return [pa.array(hs, pa.list_(pa.int64())), pa.array(at, pa.list_(pa.int32()))]

@@ -142,6 +142,22 @@ def test_pages(spark):
     assert pages.extract(df.where("false")).count() == 0
 
 
+def test_pages_difference_articles(spark):
+    own = "<h1>Title {0}</h1><div>First of {0}</div><p>Second of {0}</p>"
+    site = "<article><div>Ask us by mail</div>" + own + "<div>Rate this text</div></article>"
+    copy = "<article>" + "".join(f"<p>Told again {i}</p>" for i in range(9)) + "<p>Print {}</p></article>"
+    rows = [(i, f"http://s/a/{i}", PAGE.format(top="", body=site.format(i))) for i in (1, 2, 3)]
+    rows += [(i, f"http://c/a/{i}", PAGE.format(top="", body=copy.format(i))) for i in (4, 5)]
+    rows += [(6, "http://n/a/6", PAGE.format(top="<div class='ad'>Said</div>", body="<article><p>Said</p><p>Six</p></article>"))]
+    rows += [(7, "http://n/a/7", PAGE.format(top="<div class='ad'>Said</div>", body="<article><p>Seven</p></article>"))]
+    got = {x.page_id: x.text for x in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in (1, 2, 3):
+        assert got[i] == f"Title {i}\nFirst of {i}\nSecond of {i}"
+    for i in (4, 5):  # a copy of its neighbour is kept
+        assert got[i].split("\n") == [f"Told again {n}" for n in range(9)] + [f"Print {i}"]
+    assert got[6] == "Said\nSix" and got[7] == "Seven"  # a declared advert is no evidence
+
+
 def test_shared_lines():
     assert pages.shared([1, 2, 3, 4, 1], [2, 9, 4, 1, 3]) == [1, 3] or len(pages.shared([1, 2, 3, 4, 1], [2, 9, 4, 1, 3])) == 2
     assert pages.shared([], [1]) == [] and pages.shared([1, 1, 1], [1, 1]) == [0, 1]
