@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,7 +140,8 @@ def cycles(e: DataFrame, most: int = 3) -> DataFrame:
     """Dependency cycles of at most ``most`` skills, each once, from its least skill on.
 
     Paths begin at their least skill and grow only over larger ones, so every cycle is found once and
-    no path visits a skill twice.
+    no path visits a skill twice. Longer ones are not listed, as there may be more of them than any table
+    holds; which skills lie on a cycle of any length is what ``cyclic`` says.
     """
     paths = e.where("src < dst").select(F.array("src", "dst").alias("path"))
     found = None
@@ -158,6 +162,86 @@ SQL_CYCLES = f"""WITH RECURSIVE {SQL_EDGES}, p(path, last) AS (SELECT [src, dst]
 SELECT len(path)::INT AS n, array_to_string(path, '>') AS cycle FROM p WHERE EXISTS (SELECT 1 FROM edges WHERE src = last AND dst = path[1])"""
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that no step of an iteration is done twice."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/skills-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _inner(e: DataFrame) -> DataFrame:
+    """The edges that are left when skills without an edge in or without one out are taken away again and again."""
+    n = e.count()
+    while n:
+        e = _kept(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        last, n = n, e.count()
+        if n == last:
+            break
+    return e
+
+
+def cyclic(e: DataFrame) -> DataFrame:
+    """(skill, component, n): every skill on a dependency cycle of whatever length, the least skill of its strong component, and how many that has.
+
+    No path is listed. In each round skills take the greatest skill that reaches them, to a fixed point;
+    those that reach that skill back over skills with the same one are its component, which is taken out.
+    Every round takes out a component for each greatest skill, so the rounds end; a round's steps are at
+    most the longest of the shortest paths. Skills that depend on themselves are cycles of one.
+    """
+    e = e.select("src", "dst").where("src is not null and dst is not null").distinct()
+    own = e.where("src = dst").select(F.col("src").alias("skill"), F.col("src").alias("top"))
+    found = None
+    e = _inner(_kept(e.where("src <> dst")))
+    while not e.isEmpty():
+        tops = _kept(e.select(F.col("dst").alias("skill"), F.col("dst").alias("top")).distinct())  # every skill left has an edge in
+        while True:
+            sent = e.join(tops, e.src == tops.skill).select(F.col("dst").alias("skill"), F.col("top").alias("sent")).groupBy("skill").agg(F.max("sent").alias("sent"))
+            new = _kept(tops.join(sent, "skill").select("skill", F.greatest("top", "sent").alias("top"), (F.col("sent") > F.col("top")).alias("more")))
+            tops = new.select("skill", "top")
+            if new.where("more").isEmpty():
+                break
+        a, b = (tops.select(F.col("skill").alias(c), F.col("top").alias(f"{c}_top")) for c in ("src", "dst"))
+        inside = _kept(e.join(a, "src").join(b, "dst").where("src_top = dst_top").select("src", "dst", F.col("src_top").alias("top")))
+        back = reached = _kept(tops.where("skill = top"))
+        while not back.isEmpty():
+            back = _kept(inside.join(back.select(F.col("skill").alias("dst")), "dst").select(F.col("src").alias("skill"), "top").distinct().join(reached, "skill", "left_anti"))
+            reached = reached.unionByName(back)
+        reached = _kept(reached)
+        found = reached if found is None else found.unionByName(reached)
+        gone = reached.select("skill")
+        e = _inner(_kept(inside.join(gone.withColumnRenamed("skill", "src"), "src", "left_anti").join(gone.withColumnRenamed("skill", "dst"), "dst", "left_anti").select("src", "dst")))
+    if found is not None:
+        several = found.join(found.groupBy("top").agg(F.min("skill").alias("component"), F.count("*").alias("n")).where("n > 1"), "top").select("skill", "component", "n")
+        alone = own.join(several, "skill", "left_anti")
+    else:
+        several, alone = None, own
+    alone = alone.select("skill", F.col("top").alias("component"), F.lit(1).cast("long").alias("n"))
+    return alone if several is None else several.unionByName(alone)
+
+
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): parts as skills; the first line's part of every second order depends on the second line's."""
+    x = read(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0")
+    a = x.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("src"))
+    b = x.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("dst"))
+    return a.join(b, "l_orderkey").where("src <> dst").select("src", "dst").distinct()
+
+
+def q_cyclic(spark, sf_dir):
+    """Skills on dependency cycles of any length; the skills grow with the tables."""
+    return cyclic(part_edges(spark, sf_dir))
+
+
+SQL_CYCLIC = """WITH RECURSIVE x AS (SELECT * FROM lineitem WHERE l_orderkey % 2 = 0), e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 WHERE a.l_partkey <> b.l_partkey),
+r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
+SELECT a.src AS skill, min(a.dst) AS component, count(*) AS n FROM r a JOIN r b ON a.dst = b.src AND b.dst = a.src GROUP BY a.src"""
+
+
 def q_dependencies(spark, sf_dir):
     """Unpinned dependencies, and phantom ones whose skill doesn't exist."""
     e = edges(spark, sf_dir)
@@ -227,6 +311,7 @@ QUERIES = {
     "reply_verdicts": (q_verdicts, f"WITH {SQL_VERDICTS} SELECT * FROM verdicts"),
     "attack_report": (q_report, SQL_REPORT),
     "skill_cycles": (q_cycles, SQL_CYCLES),
+    "skill_cyclic": (q_cyclic, SQL_CYCLIC),
     "skill_dependencies": (q_dependencies, SQL_DEPENDENCIES),
     "manifest_drift": (q_drift, SQL_DRIFT),
     "project_tree_hash": (q_tree, SQL_TREE),
