@@ -123,3 +123,11 @@ def test_cycles_of_any_length(spark):
     want = {(i, 1, 4) for i in (1, 2, 3, 4)} | {(7, 7, 2), (8, 7, 2), (9, 9, 1)} | {(i, 6, 3) for i in (6, 10, 11)} | {(20 + i, 20, 12) for i in range(12)}
     assert got == want
     assert prompts.cyclic(spark.createDataFrame([(1, 2), (2, 3)], "src long, dst long")).count() == 0
+
+
+def test_secrets_of_long_lines(spark):
+    key = "AKIA" + "Q7R2M9T4X8W3Z6K1"
+    rows = [(1, "word " * 40_000 + key), (2, "short\n" + "w " * 2100 + key + " end"), (3, "x" * 5000), (4, f"a {key}")]
+    rows += [(5, "secret access key" + " " * 200_000), (6, "token = " * 50_000), (7, "sk-" * 100_000 + " postgres://u:p@h/d")]
+    got = sorted((r.id, r.line_no, r.type) for r in secrets.secret_hits(spark.createDataFrame(rows, "id long, content string"), ["id"]).collect())
+    assert got == [(1, 1, "AWS access key"), (2, 2, "AWS access key"), (4, 1, "AWS access key"), (7, 1, "Connection string")]
