@@ -15,6 +15,7 @@ import hashlib
 import re
 from collections import Counter
 from html import unescape
+from os.path import commonprefix
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -239,6 +240,14 @@ def _align(batches):
         yield pa.RecordBatch.from_arrays([b["k"], pa.array(drop, pa.list_(pa.int32()))], names=["k", "drop"])
 
 
+def _common(batches):
+    """The lengths of the common beginnings of whole paths."""
+    for b in batches:
+        n = [len(commonprefix(ab)) for ab in zip(b["path"].to_pylist(), b["path2"].to_pylist(), strict=True)]
+        keep = ["k", "k2", "hashes", "hashes2"]
+        yield pa.RecordBatch.from_arrays([*[b[c] for c in keep], pa.array(n, pa.int32())], names=[*keep, "common"])
+
+
 def neighbours(light: DataFrame) -> DataFrame:
     """For each row (k, host, path, page_id, hashes): k and the hashes of the nearest path on its host.
 
@@ -257,8 +266,7 @@ def neighbours(light: DataFrame) -> DataFrame:
     placed = ranged.withColumn("g", F.col("i") + offset)
     b = placed.select((F.col("g") - 1).alias("g"), *[F.col(c).alias(f"{c}2") for c in ("k", "host", "path", "hashes")])
     pairs = placed.join(b, "g").where("host = host2")
-    common = F.array_max(F.filter(F.sequence(F.lit(0), F.least(F.length("path"), F.length("path2"), F.lit(400))), lambda n: F.substring("path", 1, n) == F.substring("path2", 1, n)))
-    near = pairs.withColumn("common", common)
+    near = pairs.select("k", "k2", "hashes", "hashes2", "path", "path2").mapInArrow(_common, "k long, k2 long, hashes array<long>, hashes2 array<long>, common int")
     each = near.select(F.col("k2").alias("k"), F.struct("common", F.lit(1).alias("before"), F.col("hashes").alias("other")).alias("n")).unionByName(near.select("k", F.struct("common", F.lit(0).alias("before"), F.col("hashes2").alias("other")).alias("n")))
     return each.groupBy("k").agg(F.max_by("n", F.struct("n.common", "n.before")).alias("n")).select("k", "n.other")
 

@@ -158,6 +158,14 @@ def test_pages_difference_articles(spark):
     assert got[6] == "Said\nSix" and got[7] == "Seven"  # a declared advert is no evidence
 
 
+def test_pages_with_long_paths(spark):
+    path = "http://h/" + "d" * 450
+    texts = [("a", "Early", "A"), ("b1", "Early", "Late", "B"), ("b2", "Late", "C")]
+    rows = [(i, f"{path}/{t[0]}", "".join(f"<p>{x}</p>" for x in t[1:])) for i, t in enumerate(texts)]
+    got = {x.page_id: x.text for x in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Early\nB"  # the later page is nearer
+
+
 def test_shared_lines():
     assert pages.shared([1, 2, 3, 4, 1], [2, 9, 4, 1, 3]) == [1, 3] or len(pages.shared([1, 2, 3, 4, 1], [2, 9, 4, 1, 3])) == 2
     assert pages.shared([], [1]) == [] and pages.shared([1, 1, 1], [1, 1]) == [0, 1]
