@@ -10,7 +10,6 @@ declared article. Only hashes of lines are exchanged between pages; the pages' o
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
 from collections import Counter
@@ -33,16 +32,18 @@ BLOCKS = set(
 BOILERPLATE = set("head title script style noscript template nav footer aside form button select option textarea input label menu dialog iframe object embed svg math canvas audio video search".split())
 #: Elements without content.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: ARIA roles, and words of class names and ids, of boilerplate.
+#: ARIA roles, and class names and ids, of boilerplate.
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NAMES = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs "
     "sidebar footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login comments comment commentlist "
     "respond disqus share sharing social related recommended pagination pager skip toolbar topbar masthead widget".split()
 )
+#: What a class name or id of boilerplate may have besides, as in cookie-banner-wrapper.
+QUALIFIERS = set("site main page top bottom left right upper lower inner outer primary secondary global mobile desktop list area box slot unit wrapper wrap container section block panel bar body item items link links button buttons icon icons form title text bottombar meta info js sticky fixed".split())
 #: Fixed value: articles that share a greater part of their lines are copies, whose shared lines are no boilerplate.
 COPY = 0.75
-_NAME = re.compile(r"[a-z]+")
+_PART = re.compile(r"[^a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 #: Elements that end an open paragraph, and those that end an open one of their own kind.
@@ -71,6 +72,23 @@ def _tag_end(html: str, at: int) -> int:
     return -1
 
 
+def _named(tag: str, given: dict[str, str]) -> set[str]:
+    """Names of boilerplate among an element's class names and ids.
+
+    A whole name counts, as do parts that hyphens join, if all of them are names of boilerplate or
+    qualifiers: cookie-banner is a banner, but no-sidebar, has-comments and share-of-market say
+    nothing. The page's own elements name its layout and not their text.
+    """
+    if tag in ("html", "body"):
+        return set()
+    found = set()
+    for token in (given.get("class", "") + " " + given.get("id", "")).lower().split():
+        parts = {x for x in _PART.split(token) if x}
+        if parts and parts <= NAMES | QUALIFIERS | {"header"}:
+            found |= parts - QUALIFIERS
+    return found
+
+
 class Lines:
     """The blocks of text of a page: (text, inside the declared article, declared as boilerplate).
 
@@ -137,9 +155,9 @@ class Lines:
         given = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(rest)} if rest.strip() else {}
         article, bad = self.state
         role = given.get("role", "").lower()
-        named = set(_NAME.findall((given.get("class", "") + " " + given.get("id", "")).lower()))
+        named = _named(tag, given)
         article = article or tag in ("article", "main") or role in ("main", "article")
-        bad = bad or tag in BOILERPLATE or role in ROLES or bool(named & NAMES) or "hidden" in given or given.get("aria-hidden") == "true" or bool(_HIDDEN.search(given.get("style", "")))
+        bad = bad or tag in BOILERPLATE or role in ROLES or bool(named - {"header"}) or "hidden" in given or given.get("aria-hidden") == "true" or bool(_HIDDEN.search(given.get("style", "")))
         bad = bad or (tag == "header" or "header" in named) and not article
         self.open.append((tag, article, bad))
         self.counts[tag] += 1
@@ -170,40 +188,46 @@ def lines_of(html: str | None) -> list[tuple[str, bool, bool]]:
 def shared(mine: list[int], other: list[int]) -> list[int]:
     """Indices of ``mine`` in a longest common subsequence with ``other``.
 
-    Equal lines are told apart by how often they stood before, so the symbols of each side are all
-    different and the subsequence is a longest rising run of places.
+    A row of the table of lengths is one number: bit j is 0 where the length rises at line j of
+    ``other``, so that a whole row is made by a few operations. Every so-many-th row is kept; the rows
+    between are made again while the way back is read, so memory grows with the root of the rows.
     """
-
-    def numbered(xs):
-        seen: dict[int, int] = {}
-        out = []
-        for x in xs:
-            seen[x] = seen.get(x, -1) + 1
-            out.append((x, seen[x]))
-        return out
-
-    place = {x: i for i, x in enumerate(numbered(other))}
-    pairs = [(i, place[x]) for i, x in enumerate(numbered(mine)) if x in place]
-    tops: list[int] = []
-    ends: list[int] = []
-    back: list[int] = []
-    for n, (_, j) in enumerate(pairs):
-        k = bisect.bisect_left(tops, j)
-        back.append(ends[k - 1] if k else -1)
-        if k == len(tops):
-            tops.append(j)
-            ends.append(n)
-        else:
-            tops[k], ends[k] = j, n
-    out, n = [], ends[-1] if ends else -1
-    while n >= 0:
-        out.append(pairs[n][0])
-        n = back[n]
+    place: dict[int, int] = {}
+    seen = set(mine)
+    for j, x in enumerate(x for x in other if x in seen):
+        place[x] = place.get(x, 0) | 1 << j
+    rows = [i for i, x in enumerate(mine) if x in place]
+    width = sum(x in seen for x in other)
+    full = (1 << width) - 1
+    gap = max(1, int(len(rows) ** 0.5))
+
+    def after(v: int, i: int) -> int:
+        both = v & place[mine[i]]
+        return ((v + both) | (v - both)) & full
+
+    kept, v = [], full
+    for n, i in enumerate(rows):
+        if n % gap == 0:
+            kept.append(v)
+        v = after(v, i)
+    out, j = [], width
+    for n in range((len(kept) - 1) * gap, -1, -gap):
+        part, made = rows[n : n + gap], [kept[n // gap]]
+        for i in part:
+            made.append(after(made[-1], i))
+        for r in range(len(part), 0, -1):
+            while j and made[r] >> (j - 1) & 1:
+                j -= 1
+            if not j:
+                return out[::-1]
+            if made[r - 1] >> (j - 1) & 1:  # the length rises here in this row first: a match
+                out.append(part[r - 1])
+                j -= 1
     return out[::-1]
 
 
 def main_text(lines: list[tuple[str, bool, bool]], drop: set[int]) -> str:
-    """The kept lines, joined by line breaks.
+    """The kept lines, joined by two line breaks.
 
     ``drop`` holds numbers of lines that the neighbour has as well. A page with an article keeps the
     article's other lines, or all of them, if it is a copy of the neighbour's; one without keeps what
@@ -214,7 +238,7 @@ def main_text(lines: list[tuple[str, bool, bool]], drop: set[int]) -> str:
     left = [t for i, t in plain if i not in drop]
     if own and len(own) - len(left) > COPY * len(own):
         left = []
-    return "\n".join(left or [t for _, t in plain])
+    return "\n\n".join(left or [t for _, t in plain])
 
 
 def _hashes(part: pa.RecordBatch) -> list[pa.Array]:

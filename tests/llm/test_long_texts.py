@@ -52,6 +52,6 @@ def test_pages_and_archives(spark):
     html = "<article>" + "<p>A line &amp; more.</p>" * 60_000 + "</article>"
     p = spark.createDataFrame([(1, "http://h/1", html), (2, "http://h/2", html), (3, "http://h/3", "<" * 200_000), (4, "http://h/4", '<a "' * 50_000)], "page_id long, url string, html string")
     out = {r.page_id: r.text for r in pages.extract(p).collect()}
-    assert out[1] == "\n".join(["A line & more."] * 60_000) and re.fullmatch("<*", out[3])
+    assert out[1] == "\n\n".join(["A line & more."] * 60_000) and re.fullmatch("<*", out[3])
     back = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type) for r in archives.round_trip(p).collect()}
     assert back[2] == (len(html), hashlib.sha256(html.encode()).hexdigest(), "revisit")

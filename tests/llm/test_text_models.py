@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
@@ -134,10 +135,10 @@ def test_pages(spark):
     out = pages.extract(df).collect()
     got = {x.page_id: x.text for x in out}
     assert len(out) == len(rows)
-    assert got[1] == "One & two\nSome text here\nMore text"
-    assert got[2] == "Body of 2\nOwn words 2" and got[3] == "Body of 3\nOwn words 3"
-    assert got[4] == "Site line\nBody of 4\nOwn words 4\nEvery page"
-    assert got[5] == got[6] == "" and got[7] == "cut\noff &am" and got[8] == "Main"
+    assert got[1] == "One & two\n\nSome text here\n\nMore text"
+    assert got[2] == "Body of 2\n\nOwn words 2" and got[3] == "Body of 3\n\nOwn words 3"
+    assert got[4] == "Site line\n\nBody of 4\n\nOwn words 4\n\nEvery page"
+    assert got[5] == got[6] == "" and got[7] == "cut\n\noff &am" and got[8] == "Main"
     assert all(x.n_chars == len(x.text) for x in out)
     assert pages.extract(df.where("false")).count() == 0
 
@@ -152,10 +153,10 @@ def test_pages_difference_articles(spark):
     rows += [(7, "http://n/a/7", PAGE.format(top="<div class='ad'>Said</div>", body="<article><p>Seven</p></article>"))]
     got = {x.page_id: x.text for x in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for i in (1, 2, 3):
-        assert got[i] == f"Title {i}\nFirst of {i}\nSecond of {i}"
+        assert got[i] == f"Title {i}\n\nFirst of {i}\n\nSecond of {i}"
     for i in (4, 5):  # a copy of its neighbour is kept
-        assert got[i].split("\n") == [f"Told again {n}" for n in range(9)] + [f"Print {i}"]
-    assert got[6] == "Said\nSix" and got[7] == "Seven"  # a declared advert is no evidence
+        assert got[i].split("\n\n") == [f"Told again {n}" for n in range(9)] + [f"Print {i}"]
+    assert got[6] == "Said\n\nSix" and got[7] == "Seven"  # a declared advert is no evidence
 
 
 def test_pages_with_long_paths(spark):
@@ -163,12 +164,67 @@ def test_pages_with_long_paths(spark):
     texts = [("a", "Early", "A"), ("b1", "Early", "Late", "B"), ("b2", "Late", "C")]
     rows = [(i, f"{path}/{t[0]}", "".join(f"<p>{x}</p>" for x in t[1:])) for i, t in enumerate(texts)]
     got = {x.page_id: x.text for x in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[1] == "Early\nB"  # the later page is nearer
+    assert got[1] == "Early\n\nB"  # the later page is nearer
 
 
-def test_shared_lines():
-    assert pages.shared([1, 2, 3, 4, 1], [2, 9, 4, 1, 3]) == [1, 3] or len(pages.shared([1, 2, 3, 4, 1], [2, 9, 4, 1, 3])) == 2
-    assert pages.shared([], [1]) == [] and pages.shared([1, 1, 1], [1, 1]) == [0, 1]
+def quadratic(a, b):
+    """The length of a longest common subsequence, from the whole table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
+
+
+def subsequence(a, b):
+    rest = iter(b)
+    return all(x in rest for x in a)
+
+
+def test_shared_lines_are_a_longest_common_subsequence():
+    assert pages.shared([1, 2, 3, 4, 1], [2, 9, 4, 1, 3]) == [1, 3, 4]
+    assert pages.shared([], [1]) == pages.shared([1], []) == []
+    r = random.Random(8)
+    for n in range(600):
+        k = r.choice([2, 4, 30])
+        a, b = ([r.randrange(k) for _ in range(r.randrange(40))] for _ in range(2))
+        s = pages.shared(a, b)
+        assert s == sorted(set(s)) and subsequence([a[i] for i in s], b) and len(s) == quadratic(a, b)
+
+
+def test_pages_against_brute_force(spark):
+    """Every page of the table: nearest page by all paths of its host, lines aligned by the whole table of lengths."""
+    path = "/root/testdata/sf0.01/pages.parquet"
+    rows = spark.read.parquet(path).collect()
+    parsed = {}
+    for r in rows:
+        m = re.match(r"[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)", r.url)
+        parsed[r.page_id] = (m[1].lower(), m[2], r.page_id, pages.lines_of(r.html))
+    order = sorted(parsed.values(), key=lambda x: x[:3])
+    removed, got = 0, {r.page_id: r.text for r in pages.extract(spark.read.parquet(path)).collect()}
+    for i, (host, p, k, lines) in enumerate(order):
+        near = [(len(os.path.commonprefix([p, order[j][1]])), -j, j) for j in (i - 1, i + 1) if 0 <= j < len(order) and order[j][0] == host]
+        own = [t for t, article, bad in lines if article and not bad]
+        if near:
+            a, b = ([t for t, _, bad in order[n][3] if not bad] for n in (i, max(near)[2]))
+            assert len(pages.shared([hash(x) for x in a], [hash(x) for x in b])) == quadratic(a, b)
+            gone = len(own) - len(got[k].split("\n\n"))
+            assert subsequence(got[k].split("\n\n"), own) and gone in (0, quadratic(own, b))
+            removed += gone
+        else:
+            assert got[k] == "\n\n".join(own)
+    assert removed > 0
+
+
+def test_pages_without_articles_lose_what_their_neighbours_share(spark):
+    html = "<body class='page no-sidebar'><div>Menu of the site</div><div class='post has-comments'><p>Only here {0}</p><p class='share-of-market'>Shares {0}</p></div><div class='cookie-banner-wrapper'>We use {0}</div><div>Write to us</div></body>"
+    rows = [(i, f"http://s/a/{i}", html.format(i)) for i in range(40)]
+    rows += [(100 + i, f"http://s/b/{i}", "<body class='ads'><div id='top'><article class='no-sidebar'><p>Told {0}</p><div id='comments' class='comments-area'><article class='comment-body'>Not told {0}</article></div></article></div></body>".format(i)) for i in range(40)]
+    got = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Only here {i}\n\nShares {i}" for i in range(40))
+    assert all(got[100 + i] == f"Told {i}" for i in range(40))
 
 
 def test_archives_round_trip(spark):
