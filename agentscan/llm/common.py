@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Temporary folders of sessions on this machine alone, by application.
+_OWN: dict[str, str] = {}
 #: Rows of one Arrow batch; texts are long, so far fewer than Spark's 10,000.
 BATCH_ROWS = 1024
 #: Bytes of text that one call of a batch function gets, unless one text alone is longer.
@@ -32,11 +34,17 @@ def prepare(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession, tag: str) -> str:
-    """A new folder under the shared one; a temporary folder only where no shared one is set."""
+    """A new folder under the shared one.
+
+    Where none is set, a session on this machine alone gets a temporary folder of its own; on a
+    cluster, whose executors write to other disks, that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN.get(spark.sparkContext.applicationId) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        _OWN[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -44,7 +52,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read again: short lineage, pruned columns."""
     path = work_dir(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*dfs: DataFrame) -> None:
+    """Deletes what ``written`` wrote, once nothing reads it any more."""
+    for df in dfs:
+        if path := getattr(df, "_written_to", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

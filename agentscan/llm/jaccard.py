@@ -6,8 +6,9 @@
    a pair only in the first bucket that it shares: some MinHash values at a time, and a pair is dropped
    once the posterior probability that its similarity reaches the threshold falls below a tolerance.
    What is left joins classes into clusters (only spanning links leave a task).
-3. A cluster's texts meet, again block by block, and the left pairs are verified exactly on their
-   shingles. Verified links are counted for each class, and spanning links give the final groups.
+3. A cluster's texts meet, again block by block. The pairs that survive the same comparison, and no
+   others, are verified exactly on their shingles, each once. Verified links are counted for each
+   class, and spanning links give the final groups.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agentscan.llm.common import map_text, utf8, written
+from agentscan.llm.common import discard, map_text, utf8, written
 from agentscan.llm.words import mix, shingles, words
 
 SHINGLE = 5
@@ -34,8 +35,8 @@ VALUES, BANDS, ROWS = 128, 25, 5
 #: Comparisons after which a pair is judged, and the posterior probability below which it is dropped.
 STEPS = (16, 32, 64, 128)
 TOLERANCE = 1e-5
-#: Members of a block of a bucket (signatures), and of a cluster (texts).
-BUCKET_BLOCK, CLUSTER_BLOCK = 512, 192
+#: Members of a block of a bucket (signatures), and members and bytes of a block of a cluster (texts).
+BUCKET_BLOCK, CLUSTER_BLOCK, BLOCK_BYTES = 512, 384, 1 << 25
 
 _RNG = np.random.default_rng(20240)
 _A = _RNG.integers(1, 1 << 31, VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -180,13 +181,13 @@ def _bucket_links(need: list[int]):
     return run
 
 
-def _verified(threshold: Fraction, k: int):
+def _verified(threshold: Fraction, k: int, need: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ["cluster", "bi", "bj"], 64):
             begin = np.append(_changes(t, ["cluster", "bi", "bj"]), t.num_rows)
             for lo, hi in zip(begin[:-1], begin[1:], strict=True):
-                g = t.slice(int(lo), int(hi - lo)).combine_chunks()
-                yield from _verify_group(g, threshold, k)
+                if hi - lo > 1:
+                    yield from _verify_group(t.slice(int(lo), int(hi - lo)), threshold, k, need)
 
     return run
 
@@ -196,53 +197,57 @@ def set_keys(sh: np.ndarray, offsets: np.ndarray) -> list[bytes | None]:
     return [hashlib.blake2b(np.unique(sh[a:b]).tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _verify_group(g: pa.Table, threshold: Fraction, k: int) -> Iterator[pa.RecordBatch]:
+def _sets(column: pa.ChunkedArray, k: int) -> list[np.ndarray]:
+    """The sets of shingles of texts; beyond 2 GB these stand in several chunks."""
+    out = []
+    for chunk in column.chunks:
+        sh, off = shingles(*words(*utf8(chunk)), k)
+        out += [np.unique(sh[a:b]) for a, b in zip(off[:-1], off[1:], strict=True)]
+    return out
+
+
+def _verify_group(g: pa.Table, threshold: Fraction, k: int, need: list[int]) -> Iterator[pa.RecordBatch]:
     """Exact links among the members of a block, or between two blocks, of a cluster."""
-    sh, off = shingles(*words(*utf8(g["text"].chunk(0))), k)
-    want, seen, sets, rows = g["key"].to_pylist(), set(), [], []
-    for r, (a, b) in enumerate(zip(off[:-1], off[1:], strict=True)):
-        s = np.unique(sh[a:b])
-        if want[r] not in seen and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == want[r]:
-            seen.add(want[r])
-            sets.append(s)
-            rows.append(r)
-    if len(rows) < 2:
-        return
+    key, sets = g["key"].to_pylist(), _sets(g["text"], k)
     n = np.array([len(s) for s in sets], np.int64)
+    sig, copies, blk = _matrix(g["sig"], np.uint16, VALUES), g["n"].to_numpy(), g["blk"].to_numpy()
+    cross = g["bi"][0].as_py() != g["bj"][0].as_py()
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(n) - n
-    copies = g["n"].to_numpy()[rows]
-    blk, cross = g["blk"].to_numpy()[rows], g["bi"][0].as_py() != g["bj"][0].as_py()
     mark = np.zeros(int(ids.max()) + 1, np.int64)
-    linked, docs, x, y = np.zeros(len(rows), bool), np.zeros(len(rows), np.int64), [], []
-    for m in range(len(rows)):
+    docs, x, y = np.zeros(len(n), np.int64), [], []
+    for m in range(len(n) - 1):
+        rest = np.flatnonzero(blk[m + 1 :] != blk[m]) + m + 1 if cross else np.arange(m + 1, len(n))
+        # sets of very different sizes can't be similar enough
+        rest = rest[np.minimum(n[rest], n[m]) * threshold.denominator >= np.maximum(n[rest], n[m]) * threshold.numerator]
+        rest = rest[likely(np.broadcast_to(sig[m], (len(rest), VALUES)), sig[rest], need)]
+        if not len(rest):
+            continue
         own = ids[starts[m] : starts[m] + n[m]]
         mark[own] = 1
-        both = np.add.reduceat(mark[ids], starts)
+        size = n[rest]
+        at = np.repeat(starts[rest] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        both = np.add.reduceat(mark[ids[at]], np.cumsum(size) - size)
         mark[own] = 0
-        near = both * threshold.denominator >= threshold.numerator * (n + n[m] - both)
-        near[m] = False
-        if cross:
-            near &= blk != blk[m]
-        hit = np.flatnonzero(near)
-        linked[m], docs[m] = len(hit) > 0, copies[hit].sum()
+        hit = rest[both * threshold.denominator >= threshold.numerator * (size + n[m] - both)]
+        docs[m] += copies[hit].sum()
+        docs[hit] += copies[m]
         x += [m] * len(hit)
         y += hit.tolist()
     if x:
-        root = _roots(len(rows), np.array(x), np.array(y))
-        some = np.flatnonzero(linked)
-        key = [want[r] for r in rows]
+        root = _roots(len(n), np.array(x), np.array(y))
+        some = np.unique(np.array(x + y))
         yield pa.RecordBatch.from_arrays(
             [pa.array([key[m] for m in some], pa.binary()), pa.array([key[root[m]] for m in some], pa.binary()), pa.array(docs[some]), pa.array([g["blocks"][0].as_py() == 1] * len(some))],
             names=["u", "v", "near_docs", "whole"],
         )
 
 
-def _observed(df: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
-    """``df`` (u, v) written, and the number and a hash of its rows, told by the write itself."""
-    seen = Observation()
-    out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), tag)
-    return out, (seen.get["n"], seen.get["h"])
+def _told(df: DataFrame, tag: str) -> tuple[DataFrame, tuple]:
+    """``df`` (u, v) written, and the number and a hash of its rows."""
+    out = written(df, tag)
+    r = out.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    return out, (r["n"], r["h"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -252,13 +257,15 @@ def components(edges: DataFrame) -> DataFrame:
     written to the shared folder, a star's least neighbours too, so that the join with them shuffles
     both sides and a star's many rows can be split. A star of any size is many rows and not one.
     """
-    e, last = _observed(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
+    e, last = _told(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     while last[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")  # u has its smaller neighbours alone, so few rows
-        e, now = _observed(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u != v").distinct(), "links")
+        before = e
+        e, now = _told(small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u != v").distinct(), "links")
+        discard(before, least)
         if now == last:
             break
         last = now
@@ -277,12 +284,11 @@ def _sign(k: int):
     return work
 
 
-def _blocks(df: DataFrame, members: str, most: int) -> DataFrame:
-    """Rows dealt to the pairs of blocks (bi <= bj) of their group; a group of up to ``most`` is one block."""
-    n = F.ceil(F.col(members) / F.lit(most)).cast("int")
-    blk = F.pmod(F.xxhash64("key", F.lit("block")), n).cast("int")
-    pair = F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("bi"), F.greatest(o, F.col("blk")).alias("bj"))))
-    return df.withColumn("blk", blk).withColumn("p", pair).withColumns({"bi": F.col("p.bi"), "bj": F.col("p.bj")}).withColumn("blocks", n).drop("p", members)
+def _blocks(df: DataFrame, n) -> DataFrame:
+    """Rows dealt to the pairs of their group's ``n`` blocks (bi <= bj)."""
+    blk = F.pmod(F.xxhash64("key", F.lit("block")), F.col("blocks")).cast("int")
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("bi"), F.greatest(o, F.col("blk")).alias("bj"))))
+    return df.withColumn("blocks", n.cast("int")).withColumn("blk", blk).withColumn("p", pair).withColumns({"bi": F.col("p.bi"), "bj": F.col("p.bj")}).drop("p")
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -299,24 +305,28 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     """
     spark = docs.sparkSession
     need, exact = least_matches(threshold, TOLERANCE), Fraction(str(threshold))
-    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("text_hash"), F.col(f"`{text}`").alias("text"))
-    signed = written(map_text(base, "text", ADDED, lambda: _sign(k), ["doc_id", "text_hash"]), "signed")
-    classes = written(signed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("copy_class"), F.min(F.struct("doc_id", "text_hash")).alias("one"), F.first("sig").alias("sig")), "classes")
+    body = F.col(f"`{text}`")
+    base = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("text"), F.octet_length(body).cast("long").alias("bytes"))
+    signed = written(map_text(base, "text", ADDED, lambda: _sign(k), ["doc_id", "text_hash", "bytes"]), "signed")
+    classes = written(signed.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("copy_class"), F.min(F.struct("doc_id", "text_hash", "bytes")).alias("one"), F.first("sig").alias("sig")), "classes")
 
     bands = classes.select("key", F.posexplode(F.array(*[F.xxhash64(F.lit(b), F.expr(f"substring(sig, {2 * ROWS * b + 1}, {2 * ROWS})")) for b in range(BANDS)])).alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     members = bands.join(shared, "bucket").join(classes.select("key", "sig"), "key")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _blocks(members, "m", BUCKET_BLOCK).repartition(parts, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
+    dealt = _blocks(members, F.ceil(F.col("m") / F.lit(BUCKET_BLOCK))).repartition(parts, "bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
     near = dealt.select("bucket", "bi", "bj", "blk", "band", "key", "sig").mapInArrow(_bucket_links(need), "u binary, v binary")
     cluster = components(near)
     cluster = cluster.unionByName(cluster.select(F.col("root").alias("u"), "root").distinct())
 
-    sizes = written(cluster.groupBy("root").agg(F.count("*").alias("m")), "sizes")
-    wanted = cluster.join(sizes, "root").select(F.col("u").alias("key"), F.col("root").alias("cluster"), "m").join(classes.select("key", "n", "one"), "key")
-    texts = base.join(wanted.select("*", F.col("one.doc_id").alias("w_id"), F.col("one.text_hash").alias("w_hash")), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash")))
-    met = _blocks(texts.select("key", "cluster", "m", "n", "text"), "m", CLUSTER_BLOCK).repartition(parts, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
-    links = written(met.select("cluster", "bi", "bj", "blk", "blocks", "key", "n", "text").mapInArrow(_verified(exact, k), "u binary, v binary, near_docs long, whole boolean"), "verified")
+    # what is wanted is written, so that its size is known: small, it is broadcast and no text but its own moves
+    own = cluster.select(F.col("u").alias("key"), F.col("root").alias("cluster")).join(classes.select("key", "n", "one"), "key")
+    own = written(own.select("key", "cluster", "n", F.col("one.doc_id").alias("w_id"), F.col("one.text_hash").alias("w_hash"), F.col("one.bytes").alias("bytes")), "own")
+    sizes = written(own.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).alias("blocks")), "sizes")
+    wanted = written(own.join(sizes, "cluster").select("key", "cluster", "n", "w_id", "w_hash", F.least("blocks", F.lit(1 << 30)).cast("int").alias("blocks")), "wanted")
+    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))).select("key", "cluster", "n", "blocks", "text").dropDuplicates(["key"])  # a repeated row is one text
+    met = _blocks(texts.join(classes.select("key", "sig"), "key"), F.col("blocks")).repartition(parts, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
+    links = written(met.select("cluster", "bi", "bj", "blk", "blocks", "key", "n", "sig", "text").mapInArrow(_verified(exact, k, need), "u binary, v binary, near_docs long, whole boolean"), "verified")
 
     # a cluster of one block has its groups already; those of several blocks are joined up
     root = links.where("whole").select("u", F.col("v").alias("root")).unionByName(components(links.where("not whole").select("u", "v")))

@@ -5,6 +5,8 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from agentscan.llm import licences
@@ -77,6 +79,37 @@ def test_large_groups_are_met_block_by_block(spark, monkeypatch):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("limit", [None, 600])
+def test_repeated_rows_and_bytes_of_blocks(spark, monkeypatch, limit):
+    from agentscan.llm import jaccard
+
+    if limit:  # blocks by bytes
+        monkeypatch.setattr(jaccard, "BLOCK_BYTES", limit)
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(base))] * 50 + [(None, " ".join(base[:-1]))] * 40
+    rows += [(2 + i, " ".join([*base[:i], "new", *base[i + 1 :]])) for i in range(0, 60, 7)] + [(90, " ".join(r.sample(base, 60)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("bytes", F.lit("x"))
+    got = sorted(((x.doc_id, x.n_links, x.class_id) for x in jaccard.jaccard_join(df).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_chunks_of_texts_are_all_read():
+    from agentscan.llm.jaccard import _sets
+
+    parts = pa.chunked_array([pa.array(["a b c d e f", None]), pa.array([], pa.string()), pa.array(["a b c d e f", "x"])])
+    sets = _sets(parts, 5)
+    assert [len(s) for s in sets] == [2, 0, 2, 1] and (sets[0] == sets[2]).all()
+
+
+def test_spark_ml_works_after_the_join(spark):
+    from agentscan.operators.classifier import q_classifier
+
+    df = spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g h")], "doc_id long, text string")
+    assert jaccard_join(df).count() == 2
+    assert q_classifier(spark, "/root/testdata/sf0.001").count() > 0
+
+
 def test_minhash_estimates_similarity_and_pruning_keeps_true_pairs():
     data = np.frombuffer(b" ".join(b"w%d" % i for i in range(1000)) + b" ".join(b"w%d" % i for i in range(100, 1100)), np.uint8)
     cut = len(b" ".join(b"w%d" % i for i in range(1000)))
