@@ -9,18 +9,20 @@ position, and the occurrences' spans are merged. Nothing is shuffled.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from agentscan.llm.common import map_text
+from agentscan.llm.common import discard, map_text, utf8, written
 from agentscan.llm.words import words
 
 WINDOW = 13
 #: Words of test items that one pass over the documents searches for; more items take more passes.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 #: Every so-many-th position of the shard keeps its place for locating, and so does each run's first.
 SAMPLE = 8
 #: Bytes of text of a shard at most, unless one document alone is longer.
@@ -144,18 +146,24 @@ class Phrases:
         raw = [(t or "").encode() for _, t in items]
         h, off = words(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
         self.vocabulary = np.unique(h)
-        ids = np.searchsorted(self.vocabulary, h) + 1
+        ids = np.searchsorted(self.vocabulary, h).astype(np.int32) + 1
         self.names = sorted({name for name, _ in items})
         number = {name: i for i, name in enumerate(self.names)}
-        seen: dict[tuple, set[int]] = {}
-        for (name, _), a, b in zip(items, off[:-1], off[1:], strict=True):
-            for i in range(a, max(b - window, a) + 1 if b > a else a):
-                seen.setdefault(tuple(ids[i : min(i + window, b)].tolist()), set()).add(number[name])
-        self.lengths = np.array([len(p) for p in seen], np.int64)
-        self.table = np.zeros((len(seen), window), np.int32)
-        for r, p in enumerate(seen):
-            self.table[r, window - len(p) :] = p
-        self.owners = [np.array(sorted(x), np.int64) for x in seen.values()]
+        size = np.diff(off)
+        some = np.flatnonzero(size > 0)
+        per = np.maximum(size[some] - window, 0) + 1
+        item = np.repeat(some, per)
+        start = off[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(per) - per, per)
+        length = np.minimum(size[item], window)
+        # a row of the table is a window, its end aligned, with zeros before a short one
+        back = np.arange(window) - window + length[:, None]
+        table = np.where(back >= 0, ids[np.minimum(start[:, None] + back, len(ids) - 1)] if len(ids) else 0, 0).astype(np.int32)
+        self.table, which = np.unique(table, axis=0, return_inverse=True) if len(table) else (table, np.zeros(0, np.int64))
+        self.lengths = (self.table > 0).sum(1)
+        # the items of each window, end to end
+        pairs = np.unique(which.astype(np.int64).ravel() * max(1, len(self.names)) + np.array([number[items[i][0]] for i in item], np.int64))
+        self.owner, first = pairs % max(1, len(self.names)), pairs // max(1, len(self.names))
+        self.owner_at = np.searchsorted(first, np.arange(len(self.table) + 1))
 
     def symbols(self, h: np.ndarray) -> np.ndarray:
         """0 for words of no test phrase."""
@@ -196,8 +204,8 @@ def find(p: Phrases, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     np.add.at(change, at + p.lengths[which], -1)
     hit = np.cumsum(change[:-1]) > 0
     doc = np.searchsorted(offsets, at, "right") - 1
-    owners = np.array([len(o) for o in p.owners])[which]
-    items = np.concatenate([p.owners[w] for w in which])
+    owners = (p.owner_at[1:] - p.owner_at[:-1])[which]
+    items = p.owner[np.repeat(p.owner_at[which] - (np.cumsum(owners) - owners), owners) + np.arange(int(owners.sum()))]
     pairs = np.unique(np.repeat(doc, owners) * len(p.names) + items)
     return hit, pairs // len(p.names), pairs % len(p.names)
 
@@ -206,17 +214,19 @@ ADDED = T.StructType(
     [
         T.StructField("n_words", T.LongType()),
         T.StructField("n_hit", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField(x, T.IntegerType()) for x in ("first", "end", "from", "to")]))),
         T.StructField("items", T.ArrayType(T.StringType())),
     ]
 )
 
 
-def _batch(p: Phrases):
-    from agentscan.llm.common import utf8
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
 
+def _batch(p: Phrases):
     def work(part: pa.RecordBatch) -> list[pa.Array]:
-        h, off = words(*utf8(part.column("__text__")))
+        data, text_off = utf8(part.column("__text__"))
+        h, off = words(data, text_off)
         hit, docs, items = find(p, h, off)
         edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
         starts = edge[:-1] == 1
@@ -228,7 +238,13 @@ def _batch(p: Phrases):
         end = np.flatnonzero(last) + 1
         doc = np.searchsorted(off, first, "right") - 1
         total = np.concatenate([[0], np.cumsum(hit)])
-        span = pa.StructArray.from_arrays([pa.array((first - off[doc]).astype(np.int32)), pa.array((end - off[doc]).astype(np.int32))], names=["first", "end"])
+        lo, hi = first - off[doc], end - off[doc]
+        begin, to = np.zeros(len(first), np.int32), np.zeros(len(first), np.int32)
+        for d in np.unique(doc):  # few documents have spans
+            at = np.array([m.span() for m in _WORD.finditer(data[text_off[d] : text_off[d + 1]].tobytes())])
+            mine = doc == d
+            begin[mine], to[mine] = at[lo[mine], 0], at[hi[mine] - 1, 1]
+        span = pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (lo, hi, begin, to)], names=["first", "end", "from", "to"])
         spans = pa.ListArray.from_arrays(pa.array(np.searchsorted(first, off).astype(np.int32)), span)
         names = pa.array(p.names, pa.string()).take(pa.array(items)) if len(items) else pa.array([], pa.string())
         found = pa.ListArray.from_arrays(pa.array(np.searchsorted(docs, np.arange(len(off))).astype(np.int32)), names)
@@ -240,14 +256,16 @@ def _batch(p: Phrases):
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
     """``docs`` with n_words, n_hit, spans and items: what any window of a test item covers.
 
-    spans: the hit words as merged runs [first, end), from 0; items: ids, as strings, of the items
+    spans: the hit words as merged runs [first, end), from 0, with their bytes [from, to); items: ids, as strings, of the items
     with a window in the document, sorted. Null or empty texts, on either side, have no words and
     hit nothing; a null item id is the empty string. Repeated items count once, repeated documents
     each for itself. An empty table on either side gives no hits. Columns of ``docs`` with the
     added names are replaced.
 
-    The items are read to the driver and broadcast in blocks of at most BLOCK_WORDS words, each
-    block a further pass in the same job; the documents are read once and never shuffled.
+    The items are read to the driver and broadcast in blocks of about BLOCK_WORDS words. One block, as
+    of any usual benchmark, is one pass over the documents; each further one is a job of its own, whose
+    rows are written before the next block is read, so that neither the driver nor a worker holds more
+    than one block. Nothing is shuffled.
     """
     spark = docs.sparkSession
     items = items.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(f"`{item_text}`"), F.lit("")).alias("t")).where(F.length("t") > 0).distinct()
@@ -261,15 +279,18 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
         got = map_text(found, text, ADDED, lambda held=held: _batch(held.value), None if blocks > 1 else cols, SHARD_BYTES)
         if blocks > 1:
             mine = F.struct("n_words", "spans", "items")
-            found = got.withColumn("__all__", F.concat(F.col("__all__"), F.array(mine)) if b else F.array(mine)).drop(*ADDED.fieldNames())
+            last, found = found, written(got.withColumn("__all__", F.concat(F.col("__all__"), F.array(mine)) if b else F.array(mine)).drop(*ADDED.fieldNames()), f"items-{b}")
+            held.unpersist()
+            discard(last)
         else:
             found = got
     if blocks > 1:
+        joined = lambda a, b: F.struct(a["first"].alias("first"), F.greatest(a["end"], b["end"]).alias("end"), a["from"].alias("from"), F.greatest(a["to"], b["to"]).alias("to"))
         covered = F.array_sort(F.flatten(F.transform("__all__", lambda x: x["spans"])))
         merged = F.aggregate(
             covered,
-            F.array().cast("array<struct<first:int,end:int>>"),
-            lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["first"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["first"].alias("first"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"))))).otherwise(
+            F.array().cast("array<struct<first:int,end:int,from:int,to:int>>"),
+            lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["first"]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined(F.element_at(acc, -1), s)))).otherwise(
                 F.concat(acc, F.array(s))
             ),
         )
@@ -278,6 +299,19 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     return found.select(*[F.col(f"`{c}`") for c in cols if c not in ADDED.fieldNames()], *ADDED.fieldNames())
 
 
+def without_spans(text: Column, spans: Column) -> Column:
+    """A text without the bytes of its spans; one without spans is left as it is."""
+    raw = text.cast("binary")
+    begin = F.struct(F.lit("").cast("binary").alias("out"), F.lit(0).alias("at"))
+    left = F.aggregate(
+        spans,
+        begin,
+        lambda acc, s: F.struct(F.concat(acc["out"], F.substring(raw, acc["at"] + 1, s["from"] - acc["at"])).alias("out"), s["to"].alias("at")),
+        lambda acc: F.concat(acc["out"], F.substring(raw, acc["at"] + 1, F.octet_length(text))).cast("string"),
+    )
+    return F.when(F.size(spans) > 0, left).otherwise(text)
+
+
 def contaminated(n_hit, n_words):
     """At least a twentieth of a document's words stand in windows of test items."""
     return (n_hit > 0) & (20 * n_hit >= n_words)

@@ -26,8 +26,8 @@ LANES = 1024
 #: Labelled documents of the training sample at most, and pieces drawn from anywhere in each.
 SAMPLE_DOCS, PIECES = 3000, 24
 STEPS, BATCH, SPAN, RATE = 320, 192, 48, 0.02
-#: Under this pooled probability a document counts as being in no known language.
-FLOOR = 0.3
+#: Under this pooled probability a document counts as being in no known language: less than all others together.
+FLOOR = 0.5
 
 
 class Network:

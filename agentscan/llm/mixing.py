@@ -52,10 +52,18 @@ def targets(sources: DataFrame, weights=WEIGHTS, ratio: float = RATIO, repeats:
 
     Sources in order of code points, null last, have the weights in turn and share ``ratio`` of all
     words; a target stops at ``repeats`` times its source's size, and what is over is shared again by
-    weight among the others until no target is above. One row per source is all that is moved.
+    weight among the others until no target is above. One row per source is all that is moved. Sources
+    are sorted by ranges, whose sizes give each source its place, so any number of them will do.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weighed = written(sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))).withColumn("most", (F.col("source_size") * repeats).cast("double")), "weighed")
+    parts = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.col("source").asc_nulls_last()
+    ranged = written(sources.repartitionByRange(parts, order).sortWithinPartitions(order).withColumns({"p": F.spark_partition_id(), "i": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "ranged")
+    base, total = {}, 0
+    for r in ranged.groupBy("p").count().orderBy("p").collect():  # one row for each range
+        base[r["p"]] = total
+        total += r["count"]
+    rank = F.col("i") + (F.element_at(F.create_map(*[F.lit(x) for kv in base.items() for x in kv]), F.col("p")) if base else F.lit(0))
+    weighed = written(ranged.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))).withColumn("most", (F.col("source_size") * repeats).cast("double")).drop("p", "i"), "weighed")
     total = weighed.agg(F.sum("source_size")).first()[0] or 0
     level = 0.0  # words for each unit of weight; it rises until the open sources take all that is left
     while True:
@@ -70,6 +78,17 @@ def targets(sources: DataFrame, weights=WEIGHTS, ratio: float = RATIO, repeats:
     return weighed.withColumn("target", F.least("most", F.lit(level) * F.col("weight"))).drop("most")
 
 
+def drawn(mixed: DataFrame) -> DataFrame:
+    """The mix itself: a row for each draw of ``mix``'s result, with shard and position, shard by shard in shuffled order.
+
+    Rows of a shard are brought together in tasks of even size, a large shard or a document that is
+    repeated very often in several, and are sorted by position there.
+    """
+    rows = mixed.select(*[F.col(f"`{c}`") for c in mixed.columns if c not in ("draws", "shard", "position")], F.explode("draws").alias("__draw__"))
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c != "__draw__"], F.col("__draw__.shard").alias("shard"), F.col("__draw__.position").alias("position"))
+    return rows.hint("rebalance", "shard").sortWithinPartitions("shard", "position")
+
+
 def _fill(seed: int, cut_last: bool):
     """Takes documents of one block, in permuted order, as long as they fit what is left of the quota."""
 

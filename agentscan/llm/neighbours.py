@@ -3,8 +3,10 @@
 Vectors are hashed by several tables of Gaussian projections cut into cells. A query visits in each
 table its own bucket and the neighbouring ones in order of their estimated success, the least sum of
 squared distances to the crossed cell borders first. Buckets meet their visitors in tasks, a large
-bucket in several parts; each part returns only a query's best, and the merged candidates are ranked
-by their exact cosine in double precision.
+bucket in several parts. What travels there is no vector but a code of one byte a component, with the
+distance between the two: it bounds every cosine from below and above, and only candidates that the
+bounds rule out are left behind. The candidates of all tables are merged, and what is left is ranked by
+the exact cosine of the original vectors.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ WIDTH = 1.5
 NEAREST = 5
 #: Distinct vectors of a bucket that one part holds at most.
 PART = 2048
+#: Candidates that a task holds before it returns them, and queries that one exact pass takes.
+HELD, EXACT = 200_000, 1024
 
 
 def _parameters(dim: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -71,115 +75,215 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index rows of every distinct vector, and visits of those that are queries."""
-    for batch in batches:
-        sizes = batch["vec"].value_lengths().to_numpy()
-        for dim in np.unique(sizes):
-            part = batch.take(pa.array(np.flatnonzero(sizes == dim)))
-            x = _vectors(part["vec"])
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            a, b = _parameters(int(dim))
-            place = (unit @ a + b) / WIDTH
-            cell = np.floor(place)
-            asks = np.flatnonzero(part["asks"].to_numpy(zero_copy_only=False))
-            rows, bucket, visit = [], [], []
-            for t in range(TABLES):
-                cols = slice(t * PROJECTIONS, (t + 1) * PROJECTIONS)
-                rows.append(np.arange(len(x)))
-                bucket.append(_bucket(t, cell[:, cols]))
-                visit.append(np.zeros(len(x), bool))
-                for q in asks:
-                    steps = np.array(probes(place[q, cols] - cell[q, cols], PROBES))
-                    rows.append(np.full(len(steps), q))
-                    bucket.append(_bucket(t, cell[q, cols] + steps))
-                    visit.append(np.ones(len(steps), bool))
-            rows = pa.array(np.concatenate(rows))
-            kept = [part[c].take(rows) for c in ("rep", "ids", "vec")]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket) ^ np.int64(dim)), pa.array(np.concatenate(visit)), *kept], names=["bucket", "visit", "rep", "ids", "vec"])
-
-
-def _best(score: np.ndarray, rep: np.ndarray, most: int) -> np.ndarray:
-    """Columns of the largest scores of a row, ties to the smaller number."""
-    if len(score) > 4 * most:
-        edge = np.partition(score, len(score) - most)[len(score) - most]
-        some = np.flatnonzero(score >= edge)
-    else:
-        some = np.arange(len(score))
-    return some[np.lexsort((rep[some], -score[some]))[:most]]
-
-
-def _search(nearest: int):
-    def one(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def _by_length(column: pa.Array) -> Iterator[np.ndarray]:
+    sizes = column.value_lengths().to_numpy()
+    for dim in np.unique(sizes):
+        yield np.flatnonzero(sizes == dim)
+
+
+def _units(column: pa.Array) -> np.ndarray:
+    x = _vectors(column)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of one byte a component, what a step is worth, and the distances of vectors from their codes."""
+    scale = (np.abs(unit).max(1) / 127).astype(np.float32)
+    code = np.rint(unit / scale[:, None]).clip(-127, 127).astype(np.int8)
+    away = np.linalg.norm(unit - code * scale[:, None].astype(np.float64), axis=1)
+    return code, scale, np.nextafter(away.astype(np.float32), np.float32(9))
+
+
+def _hash(visits: bool):
+    """Rows of the index, one for each table, or a query's visits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in _by_length(batch["vec"]):
+                part = batch.take(pa.array(at))
+                unit = _units(part["vec"])
+                dim = unit.shape[1]
+                a, b = _parameters(dim)
+                place = (unit @ a + b) / WIDTH
+                cell = np.floor(place)
+                rows, bucket = [], []
+                for t in range(TABLES):
+                    cols = slice(t * PROJECTIONS, (t + 1) * PROJECTIONS)
+                    if not visits:
+                        rows.append(np.arange(len(unit)))
+                        bucket.append(_bucket(t, cell[:, cols]))
+                        continue
+                    for q in range(len(unit)):
+                        steps = np.array(probes(place[q, cols] - cell[q, cols], PROBES))
+                        rows.append(np.full(len(steps), q))
+                        bucket.append(_bucket(t, cell[q, cols] + steps))
+                code, scale, away = codes(unit)
+                rows = np.concatenate(rows)
+                raw = np.array([c.tobytes() for c in code], object)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(bucket) ^ np.int64(dim)), pa.array(np.full(len(rows), visits)), part["rep"].take(pa.array(rows)), pa.array(raw[rows], pa.binary()), pa.array(scale[rows]), pa.array(away[rows])],
+                    names=["bucket", "visit", "rep", "code", "scale", "away"],
+                )
+
+    return run
+
+
+def _above(query: np.ndarray, low: np.ndarray, high: np.ndarray, most: int) -> np.ndarray:
+    """Places of the candidates whose upper bound reaches the ``most``-th lower bound of their query."""
+    order = np.lexsort((-low, query))
+    q = query[order]
+    start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+    size = np.diff(np.append(start, len(q)))
+    edge = np.where(size >= most, low[order][np.minimum(start + most - 1, len(q) - 1)], -np.inf)
+    return order[high[order] >= np.repeat(edge, size)]
+
+
+def _search(most: int):
+    """Candidates of the buckets that follow each other: (query, rep, low, high), a query's pair once a task at most."""
+
+    def one(t: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
         visit = t["visit"].to_numpy().astype(bool)
-        if visit.all() or not visit.any():
-            return
-        data, asks = t.filter(pa.array(~visit)).combine_chunks(), t.filter(pa.array(visit)).combine_chunks()
-        x = _vectors(data["vec"].chunk(0))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        rep, ids, who = data["rep"].to_numpy(), data["ids"].chunk(0), asks["rep"].to_numpy()
-        for a in range(0, len(who), 256):
-            q = _vectors(asks["vec"].chunk(0).slice(a, 256))
-            q /= np.linalg.norm(q, axis=1, keepdims=True)
-            score = q @ x.T
-            best = [_best(s, rep, nearest + 1) for s in score]  # a vector's own copies may fill one place
-            row = np.repeat(np.arange(len(best)), [len(b) for b in best])
-            col = np.concatenate(best)
-            yield pa.RecordBatch.from_arrays([pa.array(who[a : a + 256][row]), pa.array(rep[col]), ids.take(pa.array(col)), pa.array(score[row, col])], names=["query", "rep", "ids", "score"])
+        size = np.array([len(c) for c in t["code"].to_pylist()])
+        for dim in np.unique(size):
+            data, asks = (np.flatnonzero((size == dim) & (visit == v)) for v in (False, True))
+            if not len(data) or not len(asks):
+                continue
+            raw = t["code"].to_pylist()
+            real = np.float32 if dim <= 1000 else np.float64  # sums of products of codes are exact
+            code, scale, away, rep = (lambda i, r=real, n=int(dim): np.frombuffer(b"".join(raw[k] for k in i), np.int8).reshape(-1, n).astype(r)), t["scale"].to_numpy().astype(np.float64), t["away"].to_numpy().astype(np.float64), t["rep"].to_numpy()
+            x = code(data)
+            for a in range(0, len(asks), 256):
+                q = asks[a : a + 256]
+                score = (code(q) @ x.T) * scale[q][:, None] * scale[data]
+                off = away[q][:, None] + (1 + away[q][:, None]) * away[data] + 1e-9
+                low, high = score - off, score + off
+                edge = -np.partition(-low, most - 1, axis=1)[:, most - 1] if len(data) >= most else np.full(len(q), -np.inf)
+                i, j = np.nonzero(high >= edge[:, None])
+                yield rep[q][i], rep[data][j], low[i, j], high[i, j]
+
+    def pruned(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        query, rep, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
+        _, once = np.unique(np.stack([query, rep]), axis=1, return_index=True)
+        keep = once[_above(query[once], low[once], high[once], most)]
+        return query[keep], rep[keep], low[keep], high[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        rows = 0
+        for t in _groups(batches):
+            for found in one(t):
+                held.append(found)
+                rows += len(found[0])
+            if rows > HELD:
+                held = [pruned(held)]
+                rows = len(held[0][0])
+                if rows > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["query", "rep", "low", "high"])
+                    held, rows = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pruned(held)], names=["query", "rep", "low", "high"])
+
+    return run
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The parts of buckets, each as one table, from batches sorted by bucket and part."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch["bucket"].to_numpy(), batch["part"].to_numpy().astype(np.int64)], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and tuple(keys[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = tuple(keys[a])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _scan(queries: list[tuple[int, list[float]]], most: int):
+    """(query, rep) of the ``most`` nearest of each query in a batch of entries, by exact cosines."""
+    by_length: dict[int, list[tuple[int, list[float]]]] = {}
+    for q in queries:
+        by_length.setdefault(len(q[1]), []).append(q)
+    units = {n: (np.array([r for r, _ in qs], np.int64), np.array([v for _, v in qs], np.float64)) for n, qs in by_length.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
         for batch in batches:
-            at = 0
-            keys = np.stack([batch["bucket"].to_numpy(), batch["part"].to_numpy().astype(np.int64)])
-            for cut in [*(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1), batch.num_rows]:
-                if held and at == 0 and (held[-1]["bucket"][-1] != batch["bucket"][0] or held[-1]["part"][-1] != batch["part"][0]):
-                    yield from one(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(at, cut - at))
-                if cut < batch.num_rows:
-                    yield from one(pa.Table.from_batches(held))
-                    held = []
-                at = cut
-        if held:
-            yield from one(pa.Table.from_batches(held))
+            for at in _by_length(batch["vec"]):
+                part = batch.take(pa.array(at))
+                x = _units(part["vec"])
+                if x.shape[1] not in units:
+                    continue
+                reps, q = units[x.shape[1]]
+                score = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ x.T
+                edge = -np.partition(-score, most - 1, axis=1)[:, most - 1] if len(x) >= most else np.full(len(q), -np.inf)
+                i, j = np.nonzero(score >= edge[:, None] - 1e-9)
+                yield pa.RecordBatch.from_arrays([pa.array(reps[i]), part["rep"].take(pa.array(j))], names=["query", "rep"])
 
     return run
 
 
+def cosine(a: str, b: str):
+    """The cosine of two vectors in double precision."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
 def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 50, most: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score: the ``most`` nearest found of each row whose id is divisible by ``every``.
 
     score: the cosine of the original vectors in double precision; ties go to the smaller vec_id.
     Equal vectors are one entry of the index that keeps their ``most`` + 1 smallest ids, as no query
     needs more of them, so a very common vector is neither a large bucket nor a cap on what is found.
+    A query whose buckets hold too few is compared with all entries, exactly, in blocks of queries.
     Rows whose vector is null, empty, zero or holds a null or non-finite component take no part, nor
     do null ids; vectors of other lengths are other spaces. A repeated id counts once per vector.
     Fewer candidates give fewer rows, no candidate or an empty table none.
     """
-    v = F.col(f"`{vector}`")
-    clean = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.transform(v, lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x.cast("double"))).alias("vec")).where(F.col("id").isNotNull() & v.isNotNull()).where(F.coalesce(sound_of("vec"), F.lit(False)))
-    salted = clean.distinct().groupBy("vec", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, most + 1).alias("ids"), F.max(F.pmod("id", F.lit(every)) == 0).alias("asks"))
-    merged = salted.groupBy("vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, most + 1).alias("ids"), F.max("asks").alias("asks"))
-    entries = written(merged.select(F.col("ids")[0].alias("rep"), "ids", "vec", "asks", F.xxhash64("vec").alias("same")), "entries")
-
-    hashed = written(entries.select("rep", "ids", "vec", "asks").mapInArrow(_hash, "bucket long, visit boolean, rep long, ids array<long>, vec array<double>"), "hashed")
-    large = hashed.where("not visit").groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1")
+    spark, v = vectors.sparkSession, F.col(f"`{vector}`")
+    clean = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.transform(v, lambda x: F.when(x == 0, F.abs(x)).otherwise(x)).alias("vec")).where(F.col("id").isNotNull() & v.isNotNull()).where(F.coalesce(sound_of("vec"), F.lit(False)))
+    # the smallest ids of each vector are chosen before and after the shuffle, so a common one is few rows there
+    place = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    few = clean.distinct().withColumn("n", place).where(F.col("n") <= most + 1)
+    merged = few.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    entries = written(merged.select(F.col("ids")[0].alias("rep"), "ids", "vec", F.xxhash64("vec").alias("same")), "entries")
+    asking = written(clean.where(F.pmod("id", F.lit(every)) == 0).distinct().select("id", F.col("vec").alias("own"), F.xxhash64("vec").alias("same")), "asking")
+    asking = written(asking.join(entries, "same").where(F.col("own") == F.col("vec")).select(F.col("id").alias("query_id"), F.col("rep").alias("query"), "own"), "queries")
+    asks = written(asking.groupBy("query").agg(F.first("own").alias("own")), "asks")
+
+    row = "bucket long, visit boolean, rep long, code binary, scale float, away float"
+    visits = asks.select(F.col("query").alias("rep"), F.col("own").alias("vec")).mapInArrow(_hash(True), row)
+    hashed = written(entries.select("rep", "vec").mapInArrow(_hash(False), row).unionByName(visits), "hashed")
+    large = written(hashed.where("not visit").groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1"), "large")
     dealt = hashed.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.array(F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("part", F.explode(F.when(F.col("visit"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own))).drop("parts")
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = dealt.repartition(parts, "bucket", "part").sortWithinPartitions("bucket", "part", "visit")
-    found = met.mapInArrow(_search(most), "query long, rep long, ids array<long>, score double")
+    met = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "part").sortWithinPartitions("bucket", "part")
+    found = met.mapInArrow(_search(most + 1), "query long, rep long, low double, high double").groupBy("query", "rep").agg(F.max("low").alias("low"), F.min("high").alias("high"))
+    ranked = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("low"))))
+    edge = F.max(F.when(F.col("n") == most + 1, F.col("low"))).over(Window.partitionBy("query"))
+    pairs = ranked.withColumn("edge", edge).where("edge is null or high >= edge").select("query", "rep")
+
+    def scored(p: DataFrame, tag: str) -> DataFrame:
+        both = written(p.join(asks, "query"), f"{tag}-pairs").join(entries.select("rep", "ids", "vec"), "rep")
+        return written(both.select("query", "rep", "ids", cosine("own", "vec").alias("score")), tag)
 
-    merged = found.groupBy("query", "rep").agg(F.first("ids").alias("ids"), F.max("score").alias("score"))
-    ranked = merged.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "rep"))).where(F.col("n") <= most + 1)
-    lists = ranked.groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
+    known = scored(pairs, "scored")
+    poor = asks.join(known.groupBy("query").agg(F.sum(F.size("ids")).alias("n")), "query", "left").where(F.coalesce("n", F.lit(0)) <= most).select("query", "own")
+    poor = written(poor, "poor")
+    blocks = -(-poor.count() // EXACT)
+    for b in range(blocks):
+        some = [(r["query"], list(r["own"])) for r in poor.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()]  # about EXACT rows
+        known = known.unionByName(scored(entries.select("rep", "vec").mapInArrow(_scan(some, most + 1), "query long, rep long").distinct(), f"exact-{b}"))
+
+    lists = known.dropDuplicates(["query", "rep"]).groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     flat = F.flatten(F.transform("near", lambda c: F.transform(c["ids"], lambda i: F.struct((-c["score"]).alias("s"), i.alias("i")))))
     lists = lists.select("query", F.array_sort(flat).alias("near"))
-
-    asking = clean.where(F.pmod("id", F.lit(every)) == 0).distinct().withColumn("same", F.xxhash64("vec"))
-    asking = asking.join(entries.select(F.col("vec").alias("v2"), "same", F.col("rep").alias("query")), "same").where(F.col("vec") == F.col("v2")).select(F.col("id").alias("query_id"), "query")
     answers = asking.join(lists, "query").select("query_id", F.posexplode(F.slice(F.filter("near", lambda n: n["i"] != F.col("query_id")), 1, most)).alias("pos", "n"))
     return answers.select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("n.i").alias("vec_id"), (-F.col("n.s")).alias("score"))
 

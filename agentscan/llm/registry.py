@@ -36,7 +36,9 @@ def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs, keep=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.mix(docs, keep=["doc_id"])
+    shards = F.array_join(F.transform("draws", lambda d: d["shard"].cast("string")), ",")  # of each time that it is taken
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", shards.alias("shards"))
 
 
 def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from agentscan.llm.common import written
 
-#: Ranges of the key's hash in each shard within which slots are counted; more machines need more.
+#: Ranges of the key's hash in each shard within which slots are counted, at least; there are as many
+#: as shuffle partitions if these are more.
 RANGES = 256
 
 
@@ -17,12 +18,13 @@ def rendezvous_shard(key: Column, weights: list[float]) -> Column:
     """The shard with the highest score ``-weight / ln(u)``, where u in (0, 1) is a hash of key and shard.
 
     A shard's scores don't depend on the others, so one more shard takes rows only into itself and
-    gets its weight's share of them. Equal scores go to the larger shard. A null key is a key too.
+    gets its weight's share of them. Equal scores go to the larger shard. A null key is a key too, and
+    keys are hashed as text, so that a number's type doesn't matter.
     """
     shards = F.array(*[F.struct(F.lit(i).alias("shard"), F.lit(float(w)).alias("weight")) for i, w in enumerate(weights)])
 
     def score(x: Column) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(key, x["shard"], F.lit("rendezvous")), 11)
+        bits = F.shiftrightunsigned(F.xxhash64(key.cast("string"), x["shard"], F.lit("rendezvous")), 11)
         return F.struct((-x["weight"] / F.log((bits.cast("double") + 0.5) * F.lit(math.ldexp(1, -53)))).alias("score"), x["shard"].alias("shard"))
 
     return F.array_max(F.transform(shards, score))["shard"]
@@ -54,14 +56,15 @@ def slotted(placed: DataFrame, key: str = "doc_id") -> DataFrame:
     ranges of the key's hash; the ranges' first slots come from one small table of counts.
     """
     cols = [key, "size", "text_crc32", "law", "shard", "grown_shard"]
-    part = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("slot")), F.lit(RANGES)).cast("int")
+    ranges = max(RANGES, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("slot")), F.lit(ranges)).cast("int")
     equal = written(placed.select(*[F.col(f"`{c}`") for c in cols]).groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count("*").alias("n")).withColumn("range", part), "slots")
     counts = equal.groupBy("shard", "range").agg(F.sum("n").alias("rows"))
-    before = counts.select("shard", F.explode(F.sequence(F.col("range") + 1, F.lit(RANGES))).alias("range"), "rows").groupBy("shard", "range").agg(F.sum("rows").alias("base"))
+    before = counts.select("shard", F.explode(F.sequence(F.col("range") + 1, F.lit(ranges))).alias("range"), "rows").groupBy("shard", "range").agg(F.sum("rows").alias("base"))
     w = Window.partitionBy("shard", "range").orderBy(F.col(f"`{key}`").asc_nulls_first(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = equal.withColumn("ahead", F.coalesce(F.sum("n").over(w), F.lit(0)))
     first = F.coalesce(F.col("base"), F.lit(0)) + F.col("ahead")
-    return inside.join(F.broadcast(before), ["shard", "range"], "left").select(  # at most shards x RANGES rows
+    return inside.join(F.broadcast(before), ["shard", "range"], "left").select(  # at most a row for each shard and range
         F.col(f"`{key}`"),
         "size",
         "text_crc32",

@@ -1,5 +1,6 @@
 """Jaccard join and licence scan against brute force, with nulls, ties, repeats and long texts."""
 
+import math
 import random
 import re
 from collections import Counter
@@ -125,16 +126,58 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(1, 41), 0), 101: 100, 102: 100}
 
 
+def licence_words(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def brute_licences(texts):
+    """Labels and score of each text by counting where a template would begin, all postings in turn."""
+    split_ = [licence_words(t) for t in texts]
+    df = Counter(w for ws in split_ for w in set(ws))
+    known = {w for _, ks, t in licences.TEMPLATES for w in licence_words(" ".join([t, *ks]))} | {w for p, _ in licences.BASE for w in p.split()}
+    idf = {w: math.log((len(texts) + 1) / (df[w] + 1)) for w in known}
+    stands = lambda ws, p: any(ws[j : j + len(p)] == p for j in range(len(ws)))
+    out = []
+    for ws in split_:
+        labels, score = set(), 0.0
+        for p, label in licences.BASE:
+            if stands(ws, p.split()):
+                labels.add(label)
+                score = 1.0
+        for label, ks, t in licences.TEMPLATES:
+            tw = licence_words(t)
+            listed = sorted({w for w in tw if df[w]}, key=lambda w: (-idf[w], tw.index(w)))[: licences.INDEXED]
+            own = [w for w in listed if w in ws][: licences.RARE]
+            begins = Counter(j - i for w in own for i, x in enumerate(tw) if x == w for j, y in enumerate(ws) if y == w)
+            most = min(licences.RARE, len(listed))
+            part = min(max(begins.values(), default=0), most) / most if most else 0.0
+            if part >= licences.ALIGNED and all(stands(ws, k.split()) for k in ks):
+                labels.add(label)
+                score = max(score, part)
+        out.append((",".join(sorted(labels)), round(score, 9)))
+    return out
+
+
 def test_licences_against_brute_force(spark):
-    texts = [None, "", "Released under the MIT License.", "under THE mit license " * 3, "under the mit licence", "under the miT license", "cc-by-nc 4.0; CC BY NC", "Apache License, Version 2.0", "mit " * 5000, "é under the mit license ü", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"]
+    texts = [None, "", "Released under the MIT License.", "under THE mit license " * 3, "under the mit licence", "under the miT license", "cc-by-nc 4.0; CC BY NC", "Apache License, Version 2.0", "mit " * 5000, "é under the mit license ü"]
+    texts += [t for _, _, t in licences.TEMPLATES] + ["Before it. " + t.upper() + " After it." for _, _, t in licences.TEMPLATES]
+    r = random.Random(9)
+    for _, _, t in licences.TEMPLATES:  # edited, cut and doubled notices
+        w = t.split()
+        w[r.randrange(len(w))] = "edited"
+        texts += [" ".join(w), " ".join(w[: len(w) // 2]), t + " and again " + " ".join(w[1:])]
+    texts += [" ".join(r.choice(["license", "software", "the", "public", "gnu", "free", "general", "warranty"]) for _ in range(60)) for _ in range(20)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("w", F.lit(2)).withColumn("score", F.lit("x"))
     got = {r.doc_id: r for r in licences.scan(df).collect()}
+    want = brute_licences(texts)
     for i, t in enumerate(texts):
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        w = licence_words(t)
         at = [(j, x) for p, x in licences.BASE for j in range(len(w)) if w[j : j + len(p.split())] == p.split()]
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min((j for j, _ in at), default=None), max((j for j, _ in at), default=None))
         assert r.base_labels == ",".join(sorted({x for _, x in at}))
         assert set(r.base_labels.split(",")) - {""} <= set(r.labels.split(","))
-    assert "mit" in got[10].labels and "gpl" in got[11].labels and got[0].score == 0
-    assert licences.scan(df.where("false")).count() == 0
+        assert (r.labels, round(r.score, 9)) == want[i], t
+    for i, (label, _, _) in enumerate(licences.TEMPLATES):
+        assert label in got[10 + i].labels.split(",") and label in got[10 + len(licences.TEMPLATES) + i].labels.split(",")
+    assert got[0].score == 0 and licences.scan(df.where("false")).count() == 0

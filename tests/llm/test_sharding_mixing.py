@@ -1,13 +1,16 @@
 """Sharding and mixing on small tables with nulls, ties, repeated rows and clashing names."""
 
+import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from agentscan.llm.mixing import mix, split_tree
+from agentscan.llm.mixing import drawn, mix, split_tree, targets
 from agentscan.llm.sharding import place, shard_records
 
 ROWS = [(i, "w " * (i % 7) if i % 9 else None, ["a", "b", "c", "d", None][i % 5], i) for i in range(200)] + [(3, "x y", "a", 1)] * 3 + [(None, "null key", "a", 0), (None, "", None, 0)]
@@ -31,6 +34,26 @@ def test_slots_have_no_gaps_and_growth_moves_only_into_the_new_shard(docs):
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in out) == want
 
 
+def brute_shard(key, weights):
+    """Weighted rendezvous by the public hash, one key and shard at a time."""
+    best = None
+    for i, w in enumerate(weights):
+        h = xxhash.xxh64(str(key).encode(), seed=42).intdigest() if key is not None else 42
+        h = xxhash.xxh64(i.to_bytes(4, "little"), seed=h).intdigest()
+        h = xxhash.xxh64(b"rendezvous", seed=h).intdigest()
+        score = -w / math.log(((h >> 11) + 0.5) * 2.0**-53)
+        best = max(best or (score, i), (score, i))
+    return best[1]
+
+
+def test_shards_against_brute_force(docs):
+    for r in shard_records(docs).collect():
+        assert r.shard == brute_shard(r.doc_id, [1.0] * 16) and r.grown_shard == brute_shard(r.doc_id, [1.0] * 17)
+    weights = [1.0, 3.0, 0.5]
+    by_int = {r.doc_id: r.shard for r in place(docs.select(F.col("doc_id").cast("int").alias("doc_id"), "text"), weights=weights).collect()}
+    assert by_int == {k: brute_shard(k, weights) for k in by_int}
+
+
 def test_weights_set_the_shards_shares(spark):
     df = place(spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")), weights=[1, 1, 2])
     n = {r.shard: r["count"] for r in df.groupBy("shard").count().collect()}
@@ -71,3 +94,55 @@ def test_mix_meets_targets_and_caps(docs, cut):
         assert abs(took[k] - target[k]) <= (0.5 if cut else 3.5)
     shards = Counter(d.shard for r in out for d in r.draws)
     assert set(shards) <= set(range(16))
+    for k, t in filled(size, w).items():
+        assert abs(target[k] - t) < 1e-6
+
+
+def filled(size, weight, ratio=1.5, repeats=2):
+    """Targets by water-filling: the level is found by halving, source by source."""
+    total, lo, hi = sum(size.values()) * ratio, 0.0, 1e9
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(repeats * n, mid * weight[k]) for k, n in size.items()) < total else (lo, mid)
+    return {k: min(repeats * n, lo * weight[k]) for k, n in size.items()}
+
+
+def test_targets_of_many_sources(spark):
+    names = [f"s{i:04d}" for i in range(900)] + ["é", "Z", None]
+    rows = [(n, (i * 37) % 500 if i % 11 else 0) for i, n in enumerate(names)]
+    got = {r.source: r.target for r in targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
+    order = sorted((n for n in names if n is not None)) + [None]
+    want = filled(dict(rows), {n: (5, 2, 1)[i % 3] for i, n in enumerate(order)})
+    assert all(abs(got[n] - want[n]) < 1e-6 for n in names)
+
+
+def test_tree_spreads_every_source_over_the_shards(spark):
+    r = random.Random(1)
+    rows = [(i, "w " * r.randrange(1, 30), "abc"[i % 3]) for i in range(6000)]
+    mixed = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    out = mixed.collect()
+    by = defaultdict(Counter)
+    for x in out:
+        for d in x.draws:
+            by[x.source][d.shard] += d.words
+    total = Counter()
+    for c in by.values():
+        total += c
+    mean = sum(total.values()) / 16
+    assert len(total) == 16 and all(0.7 * mean < n < 1.3 * mean for n in total.values())
+    assert all(len(c) >= 12 and len(set(c.values())) > 1 for c in by.values())  # a small source has few blocks
+
+
+def test_shards_are_written_in_shuffled_order(spark, tmp_path):
+    rows = [(i, "w " * (i % 20), "ab"[i % 2]) for i in range(500)] + [(7, "same text", "a")] * 300
+    mixed = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), keep=["doc_id"])
+    drawn(mixed).write.parquet(str(tmp_path / "mix"))
+    back = spark.read.parquet(str(tmp_path / "mix")).withColumn("file", F.input_file_name()).collect()
+    want = Counter((x.doc_id, d.shard, d.position) for x in mixed.collect() for d in x.draws)
+    assert Counter((x.doc_id, x.shard, x.position) for x in back) == want
+    files = defaultdict(list)
+    for x in back:
+        files[x.file].append((x.shard, x.position))
+    assert all(v == sorted(v) for v in files.values())
+    ids = [x.doc_id for x in sorted(back, key=lambda x: (x.shard, x.position))]
+    assert ids != sorted(ids)

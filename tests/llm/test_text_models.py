@@ -50,7 +50,9 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
         assert sorted(((x.doc_id, x.n_words, x.n_hit, tuple(sorted(x["items"]))) for x in got), key=str) == sorted(want, key=str)
         for x in got:
             assert sum(s.end - s.first for s in x.spans) == x.n_hit
-            assert all(a.end <= b.first for a, b in zip(x.spans, x.spans[1:], strict=False))
+            assert all(a.end <= b.first and a.to <= b["from"] for a, b in zip(x.spans, x.spans[1:], strict=False))
+            text = next((t or "").encode() for d, t in docs if d == x.doc_id and len(split(t)) == x.n_words)
+            assert all(len(split(text[s["from"] : s.to].decode())) == s.end - s.first for s in x.spans)
     assert contamination.decontaminate(df.where("false"), it).count() == 0
     assert {x.n_hit for x in contamination.decontaminate(df, it.where("false")).collect()} == {0}
 
@@ -281,3 +283,43 @@ def test_neighbours(spark, monkeypatch):
     assert hit >= 0.9 * n and not set(out) - set(ids.tolist())
     assert [g[1] for g in sorted(out[1000])] == [7, 1001, 1002, 1003, 1004]
     assert neighbours.nearest(df.where("false")).count() == 0
+
+
+def test_codes_bound_the_cosine():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 48)) ** 3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    code, scale, away = neighbours.codes(x)
+    near = (code * scale[:, None].astype(float)) @ (code * scale[:, None].astype(float)).T
+    assert (np.abs(near - x @ x.T) <= away[:, None] + (1 + away[:, None]) * away + 1e-9).all()
+
+
+def test_far_apart_and_scaled_vectors_are_found(spark):
+    rows = [(0, [1.0, 0.0]), (1, [-1.0, 0.001]), (2, [0.0, -1.0]), (50, [3.0, 4.0]), (51, [6.0, 8.0]), (52, [1.5, 2.0]), (53, [1.5, 2.0]), (100, [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = defaultdict(list)
+    for q in neighbours.nearest(df).collect():
+        out[q.query_id].append((q.rank, q.vec_id, q.score))
+    assert [g[1] for g in sorted(out[50])] == [51, 52, 53, 0, 1] and {g[2] for g in out[50] if g[0] <= 3} == {1.0}
+    assert [g[1] for g in sorted(out[0])] == [50, 51, 52, 53, 2] and 100 not in out
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_recall_against_brute_force(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
+    rows = df.select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    size = np.linalg.norm(x, axis=1)
+    hit = n = 0
+    out = defaultdict(list)
+    for q in neighbours.nearest(df).collect():
+        out[q.query_id].append((q.rank, q.vec_id, q.score))
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = (x @ x[i]) / (size * size[i])
+        s[i] = -9
+        top = ids[np.lexsort((ids, -s))[:5]]
+        got = sorted(out[ids[i]])
+        assert len(got) == 5 and all(abs(g[2] - s[ids == g[1]][0]) < 1e-12 for g in got)
+        hit += len({g[1] for g in got} & set(top.tolist()))
+        n += 5
+    assert hit >= 0.9 * n
