@@ -319,12 +319,12 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     cluster = components(near)
     cluster = cluster.unionByName(cluster.select(F.col("root").alias("u"), "root").distinct())
 
-    # what is wanted is written, so that its size is known: small, it is broadcast and no text but its own moves
+    # sorted and merged at every size, so that cost grows with the texts and never jumps
     own = cluster.select(F.col("u").alias("key"), F.col("root").alias("cluster")).join(classes.select("key", "n", "one"), "key")
     own = written(own.select("key", "cluster", "n", F.col("one.doc_id").alias("w_id"), F.col("one.text_hash").alias("w_hash"), F.col("one.bytes").alias("bytes")), "own")
     sizes = written(own.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CLUSTER_BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).alias("blocks")), "sizes")
     wanted = written(own.join(sizes, "cluster").select("key", "cluster", "n", "w_id", "w_hash", F.least("blocks", F.lit(1 << 30)).cast("int").alias("blocks")), "wanted")
-    texts = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))).select("key", "cluster", "n", "blocks", "text").dropDuplicates(["key"])  # a repeated row is one text
+    texts = base.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_hash") == F.col("w_hash"))).select("key", "cluster", "n", "blocks", "text").dropDuplicates(["key"])  # a repeated row is one text
     met = _blocks(texts.join(classes.select("key", "sig"), "key"), F.col("blocks")).repartition(parts, "cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
     links = written(met.select("cluster", "bi", "bj", "blk", "blocks", "key", "n", "sig", "text").mapInArrow(_verified(exact, k, need), "u binary, v binary, near_docs long, whole boolean"), "verified")
 
