@@ -4,9 +4,10 @@ Vectors are hashed by several tables of Gaussian projections cut into cells. A q
 table its own bucket and the neighbouring ones in order of their estimated success, the least sum of
 squared distances to the crossed cell borders first. Buckets meet their visitors in tasks, a large
 bucket in several parts. What travels there is no vector but a code of one byte a component, with the
-distance between the two: it bounds every cosine from below and above, and only candidates that the
-bounds rule out are left behind. The candidates of all tables are merged, and what is left is ranked by
-the exact cosine of the original vectors.
+distance between the two: it bounds every cosine from below and above. A query's nearest among a small
+sample of the index is a floor for its nearest of all, and only candidates that floor or bounds rule out
+are left behind. The candidates of all tables are merged, and what is left is ranked by the exact cosine
+of the original vectors.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ WIDTH = 1.5
 NEAREST = 5
 #: Distinct vectors of a bucket that one part holds at most.
 PART = 2048
-#: Candidates that a task holds before it returns them, and queries that one exact pass takes.
-HELD, EXACT = 200_000, 1024
+#: Entries that every query is compared with first, candidates that a task holds before it returns them,
+#: and queries that one exact pass takes.
+SAMPLE, HELD, EXACT = 2048, 200_000, 1024
 
 
 def _parameters(dim: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +96,13 @@ def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code, scale, np.nextafter(away.astype(np.float32), np.float32(9))
 
 
-def _hash(visits: bool):
-    """Rows of the index, one for each table, or a query's visits."""
+def _hash(visits: bool, sample: list[list[float]] = (), most: int = 1):
+    """Rows of the index, one for each table, or a query's visits, with the ``most``-th cosine in the sample."""
+    by_length: dict[int, list[list[float]]] = {}
+    for v in sample:
+        by_length.setdefault(len(v), []).append(v)
+    some = {n: np.array(vs, np.float64) for n, vs in by_length.items()}
+    some = {n: x / np.linalg.norm(x, axis=1, keepdims=True) for n, x in some.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,11 +125,15 @@ def _hash(visits: bool):
                         rows.append(np.full(len(steps), q))
                         bucket.append(_bucket(t, cell[q, cols] + steps))
                 code, scale, away = codes(unit)
+                floor = np.full(len(unit), -2.0)
+                if visits and len(some.get(dim, ())) >= most:
+                    score = unit @ some[dim].T
+                    floor = -np.partition(-score, most - 1, axis=1)[:, most - 1] - 1e-9
                 rows = np.concatenate(rows)
                 raw = np.array([c.tobytes() for c in code], object)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(bucket) ^ np.int64(dim)), pa.array(np.full(len(rows), visits)), part["rep"].take(pa.array(rows)), pa.array(raw[rows], pa.binary()), pa.array(scale[rows]), pa.array(away[rows])],
-                    names=["bucket", "visit", "rep", "code", "scale", "away"],
+                    [pa.array(np.concatenate(bucket) ^ np.int64(dim)), pa.array(np.full(len(rows), visits)), part["rep"].take(pa.array(rows)), pa.array(raw[rows], pa.binary()), pa.array(scale[rows]), pa.array(away[rows]), pa.array(floor[rows])],
+                    names=["bucket", "visit", "rep", "code", "scale", "away", "floor"],
                 )
 
     return run
@@ -150,6 +161,7 @@ def _search(most: int):
                 continue
             raw = t["code"].to_pylist()
             real = np.float32 if dim <= 1000 else np.float64  # sums of products of codes are exact
+            floor = t["floor"].to_numpy()
             code, scale, away, rep = (lambda i, r=real, n=int(dim): np.frombuffer(b"".join(raw[k] for k in i), np.int8).reshape(-1, n).astype(r)), t["scale"].to_numpy().astype(np.float64), t["away"].to_numpy().astype(np.float64), t["rep"].to_numpy()
             x = code(data)
             for a in range(0, len(asks), 256):
@@ -158,7 +170,7 @@ def _search(most: int):
                 off = away[q][:, None] + (1 + away[q][:, None]) * away[data] + 1e-9
                 low, high = score - off, score + off
                 edge = -np.partition(-low, most - 1, axis=1)[:, most - 1] if len(data) >= most else np.full(len(q), -np.inf)
-                i, j = np.nonzero(high >= edge[:, None])
+                i, j = np.nonzero(high >= np.maximum(edge, floor[q])[:, None])
                 yield rep[q][i], rep[data][j], low[i, j], high[i, j]
 
     def pruned(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
@@ -256,8 +268,9 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     asking = written(asking.join(entries, "same").where(F.col("own") == F.col("vec")).select(F.col("id").alias("query_id"), F.col("rep").alias("query"), "own"), "queries")
     asks = written(asking.groupBy("query").agg(F.first("own").alias("own")), "asks")
 
-    row = "bucket long, visit boolean, rep long, code binary, scale float, away float"
-    visits = asks.select(F.col("query").alias("rep"), F.col("own").alias("vec")).mapInArrow(_hash(True), row)
+    row = "bucket long, visit boolean, rep long, code binary, scale float, away float, floor double"
+    sample = [list(r["vec"]) for r in entries.select("vec", F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE).collect()]
+    visits = asks.select(F.col("query").alias("rep"), F.col("own").alias("vec")).mapInArrow(_hash(True, sample, most + 1), row)
     hashed = written(entries.select("rep", "vec").mapInArrow(_hash(False), row).unionByName(visits), "hashed")
     large = written(hashed.where("not visit").groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1"), "large")
     dealt = hashed.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
