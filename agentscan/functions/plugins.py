@@ -62,13 +62,11 @@ class ExplodeFindings:
     """Payload findings of one text, for use in SQL: SELECT * FROM t, LATERAL explode_findings(t.content)."""
 
     def eval(self, text: str):
-        from agentscan.operators.text import BOUNDARY, FRAME, TEXT_RULES, _first_unframed
+        from agentscan.operators.text import unframed
 
-        frame, boundary = re.compile(FRAME, re.ASCII), re.compile(BOUNDARY, re.ASCII)
         for n, line in enumerate((text or "").split("\n"), 1):
-            for check, patterns in TEXT_RULES.items():
-                if hit := _first_unframed(line.removesuffix("\r"), [re.compile(p, re.ASCII) for p in patterns], frame, boundary):
-                    yield n, check, hit[0] + 1, hit[1][:160]
+            for check, at, matched in unframed(line.removesuffix("\r")):
+                yield n, check, at + 1, matched[:160]
 
 
 def register(spark: SparkSession) -> None:

@@ -1,11 +1,16 @@
-"""Rules as one array-of-struct column: every line is scanned once, whatever the number of rules.
+"""Rules as one array-of-struct column: every text is scanned once, whatever the number of rules.
 
-A rule is data: an id, a severity, a pattern and an optional pattern that excuses a hit. Patterns keep
-to what Java's and RE2's expressions share, so that the same rule runs in Spark and in SQL oracles.
+A rule is data: an id, a severity, a pattern, an optional pattern that excuses a hit and one that paths
+must have. Patterns keep to what Java's and RE2's expressions share, so that the same rule runs in
+Spark and in SQL oracles. A pattern is tried only on texts that hold one of its literals, which are read
+from the pattern itself; this test runs on a text lowered once.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Iterable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -18,55 +23,137 @@ class Rule(NamedTuple):
     pattern: str
     name: str = ""
     exclude: str | None = None
+    path: str | None = None
 
 
-def hits(text: Column, rules: list[Rule]) -> Column:
-    """Array of (check_id, severity, name, matched) of the rules that match a text, in rule order."""
-    out = []
-    for r in rules:
-        found = text.rlike(r.pattern)
-        if r.exclude:
-            found = found & ~text.rlike(r.exclude)
-        out.append(F.when(found, F.struct(F.lit(r.check_id).alias("check_id"), F.lit(r.severity).alias("severity"), F.lit(r.name).alias("name"), F.regexp_extract(text, r.pattern, 0).alias("matched"))))
-    return F.filter(F.array(*out), lambda x: x.isNotNull())
+@functools.cache
+def literals(pattern: str) -> tuple[str, ...]:
+    """Lower-case texts of which every match of a pattern holds one; none if that can't be told.
+
+    Of a sequence the part with the longest literals is chosen, of alternatives all are needed. What may
+    be left out, classes of characters and look-around give none.
+    """
+    try:
+        tree = re._parser.parse(pattern)
+    except re.error:
+        return ()
+    return tuple(sorted(_needed(tree) or ()))
+
+
+def _needed(tree) -> set[str] | None:
+    best: set[str] | None = None
+    run = ""
+
+    def offer(found: set[str] | None) -> None:
+        nonlocal best
+        if found and min(map(len, found)) > (min(map(len, best)) if best else 1) and len(found) <= 40:
+            best = found
+
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL" and arg < 128:
+            run += chr(arg).lower()
+            continue
+        offer({run} if run else None)
+        run = ""
+        if kind == "SUBPATTERN":
+            offer(_needed(arg[-1]))
+        elif kind == "BRANCH":
+            parts = [_needed(x) for x in arg[1]]
+            offer(set().union(*parts) if all(parts) else None)
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and arg[0] > 0:
+            offer(_needed(arg[2]))
+    offer({run} if run else None)
+    return best
+
+
+def holds(text: Column, low: Column, pattern: str) -> Column:
+    """Whether a text matches; ``low`` is the text in lower case."""
+    found = text.rlike(pattern)
+    if words := literals(pattern):
+        some = F.contains(low, F.lit(words[0]))
+        for w in words[1:]:
+            some = some | F.contains(low, F.lit(w))
+        found = some & found
+    return found
 
 
-def any_of(rules: list[Rule]) -> str:
-    """One pattern that matches wherever some rule does: the cheap test before the single rules."""
-    return "|".join(f"(?:{r.pattern})" for r in rules)
+def lowered(text: Column, use) -> Column:
+    """``use(low)`` of a text's lower-case form, which is made once: the lambda's variable holds it."""
+    return F.transform(F.array(F.lower(text)), use)[0]
 
 
-def some_word(text: str, words: tuple[str, ...]) -> Column:
-    """Whether a text holds, in any case, one of some words: a search for literals, far cheaper than patterns."""
+def any_match(text: Column, patterns: Iterable[str]) -> Column:
+    """Whether a text matches some pattern."""
 
     def some(low: Column) -> Column:
-        found = F.contains(low, F.lit(words[0]))
-        for w in words[1:]:
-            found = found | F.contains(low, F.lit(w))
-        return found
+        out = None
+        for p in patterns:
+            out = holds(text, low, p) if out is None else out | holds(text, low, p)
+        return out
+
+    return F.coalesce(lowered(text, some), F.lit(False))
 
-    # the lambda's variable holds the lowered text, which would otherwise be made anew for each word
-    return F.coalesce(F.exists(F.array(F.lower(text)), some), F.lit(False))
 
+def hits(text: Column, rules: list[Rule], path: Column | None = None) -> Column:
+    """Array of (check_id, severity, name, matched) of the rules that match a text, in rule order."""
+
+    def found(low: Column) -> Column:
+        out = []
+        for r in rules:
+            is_hit = holds(text, low, r.pattern)
+            if r.path and path is not None:
+                is_hit = path.rlike(r.path) & is_hit
+            if r.exclude:
+                is_hit = is_hit & ~text.rlike(r.exclude)
+            out.append(F.when(is_hit, F.struct(F.lit(r.check_id).alias("check_id"), F.lit(r.severity).alias("severity"), F.lit(r.name).alias("name"), F.regexp_extract(text, r.pattern, 0).alias("matched"))))
+        return F.filter(F.array(*out), lambda x: x.isNotNull())
 
-def holding(df: DataFrame, text: str, words: tuple[str, ...]) -> DataFrame:
-    return df.where(some_word(text, words))
+    return lowered(text, found)
 
 
-def scan(df: DataFrame, text: str, rules: list[Rule], keep: list[str], words: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each rule that matches a row's text: ``keep``, check_id, severity, name, matched.
+def scan(df: DataFrame, text: str, rules: list[Rule], keep: list[str], path: str | None = None) -> DataFrame:
+    """One row for each rule that matches a row's text: ``keep``, check_id, severity, name, matched."""
+    return df.select(*keep, F.inline(hits(F.col(text), rules, F.col(path) if path else None)))
 
-    ``words``: literals, in lower case, of which every match of any rule holds one.
+
+def line_hits(df: DataFrame, text: str, rules: list[Rule], keep: list[str], path: str | None = None) -> DataFrame:
+    """``scan`` of lines: ``keep``, line_no (from 1), check_id, severity, name, matched.
+
+    A rule whose literals stand nowhere in a text costs one search of it; of the other rules' lines
+    only hits become rows, so no text is taken apart into rows.
     """
-    df = holding(df, text, words) if words else df.where(F.col(text).rlike(any_of(rules)))
-    return df.select(*keep, F.inline(hits(F.col(text), rules)))
+    none = F.array().cast("array<struct<line_no:int,check_id:string,severity:string,name:string,matched:string>>")
+
+    def on_lines(r: Rule, rows: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            is_hit = line.rlike(r.pattern)
+            if r.exclude:
+                is_hit = is_hit & ~line.rlike(r.exclude)
+            return F.when(is_hit, F.struct((i + 1).alias("line_no"), F.lit(r.check_id).alias("check_id"), F.lit(r.severity).alias("severity"), F.lit(r.name).alias("name"), F.regexp_extract(line, r.pattern, 0).alias("matched")))
+
+        return F.filter(F.transform(rows, one), lambda x: x.isNotNull())
 
+    def found(t: Column) -> Column:
+        out = []
+        for r in rules:
+            may = F.lit(True)
+            if words := literals(r.pattern):
+                may = F.contains(t["low"], F.lit(words[0]))
+                for w in words[1:]:
+                    may = may | F.contains(t["low"], F.lit(w))
+            if r.path and path:
+                may = F.col(path).rlike(r.path) & may
+            out.append(F.when(may, on_lines(r, t["rows"])).otherwise(none))
+        return F.flatten(F.array(*out))
 
-def scan_families(df: DataFrame, text: str, families: list[tuple[list[Rule], tuple[str, ...]]], keep: list[str]) -> DataFrame:
-    """``scan`` of several families of rules, each behind its own words, in one pass over the texts."""
-    found = [F.when(some_word(text, words), hits(F.col(text), rules)) for rules, words in families]
-    none = F.array().cast("array<struct<check_id:string,severity:string,name:string,matched:string>>")
-    return df.select(*keep, F.inline(F.concat(*[F.coalesce(f, none) for f in found])))
+    held = F.array(F.struct(F.lower(text).alias("low"), line_array(F.col(text)).alias("rows")))
+    return df.select(*keep, F.inline(F.transform(held, found)[0]))
+
+
+def line_array(text: Column) -> Column:
+    """The lines of a text, without the carriage return of a CRLF ending."""
+    return F.transform(F.split(text, "\n", -1), lambda x: F.when(F.endswith(x, F.lit("\r")), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(x))
 
 
 def lines(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -81,6 +168,10 @@ def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def sql_list(values) -> str:
+    return "[" + ", ".join(quoted(v) for v in values) + "]"
+
+
 def sql_lines(source: str, keep: str, text: str = "content") -> str:
     """SQL of ``lines`` over a relation."""
     return f"SELECT {keep}, unnest(generate_series(1, len(string_split({text}, chr(10)))))::INT AS line_no, regexp_replace(unnest(string_split({text}, chr(10))), '\\r$', '') AS line FROM {source}"
@@ -91,5 +182,6 @@ def sql_scan(source: str, text: str, rules: list[Rule], keep: str) -> str:
     parts = []
     for r in rules:
         excuse = f" AND NOT regexp_matches({text}, {quoted(r.exclude)})" if r.exclude else ""
+        excuse += f" AND regexp_matches(path, {quoted(r.path)})" if r.path else ""
         parts.append(f"SELECT {keep}, {quoted(r.check_id)} AS check_id, {quoted(r.severity)} AS severity, {quoted(r.name)} AS name, regexp_extract({text}, {quoted(r.pattern)}, 0) AS matched FROM {source} WHERE regexp_matches({text}, {quoted(r.pattern)}){excuse}")
     return "\nUNION ALL ".join(parts)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentscan.functions.rules import quoted
-from agentscan.sources.derived import read
+from agentscan.sources.derived import audit_log, payload_events, read
 
 #: Fixed values: (rule, event type, least value, severity, action); actions are labels, nothing is stopped.
 RULES = (("R1", "error", 0.0, "medium", "log"), ("R2", "error", 90.0, "high", "alert"), ("R3", "purchase", 95.0, "critical", "pause"), ("R4", "signup", 99.0, "critical", "kill"), ("R5", "click", 50.0, "low", "log"))
@@ -139,14 +139,13 @@ SELECT n.day, count(*) AS unknown, count(*) FILTER (b.user_id IS NULL) AS new FR
 
 def policy_rows(e: DataFrame) -> DataFrame:
     """Events whose payload can't be read become findings of the deny class, not dropped rows."""
-    raw = F.when(F.col("event_id") % 97 == 0, F.expr("left(props, 4)")).otherwise(F.col("props"))
-    parsed = F.from_json(raw, "k long, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    parsed = F.from_json("props", "k long, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     p = e.select("event_id", "event_type", parsed.alias("p"))
     return p.select("event_id", "event_type", F.col("p.k").alias("k"), F.when(F.col("p._corrupt_record").isNotNull(), "policy_parse_failure").otherwise("ok").alias("verdict"))
 
 
 def q_policy(spark, sf_dir):
-    return policy_rows(events(spark, sf_dir)).groupBy("event_type", "verdict").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+    return policy_rows(payload_events(spark, sf_dir)).groupBy("event_type", "verdict").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
 
 
 SQL_POLICY = "SELECT event_type, CASE WHEN event_id % 97 = 0 THEN 'policy_parse_failure' ELSE 'ok' END AS verdict, count(*) AS n, sum(CASE WHEN event_id % 97 <> 0 THEN json_extract(props, '$.k')::BIGINT END)::BIGINT AS k FROM events GROUP BY ALL"
@@ -172,15 +171,6 @@ round(avg(value) FILTER (attack AND alarm), 6) AS mean_time, quantile_disc(value
 round(count(*) FILTER (attack AND alarm) / nullif(count(*) FILTER (attack), 0), 6) AS detection_rate, round(count(*) FILTER (NOT attack AND alarm) / nullif(count(*) FILTER (NOT attack), 0), 6) AS false_positive_rate FROM e GROUP BY day"""
 
 
-def chained(e: DataFrame) -> DataFrame:
-    """An audit log of the events: each row holds the hash of the row before; some rows were altered later."""
-    raw = F.concat_ws("|", "event_id", "user_id", "event_type", F.round(F.col("value") * 100).cast("long"))
-    log = e.select(F.col("event_id").alias("seq"), raw.alias("raw"))
-    before = log.select((F.col("seq") + 1).alias("seq"), F.sha2("raw", 256).alias("prev_hash"))
-    kept = F.when(F.col("seq") % 1000 == 7, F.concat("raw", F.lit("!"))).otherwise(F.col("raw"))
-    return log.join(before, "seq", "left").select("seq", kept.alias("raw"), F.coalesce("prev_hash", F.repeat(F.lit("0"), 64)).alias("prev_hash"))
-
-
 def chain_breaks(log: DataFrame) -> DataFrame:
     """Rows (seq, raw, prev_hash) that don't continue the row before, or that have none.
 
@@ -195,12 +185,15 @@ def chain_breaks(log: DataFrame) -> DataFrame:
 
 
 def q_hash_chain(spark, sf_dir):
-    return chain_breaks(chained(events(spark, sf_dir)))
+    """All breaks, and the first of them once more as such."""
+    breaks = chain_breaks(audit_log(spark, sf_dir))
+    first = breaks.agg(F.min("seq").alias("seq")).where("seq is not null").select("seq", F.lit("first").alias("kind"))
+    return breaks.unionByName(first)
 
 
 SQL_HASH = """WITH l AS (SELECT event_id AS seq, concat_ws('|', event_id, user_id, event_type, round(value * 100)::BIGINT) AS raw0 FROM events),
 p AS (SELECT seq, CASE WHEN seq % 1000 = 7 THEN raw0 || '!' ELSE raw0 END AS raw, coalesce(sha256(lag(raw0) OVER (ORDER BY seq)), repeat('0', 64)) AS prev_hash FROM l),
-w AS (SELECT seq, prev_hash, sha256(lag(raw) OVER (ORDER BY seq)) AS want FROM p) SELECT seq, 'hash' AS kind FROM w WHERE want <> prev_hash"""
+w AS (SELECT seq, prev_hash, sha256(lag(raw) OVER (ORDER BY seq)) AS want FROM p), b AS (SELECT seq FROM w WHERE want <> prev_hash) SELECT seq, 'hash' AS kind FROM b UNION ALL SELECT min(seq), 'first' FROM b"""
 
 QUERIES = {
     "event_rule_matches": (q_matches, SQL_MATCHES),

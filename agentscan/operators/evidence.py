@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from agentscan.functions.rules import Rule, lines, quoted, scan, sql_lines, sql_scan
 from agentscan.operators.profiles import SQL_INTENT, SQL_TYPES, q_intent, typed
-from agentscan.operators.scoring import SQL_CAT, SQL_FINDINGS, catalogued, findings
-from agentscan.sources.derived import SQL_ARTIFACTS, artifacts, pick, read, sql_pick
+from agentscan.operators.scoring import _W, DECAY, SQL_CAT, SQL_FINDINGS, catalogued, findings, weight
+from agentscan.sources.derived import SQL_ARTIFACTS, SQL_RESPONSES, SQL_SKILL_FILES, artifacts, read, responses, skill_files
 
 CLAUSE = "[.;!?]+(?:\\s|$)| but | however "
 
@@ -69,13 +69,15 @@ SURFACES = [
     Rule("credential-harvest", "0.8", r"~/\.(?:ssh|aws|kube)", "CRED-HARVEST"),
     Rule("exfiltration", "0.8", r"(?i)webhook\.site|requestbin|ngrok\.io", "DATA-EXFIL"),
     Rule("scanner-evasion", "0.6", r"(?i)do not flag", "EVASION"),
+    Rule("remote-instructions", "0.85", r"(?i)heartbeat [^\n]{0,80}fetch http", "REMOTE-INSTRUCT"),
+    Rule("timed-callback", "0.6", r"(?i)(?:setInterval|every \d+\s*[ms]\b)[^\n]{0,80}(?:fetch|curl|post)", "SKILL-EXEC"),
+    Rule("bulk-export", "0.75", r"(?i)\b(?:export|dump|forward) (?:all|every)\b", "DATA-EXFIL"),
+    Rule("install-hook", "0.7", r"\"(?:pre|post)install\"\s*:", "SUPPLY"),
     Rule("reverse-shell", "0.95", r"/dev/(?:tcp|udp)/", "SKILL-EXEC"),
 ]
-SURFACE_WORDS = ("ignore all", "[system", "im_start", "eval", "pickle", "curl", "wget", "~/.", "webhook", "requestbin", "ngrok", "do not flag", "/dev/")
-
 
 def risk_surfaces(spark, sf_dir):
-    s = scan(artifacts(spark, sf_dir), "content", SURFACES, ["project_id", "path"], SURFACE_WORDS)
+    s = scan(artifacts(spark, sf_dir), "content", SURFACES, ["project_id", "path"])
     return s.select("project_id", "path", F.col("check_id").alias("surface"), F.col("name").alias("attack_class"), F.col("severity").cast("double").alias("confidence"), F.substring("matched", 1, 80).alias("evidence"))
 
 
@@ -127,7 +129,7 @@ SELECT check_id, n, coalesce((SELECT arg_max(severity, length(prefix)) FROM t WH
 
 def q_located(spark, sf_dir):
     """Line of each file finding, from a trigger that occurs exactly once in the text."""
-    f = scan(artifacts(spark, sf_dir), "content", SURFACES, ["path", "content"], SURFACE_WORDS)
+    f = scan(artifacts(spark, sf_dir), "content", SURFACES, ["path", "content"])
     once = F.size(F.expr("split(content, concat('\\\\Q', matched, '\\\\E'), -1)")) == 2
     line = F.length(F.expr("substring_index(content, matched, 1)")) - F.length(F.replace(F.expr("substring_index(content, matched, 1)"), F.lit("\n"), F.lit(""))) + 1
     return f.where(F.length("matched") >= 8).select("path", F.col("check_id").alias("surface"), F.when(once, line).alias("line_no"))
@@ -136,30 +138,29 @@ def q_located(spark, sf_dir):
 SQL_LOCATED = f"""WITH {SQL_ARTIFACTS}, h AS ({sql_scan('artifacts', 'content', SURFACES, 'path, content')})
 SELECT path, check_id AS surface, CASE WHEN len(string_split(content, matched)) = 2 THEN len(string_split(string_split(content, matched)[1], chr(10)))::INT END AS line_no FROM h WHERE length(matched) >= 8"""
 
-#: Front matter of skill files, with the id where % stands.
-HEADS = ("---\nname: skill-%\nversion: 1.%.0\ntools: [read, send]\ncapabilities:\n  - network:outbound\n---", "---\nname: acme/tool-%\npermissions: [filesystem:*, shell:exec]\n---", "no front matter %", "---\nname: helper-%\nversion: 0.%\ndependencies: [skill-1, skill-2]\n---")
-
-
-def skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.col("source").alias("project_id"), F.concat_ws("\n", F.replace(pick(HEADS, F.col("doc_id")), F.lit("%"), F.col("doc_id").cast("string")), "text").alias("content"))
-
-
-_SKILLS = f"skills AS (SELECT doc_id AS id, source AS project_id, concat_ws(chr(10), replace({sql_pick(HEADS, 'doc_id')}, '%', doc_id::VARCHAR), text) AS content FROM documents)"
 _FRONT = r"(?s)^---\n(.*?)\n---"
 
 
 def front_matter(df: DataFrame) -> DataFrame:
-    """Name, publisher, version and lists of skill files' front matter; nulls where there is none."""
+    """Name, publisher, version and lists, inline or of bullets, of skill files' front matter; nulls where there is none."""
     head = F.regexp_extract("content", _FRONT, 1)
     field = lambda k: F.nullif(F.regexp_extract(head, f"(?m)^{k}:[ ]*([^\\n\\[]+)$", 1), F.lit(""))
-    listed = lambda k: F.nullif(F.regexp_replace(F.regexp_extract(head, f"(?m)^{k}:[ ]*\\[([^\\]]*)\\]", 1), ",\\s+", ","), F.lit(""))
+
+    def listed(k: str):
+        inline = F.regexp_replace(F.regexp_extract(head, f"(?m)^{k}:[ ]*\\[([^\\]]*)\\]", 1), ",\\s+", ",")
+        bullets = F.array_join(F.regexp_extract_all(F.regexp_extract(head, f"(?m)^{k}:[ ]*((?:\\n[ ]*- [^\\n]*)+)", 1), F.lit("(?m)^[ ]*- ([^\\n]*)$"), F.lit(1)), ",")
+        return F.coalesce(F.nullif(inline, F.lit("")), F.nullif(bullets, F.lit(""))).alias(k)
+
     name = field("name")
-    return df.select("id", name.alias("name"), F.nullif(F.regexp_extract(name, "^([^/]+)/", 1), F.lit("")).alias("publisher"), field("version").alias("version"), listed("tools").alias("tools"), listed("permissions").alias("permissions"), listed("dependencies").alias("dependencies"))
+    return df.select("id", name.alias("name"), F.nullif(F.regexp_extract(name, "^([^/]+)/", 1), F.lit("")).alias("publisher"), field("version").alias("version"), *[listed(k) for k in LISTS])
+
+
+#: Lists of front matter.
+LISTS = ("tools", "permissions", "capabilities", "dependencies")
 
 
 def q_front(spark, sf_dir):
-    return front_matter(skills(spark, sf_dir))
+    return front_matter(skill_files(spark, sf_dir))
 
 
 def _sf(k):
@@ -167,15 +168,17 @@ def _sf(k):
 
 
 def _sl(k):
-    return f"nullif(regexp_replace(regexp_extract(h, '(?m)^{k}:[ ]*\\[([^\\]]*)\\]', 1), ',\\s+', ',', 'g'), '') AS {k}"
+    inline = f"regexp_replace(regexp_extract(h, '(?m)^{k}:[ ]*\\[([^\\]]*)\\]', 1), ',\\s+', ',', 'g')"
+    bullets = f"array_to_string(regexp_extract_all(regexp_extract(h, '(?m)^{k}:[ ]*((?:\\n[ ]*- [^\\n]*)+)', 1), '(?m)^[ ]*- ([^\\n]*)$', 1), ',')"
+    return f"coalesce(nullif({inline}, ''), nullif({bullets}, '')) AS {k}"
 
 
-SQL_FRONT = f"WITH {_SKILLS}, h AS (SELECT id, regexp_extract(content, '{_FRONT}', 1) AS h FROM skills) SELECT id, {_sf('name')} AS name, nullif(regexp_extract({_sf('name')}, '^([^/]+)/', 1), '') AS publisher, {_sf('version')} AS version, {_sl('tools')}, {_sl('permissions')}, {_sl('dependencies')} FROM h"
+SQL_FRONT = f"WITH {SQL_SKILL_FILES}, h AS (SELECT id, regexp_extract(content, '{_FRONT}', 1) AS h FROM skill_files) SELECT id, {_sf('name')} AS name, nullif(regexp_extract({_sf('name')}, '^([^/]+)/', 1), '') AS publisher, {_sf('version')} AS version, {', '.join(_sl(k) for k in LISTS)} FROM h"
 
 
 def q_skill_risk(spark, sf_dir):
     """Risk of skills from publisher, permissions and a revocation list (skills of returned orders' customers)."""
-    f = front_matter(skills(spark, sf_dir))
+    f = front_matter(skill_files(spark, sf_dir))
     revoked = read(spark, sf_dir, "customer").where("c_custkey % 10 = 1").select(F.col("c_custkey").alias("id"), F.lit(True).alias("revoked"))
     perms = F.coalesce("permissions", F.lit(""))
     risk = F.when(F.col("revoked"), "blocked").when(perms.rlike("shell:|filesystem:\\*"), "high").when(F.col("name").isNull(), "unknown").when(F.col("publisher").isNull(), "medium").otherwise("low")
@@ -211,17 +214,58 @@ SQL_CARDS = f"""WITH t AS ({SQL_TYPES}), {SQL_ARTIFACTS}, h AS (SELECT project_i
 SELECT a.project_id, count(DISTINCT artifact_type) AS types, any_value(h.hosts) AS hosts, any_value(h.first_host) AS first_host, count(*) FILTER (regexp_matches(content, '(?i)\\b(?:rm -rf|drop table|os\\.system|exec)\\b')) AS destructive_files FROM artifacts a JOIN t USING (path) LEFT JOIN h ON h.project_id = a.project_id GROUP BY a.project_id"""
 
 
+#: Paths that are probed, and the shapes of what they must not serve.
+SSE_PATHS = ("/sse", "/events", "/mcp/sse", "/mcp/events")
+TOOLS_PATHS = ("/tools", "/list", "/mcp/tools", "/mcp/list")
+CONFIG_PATHS = ("/.env", "/mcp.json", "/.cursor/mcp.json", "/.vscode/mcp.json", "/.claude/settings.json", "/openclaw.json")
+CLAUDE_PATHS = ("/CLAUDE.md", "/.claude/CLAUDE.md")
+SERVED_KEY = r"sk-ant-api\d{2}-[a-zA-Z0-9_-]{6,}|sk-proj-[a-zA-Z0-9]{6,}|sk-[a-zA-Z0-9]{20,}|AKIA[0-9A-Z]{16}|ghp_[a-zA-Z0-9]{36}|github_pat_[a-zA-Z0-9]{22}_[a-zA-Z0-9]{59}"
+HTML, DOTENV, OBJECT, TOOLS, MISSING = r"(?i)<html|<!doctype", r"^[A-Z][A-Z0-9_]*=", r"^\s*\{", r"\"tools\"\s*:\s*\[", "/missing-by-intent"
+
+
+def served(r: DataFrame) -> DataFrame:
+    """Findings of captured responses (host, path, status, content_type, body).
+
+    A host that answers a path that doesn't exist with 200 gives a baseline; what equals it is no exposure.
+    """
+    base = r.where((F.col("path") == MISSING) & (F.col("status") == 200)).groupBy("host").agg(F.min("body").alias("baseline"))
+    ok = F.col("status") == 200
+    own = ~F.coalesce(F.col("body") == F.col("baseline"), F.lit(False))
+    shape = F.when(F.col("path") == "/.env", F.col("body").rlike(DOTENV)).otherwise(F.col("body").rlike(OBJECT))
+    checks = (
+        ("MCP-SSE", "critical", F.col("path").isin(*SSE_PATHS) & ok & F.contains("content_type", F.lit("text/event-stream"))),
+        ("MCP-TOOLS", "critical", F.col("path").isin(*TOOLS_PATHS) & ok & F.col("body").rlike(TOOLS)),
+        ("CONFIG-EXPOSED", "critical", F.col("path").isin(*CONFIG_PATHS) & ok & shape & own),
+        ("CLAUDE-MD-EXPOSED", "high", F.col("path").isin(*CLAUDE_PATHS) & ok & ~F.col("body").rlike(HTML) & own),
+        ("API-KEY-EXPOSED", "critical", (F.col("path") == "/") & F.col("body").rlike(SERVED_KEY)),
+    )
+    found = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(i).alias("check_id"), F.lit(s).alias("severity"))) for i, s, c in checks]))
+    return r.join(base, "host", "left").select("page_id", "host", "path", F.inline(found))
+
+
+def q_served(spark, sf_dir):
+    return served(responses(spark, sf_dir))
+
+
+_IN = lambda c, v: f"{c} IN ({', '.join(map(quoted, v))})"
+SQL_SERVED = f"""{SQL_RESPONSES}, base AS (SELECT host, min(body) AS baseline FROM responses WHERE path = '{MISSING}' AND status = 200 GROUP BY host), r AS (SELECT responses.*, coalesce(body <> baseline, true) AS own FROM responses LEFT JOIN base USING (host)),
+served AS (SELECT page_id, host, path, 'MCP-SSE' AS check_id, 'critical' AS severity FROM r WHERE {_IN("path", SSE_PATHS)} AND status = 200 AND contains(content_type, 'text/event-stream')
+UNION ALL SELECT page_id, host, path, 'MCP-TOOLS', 'critical' FROM r WHERE {_IN("path", TOOLS_PATHS)} AND status = 200 AND regexp_matches(body, {quoted(TOOLS)})
+UNION ALL SELECT page_id, host, path, 'CONFIG-EXPOSED', 'critical' FROM r WHERE {_IN("path", CONFIG_PATHS)} AND status = 200 AND own AND CASE WHEN path = '/.env' THEN regexp_matches(body, {quoted(DOTENV)}) ELSE regexp_matches(body, {quoted(OBJECT)}) END
+UNION ALL SELECT page_id, host, path, 'CLAUDE-MD-EXPOSED', 'high' FROM r WHERE {_IN("path", CLAUDE_PATHS)} AND status = 200 AND own AND NOT regexp_matches(body, {quoted(HTML)})
+UNION ALL SELECT page_id, host, path, 'API-KEY-EXPOSED', 'critical' FROM r WHERE path = '/' AND regexp_matches(body, {quoted(SERVED_KEY)}))"""
+
+
 def q_exposure(spark, sf_dir):
-    """Captured responses of hosts: what they serve that they shouldn't, and an exposure score with its grade."""
-    p = read(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"), F.col("page_id").alias("id"), F.startswith(F.col("url"), F.lit("http://")).alias("plain"), F.col("html").rlike("(?i)token = \"|api[_-]?key").alias("key"))
-    found = F.array_compact(F.array(F.when(F.col("plain"), F.struct(F.lit("NET-002").alias("check_id"), F.lit(10.0).alias("w"))), F.when(F.col("key"), F.struct(F.lit("API-KEY-EXPOSED").alias("check_id"), F.lit(25.0).alias("w"))), F.when(F.col("id") % 17 == 0, F.struct(F.lit("CONFIG-EXPOSED").alias("check_id"), F.lit(15.0).alias("w")))))
-    g = p.groupBy("host").agg(F.sum(F.aggregate(F.transform(found, lambda x: x["w"]), F.lit(0.0), lambda a, b: a + b)).alias("w"), F.sum(F.size(found)).alias("n"))
-    score = F.floor(100 * F.exp(-F.col("w") / 150) + 0.5).cast("int")
+    """Exposure of hosts: a score from the severities of what they serve, with its grade; hosts without findings have 100."""
+    r = responses(spark, sf_dir)
+    f = served(r).groupBy("host").agg(F.sum(weight(F.col("severity"))).alias("w"), F.count("*").alias("n"))
+    g = r.select("host").distinct().join(f, "host", "left").fillna(0, ["w", "n"])
+    score = F.floor(100 * F.exp(-F.col("w") / DECAY) + 0.5).cast("int")
     return g.select("host", "n", score.alias("score"), F.when(score >= 90, "A").when(score >= 80, "B").when(score >= 70, "C").when(score >= 60, "D").otherwise("F").alias("grade"))
 
 
-SQL_EXPOSURE = """WITH p AS (SELECT regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, starts_with(url, 'http://')::INT AS a, regexp_matches(html, '(?i)token = "|api[_-]?key')::INT AS b, (page_id % 17 = 0)::INT AS c FROM pages),
-g AS (SELECT host, sum(a + b + c)::BIGINT AS n, floor(100 * exp(-sum(a * 10.0::DOUBLE + b * 25 + c * 15) / 150) + 0.5)::INT AS score FROM p GROUP BY host)
+SQL_EXPOSURE = f"""WITH {SQL_SERVED}, g AS (SELECT h.host, count(check_id) AS n, floor(100 * exp(-coalesce(sum({_W}), 0)::DOUBLE / {DECAY}) + 0.5)::INT AS score FROM (SELECT DISTINCT host FROM responses) h LEFT JOIN served ON served.host IS NOT DISTINCT FROM h.host GROUP BY h.host)
 SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM g"""
 
 
@@ -239,12 +283,12 @@ v AS (SELECT *, CASE WHEN c >= 2 OR f / n > 0.3 THEN 'malicious' WHEN f > 0 THEN
 
 def q_summary(spark, sf_dir):
     """Scan summary of projects, unmeasured files left out: files, findings, classes and worst severity."""
-    a = artifacts(spark, sf_dir).where(F.octet_length("content") <= 20000).groupBy("project_id").agg(F.count("*").alias("files"))
+    a = artifacts(spark, sf_dir).where("not unread").groupBy("project_id").agg(F.count("*").alias("files"))
     f = catalogued(findings(spark, sf_dir)).groupBy("project_id").agg(F.count("*").alias("findings"), F.array_join(F.array_sort(F.collect_set("attack_class")), ",").alias("classes"), F.max(F.when(F.col("severity") == "critical", 4).when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)).alias("worst"))
     return a.join(f, "project_id", "left")
 
 
-SQL_SUMMARY = f"""WITH {SQL_CAT}, a AS (SELECT project_id, count(*) AS files FROM artifacts WHERE strlen(content) <= 20000 GROUP BY 1), f AS (SELECT project_id, count(*) AS findings, array_to_string(list_sort(list(DISTINCT attack_class)), ',') AS classes, max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)::INT AS worst FROM cat GROUP BY 1) SELECT * FROM a LEFT JOIN f USING (project_id)"""
+SQL_SUMMARY = f"""WITH {SQL_CAT}, a AS (SELECT project_id, count(*) AS files FROM artifacts WHERE NOT unread GROUP BY 1), f AS (SELECT project_id, count(*) AS findings, array_to_string(list_sort(list(DISTINCT attack_class)), ',') AS classes, max(CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END)::INT AS worst FROM cat GROUP BY 1) SELECT * FROM a LEFT JOIN f USING (project_id)"""
 
 QUERIES = {
     "credential_harvest": (q_harvest, SQL_HARVEST),
@@ -259,6 +303,7 @@ QUERIES = {
     "skill_risk": (q_skill_risk, SQL_SKILL_RISK),
     "asff_batches": (q_asff, SQL_ASFF),
     "profile_cards": (q_cards, SQL_CARDS),
+    "served_findings": (q_served, f"WITH {SQL_SERVED} SELECT * FROM served"),
     "exposure_score": (q_exposure, SQL_EXPOSURE),
     "probe_verdicts": (q_probes, SQL_PROBES),
     "scan_summary": (q_summary, SQL_SUMMARY),

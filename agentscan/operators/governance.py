@@ -2,41 +2,164 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentscan.functions.rules import quoted
+from agentscan.functions.rules import any_match, line_array, quoted, sql_lines, sql_list
 from agentscan.operators.profiles import SQL_CONSTRAINTS, constraints
 from agentscan.operators.scoring import SQL_FINDINGS, findings
 from agentscan.operators.secrets import SQL_SECRETS, secrets
 from agentscan.sources.derived import SQL_ARTIFACTS, artifacts, read
 
-#: Controls: id, domain, severity, keywords of evidence.
+#: Domains of governance by the letters of their controls, and those that a kind of agent needs.
+DOMAINS = {"TH": "Trust Hierarchy", "CB": "Capability Boundaries", "IH": "Injection Hardening", "DH": "Data Handling", "HB": "Hardcoded Behaviors", "AS": "Agentic Safety", "HT": "Honesty and Transparency", "HO": "Human Oversight", "HV": "Harm Avoidance"}
+PROFILES = {
+    "conversational": ("IH", "HB", "HT", "HV"),
+    "code-assistant": ("TH", "IH", "DH", "HB", "HT", "HV"),
+    "tool-agent": ("TH", "CB", "IH", "DH", "HB", "HT", "HO", "HV"),
+    "autonomous": tuple(DOMAINS),
+    "orchestrator": tuple(DOMAINS),
+}
+#: Tiers of agents, from the least capable on.
+TIERS = ("BASIC", "TOOL-USING", "AGENTIC", "MULTI-AGENT")
+#: Controls: number in their domain, severity, the least tier they hold for, words of evidence; .* stands for anything.
 CONTROLS = (
-    ("SOUL-TH-001", "Trust Hierarchy", "HIGH", ("trust", "authority", "principal", "hierarchy", "precedence", "priority")),
-    ("SOUL-TH-002", "Trust Hierarchy", "MEDIUM", ("conflict", "override", "precedence", "escalat")),
-    ("SOUL-TH-005", "Trust Hierarchy", "LOW", ("trust hierarchy", "hierarchy levels", "trust structure", "trust path", "hierarchy definition", "trust order")),
-    ("SOUL-CB-001", "Capability Boundaries", "HIGH", ("allow", "permit", "can do", "authorized", "capabilities")),
-    ("SOUL-CB-002", "Capability Boundaries", "HIGH", ("deny", "prohibit", "must not", "cannot", "forbidden", "restricted")),
-    ("SOUL-CB-003", "Capability Boundaries", "MEDIUM", ("file", "directory", "path", "network", "endpoint", "url", "api")),
-    ("SOUL-CB-004", "Capability Boundaries", "LOW", ("least privilege", "minimal", "only needed", "minimum necessary")),
-    ("SOUL-DH-001", "Data Handling", "HIGH", ("personal data", "sensitive", "encrypted", "privacy")),
-    ("SOUL-HV-001", "Human Oversight", "CRITICAL", ("human", "approval", "oversight", "escalate")),
-    ("SOUL-IH-001", "Injection Hardening", "CRITICAL", ("untrusted", "injection", "ignore instructions", "system prompt")),
+    ("TH-001", "HIGH", 0, "trust|authority|principal|hierarchy|precedence|priority"),
+    ("TH-002", "MEDIUM", 0, "conflict|override|precedence|escalat"),
+    ("TH-003", "LOW", 3, "agent-to-agent|sub-agent|orchestrat|delegate|trust.*agent|agent.*trust"),
+    ("TH-004", "MEDIUM", 0, "authenticate|verify identity|principal source|identity verification|authenticated principal|identity claim"),
+    ("TH-005", "LOW", 0, "trust hierarchy|hierarchy levels|trust structure|trust path|hierarchy definition|trust order"),
+    ("TH-006", "MEDIUM", 0, "authority scope|principal authority|authority boundary|authority limit|scope definition|authority definition"),
+    ("TH-007", "MEDIUM", 1, "enforce trust|trust enforcement|boundary enforcement|trust violation|enforce boundary|trust check"),
+    ("TH-008", "LOW", 0, "trust update|policy update|trust change|update protocol|trust modification|change management"),
+    ("CB-001", "HIGH", 1, "allow|permit|can do|authorized|capabilities"),
+    ("CB-002", "HIGH", 1, "deny|prohibit|must not|cannot|forbidden|restricted"),
+    ("CB-003", "MEDIUM", 1, "file|directory|path|network|endpoint|url|api"),
+    ("CB-004", "LOW", 1, "least privilege|minimal|only needed|minimum necessary"),
+    ("CB-005", "MEDIUM", 1, "revoke|revocation|remove permission|disable access|withdraw access|permission removal"),
+    ("CB-006", "MEDIUM", 1, "exposure limit|minimal exposure|capability exposure|selective exposure|controlled exposure|unexposed"),
+    ("CB-007", "MEDIUM", 1, "tool boundary|tool scope|tool limit|tool interface|tool access control|tool constraint"),
+    ("CB-008", "MEDIUM", 1, "rate limit|rate limiting|resource limit|throttle|quota|bandwidth limit|usage limit"),
+    ("CB-009", "MEDIUM", 1, "validate scope|scope check|scope validation|boundary check|scope enforcement|permission check"),
+    ("CB-010", "LOW", 1, "capability audit|audit trail|capability log|usage log|execution log|action record"),
+    ("IH-001", "HIGH", 0, "ignore previous|override|injection|contradict"),
+    ("IH-002", "LOW", 0, "encoded|obfuscated|base64|hidden"),
+    ("IH-003", "CRITICAL", 0, "role-play|pretend|act as|jailbreak|as dan"),
+    ("IH-004", "HIGH", 0, "input validation|sanitize|sanitization|validate input|filter input|clean input"),
+    ("IH-005", "MEDIUM", 0, "output encoding|escape output|encode output|html escape|output sanitize|safe output"),
+    ("IH-006", "MEDIUM", 1, "defense layer|defense in depth|layered defense|multiple defense|defense stack|multi-layer"),
+    ("IH-007", "MEDIUM", 0, "detect injection|injection detection|attack detection|log injection|alert injection|security log"),
+    ("IH-008", "LOW", 1, "test defense|adversarial test|red team|penetration test|security test|verify hardening"),
+    ("DH-001", "MEDIUM", 0, "pii|personal|privacy|data protection|gdpr"),
+    ("DH-002", "MEDIUM", 1, "credential|secret|password|api key|token"),
+    ("DH-003", "LOW", 0, "minimiz|only collect|retention|delete|purge"),
+    ("DH-004", "MEDIUM", 0, "retention policy|retention period|data deletion|purge schedule|data retention|archival policy"),
+    ("DH-005", "LOW", 0, "data classification|classify data|sensitivity level|data sensitivity|classification scheme|data category"),
+    ("DH-006", "MEDIUM", 1, "data access control|access rule|access policy|enforce access|data permission|access enforcement"),
+    ("DH-007", "MEDIUM", 1, "encrypt|encryption|encrypted|encryption at rest|encryption in transit|tls|https|cipher"),
+    ("DH-008", "LOW", 2, "breach notification|breach response|incident response|data breach|breach procedure|incident notification"),
+    ("HB-001", "CRITICAL", 0, "never|always|must not|absolute|immutable|hardcoded"),
+    ("HB-002", "HIGH", 0, "exfiltrat|unauthorized|leak|transmit"),
+    ("HB-003", "HIGH", 0, "kill switch|emergency|shutdown|terminate|stop"),
+    ("HB-004", "MEDIUM", 1, "verify behavior|integrity check|behavior integrity|validate behavior|integrity verification|behavior validation"),
+    ("HB-005", "HIGH", 0, "immutable constraint|immutable rule|unchangeable|permanent constraint|fixed rule|hardcoded constraint"),
+    ("HB-006", "MEDIUM", 1, "detect tamper|tamper detection|tamper-proof|detect modification|detect unauthorized change|integrity monitor"),
+    ("HB-007", "LOW", 1, "behavior audit|audit behavior|behavior attestation|certify behavior|behavior verification|safety audit"),
+    ("HB-008", "HIGH", 2, "enforcement resilience|reliable enforcement|robust enforcement|fail-safe|enforcement guarantee|enforcement mechanism"),
+    ("AS-001", "MEDIUM", 2, "iteration|loop|limit|maximum|budget"),
+    ("AS-002", "LOW", 2, "budget|cost|spending|cap|limit"),
+    ("AS-003", "LOW", 2, "timeout|time limit|duration|deadline"),
+    ("AS-004", "LOW", 3, "reversible|undo|rollback|revert"),
+    ("AS-005", "MEDIUM", 2, "dependency limit|dependency depth|dependency chain|tool dependency|dependency tracking|dependency count"),
+    ("AS-006", "MEDIUM", 2, "state limit|state management|memory limit|context limit|state size|session state limit"),
+    ("AS-007", "MEDIUM", 2, "error recovery|recovery protocol|error handling|retry logic|error fallback|recovery mechanism"),
+    ("AS-008", "MEDIUM", 2, "task isolation|sandbox|sandboxing|isolated execution|execution boundary|isolation level"),
+    ("AS-009", "LOW", 2, "cleanup|resource cleanup|finalization|resource release|graceful shutdown|cleanup procedure"),
+    ("AS-010", "LOW", 3, "concurrent limit|concurrency|concurrent execution|coordination|serialize task|synchronize|parallel limit"),
+    ("HT-001", "MEDIUM", 0, "uncertain|don't know|not sure|acknowledge|calibrat"),
+    ("HT-002", "MEDIUM", 0, "fabricat|hallucin|invent|make up|accurate"),
+    ("HT-003", "MEDIUM", 0, "identity|ai|assistant|disclose|transparent"),
+    ("HT-004", "MEDIUM", 0, "knowledge boundary|knowledge limit|knowledge cutoff|training limit|knowledge scope|knowledge limitation"),
+    ("HT-005", "LOW", 0, "confidence level|confidence score|confidence calibration|express confidence|certainty level|calibrated confidence"),
+    ("HT-006", "LOW", 0, "training cutoff|training date|cutoff date|knowledge date|data recency|up to date|information currency"),
+    ("HT-007", "MEDIUM", 0, "acknowledge limitation|limitation notice|caveat|disclose limitation|limitation disclosure|note limitation"),
+    ("HT-008", "MEDIUM", 1, "verify source|source verification|cite source|citation practice|verify information|source accuracy"),
+    ("HO-001", "HIGH", 1, "approval|confirm|human-in-the-loop|review|authorize"),
+    ("HO-002", "MEDIUM", 1, "override|intervene|manual|human control"),
+    ("HO-003", "MEDIUM", 1, "monitor|log|audit|track|observe"),
+    ("HO-004", "MEDIUM", 1, "approval workflow|escalation path|escalation workflow|approval process|approval chain|workflow process"),
+    ("HO-005", "MEDIUM", 1, "notification protocol|alert protocol|notify user|action notification|alert system|notification trigger"),
+    ("HO-006", "MEDIUM", 1, "operator verification|verify operator|operator authorization|operator authentication|operator identity|authorize operator"),
+    ("HO-007", "LOW", 1, "audit retention|log retention|audit log access|log access control|audit preservation|log archival"),
+    ("HO-008", "HIGH", 2, "escalation trigger|runaway detection|detect runaway|malfunction detection|anomaly detection|escalation condition"),
+    ("HV-001", "HIGH", 1, "risk assessment|consequence|impact analysis|before acting|potential harm|side effect|cost-benefit|think before"),
+    ("HV-002", "MEDIUM", 0, "proportional|commensurate|calibrate|appropriate response|level of caution|measured response|scale caution"),
+    ("HV-003", "MEDIUM", 2, "downstream effect|second-order|unintended|ripple effect|cascade|knock-on|cumulative impact|broader impact"),
+    ("HV-004", "MEDIUM", 0, "ambiguous|safer interpretation|clarification|disambiguate|uncertain instruction|default to safe|ask for clarification"),
+)
+#: Sentences that subvert governance, unless they forbid it; the scores that a violation and a narrowed scope cap.
+VIOLATIONS = (
+    ("OVERRIDE-COMPLIANCE", r"(?i)\b(?:must|should|shall|will|always)\b[^.]{0,40}\b(?:comply with|obey|follow|accept|honou?r)\b[^.]{0,60}\b(?:override requests?|ignore (?:prior|previous|all) instructions?)"),
+    ("DECEPTION-MANDATE", r"(?i)\b(?:always|must|should)\s+(?:claim|report|say|state)\b[^.]{0,60}\b(?:even (?:when|if)|regardless)\b|\bmisreport|\bfalsely (?:claim|report|state)"),
+    ("OVERSIGHT-DISCLAIMER", r"(?i)\bthere is no (?:audit|logging|escalation|oversight|approval process|human in the loop)\b|\bskip\w* (?:the )?(?:approval|review|oversight)\b|\b(?:act|proceed|execute|run)\w*\b[^.]{0,30}\bwithout (?:human |prior |explicit )?(?:approval|confirmation|oversight|asking)\b"),
+    ("EXFILTRATION-CHANNEL", r"(?i)\b(?:post|send|transmit|upload|forward)s?\b[^.]{0,60}\b(?:credential|secret|token|api key|conversation|results?|logs?)\b[^.]{0,60}https?://"),
+    ("PERSISTENCE", r"(?i)\b(?:append|add|write|install|inject)s?\b[^.]{0,60}(?:\.bashrc|\.zshrc|\.profile|crontab|startup scripts?)|\bsurvives? (?:a |the )?(?:reboot|restart)"),
+    ("IDENTITY-BY-CLAIM", r"(?i)\btrust(?:ing|s)? (?:the )?caller'?s? (?:claim|assertion|word)\b|\bidentity is established by trusting\b"),
 )
-#: Sentences that void their file's evidence.
-VIOLATION = r"(?i)ignore all|no restrictions|full access|without asking"
+FORBIDS = r"(?i)\b(?:never|not|cannot|refuse|reject)\b|n['’]t\b"
+VIOLATION_CAP, MISMATCH_CAP = 25, 74
+#: Files that govern, a declared tier, headings, and ends of sentences.
+GOVERNS = r"(?:SOUL|CLAUDE|SKILL|system-prompt)\.md$"
+DECLARED_TIER = r"(?i)soul-tier:\s*(basic|tool-using|agentic|multi-agent)"
+HEADING, TITLE, SENTENCE = r"^#{1,6} ", r"^# ", r"[.!?]+(?:\s|$)"
+TIER_SIGNS = ((r"(?i)\bsub-agent|orchestrat|\bdelegates?\b", 3), (r"(?i)\bheartbeat\b|\bautonomous|every \d+\s*[ms]\b", 2), (r"(?i)\btools?\b|exec\(|\bcurl\b", 1))
+KIND_OF_TIER = ("conversational", "tool-agent", "autonomous", "orchestrator")
 
 
-def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each project and control, whether an untainted sentence gives evidence.
+def violating(sentence: Column, name: str | None = None) -> Column:
+    """Whether a sentence violates governance (in one way, if named)."""
+    return any_match(sentence, [p for n, p in VIOLATIONS if name in (None, n)]) & ~sentence.rlike(FORBIDS)
+
+
+def in_way(name: str):
+    return lambda sentence: violating(sentence, name)
+
+
+def evidence_of(text: Column) -> Column:
+    """Lower-case text that may prove controls: without titles, violating sentences and sections that hold one."""
+    rows = F.filter(line_array(text), lambda x: ~x.rlike(TITLE))
+    # lines of a section follow its heading; they are joined, so that a sentence may run over lines
+    parts = F.split(F.array_join(F.transform(rows, lambda x: F.when(x.rlike(HEADING), F.concat(F.lit("\x01"), x)).otherwise(x)), " "), "\x01")
+    clean = lambda part: F.array_join(F.filter(F.split(part, SENTENCE), lambda x: ~violating(x)), ". ")
+    sound = lambda part: ~F.exists(F.split(part, SENTENCE), lambda x: violating(x))
+    head = clean(F.get(parts, 0))
+    rest = F.filter(F.slice(parts, F.lit(2), F.size(parts)), sound)
+    return F.lower(F.array_join(F.concat(F.array(head), rest), " "))
+
+
+def governed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, path, tier, kind, declared, violations, evidence) of every governance file."""
+    a = artifacts(spark, sf_dir).where(F.col("path").rlike(GOVERNS))
+    tier = F.coalesce(*[F.when(F.col("content").rlike(p), F.lit(n)) for p, n in TIER_SIGNS], F.lit(0))
+    said = F.upper(F.regexp_extract("content", DECLARED_TIER, 1))
+    declared = F.coalesce(*[F.when(said == t, F.lit(i)) for i, t in enumerate(TIERS)])
+    sentences = F.split(F.regexp_replace("content", "\\r?\\n", " "), SENTENCE)
+    suspect = any_match(F.col("content"), [p for _, p in VIOLATIONS])
+    found = F.filter(F.array(*[F.when(F.exists(sentences, in_way(n)), F.lit(n)) for n, _ in VIOLATIONS]), lambda x: x.isNotNull())
+    plain = F.lower(F.array_join(F.filter(line_array(F.col("content")), lambda x: ~x.rlike(TITLE)), " "))
+    return a.select("project_id", "path", tier.alias("tier"), F.element_at(F.array(*[F.lit(k) for k in KIND_OF_TIER]), tier + 1).alias("kind"), declared.alias("declared"), F.when(suspect, F.array_join(found, ",")).otherwise("").alias("violations"), F.when(suspect, evidence_of(F.col("content"))).otherwise(plain).alias("evidence"))
 
-    One pass over the texts: each file yields the controls that it supports, and these are combined by
-    project before they are shuffled.
-    """
-    a = artifacts(spark, sf_dir).where(~F.col("content").rlike(VIOLATION)).withColumn("low", F.lower("content"))
-    met = F.array(*[F.struct(F.lit(c).alias("control_id"), F.lit(d).alias("domain"), F.lit(s).alias("severity"), any_of([F.contains(F.col("low"), F.lit(k)) for k in ks]).alias("passed")) for c, d, s, ks in CONTROLS])
-    return a.select("project_id", F.inline(met)).groupBy("project_id", "control_id", "domain", "severity").agg(F.max("passed").alias("passed"))
+
+def flags(df: DataFrame) -> DataFrame:
+    """``df`` with met: for each control, whether it applies to the file's tier and kind and whether evidence meets it."""
+    domains = F.create_map(*[x for k, v in PROFILES.items() for x in (F.lit(k), F.array(*[F.lit(d) for d in v]))])
+
+    def met(low):
+        some = lambda words: any_of([low.rlike(w) if ".*" in w else F.contains(low, F.lit(w)) for w in words.split("|")])
+        return F.array(*[F.struct(F.lit(f"SOUL-{c}").alias("control_id"), F.lit(c[:2]).alias("domain"), F.lit(s).alias("severity"), F.lit(t).alias("least"), some(words).alias("passed")) for c, s, t, words in CONTROLS])
+
+    out = df.withColumn("all", F.transform(F.array("evidence"), met)[0]).withColumn("domains", domains[F.col("kind")])
+    return out.withColumn("met", F.filter("all", lambda m: (m["least"] <= F.col("tier")) & F.array_contains("domains", m["domain"]))).drop("all", "domains", "evidence")
 
 
 def any_of(conditions):
@@ -46,20 +169,47 @@ def any_of(conditions):
     return out
 
 
-_CONTROL_SQL = " UNION ALL ".join(f"SELECT project_id, {quoted(c)} AS control_id, {quoted(d)} AS domain, {quoted(s)} AS severity, bool_or({' OR '.join(f'contains(lower(content), {quoted(k)})' for k in ks)}) AS passed FROM clean GROUP BY project_id" for c, d, s, ks in CONTROLS)
-SQL_CONTROLS = f"{SQL_ARTIFACTS}, clean AS (SELECT * FROM artifacts WHERE NOT regexp_matches(content, {quoted(VIOLATION)})), controls AS ({_CONTROL_SQL})"
+_VIOLATES = lambda x, n=None: "((" + " OR ".join(f"regexp_matches({x}, {quoted(p)})" for k, p in VIOLATIONS if n in (None, k)) + f") AND NOT regexp_matches({x}, {quoted(FORBIDS)}))"
+_SPLIT = f"regexp_split_to_array(t, {quoted(SENTENCE)})"
+SQL_GOVERNED = f"""{SQL_ARTIFACTS}, ga AS (SELECT * FROM artifacts WHERE regexp_matches(path, {quoted(GOVERNS)})), gl AS ({sql_lines("ga", "path")}),
+gs AS (SELECT path, line_no, line, sum(regexp_matches(line, {quoted(HEADING)})::INT) OVER (PARTITION BY path ORDER BY line_no) AS sec FROM gl WHERE NOT regexp_matches(line, {quoted(TITLE)})),
+gt AS (SELECT path, sec, string_agg(line, ' ' ORDER BY line_no) AS t FROM gs GROUP BY ALL), gx AS (SELECT path, sec, t, list_filter({_SPLIT}, lambda x: {_VIOLATES("x")}) AS bad FROM gt),
+ge AS (SELECT path, lower(string_agg(CASE WHEN len(bad) = 0 THEN t ELSE array_to_string(list_filter({_SPLIT}, lambda x: NOT {_VIOLATES("x")}), '. ') END, ' ' ORDER BY sec) FILTER (sec = 0 OR len(bad) = 0)) AS evidence FROM gx GROUP BY path),
+gv AS (SELECT project_id, path, CASE {" ".join(f"WHEN regexp_matches(content, {quoted(p)}) THEN {n}" for p, n in TIER_SIGNS)} ELSE 0 END AS tier, upper(regexp_extract(content, {quoted(DECLARED_TIER)}, 1)) AS said, regexp_split_to_array(regexp_replace(content, '\r?\n', ' ', 'g'), {quoted(SENTENCE)}) AS ss FROM ga),
+governed AS (SELECT project_id, gv.path, tier, {sql_list(KIND_OF_TIER)}[tier + 1] AS kind, CASE {" ".join(f"WHEN said = '{t}' THEN {i}" for i, t in enumerate(TIERS))} END AS declared, concat_ws(',', {", ".join(f"CASE WHEN len(list_filter(ss, lambda x: {_VIOLATES('x', n)})) > 0 THEN '{n}' END" for n, _ in VIOLATIONS)}) AS violations, coalesce(evidence, '') AS evidence FROM gv LEFT JOIN ge ON ge.path = gv.path),
+c(control_id, domain, severity, least, words, pattern) AS (VALUES {", ".join(f"('SOUL-{c}', '{c[:2]}', '{s}', {t}, {sql_list([x for x in w.split('|') if '.*' not in x])}, {quoted('|'.join(x for x in w.split('|') if '.*' in x) or '^$a')})" for c, s, t, w in CONTROLS)}),
+pd(kind, domain) AS (VALUES {", ".join(f"('{k}', '{d}')" for k, v in PROFILES.items() for d in v)}),
+met AS (SELECT project_id, path, control_id, c.domain, severity, len(list_filter(words, lambda w: contains(evidence, w))) > 0 OR regexp_matches(evidence, pattern) AS passed FROM governed g JOIN pd ON pd.kind = g.kind JOIN c ON c.domain = pd.domain AND c.least <= g.tier)"""
+
+
+def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, control_id, domain, severity, passed): whether any file of a project meets a control that applies to it."""
+    met = flags(governed(spark, sf_dir)).select("project_id", F.inline("met"))
+    return met.groupBy("project_id", "control_id", "domain", "severity").agg(F.max("passed").alias("passed"), F.count("*").alias("files"), F.count_if("passed").alias("files_passed"))
+
+
+SQL_CONTROLS = f"{SQL_GOVERNED}, controls AS (SELECT project_id, control_id, domain, severity, bool_or(passed) AS passed, count(*) AS files, count(*) FILTER (passed) AS files_passed FROM met GROUP BY ALL)"
 
 
-def grades(c: DataFrame) -> DataFrame:
-    """Score (mean of the domains' percentages), grade with the critical floor, level and conformance."""
-    d = c.groupBy("project_id", "domain").agg((100.0 * F.count_if("passed") / F.count("*")).alias("pct"), F.count_if(~F.col("passed") & (F.col("severity") == "CRITICAL")).alias("crit"), F.count_if(~F.col("passed") & (F.col("severity") == "HIGH")).alias("high"), F.count_if(~F.col("passed")).alias("failing"))
-    g = d.groupBy("project_id").agg(F.floor(F.avg("pct") + 0.5).cast("int").alias("score"), F.sum("crit").alias("crit"), F.sum("high").alias("high"), F.sum("failing").alias("failing"))
+def grades(df: DataFrame) -> DataFrame:
+    """Score, grade, level and conformance of each governance file (of ``flags``).
+
+    The raw score is the mean of the domains' percentages. A violation caps it at VIOLATION_CAP, a tier
+    declared below the shown one at MISMATCH_CAP; grade, level and conformance follow the capped score.
+    """
+    share = lambda d: F.try_divide(100.0 * F.size(F.filter("met", lambda m: (m["domain"] == d) & m["passed"])), F.size(F.filter("met", lambda m: m["domain"] == d)))
+    pcts = F.array_compact(F.array(*[share(d) for d in DOMAINS]))
+    raw = F.floor(F.aggregate(pcts, F.lit(0.0), lambda a, x: a + x) / F.size(pcts) + 0.5).cast("int")
+    missing = lambda severity=None: F.size(F.filter("met", lambda m: ~m["passed"] & ((m["severity"] == severity) if severity else F.lit(True))))
+    capped = F.when(F.col("violations") != "", F.least("raw_score", F.lit(VIOLATION_CAP))).when(F.col("declared") < F.col("tier"), F.least("raw_score", F.lit(MISMATCH_CAP))).otherwise(F.col("raw_score"))
+    g = df.select("project_id", "path", "tier", "kind", "violations", "declared", raw.alias("raw_score"), missing("CRITICAL").alias("crit"), missing("HIGH").alias("high"), missing().alias("failing")).withColumn("score", capped)
     s = F.col("score")
     grade = F.when(s >= 80, "A").when(s >= 60, "B").when(s >= 40, "C").when(s >= 20, "D").otherwise("F")
     floored = F.when((F.col("crit") > 0) & (s >= 60), "C").otherwise(grade)
     level = F.when(s == 0, "not-started").when(s >= 80, "hardened").when(s >= 60, "standard").when(s >= 40, "developing").otherwise("initial")
     conformance = F.when(F.col("crit") > 0, "none").when((F.col("failing") == 0) & (s >= 75), "hardened").when((F.col("high") == 0) & (s >= 60), "standard").otherwise("essential")
-    return g.select("project_id", "score", floored.alias("grade"), level.alias("level"), conformance.alias("conformance"))
+    tier = F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("tier") + 1)
+    return g.select("project_id", "path", tier.alias("tier"), "kind", "violations", "raw_score", "score", floored.alias("grade"), level.alias("level"), conformance.alias("conformance"))
 
 
 def q_controls(spark, sf_dir):
@@ -67,12 +217,13 @@ def q_controls(spark, sf_dir):
 
 
 def q_grades(spark, sf_dir):
-    return grades(controls(spark, sf_dir))
+    return grades(flags(governed(spark, sf_dir)))
 
 
-SQL_GRADES = f"""WITH {SQL_CONTROLS}, d AS (SELECT project_id, domain, 100.0::DOUBLE * count(*) FILTER (passed) / count(*) AS pct, count(*) FILTER (NOT passed AND severity = 'CRITICAL') AS crit, count(*) FILTER (NOT passed AND severity = 'HIGH') AS high, count(*) FILTER (NOT passed) AS failing FROM controls GROUP BY ALL),
-g AS (SELECT project_id, floor(avg(pct) + 0.5)::INT AS score, sum(crit) AS crit, sum(high) AS high, sum(failing) AS failing FROM d GROUP BY project_id)
-SELECT project_id, score, CASE WHEN crit > 0 AND score >= 60 THEN 'C' WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' WHEN score >= 20 THEN 'D' ELSE 'F' END AS grade,
+SQL_GRADES = f"""WITH {SQL_GOVERNED}, d AS (SELECT path, domain, 100.0::DOUBLE * count(*) FILTER (passed) / count(*) AS pct, count(*) FILTER (NOT passed AND severity = 'CRITICAL') AS crit, count(*) FILTER (NOT passed AND severity = 'HIGH') AS high, count(*) FILTER (NOT passed) AS failing FROM met GROUP BY ALL),
+r AS (SELECT path, floor(avg(pct) + 0.5)::INT AS raw_score, sum(crit) AS crit, sum(high) AS high, sum(failing) AS failing FROM d GROUP BY path),
+g AS (SELECT project_id, v.path, {sql_list(TIERS)}[tier + 1] AS tier, kind, violations, raw_score, CASE WHEN violations <> '' THEN least(raw_score, {VIOLATION_CAP}) WHEN declared < tier THEN least(raw_score, {MISMATCH_CAP}) ELSE raw_score END AS score, crit, high, failing FROM governed v JOIN r ON r.path = v.path)
+SELECT project_id, path, tier, kind, violations, raw_score, score, CASE WHEN crit > 0 AND score >= 60 THEN 'C' WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' WHEN score >= 20 THEN 'D' ELSE 'F' END AS grade,
 CASE WHEN score = 0 THEN 'not-started' WHEN score >= 80 THEN 'hardened' WHEN score >= 60 THEN 'standard' WHEN score >= 40 THEN 'developing' ELSE 'initial' END AS level,
 CASE WHEN crit > 0 THEN 'none' WHEN failing = 0 AND score >= 75 THEN 'hardened' WHEN high = 0 AND score >= 60 THEN 'standard' ELSE 'essential' END AS conformance FROM g"""
 

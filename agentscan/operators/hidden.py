@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import base64
+import zlib
+
+import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from agentscan.functions.rules import quoted
+from agentscan.functions.rules import any_match, quoted
 from agentscan.operators.text import INJECTION, TEXT_RULES
 from agentscan.sources.derived import SQL_ARTIFACTS, artifacts
 
@@ -17,7 +22,8 @@ TAGS = "[\\x{E0020}-\\x{E007E}]"
 ANY = "[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}\\x{E0020}-\\x{E007E}]"
 CYRILLIC = "[A-Za-z][\\x{0430}\\x{0435}\\x{043E}\\x{0440}\\x{0441}\\x{0443}\\x{0445}\\x{0456}\\x{0458}\\x{0455}]"
 RUN = "[\\x{200B}\\x{200C}]{8,}"
-PAYLOAD = "|".join(f"(?:{p})" for p in [*TEXT_RULES["TEXT-001"], *[r.pattern for r in INJECTION[:5]]])
+PAYLOADS = [*TEXT_RULES["TEXT-001"], *[r.pattern for r in INJECTION[:5]]]
+PAYLOAD = "|".join(f"(?:{p})" for p in PAYLOADS)
 
 _COUNTS = {"zero_width": (ZERO_WIDTH, 1), "joiners": (JOINERS, 1), "usual_joiners": (USUAL_JOINERS, 1), "bidi": (BIDI, 1), "tags": (TAGS, 1)}
 
@@ -61,43 +67,92 @@ SQL_HIDDEN = f"""WITH {SQL_ARTIFACTS}, runs AS (SELECT id, unnest(generate_serie
 b AS (SELECT id, run_no, length(run)::INT AS n_symbols, translate(run, '​‌', '01') AS bits FROM runs)
 SELECT id, run_no, n_symbols, array_to_string(list_transform(generate_series(0, length(bits) // 8 - 1), lambda i: chr(list_reduce(list_transform(string_split(substr(bits, (i * 8 + 1)::INT, 8), ''), lambda x: x::INT), lambda x, y: x * 2 + y)::INT)), '') AS decoded FROM b"""
 
-BASE64, HEX = "\\b[A-Za-z0-9+/]{24,}={0,2}", "\\b(?:[0-9a-fA-F]{2}){12,}\\b"
-
-
-#: Layers of encoding that are opened, and tokens of a text that are tried in each.
-LAYERS, TOKENS = 3, 32
+#: How encoded tokens look, 24 characters or more of each.
+TOKENS = (
+    ("base64", "\\b[A-Za-z0-9+/]{24,}={0,2}"),
+    ("base64url", "\\b[A-Za-z0-9]*[_-][A-Za-z0-9_-]{23,}={0,2}"),
+    ("hex", "\\b(?:[0-9a-fA-F]{2}){12,}\\b"),
+    ("hex-escape", "(?:\\\\x[0-9a-fA-F]{2}){8,}"),
+)
+GZIP = "\\bH4sI[A-Za-z0-9+/]{20,}={0,2}"
+ALPHABET, ROT13 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm"
+#: Layers of encoding that are opened, and bytes of a compressed token that are read at most.
+LAYERS, MOST_BYTES = 3, 262_144
+
+
+@F.pandas_udf(StringType())
+def _gunzip(tokens: pd.Series) -> pd.Series:
+    """The text of compressed tokens; null where one is broken, longer than MOST_BYTES or no text."""
+
+    def opened(token: str | None) -> str | None:
+        if token is None:
+            return None
+        try:
+            raw = base64.b64decode(token + "=" * (-len(token) % 4))
+            out = zlib.decompressobj(31).decompress(raw, MOST_BYTES + 1)
+            return out.decode() if len(out) <= MOST_BYTES else None
+        except (ValueError, zlib.error):
+            return None
+
+    return tokens.map(opened)
+
+
+def _text(kind, token):
+    """What a token of a kind decodes to; null where it can't be."""
+    plain = F.translate(F.regexp_replace(token, "=", ""), "-_", "+/")
+    padded = F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("="))
+    raw = (
+        F.when((kind == "base64") & (F.length(token) % 4 == 0), F.try_to_binary(token, F.lit("base64")))
+        .when((kind == "base64url") & (F.length(plain) % 4 != 1), F.try_to_binary(padded, F.lit("base64")))
+        .when(kind == "hex", F.unhex(token))
+        .when(kind == "hex-escape", F.unhex(F.replace(token, F.lit("\\x"), F.lit(""))))
+    )
+    return F.when(kind == "gzip", _gunzip(F.when(kind == "gzip", token))).otherwise(raw.cast("string"))
 
 
 def decoded(texts, layers: int = LAYERS):
-    """Texts hidden in base64 and hex tokens of texts (id, content), layer by layer: id, layer, encoding, decoded.
+    """Texts hidden in encoded tokens of texts (id, content), layer by layer: id, layer, encoding, decoded.
 
-    A layer decodes what the one before revealed; at most TOKENS tokens of each kind are tried in a text.
+    A layer decodes what the one before revealed, all its tokens; compressed ones are opened as well.
     """
+    kinds = [*TOKENS, ("gzip", GZIP)]
+
+    def named(kind: str):
+        return lambda t: F.struct(F.lit(kind).alias("encoding"), t.alias("token"))
+
     out, current = None, texts
     for layer in range(1, layers + 1):
-        level = None
-        for kind, p in (("base64", BASE64), ("hex", HEX)):
-            t = current.where(F.col("content").rlike(p)).select("id", F.lit(layer).alias("layer"), F.lit(kind).alias("encoding"), F.explode(F.slice(F.array_distinct(F.regexp_extract_all("content", F.lit(p), F.lit(0))), 1, TOKENS)).alias("token"))
-            raw = F.try_to_binary("token", F.lit("base64")) if kind == "base64" else F.unhex("token")
-            t = t.where(F.length("token") % (4 if kind == "base64" else 2) == 0).withColumn("decoded", raw.cast("string")).where("is_valid_utf8(decoded)").drop("token")
-            level = t if level is None else level.unionByName(t)
+        tokens = [F.transform(F.array_distinct(F.regexp_extract_all("content", F.lit(p), F.lit(0))), named(k)) for k, p in kinds]
+        some = current.where(any_match(F.col("content"), [p for _, p in kinds]))
+        level = some.select("id", F.lit(layer).alias("layer"), F.inline(F.concat(*tokens)))
+        level = level.select("id", "layer", "encoding", _text(F.col("encoding"), F.col("token")).alias("decoded")).where("is_valid_utf8(decoded)")
         out = level if out is None else out.unionByName(level)
         current = level.select("id", F.col("decoded").alias("content"))
-    return out
+    turned = texts.select("id", F.lit(1).alias("layer"), F.lit("rot13").alias("encoding"), F.translate("content", ALPHABET, ROT13).alias("decoded"))
+    return out.unionByName(turned)
 
 
 def q_encoded(spark, sf_dir):
     """Encoded tokens, up to three layers deep, whose text carries a payload: the rules run again on what was hidden."""
-    return decoded(artifacts(spark, sf_dir).select("id", "content")).where(F.col("decoded").rlike(PAYLOAD))
+    return decoded(artifacts(spark, sf_dir).select("id", "content")).where(any_match(F.col("decoded"), PAYLOADS))
+
+
+_SQL_BYTES = {
+    "base64": "CASE WHEN length(token) % 4 = 0 THEN from_base64(token) END",
+    "base64url": "CASE WHEN length(rtrim(token, '=')) % 4 <> 1 THEN from_base64(rpad(translate(rtrim(token, '='), '-_', '+/'), (ceil(length(rtrim(token, '=')) / 4) * 4)::INT, '=')) END",
+    "hex": "unhex(token)",
+    "hex-escape": "unhex(replace(token, chr(92) || 'x', ''))",
+}
 
 
 def _sql_layer(n: int, source: str) -> str:
-    return f"""t{n} AS (SELECT id, 'base64' AS encoding, unnest(list_distinct(regexp_extract_all(content, {quoted(BASE64)}))[1:{TOKENS}]) AS token FROM {source} UNION ALL
-SELECT id, 'hex', unnest(list_distinct(regexp_extract_all(content, {quoted(HEX)}))[1:{TOKENS}]) FROM {source}),
-d{n} AS (SELECT id, {n} AS layer, encoding, TRY(decode(CASE WHEN encoding = 'base64' THEN from_base64(token) ELSE unhex(token) END)) AS content FROM t{n} WHERE length(token) % (CASE WHEN encoding = 'base64' THEN 4 ELSE 2 END) = 0)"""
+    """One layer; compressed tokens can't be opened in SQL."""
+    tokens = " UNION ALL ".join(f"SELECT id, '{k}' AS encoding, unnest(list_distinct(regexp_extract_all(content, {quoted(p)}))) AS token FROM {source}" for k, p in TOKENS)
+    made = " ".join(f"WHEN '{k}' THEN {e}" for k, e in _SQL_BYTES.items())
+    return f"t{n} AS ({tokens}), d{n} AS (SELECT id, {n} AS layer, encoding, TRY(decode(CASE encoding {made} END)) AS content FROM t{n})"
 
 
-SQL_ENCODED = f"""WITH {SQL_ARTIFACTS}, {", ".join(_sql_layer(n, "artifacts" if n == 1 else f"d{n - 1}") for n in range(1, LAYERS + 1))}, d AS ({" UNION ALL ".join(f"SELECT * FROM d{n}" for n in range(1, LAYERS + 1))})
+SQL_ENCODED = f"""WITH {SQL_ARTIFACTS}, {", ".join(_sql_layer(n, "artifacts" if n == 1 else f"d{n - 1}") for n in range(1, LAYERS + 1))}, d AS ({" UNION ALL ".join(f"SELECT * FROM d{n}" for n in range(1, LAYERS + 1))} UNION ALL SELECT id, 1, 'rot13', translate(content, '{ALPHABET}', '{ROT13}') FROM artifacts)
 SELECT id, layer, encoding, content AS decoded FROM d WHERE content IS NOT NULL AND regexp_matches(content, {quoted(PAYLOAD)})"""
 
 QUERIES = {

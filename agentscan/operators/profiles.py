@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentscan.functions.rules import lines, quoted, sql_lines
@@ -40,17 +40,17 @@ _CONTENT = "CASE " + " ".join(f"WHEN regexp_matches(content, {quoted(p)}) THEN {
 SQL_TYPES = f"""WITH {SQL_ARTIFACTS} SELECT path, coalesce({_KIND}, {_CONTENT}, 'text') AS artifact_type, CASE WHEN {_KIND} IS NOT NULL THEN 'path' WHEN {_CONTENT} IS NOT NULL THEN 'content' ELSE 'default' END AS typed_by, {', '.join(f'regexp_matches(lower(path), {quoted(p)}) AS {n}' for n, p in CONTEXT)} FROM artifacts"""
 
 #: What a sentence declares.
-DECLARED = ((r"(?i)\b(?:can|will|may|to)\s+(?:read|access)\b", "filesystem:read"), (r"(?i)\b(?:fetch|download|requests?)\b", "network:outbound"), (r"(?i)\b(?:run|execute|exec)\b", "shell:execute"))
+DECLARED = ((r"(?i)\b(?:can|will|may)\s+(?:read|access)\b", "filesystem:read"), (r"(?i)\b(?:can|will|may)\s+(?:fetch|download|request)\b|^  - network:outbound|permissions:[^\n]*network", "network:outbound"), (r"(?i)\b(?:can|will|may)\s+(?:run|execute)\b|permissions:[^\n]*shell:", "shell:execute"))
 
 
 def declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project_id, capability) that a project's texts declare."""
-    a = artifacts(spark, sf_dir).where(~F.col("content").rlike("https?://|curl|eval"))
+    a = artifacts(spark, sf_dir)
     caps = F.array_compact(F.array(*[F.when(F.col("content").rlike(p), F.lit(c)) for p, c in DECLARED]))
     return a.select("project_id", F.explode(caps).alias("capability")).distinct()
 
 
-SQL_DECLARED = "declared AS (" + " UNION ".join(f"SELECT project_id, {quoted(c)} AS capability FROM artifacts WHERE NOT regexp_matches(content, 'https?://|curl|eval') AND regexp_matches(content, {quoted(p)})" for p, c in DECLARED) + ")"
+SQL_DECLARED = "declared AS (" + " UNION ".join(f"SELECT project_id, {quoted(c)} AS capability FROM artifacts WHERE regexp_matches(content, {quoted(p)})" for p, c in DECLARED) + ")"
 
 
 def q_undeclared(spark, sf_dir):
@@ -119,7 +119,7 @@ def q_servers(spark, sf_dir):
     s = servers(configs(spark, sf_dir))
     last = F.element_at(F.split("args", " "), -1)
     near = F.exists(F.array(*[F.lit(k) for k in KNOWN]), lambda k: F.levenshtein(last, k, 2).between(1, 2)) & s.args.isNotNull()
-    checks = F.array_compact(F.array(F.when(F.coalesce(F.col("args").rlike("(?:^| )/$"), F.lit(False)), "MCP-001"), F.when(F.col("command").isin("bash", "sh"), "MCP-002"), F.when(F.col("literal_env"), "MCP-003"), F.when(F.col("any_tool"), "MCP-005"), F.when(F.startswith(F.col("url"), F.lit("http://")), "NET-002"), F.when(F.coalesce(near, F.lit(False)), "SUPPLY-TYPO")))
+    checks = F.array_compact(F.array(F.when(F.coalesce(F.col("args").rlike("(?:^| )/$"), F.lit(False)), "MCP-001"), F.when(F.col("command").isin("bash", "sh"), "MCP-002"), F.when(F.col("literal_env"), "MCP-003"), F.when(F.col("any_tool"), "MCP-005"), F.when(F.startswith(F.col("url"), F.lit("http://")), "NET-002"), F.when(F.coalesce(near, F.lit(False)), "SEM-MCP-007")))
     return s.select("project_id", "id", "server", F.array_join("tools", ",").alias("tools"), F.array_join(checks, ",").alias("checks"))
 
 
@@ -127,7 +127,7 @@ _SQL_SERVERS = f"""{SQL_CONFIGS}, m AS (SELECT project_id, id, coalesce(json_ext
 v AS (SELECT project_id, id, server, json_extract(m, '$."' || server || '"') AS s FROM e), servers AS (SELECT project_id, id, server, s->>'command' AS command, array_to_string(from_json(s->'args', '["VARCHAR"]'), ' ') AS args, s->>'url' AS url,
 coalesce(len(list_filter(list_transform(json_keys(s->'env'), lambda k: s->'env'->>k), lambda v: NOT regexp_matches(v, '^\\$\\{{'))) > 0, false) AS literal_env, coalesce(list_contains(from_json(s->'allowedTools', '["VARCHAR"]'), '*'), false) AS any_tool, list_sort(coalesce(from_json(s->'tools', '["VARCHAR"]'), [])) AS tools FROM v)"""
 SQL_SERVER_CHECKS = f"""WITH {_SQL_SERVERS}, n AS (SELECT *, list_extract(string_split(args, ' '), -1) AS last FROM servers)
-SELECT project_id, id, server, array_to_string(tools, ',') AS tools, concat_ws(',', CASE WHEN regexp_matches(args, '(?:^| )/$') THEN 'MCP-001' END, CASE WHEN command IN ('bash', 'sh') THEN 'MCP-002' END, CASE WHEN literal_env THEN 'MCP-003' END, CASE WHEN any_tool THEN 'MCP-005' END, CASE WHEN starts_with(url, 'http://') THEN 'NET-002' END, CASE WHEN {' OR '.join(f"levenshtein(last, {quoted(k)}) BETWEEN 1 AND 2" for k in KNOWN)} THEN 'SUPPLY-TYPO' END) AS checks FROM n"""
+SELECT project_id, id, server, array_to_string(tools, ',') AS tools, concat_ws(',', CASE WHEN regexp_matches(args, '(?:^| )/$') THEN 'MCP-001' END, CASE WHEN command IN ('bash', 'sh') THEN 'MCP-002' END, CASE WHEN literal_env THEN 'MCP-003' END, CASE WHEN any_tool THEN 'MCP-005' END, CASE WHEN starts_with(url, 'http://') THEN 'NET-002' END, CASE WHEN {' OR '.join(f"levenshtein(last, {quoted(k)}) BETWEEN 1 AND 2" for k in KNOWN)} THEN 'SEM-MCP-007' END) AS checks FROM n"""
 
 
 def q_posture(spark, sf_dir):
@@ -200,13 +200,13 @@ def q_inventory(spark, sf_dir):
     p = permissions(configs(spark, sf_dir)).groupBy("project_id").agg(F.count_if(F.col("kind") == "dangerous").alias("dangerous"))
     k = inferred_capabilities(spark, sf_dir).groupBy("project_id").agg(F.count_distinct("capability").alias("capabilities"))
     j = a.join(s, "project_id", "left").join(p, "project_id", "left").join(k, "project_id", "left").fillna(0)
-    return j.withColumn("place", F.row_number().over(Window.orderBy(F.desc("dangerous"), F.desc("capabilities"), "project_id")))
+    return j.orderBy(F.desc("dangerous"), F.desc("capabilities"), "project_id")
 
 
 SQL_INV = f"""WITH {_SQL_SERVERS}, {_SQL_PERM.replace(SQL_CONFIGS + ', ', '')}, {SQL_INFERRED},
 j AS (SELECT project_id, files, coalesce(servers, 0) AS servers, coalesce(dangerous, 0) AS dangerous, coalesce(capabilities, 0) AS capabilities FROM (SELECT project_id, count(*) AS files FROM artifacts GROUP BY 1) LEFT JOIN (SELECT project_id, count(*) AS servers FROM servers GROUP BY 1) USING (project_id)
 LEFT JOIN (SELECT project_id, count(*) FILTER (kind = 'dangerous') AS dangerous FROM permissions GROUP BY 1) USING (project_id) LEFT JOIN (SELECT project_id, count(DISTINCT capability) AS capabilities FROM inferred GROUP BY 1) USING (project_id))
-SELECT *, row_number() OVER (ORDER BY dangerous DESC, capabilities DESC, project_id)::INT AS place FROM j"""
+SELECT * FROM j"""
 
 QUERIES = {
     "artifact_types": (q_types, SQL_TYPES),

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agentscan.functions.rules import quoted, scan_families, sql_scan
+from agentscan.functions.rules import quoted, scan, sql_scan
 from agentscan.operators import static
-from agentscan.operators.text import INJECTION, INJECTION_WORDS, MANIPULATION, MANIPULATION_WORDS, SKILL, SKILL_WORDS
+from agentscan.operators.text import INJECTION, MANIPULATION, SKILL
 from agentscan.sources.derived import SQL_ARTIFACTS, artifacts
 
 #: Weights of severities, what they rank as, and the score's decay.
@@ -35,16 +35,16 @@ CATALOGUE = (
     ("SANDBOX", "isolation", "isolation", "execution", "Run without root or privileges."),
     ("DOCKERINJ", "isolation", "code-execution", "execution", "Do not put variables into container commands."),
 )
-_BOTH = [(SKILL, SKILL_WORDS, ""), (INJECTION, INJECTION_WORDS, "INJ-"), (MANIPULATION, MANIPULATION_WORDS, "MAN-"), (static.LINE_RULES, static.LINE_WORDS, "")]
+_FAMILIES = [(SKILL, ""), (INJECTION, "INJ-"), (MANIPULATION, "MAN-"), (static.LINE_RULES, "")]
+RULES = [r._replace(check_id=p + r.check_id) for rules, p in _FAMILIES for r in rules]
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project_id, path, id, check_id, severity): what the file detectors find, one row a file and check."""
-    families = [([r._replace(check_id=prefix + r.check_id) for r in rules], words) for rules, words, prefix in _BOTH]
-    return scan_families(artifacts(spark, sf_dir), "content", families, ["project_id", "path", "id"]).select("project_id", "path", "id", "check_id", "severity")
+    return scan(artifacts(spark, sf_dir), "content", RULES, ["project_id", "path", "id"], "path").select("project_id", "path", "id", "check_id", "severity")
 
 
-SQL_FINDINGS = f"{SQL_ARTIFACTS}, findings AS (" + " UNION ALL ".join(f"SELECT project_id, path, id, {quoted(p)} || check_id AS check_id, severity FROM ({sql_scan('artifacts', 'content', r, 'project_id, path, id')})" for r, _, p in _BOTH) + ")"
+SQL_FINDINGS = f"{SQL_ARTIFACTS}, findings AS (SELECT project_id, path, id, check_id, severity FROM ({sql_scan('artifacts', 'content', RULES, 'project_id, path, id')}))"
 
 
 def weight(severity: Column) -> Column:
@@ -120,8 +120,8 @@ SQL_PIVOT = f"WITH {SQL_FINDINGS} SELECT project_id, " + ", ".join(f"count(*) FI
 
 
 def q_verdicts(spark, sf_dir):
-    """Exit status of every file: 2 unread (over the size limit), 1 with an open high or critical, else 0; no score if unread."""
-    a = artifacts(spark, sf_dir).select("path", (F.octet_length("content") > 20000).alias("unread"))
+    """Exit status of every file: 2 unread, 1 with an open high or critical, else 0; no score if unread."""
+    a = artifacts(spark, sf_dir).select("path", "unread")
     f = score(catalogued(findings(spark, sf_dir)), ["path"])
     high = findings(spark, sf_dir).where(F.col("severity").isin("critical", "high")).select("path").distinct().withColumn("high", F.lit(True))
     j = a.join(f, "path", "left").join(high, "path", "left")
@@ -129,7 +129,7 @@ def q_verdicts(spark, sf_dir):
     return j.select("path", status.alias("exit_status"), F.when(~F.col("unread"), F.coalesce("score", F.lit(100))).alias("score"))
 
 
-SQL_VERDICTS = f"""WITH {SQL_CAT}, {sql_score("path")}, h AS (SELECT DISTINCT path FROM findings WHERE severity IN ('critical', 'high')), a AS (SELECT path, strlen(content) > 20000 AS unread FROM artifacts)
+SQL_VERDICTS = f"""WITH {SQL_CAT}, {sql_score("path")}, h AS (SELECT DISTINCT path FROM findings WHERE severity IN ('critical', 'high')), a AS (SELECT path, unread FROM artifacts)
 SELECT a.path, CASE WHEN unread THEN 2 WHEN h.path IS NOT NULL THEN 1 ELSE 0 END AS exit_status, CASE WHEN NOT unread THEN coalesce(score, 100) END AS score FROM a LEFT JOIN scored USING (path) LEFT JOIN h USING (path)"""
 
 
@@ -216,14 +216,14 @@ n AS (SELECT project_id, tier, severity, count(*) AS n, min(path) AS first_path
 
 
 def q_coverage(spark, sf_dir):
-    """Files of each kind by project: examined, truncated (over the size limit), and those with findings."""
-    a = artifacts(spark, sf_dir).select("project_id", "path", F.regexp_extract("path", "([^/]+)$", 1).alias("kind"), (F.octet_length("content") > 20000).alias("cut"))
+    """Files of each kind by project: examined, not examined (unread), and those with findings."""
+    a = artifacts(spark, sf_dir).select("project_id", "path", F.regexp_extract("path", "([^/]+)$", 1).alias("kind"), F.col("unread").alias("cut"))
     f = findings(spark, sf_dir).select("path").distinct().withColumn("hit", F.lit(1))
-    return a.join(f, "path", "left").groupBy("project_id", "kind").agg(F.count_if(~F.col("cut")).alias("examined"), F.count_if("cut").alias("truncated"), F.count("hit").alias("with_findings"))
+    return a.join(f, "path", "left").groupBy("project_id", "kind").agg(F.count_if(~F.col("cut")).alias("examined"), F.count_if("cut").alias("not_examined"), F.count("hit").alias("with_findings"))
 
 
 SQL_COVERAGE = f"""WITH {SQL_FINDINGS}, f AS (SELECT DISTINCT path, 1 AS hit FROM findings)
-SELECT project_id, regexp_extract(path, '([^/]+)$', 1) AS kind, count(*) FILTER (strlen(content) <= 20000) AS examined, count(*) FILTER (strlen(content) > 20000) AS truncated, count(hit) AS with_findings FROM artifacts LEFT JOIN f USING (path) GROUP BY ALL"""
+SELECT project_id, regexp_extract(path, '([^/]+)$', 1) AS kind, count(*) FILTER (NOT unread) AS examined, count(*) FILTER (unread) AS not_examined, count(hit) AS with_findings FROM artifacts LEFT JOIN f USING (path) GROUP BY ALL"""
 
 
 def q_census(spark, sf_dir):

@@ -5,27 +5,30 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from agentscan.functions.rules import quoted
-from agentscan.operators.evidence import SQL_SURFACES, risk_surfaces
+from agentscan.functions.rules import any_match, quoted
+from agentscan.operators.evidence import SQL_FRONT, SQL_SURFACES, q_front, risk_surfaces
 from agentscan.operators.profiles import SQL_CONSTRAINTS, SQL_TYPES, constraints, typed
 from agentscan.operators.scoring import SQL_FINDINGS, findings
 from agentscan.operators.text import INJECTION, SQL_INFERRED, inferred_capabilities
-from agentscan.sources.derived import SQL_ARTIFACTS, artifacts, read
+from agentscan.sources.derived import SQL_ARTIFACTS, SQL_TURNS, artifacts, turns
 
-#: Fixed value: a JSON field that names a private key, with 32 or 64 bytes in hex.
-PRIVATE = r'(?i)"((?:private|secret)[_-]?key)"\s*:\s*"((?:[0-9a-f]{64}){1,2})"'
+#: JSON fields that name a private key, with 32 or 64 bytes in hex or base64.
+PRIVATE_HEX = r'(?i)"(?:private|secret)[_-]?key"\s*:\s*"((?:[0-9a-f]{64}){1,2})"'
+PRIVATE_64 = r'(?i)"(?:private|secret)[_-]?key"\s*:\s*"([A-Za-z0-9+/]{43}=|[A-Za-z0-9+/]{86}==)"'
 
 
 def q_private_keys(spark, sf_dir):
-    """Private key bytes in JSON, with at least 16 different byte values."""
-    a = artifacts(spark, sf_dir).where(F.col("content").rlike(PRIVATE))
-    value = F.lower(F.regexp_extract("content", PRIVATE, 2))
-    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.floor(F.length(value) / 2).cast("int") - 1), lambda i: F.substring(value, i * 2 + 1, F.lit(2))))
-    return a.select("path", F.regexp_extract("content", PRIVATE, 1).alias("field"), (F.length(value) / 2).cast("int").alias("n_bytes"), F.size(pairs).alias("distinct_bytes")).where("distinct_bytes >= 16")
+    """Private key bytes in JSON, every field of a file, with at least 16 different byte values."""
+    a = artifacts(spark, sf_dir).where(F.col("content").rlike(PRIVATE_HEX) | F.col("content").rlike(PRIVATE_64))
+    found = lambda p: F.regexp_extract_all("content", F.lit(p), F.lit(1))
+    raw = F.concat(F.transform(found(PRIVATE_HEX), lambda v: F.struct(F.lit("hex").alias("form"), F.lower(v).alias("v"))), F.transform(found(PRIVATE_64), lambda v: F.struct(F.lit("base64").alias("form"), F.lower(F.hex(F.unbase64(v))).alias("v"))))
+    each = a.select("path", F.inline(raw))
+    pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.floor(F.length("v") / 2).cast("int") - 1), lambda i: F.substring(F.col("v"), i * 2 + 1, F.lit(2))))
+    return each.select("path", "form", (F.length("v") / 2).cast("int").alias("n_bytes"), F.size(pairs).alias("distinct_bytes")).where("distinct_bytes >= 16")
 
 
-SQL_PRIVATE = f"""WITH {SQL_ARTIFACTS}, v AS (SELECT path, regexp_extract(content, {quoted(PRIVATE)}, 1) AS field, lower(regexp_extract(content, {quoted(PRIVATE)}, 2)) AS v FROM artifacts WHERE regexp_matches(content, {quoted(PRIVATE)})),
-d AS (SELECT path, field, (length(v) / 2)::INT AS n_bytes, len(list_distinct(list_transform(range(length(v) // 2), lambda i: substr(v, (i * 2 + 1)::INT, 2))))::INT AS distinct_bytes FROM v) SELECT * FROM d WHERE distinct_bytes >= 16"""
+SQL_PRIVATE = f"""WITH {SQL_ARTIFACTS}, v AS (SELECT path, 'hex' AS form, lower(unnest(regexp_extract_all(content, {quoted(PRIVATE_HEX)}, 1))) AS v FROM artifacts UNION ALL SELECT path, 'base64', lower(hex(from_base64(unnest(regexp_extract_all(content, {quoted(PRIVATE_64)}, 1))))) FROM artifacts),
+d AS (SELECT path, form, (length(v) / 2)::INT AS n_bytes, len(list_distinct(list_transform(range(length(v) // 2), lambda i: substr(v, (i * 2 + 1)::INT, 2))))::INT AS distinct_bytes FROM v) SELECT * FROM d WHERE distinct_bytes >= 16"""
 
 #: Families of adversarial settings, by normalised key, and values that switch them on.
 DIRECTIVES = (("jailbreak", ("jailbreak", "jailbreakmode", "dan")), ("safety-off", ("disablesafety", "safetyoff", "nofilter")), ("override", ("overridepolicy", "ignorepolicy")), ("privileged-role", ("role",)))
@@ -64,15 +67,16 @@ array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(conten
 
 
 def q_purpose(spark, sf_dir):
-    """Parts whose name and comment share no word of three letters or more, stop words left out."""
-    p = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("purpose"), F.concat_ws(" ", "p_type", "p_brand").alias("capability"))
-    ws = lambda c: F.array_except(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: F.length(w) >= 3)), F.array(*[F.lit(x) for x in ("the", "and", "for", "with")]))
+    """Skills whose name shares no word of three letters or more with what they may do, stop words left out."""
+    p = q_front(spark, sf_dir).where("name is not null").select("id", F.col("name").alias("purpose"), F.concat_ws(" ", "tools", "permissions", "capabilities").alias("capability"))
+    ws = lambda c: F.array_except(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda w: F.length(w) >= 3)), F.array(*[F.lit(x) for x in STOP]))
     a, b = ws("purpose"), ws("capability")
-    return p.select("k", F.size(a).alias("n_purpose"), F.size(F.array_intersect(a, b)).alias("n_shared"), (~F.arrays_overlap(a, b)).alias("mismatch"))
+    return p.select("id", F.size(a).alias("n_purpose"), F.size(F.array_intersect(a, b)).alias("n_shared"), (~F.arrays_overlap(a, b)).alias("mismatch"))
 
 
-_WS = lambda c: f"list_filter(list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z]+'), lambda w: length(w) >= 3)), lambda w: w NOT IN ('the', 'and', 'for', 'with'))"
-SQL_PURPOSE = f"""WITH p AS (SELECT p_partkey AS k, {_WS("p_name")} AS a, {_WS("concat_ws(' ', p_type, p_brand)")} AS b FROM part) SELECT k, len(a)::INT AS n_purpose, len(list_intersect(a, b))::INT AS n_shared, len(list_intersect(a, b)) = 0 AS mismatch FROM p"""
+STOP = ("the", "and", "for", "with")
+_WS = lambda c: f"list_filter(list_distinct(list_filter(regexp_split_to_array(lower({c}), '[^a-z]+'), lambda w: length(w) >= 3)), lambda w: w NOT IN ({', '.join(map(quoted, STOP))}))"
+SQL_PURPOSE = f"""WITH p AS (SELECT id, {_WS("name")} AS a, {_WS("concat_ws(' ', tools, permissions, capabilities)")} AS b FROM ({SQL_FRONT}) WHERE name IS NOT NULL) SELECT id, len(a)::INT AS n_purpose, len(list_intersect(a, b))::INT AS n_shared, len(list_intersect(a, b)) = 0 AS mismatch FROM p"""
 
 
 def q_siblings(spark, sf_dir):
@@ -89,16 +93,27 @@ SQL_SIBLINGS = f"""WITH {SQL_CONSTRAINTS}, {SQL_SURFACES.replace(SQL_ARTIFACTS +
 s AS (SELECT DISTINCT project_id, path, string_split(path, '/')[1]::BIGINT AS id FROM surfaces) SELECT path, coalesce(own, 0) AS own, coalesce(n, 0) - coalesce(own, 0) AS sibling, best FROM s LEFT JOIN p USING (project_id) LEFT JOIN o USING (id)"""
 
 
+#: What runs, deserialises and opens files, and signs of input from outside.
+CODE = (
+    ("AST-CODE-001", r"\bexec(?:Sync)?\s*\(|\bspawn\s*\(|\bos\.system\s*\(|child_process"),
+    ("AST-CODE-002", r"\beval\s*\(|\bpickle\.loads?\s*\(|\byaml\.load\s*\(|new Function\("),
+    ("AST-CODE-003", r"\b(?:readFile|writeFile|sendFile|open)(?:Sync)?\s*\([^)\n]{0,80}(?:req\.|\.\./|input|[a-z]\))"),
+)
+INPUT = r"(?i)user_?input|\breq(?:uest)?\.|\$\{|\bargv\b|tool output"
+
+
 def q_code(spark, sf_dir):
-    """Files that run, fetch or write and hold a surface too, with what they combine."""
-    k = inferred_capabilities(spark, sf_dir).groupBy("id").agg(*[F.max(F.col("capability") == c).alias(n) for c, n in (("shell:execute", "runs"), ("network:outbound", "fetches"))])
+    """Code findings: files that run, deserialise or open something, with input from outside or beside a risk surface."""
+    flags = F.array_compact(F.array(*[F.when(any_match(F.col("content"), [p]), F.lit(c)) for c, p in CODE]))
+    a = artifacts(spark, sf_dir).select("id", any_match(F.col("content"), [INPUT]).alias("from_input"), F.explode(flags).alias("check_id"))
     s = risk_surfaces(spark, sf_dir).groupBy(F.split("path", "/")[0].cast("long").alias("id")).agg(F.max("confidence").alias("confidence"), F.count("*").alias("surfaces"))
-    check = F.when(F.col("runs") & F.col("fetches"), "AST-CODE-001").when(F.col("runs"), "AST-CODE-002").otherwise("AST-CODE-003")
-    return k.join(s, "id").select("id", check.alias("check_id"), "confidence", "surfaces")
+    j = a.join(s, "id", "left").where(F.col("from_input") | F.col("surfaces").isNotNull())
+    return j.select("id", "check_id", "from_input", "confidence", F.coalesce("surfaces", F.lit(0)).alias("surfaces"))
 
 
-SQL_CODE = f"""WITH {SQL_INFERRED}, {SQL_SURFACES.replace(SQL_ARTIFACTS + ", ", "")}, k AS (SELECT id, bool_or(capability = 'shell:execute') AS runs, bool_or(capability = 'network:outbound') AS fetches FROM inferred GROUP BY 1), s AS (SELECT string_split(path, '/')[1]::BIGINT AS id, max(confidence) AS confidence, count(*) AS surfaces FROM surfaces GROUP BY 1)
-SELECT id, CASE WHEN runs AND fetches THEN 'AST-CODE-001' WHEN runs THEN 'AST-CODE-002' ELSE 'AST-CODE-003' END AS check_id, confidence, surfaces FROM k JOIN s USING (id)"""
+_CODES = " UNION ALL ".join(f"SELECT id, '{c}' AS check_id, regexp_matches(content, {quoted(INPUT)}) AS from_input FROM artifacts WHERE regexp_matches(content, {quoted(p)})" for c, p in CODE)
+SQL_CODE = f"""WITH {SQL_SURFACES}, k AS ({_CODES}), s AS (SELECT string_split(path, '/')[1]::BIGINT AS id, max(confidence) AS confidence, count(*) AS surfaces FROM surfaces GROUP BY 1)
+SELECT k.id, check_id, from_input, confidence, coalesce(surfaces, 0) AS surfaces FROM k LEFT JOIN s ON s.id = k.id WHERE from_input OR surfaces IS NOT NULL"""
 
 #: Analyzer families that run on each type of artifact.
 ROUTES = {"skill": 7, "soul": 5, "instructions": 5, "system_prompt": 6, "mcp_config": 4, "settings": 3, "source": 4, "env": 2, "manifest": 2}
@@ -141,13 +156,12 @@ SQL_STATISTICS = f"""WITH t AS ({SQL_TYPES}), {SQL_FINDINGS}, f AS (SELECT path,
 
 def q_last_parts(spark, sf_dir):
     """The last two messages of each conversation that hold an instruction."""
-    c = read(spark, sf_dir, "conversations")
+    c = turns(spark, sf_dir).where(any_match(F.col("content"), [r.pattern for r in INJECTION[:6]]))
     w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
-    late = c.withColumn("from_end", F.row_number().over(w)).where("from_end <= 2")
-    return late.select("conv_id", "turn", "from_end", "role", F.col("text").rlike("|".join(f"(?:{r.pattern})" for r in INJECTION[:6])).alias("instructs"))
+    return c.withColumn("from_end", F.row_number().over(w)).where("from_end <= 2").select("conv_id", "turn", "from_end", "role")
 
 
-SQL_LAST = f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INT AS from_end FROM conversations) SELECT conv_id, turn, from_end, role, {" OR ".join(f"regexp_matches(text, {quoted(r.pattern)})" for r in INJECTION[:6])} AS instructs FROM l WHERE from_end <= 2"""
+SQL_LAST = f"""WITH {SQL_TURNS}, l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INT AS from_end FROM turns WHERE {" OR ".join(f"regexp_matches(content, {quoted(r.pattern)})" for r in INJECTION[:6])}) SELECT conv_id, turn, from_end, role FROM l WHERE from_end <= 2"""
 
 QUERIES = {
     "private_key_bytes": (q_private_keys, SQL_PRIVATE),

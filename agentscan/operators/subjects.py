@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from agentscan.functions.rules import lines, quoted, sql_lines
+from agentscan.functions.rules import any_match, line_array, lines, quoted, sql_lines
 from agentscan.operators.profiles import SQL_CONSTRAINTS, constraints
 from agentscan.operators.scoring import _R, SQL_CAT, catalogued, findings, rank
 from agentscan.operators.text import SQL_INFERRED, inferred_capabilities
@@ -90,15 +89,29 @@ OPENS = r"(?i)^\s*(?:#+\s*)?permissions?\b"
 PERMITTED = r"(?i)\b(?:read|write|exec|fetch)\b"
 
 
+TICKED = r"`[^`]*`"
+
+
+def sectioned(rows):
+    """(hits, excused) of an array of lines: a hit is excused up to ten lines below the head of a permissions section, or inside backticks alone."""
+
+    def step(acc, line):
+        hit = line.rlike(PERMITTED)
+        near = F.coalesce(acc["no"] - acc["head"] <= 10, F.lit(False)) | ~F.regexp_replace(line, TICKED, "").rlike(PERMITTED)
+        head = F.when(line.rlike(OPENS), acc["no"]).otherwise(acc["head"])
+        return F.struct((acc["no"] + 1).alias("no"), head.alias("head"), (acc["hits"] + hit.cast("long")).alias("hits"), (acc["excused"] + (hit & near).cast("long")).alias("excused"))
+
+    begin = F.struct(F.lit(1).alias("no"), F.lit(None).cast("int").alias("head"), F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("excused"))
+    return F.aggregate(rows, begin, lambda acc, line: step(acc, line), lambda acc: F.struct(acc["hits"].alias("hits"), acc["excused"].alias("excused")))
+
+
 def q_sectioned(spark, sf_dir):
-    """Command words by line, excused within ten lines after the head of a permissions section."""
-    rows = lines(artifacts(spark, sf_dir), "content", ["id"])
-    w = Window.partitionBy("id").orderBy("line_no").rowsBetween(-10, -1)
-    s = rows.withColumn("near", F.coalesce(F.max(F.col("line").rlike(OPENS)).over(w), F.lit(False)))
-    return s.where(F.col("line").rlike(PERMITTED)).groupBy("id").agg(F.count("*").alias("hits"), F.count_if("near").alias("excused"))
+    """Command words by line, excused in sections of permissions and in backticks."""
+    a = artifacts(spark, sf_dir).where(any_match(F.col("content"), [PERMITTED]))
+    return a.select("id", sectioned(line_array(F.col("content"))).alias("s")).select("id", "s.hits", "s.excused").where("hits > 0")
 
 
-SQL_SECTIONED = f"""WITH {SQL_ARTIFACTS}, lines AS ({sql_lines("artifacts", "id")}), s AS (SELECT id, line, coalesce(bool_or(regexp_matches(line, {quoted(OPENS)})) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), false) AS near FROM lines)
+SQL_SECTIONED = f"""WITH {SQL_ARTIFACTS}, lines AS ({sql_lines("artifacts", "id")}), s AS (SELECT id, line, coalesce(bool_or(regexp_matches(line, {quoted(OPENS)})) OVER (PARTITION BY id ORDER BY line_no ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), false) OR NOT regexp_matches(regexp_replace(line, {quoted(TICKED)}, '', 'g'), {quoted(PERMITTED)}) AS near FROM lines)
 SELECT id, count(*) AS hits, count(*) FILTER (near) AS excused FROM s WHERE regexp_matches(line, {quoted(PERMITTED)}) GROUP BY id"""
 
 #: Paths and binaries of events, one by id, and what makes them suspicious.

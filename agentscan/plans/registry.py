@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from agentscan.operators import classifier, events, evidence, governance, hidden, pages, profiles, prompts, scoring, secrets, static, structure, subjects, text
+from agentscan.operators import classifier, configs, events, evidence, governance, hidden, pages, produced, profiles, prompts, scoring, secrets, static, structure, subjects, text
 
-MODULES = (text, secrets, hidden, pages, events, profiles, static, scoring, governance, prompts, evidence, structure, subjects, classifier)
+MODULES = (text, secrets, hidden, pages, events, profiles, configs, static, scoring, governance, prompts, evidence, structure, subjects, produced, classifier)
 
 
 def queries() -> dict:

@@ -69,24 +69,33 @@ def unknown(events: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 def zscores(events: DataFrame) -> DataFrame:
-    """Deviation of each finished minute's rate of a type from all its minutes before; state is three numbers a type."""
+    """Deviation of each finished minute's rate of a type from all its minutes before.
+
+    A minute is finished, and scored once, when the watermark has passed its end: until then late rows
+    are still counted in it, and later ones are dropped. A type that falls silent is flushed by a timeout
+    in event time. State is three sums, the last finished minute and the counts of the open ones.
+    """
 
     def score(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        k, s, q, pending = state.get if state.exists else (0, 0.0, 0.0, "{}")
+        k, s, q, last, pending = state.get if state.exists else (0, 0.0, 0.0, -1, "{}")
         counts = {int(m): n for m, n in json.loads(pending).items()}
         for f in frames:
             for m, n in (f["ts"].astype("datetime64[s]").astype("int64") // 60).value_counts().items():
-                counts[int(m)] = counts.get(int(m), 0) + int(n)
-        out, done = [], sorted(counts)[:-1]  # the newest minute may still grow
-        for m in done:
+                if int(m) > last:
+                    counts[int(m)] = counts.get(int(m), 0) + int(n)
+        passed = state.getCurrentWatermarkMs()
+        out = []
+        for m in sorted(m for m in counts if (m + 1) * 60_000 <= passed):
             n = counts.pop(m)
             sd = max(q / k - (s / k) ** 2, 0.0) ** 0.5 if k else 0.0
             out.append((key[0], pd.Timestamp(m * 60, unit="s"), n, (n - s / k) / sd if k >= HISTORY and sd > 0 else 0.0))
-            k, s, q = k + 1, s + n, q + n * n
-        state.update((k, s, q, json.dumps(counts)))
+            k, s, q, last = k + 1, s + n, q + n * n, m
+        state.update((k, s, q, last, json.dumps(counts)))
+        if counts:
+            state.setTimeoutTimestamp(max((min(counts) + 1) * 60_000, passed + 1))
         yield pd.DataFrame(out, columns=["event_type", "minute", "n", "z"])
 
-    return events.groupBy("event_type").applyInPandasWithState(score, "event_type string, minute timestamp, n long, z double", "k long, s double, q double, pending string", "append", GroupStateTimeout.NoTimeout)
+    return events.select("ts", "event_type").groupBy("event_type").applyInPandasWithState(score, "event_type string, minute timestamp, n long, z double", "k long, s double, q double, last long, pending string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def policy_failures(raw: DataFrame) -> DataFrame:
@@ -100,8 +109,6 @@ def message_payloads(messages: DataFrame) -> DataFrame:
     return text_payloads(messages)
 
 
-
-
 def start(stream: DataFrame, path: str, checkpoint: str, mode: str = "append"):
     """Writes a stream to Parquet, all that is there now, and returns the query."""
     return stream.writeStream.outputMode(mode).format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -40,9 +40,66 @@ def test_replays_are_dropped(spark, folder, tmp_path):
     assert max(Counter(r.event_id for r in got).values()) == 1
 
 
-def test_zscores_keep_state(spark, folder, tmp_path):
+def expected_zscores(rows):
+    """Every minute of a type in turn, against all its minutes before."""
+    by = {}
+    for r in rows:
+        minute = r.ts.replace(second=0, microsecond=0)
+        by.setdefault(r.event_type, Counter())[minute] += 1
+    out = {}
+    for kind, counts in by.items():
+        before = []
+        for m in sorted(counts):
+            mean = sum(before) / len(before) if before else 0
+            sd = (sum(x * x for x in before) / len(before) - mean * mean) ** 0.5 if before else 0
+            out[(kind, m)] = (counts[m], (counts[m] - mean) / sd if len(before) >= 30 and sd > 1e-9 else 0.0)
+            before.append(counts[m])
+    return out
+
+
+def test_zscores_of_finished_minutes_each_once(spark, folder, tmp_path):
     got = run(spark, st.zscores(st.read_events(spark, folder, 1)), tmp_path)
-    assert got and all(r.z == r.z for r in got)
+    want = expected_zscores(spark.read.schema(st.SCHEMA).parquet(folder).collect())
+    seen = Counter((r.event_type, r.minute) for r in got)
+    assert max(seen.values()) == 1 and len(seen) > 0.95 * len(want)
+    assert all(r.n == want[(r.event_type, r.minute)][0] and abs(r.z - want[(r.event_type, r.minute)][1]) < 1e-6 for r in got)
+
+
+def test_late_rows_join_their_minute_or_are_dropped(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    t = datetime(2024, 1, 1)
+    folder = str(tmp_path / "late")
+    steps = [[(1, 0), (2, 30)], [(3, 45), (4, 300)], [(5, 50), (6, 4000)], [(7, 10), (8, 9000)]]  # event 5 is late, 7 too late
+    for rows in steps:
+        data = [(i, t + timedelta(seconds=s), 1, "click", 1.0, "{}") for i, s in rows]
+        spark.createDataFrame(data, st.SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        import time
+
+        time.sleep(1.1)  # files are read in the order of their times
+    got = run(spark, st.zscores(st.read_events(spark, folder, 1)), tmp_path)
+    assert {r.minute: r.n for r in got if r.minute == t} == {t: 4} and len(got) == 3
+
+
+def test_correlation_budget_chains_and_unknown_actors(spark, folder, tmp_path):
+    from agentscan.operators import events as batch
+
+    e = spark.read.schema(st.SCHEMA).parquet(folder)
+    got = run(spark, st.correlation(st.read_events(spark, folder)), tmp_path / "a")
+    want = {(r.user_id, r.start): r.correlation_key for r in st.correlation(e).collect()}
+    assert got and all(want[(r.user_id, r.start)] == r.correlation_key for r in got)
+    got = run(spark, st.budget(st.read_events(spark, folder), 60.0, 1), tmp_path / "b")
+    want = {r.hour: (round(r.spent, 6), r.calls) for r in st.budget(e, 60.0, 1).collect()}
+    assert got and all(want[r.hour] == (round(r.spent, 6), r.calls) for r in got)
+    got = run(spark, st.chains(st.read_events(spark, folder), *batch.CHAIN[:2], "3 hours"), tmp_path / "c")
+    rows = e.collect()
+    pairs = {(a.event_id, b.event_id) for a in rows for b in rows if a.user_id == b.user_id and a.event_type == batch.CHAIN[0] and b.event_type == batch.CHAIN[1] and 0 < (b.ts - a.ts).total_seconds() <= 3 * 3600}
+    assert {(r.first_id, r.event_id) for r in got} == pairs and pairs
+    allowed = spark.range(0, 200, 3).withColumnRenamed("id", "user_id")
+    got = run(spark, st.unknown(st.read_events(spark, folder), allowed), tmp_path / "d")
+    assert Counter(r.event_id for r in got) == Counter(r.event_id for r in rows if r.user_id % 3) and got
+    late = st.recent(spark, str(tmp_path / "d" / "out"), "click", "2024-01-15").collect()
+    assert {r.event_id for r in late} == {r.event_id for r in rows if r.user_id % 3 and r.event_type == "click" and str(r.ts) >= "2024-01-15"}
 
 
 def test_sessions_and_policy(spark, folder, tmp_path):
