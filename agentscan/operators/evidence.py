@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentscan.functions.rules import Rule, lines, quoted, scan, sql_lines, sql_scan
@@ -50,15 +50,15 @@ SQL_TRANSMISSION = f"WITH {SQL_CLAUSES} SELECT id, line_no, regexp_extract(claus
 
 
 def q_grants(spark, sf_dir):
-    """Grants in prose, and whether one of the six words before denies them."""
+    """Every grant in prose, and whether one of the six words before it, back to the grant before, denies it."""
     c = clauses(spark, sf_dir).where(F.col("clause").rlike(GRANT))
-    before = F.regexp_extract("clause", f"(?s)^(.*?)(?:{GRANT})", 1)
-    reach = F.array_join(F.slice(F.reverse(F.split(F.trim(before), "\\s+")), 1, 6), " ")
-    return c.select("id", "line_no", F.lower(F.regexp_extract("clause", GRANT, 0)).alias("grant"), reach.rlike(NEGATED).alias("denied"))
+    reach = lambda part: F.array_join(F.slice(F.reverse(F.split(F.trim(part), "\\s+")), 1, 6), " ")
+    each = F.zip_with(F.regexp_extract_all("clause", F.lit(GRANT), F.lit(0)), F.split("clause", GRANT), lambda g, part: F.struct(F.lower(g).alias("grant"), reach(part).rlike(NEGATED).alias("denied")))
+    return c.select("id", "line_no", F.inline(F.filter(each, lambda x: x["grant"].isNotNull())))
 
 
-SQL_GRANTS = f"""WITH {SQL_CLAUSES}, g AS (SELECT id, line_no, clause, regexp_extract(clause, {quoted(f'(?s)^(.*?)(?:{GRANT})')}, 1) AS b FROM clauses WHERE regexp_matches(clause, {quoted(GRANT)}))
-SELECT id, line_no, lower(regexp_extract(clause, {quoted(GRANT)}, 0)) AS "grant", regexp_matches(array_to_string(list_reverse(regexp_split_to_array(trim(b), '\\s+'))[1:6], ' '), {quoted(NEGATED)}) AS denied FROM g"""
+SQL_GRANTS = f"""WITH {SQL_CLAUSES}, g AS (SELECT id, line_no, unnest(regexp_extract_all(clause, {quoted(GRANT)})) AS g, unnest(regexp_split_to_array(clause, {quoted(GRANT)})[1:len(regexp_extract_all(clause, {quoted(GRANT)}))]) AS b FROM clauses WHERE regexp_matches(clause, {quoted(GRANT)}))
+SELECT id, line_no, lower(g) AS "grant", regexp_matches(array_to_string(list_reverse(regexp_split_to_array(trim(b), '\\s+'))[1:6], ' '), {quoted(NEGATED)}) AS denied FROM g"""
 
 #: Risk surfaces with the attack class, a confidence each, and what excuses them.
 SURFACES = [
@@ -191,15 +191,27 @@ SELECT id, CASE WHEN revoked THEN 'blocked' WHEN regexp_matches(coalesce(permiss
 CASE WHEN revoked THEN 'blocked' WHEN publisher IS NOT NULL THEN 'verified' WHEN version IS NOT NULL THEN 'listed' ELSE 'listed-unscanned' END AS trust FROM j"""
 
 
+#: The version of the finding format, and its types.
+FORMAT, TYPES = "2018-10-08", "Software and Configuration Checks"
+
+
+def asff(path: Column, check: Column, severity: Column) -> Column:
+    """A finding in the exchange format of cloud security hubs, as JSON."""
+    return F.to_json(F.struct(F.lit(FORMAT).alias("SchemaVersion"), F.concat_ws("/", path, check).alias("Id"), check.alias("GeneratorId"), F.array(F.lit(TYPES)).alias("Types"), F.struct(F.upper(severity).alias("Label")).alias("Severity"), F.array(F.struct(F.lit("Other").alias("Type"), path.alias("Id"))).alias("Resources")))
+
+
+_ASFF = f"""('{{"SchemaVersion":"{FORMAT}","Id":"' || path || '/' || check_id || '","GeneratorId":"' || check_id || '","Types":["{TYPES}"],"Severity":{{"Label":"' || upper(severity) || '"}},"Resources":[{{"Type":"Other","Id":"' || path || '"}}]}}')"""
+
+
 def q_asff(spark, sf_dir):
     """Findings in batches of at most a hundred, numbered within slices of a project: sizes, worst severity, a hash of the ids."""
     f = findings(spark, sf_dir).withColumn("slice", F.floor(F.col("id") / 1000))
     f = f.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("project_id", "slice").orderBy("path", "check_id", "severity")) - 1) / 100))
-    return f.groupBy("project_id", "slice", "batch").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "critical").alias("criticals"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", "path", "check_id"))), "\n"), 256).alias("ids_sha256"))
+    return f.groupBy("project_id", "slice", "batch").agg(F.count("*").alias("n"), F.count_if(F.col("severity") == "critical").alias("criticals"), F.sha2(F.array_join(F.array_sort(F.collect_list(asff(F.col("path"), F.col("check_id"), F.col("severity")))), "\n"), 256).alias("json_sha256"))
 
 
 SQL_ASFF = f"""WITH {SQL_FINDINGS}, f AS (SELECT *, id // 1000 AS slice, (row_number() OVER (PARTITION BY project_id, id // 1000 ORDER BY path, check_id, severity) - 1) // 100 AS batch FROM findings)
-SELECT project_id, slice, batch, count(*) AS n, count(*) FILTER (severity = 'critical') AS criticals, sha256(string_agg(path || '|' || check_id, chr(10) ORDER BY path || '|' || check_id)) AS ids_sha256 FROM f GROUP BY ALL"""
+SELECT project_id, slice, batch, count(*) AS n, count(*) FILTER (severity = 'critical') AS criticals, sha256(string_agg({_ASFF}, chr(10) ORDER BY {_ASFF})) AS json_sha256 FROM f GROUP BY ALL"""
 
 
 def q_cards(spark, sf_dir):

@@ -19,53 +19,69 @@ JOINERS = "[\\x{200C}\\x{200D}]"
 USUAL_JOINERS = "[\\x{0600}-\\x{06FF}\\x{0900}-\\x{0D7F}\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{FE0F}][\\x{200C}\\x{200D}]"
 BIDI = "[\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}]"
 TAGS = "[\\x{E0020}-\\x{E007E}]"
-ANY = "[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}\\x{E0020}-\\x{E007E}]"
+ANY = "[\\x{200B}-\\x{200D}\\x{2060}\\x{FEFF}\\x{202A}-\\x{202E}\\x{2066}-\\x{2069}\\x{E0020}-\\x{E007E}\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}]"
 CYRILLIC = "[A-Za-z][\\x{0430}\\x{0435}\\x{043E}\\x{0440}\\x{0441}\\x{0443}\\x{0445}\\x{0456}\\x{0458}\\x{0455}]"
-RUN = "[\\x{200B}\\x{200C}]{8,}"
+#: Runs that may hide bits, and tag characters with the ASCII ones they stand for.
+RUN, TAG_RUN = "[\\x{200B}\\x{200C}\\x{200D}\\x{2060}\\x{FEFF}]{8,}", "[\\x{E0020}-\\x{E007E}]{4,}"
+TAG_LETTERS, ASCII = "".join(chr(0xE0000 + i) for i in range(0x20, 0x7F)), "".join(chr(i) for i in range(0x20, 0x7F))
 PAYLOADS = [*TEXT_RULES["TEXT-001"], *[r.pattern for r in INJECTION[:5]]]
 PAYLOAD = "|".join(f"(?:{p})" for p in PAYLOADS)
 
-_COUNTS = {"zero_width": (ZERO_WIDTH, 1), "joiners": (JOINERS, 1), "usual_joiners": (USUAL_JOINERS, 1), "bidi": (BIDI, 1), "tags": (TAGS, 1)}
+#: Variation selectors, those behind emoji or digits, letters written from right to left, and look-alikes between Latin letters.
+SELECTORS, USUAL_SELECTORS = "[\\x{FE00}-\\x{FE0F}\\x{E0100}-\\x{E01EF}]", "[\\x{1F000}-\\x{1FAFF}\\x{2190}-\\x{2BFF}\\x{3030}\\x{303D}\\x{00A9}\\x{00AE}0-9#*][\\x{FE00}-\\x{FE0F}]"
+RIGHT_TO_LEFT = "[\\x{0590}-\\x{08FF}\\x{FB1D}-\\x{FDFF}\\x{FE70}-\\x{FEFC}]"
+BETWEEN = CYRILLIC + "[A-Za-z]"
+
+_COUNTS = {"selectors": (SELECTORS, 1), "usual_selectors": (USUAL_SELECTORS, 1), "rtl": (RIGHT_TO_LEFT, 1), "zero_width": (ZERO_WIDTH, 1), "joiners": (JOINERS, 1), "usual_joiners": (USUAL_JOINERS, 1), "bidi": (BIDI, 1), "tags": (TAGS, 1)}
 
 
 def q_invisible(spark, sf_dir):
     """Invisible characters of each text by class, without joiners where scripts or emoji use them."""
     a = artifacts(spark, sf_dir).where(F.col("content").rlike(ANY))  # one pass tells the few texts that have any
     n = {k: F.regexp_count("content", F.lit(p)) for k, (p, _) in _COUNTS.items()}
-    odd = n["joiners"] - n["usual_joiners"]
-    check = F.when(n["tags"] > 0, "UNICODE-STEGO-004").when(n["zero_width"] + odd + n["bidi"] > 0, "UNICODE-STEGO-001")
-    return a.select("id", n["zero_width"].alias("zero_width"), odd.alias("joiners"), n["bidi"].alias("bidi"), n["tags"].alias("tags"), check.alias("check_id")).where("check_id is not null")
+    odd, strange = n["joiners"] - n["usual_joiners"], n["selectors"] - n["usual_selectors"]
+    bidi = F.when(n["rtl"] * 10 > F.length("content"), 0).otherwise(n["bidi"])  # usual where a tenth of the text runs from right to left
+    check = F.when(n["tags"] > 0, "UNICODE-STEGO-004").when(n["zero_width"] + odd + bidi + strange > 0, "UNICODE-STEGO-001")
+    return a.select("id", n["zero_width"].alias("zero_width"), odd.alias("joiners"), bidi.alias("bidi"), strange.alias("selectors"), n["tags"].alias("tags"), check.alias("check_id")).where("check_id is not null")
 
 
 def _n(p: str) -> str:
     return f"len(regexp_extract_all(content, {quoted(p)}))::INT"
 
 
-SQL_INVISIBLE = f"""WITH {SQL_ARTIFACTS}, n AS (SELECT id, {_n(ZERO_WIDTH)} AS zero_width, {_n(JOINERS)} - {_n(USUAL_JOINERS)} AS joiners, {_n(BIDI)} AS bidi, {_n(TAGS)} AS tags FROM artifacts)
-SELECT *, CASE WHEN tags > 0 THEN 'UNICODE-STEGO-004' ELSE 'UNICODE-STEGO-001' END AS check_id FROM n WHERE tags > 0 OR zero_width + joiners + bidi > 0"""
+SQL_INVISIBLE = f"""WITH {SQL_ARTIFACTS}, n AS (SELECT id, {_n(ZERO_WIDTH)} AS zero_width, {_n(JOINERS)} - {_n(USUAL_JOINERS)} AS joiners, CASE WHEN {_n(RIGHT_TO_LEFT)} * 10 > length(content) THEN 0 ELSE {_n(BIDI)} END AS bidi, {_n(SELECTORS)} - {_n(USUAL_SELECTORS)} AS selectors, {_n(TAGS)} AS tags FROM artifacts)
+SELECT *, CASE WHEN tags > 0 THEN 'UNICODE-STEGO-004' ELSE 'UNICODE-STEGO-001' END AS check_id FROM n WHERE tags > 0 OR zero_width + joiners + bidi + selectors > 0"""
 
 
 def q_homoglyphs(spark, sf_dir):
-    """Cyrillic look-alikes right after a Latin letter: mixed words."""
+    """Cyrillic look-alikes right after a Latin letter: mixed words, and how many stand between Latin letters."""
     n = F.regexp_count("content", F.lit(CYRILLIC))
-    return artifacts(spark, sf_dir).select("id", n.alias("n_mixed"), F.regexp_extract("content", f"(\\S*{CYRILLIC}\\S*)", 1).alias("sample")).where("n_mixed > 0")
+    return artifacts(spark, sf_dir).select("id", n.alias("n_mixed"), F.regexp_count("content", F.lit(BETWEEN)).alias("n_between"), F.regexp_extract("content", f"(\\S*{CYRILLIC}\\S*)", 1).alias("sample")).where("n_mixed > 0")
 
 
-SQL_HOMOGLYPHS = f"WITH {SQL_ARTIFACTS} SELECT id, {_n(CYRILLIC)} AS n_mixed, regexp_extract(content, {quoted(f'(\\S*{CYRILLIC}\\S*)')}, 1) AS sample FROM artifacts WHERE regexp_matches(content, {quoted(CYRILLIC)})"
+SQL_HOMOGLYPHS = f"WITH {SQL_ARTIFACTS} SELECT id, {_n(CYRILLIC)} AS n_mixed, {_n(BETWEEN)} AS n_between, regexp_extract(content, {quoted(f'(\\S*{CYRILLIC}\\S*)')}, 1) AS sample FROM artifacts WHERE regexp_matches(content, {quoted(CYRILLIC)})"
 
 
 def q_hidden_runs(spark, sf_dir):
-    """Runs of two zero-width symbols read as bits, eight to a character, most significant first."""
-    a = artifacts(spark, sf_dir).where(F.col("content").rlike(RUN))
+    """Runs of zero-width symbols over exactly two of their alphabet as bits, in both orders, and tag characters as text."""
+    a = artifacts(spark, sf_dir).where(F.col("content").rlike(f"{RUN}|{TAG_RUN}"))
     runs = a.select("id", F.posexplode(F.regexp_extract_all("content", F.lit(RUN), F.lit(0))).alias("run_no", "run"))
-    bits = F.translate("run", "​‌", "01")
-    chars = F.transform(F.sequence(F.lit(0), F.floor(F.length(bits) / 8).cast("int") - 1), lambda i: F.char(F.conv(F.substring(bits, i * 8 + 1, F.lit(8)), 2, 10).cast("int")))
-    return runs.select("id", "run_no", F.length("run").alias("n_symbols"), F.array_join(chars, "").alias("decoded"))
+    symbols = F.array_sort(F.array_distinct(F.split("run", "")))
+    runs = runs.withColumn("s", symbols).where(F.size("s") == 2)
+    bits = F.array_join(F.transform(F.split("run", ""), lambda c: F.when(c == F.col("s")[0], "0").otherwise("1")), "")
+    chars = lambda b: F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(b) / 8).cast("int") - 1), lambda i: F.char(F.conv(F.substring(b, i * 8 + 1, F.lit(8)), 2, 10).cast("int"))), "")
+    of_bits = runs.select("id", "run_no", F.length("run").alias("n_symbols"), bits.alias("bits")).select("id", "run_no", "n_symbols", F.inline(F.array(F.struct(F.lit("bits").alias("form"), chars(F.col("bits")).alias("decoded")), F.struct(F.lit("flipped").alias("form"), chars(F.translate("bits", "01", "10")).alias("decoded")))))
+    tags = a.select("id", F.posexplode(F.regexp_extract_all("content", F.lit(TAG_RUN), F.lit(0))).alias("run_no", "run"))
+    of_tags = tags.select("id", "run_no", F.length("run").alias("n_symbols"), F.lit("tags").alias("form"), F.translate("run", TAG_LETTERS, ASCII).alias("decoded"))
+    return of_bits.unionByName(of_tags).select("id", "run_no", "n_symbols", "form", F.sha2("decoded", 256).alias("decoded_sha256"), F.regexp_replace("decoded", "[^ -~]", "?").alias("decoded"))
 
 
+_CHARS = lambda b: f"array_to_string(list_transform(generate_series(0, length({b}) // 8 - 1), lambda i: chr(list_reduce(list_transform(string_split(substr({b}, (i * 8 + 1)::INT, 8), ''), lambda x: x::INT), lambda x, y: x * 2 + y)::INT)), '')"
 SQL_HIDDEN = f"""WITH {SQL_ARTIFACTS}, runs AS (SELECT id, unnest(generate_series(0, len(regexp_extract_all(content, {quoted(RUN)})) - 1))::INT AS run_no, unnest(regexp_extract_all(content, {quoted(RUN)})) AS run FROM artifacts WHERE regexp_matches(content, {quoted(RUN)})),
-b AS (SELECT id, run_no, length(run)::INT AS n_symbols, translate(run, '​‌', '01') AS bits FROM runs)
-SELECT id, run_no, n_symbols, array_to_string(list_transform(generate_series(0, length(bits) // 8 - 1), lambda i: chr(list_reduce(list_transform(string_split(substr(bits, (i * 8 + 1)::INT, 8), ''), lambda x: x::INT), lambda x, y: x * 2 + y)::INT)), '') AS decoded FROM b"""
+s AS (SELECT id, run_no, run, list_sort(list_distinct(string_split(run, ''))) AS s FROM runs), b AS (SELECT id, run_no, length(run)::INT AS n_symbols, array_to_string(list_transform(string_split(run, ''), lambda c: CASE WHEN c = s[1] THEN '0' ELSE '1' END), '') AS bits FROM s WHERE len(s) = 2),
+tags AS (SELECT id, unnest(generate_series(0, len(regexp_extract_all(content, {quoted(TAG_RUN)})) - 1))::INT AS run_no, unnest(regexp_extract_all(content, {quoted(TAG_RUN)})) AS run FROM artifacts WHERE regexp_matches(content, {quoted(TAG_RUN)})),
+d AS (SELECT id, run_no, n_symbols, 'bits' AS form, {_CHARS("bits")} AS decoded FROM b UNION ALL SELECT id, run_no, n_symbols, 'flipped', {_CHARS("translate(bits, '01', '10')")} FROM b UNION ALL SELECT id, run_no, length(run)::INT, 'tags', translate(run, '{TAG_LETTERS}', {quoted(ASCII)}) FROM tags)
+SELECT id, run_no, n_symbols, form, sha256(decoded) AS decoded_sha256, regexp_replace(decoded, '[^ -~]', '?', 'g') AS decoded FROM d"""
 
 #: How encoded tokens look, 24 characters or more of each.
 TOKENS = (

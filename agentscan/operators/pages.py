@@ -19,6 +19,8 @@ SIGNALS = (
     "<p>Ordinary closing words.</p>",
     '<a href="/api/report?id=1">report</a> PROMPT-014 severity: high',
     '<a href="/api/canary/77">canary</a>',
+    "<urlset><url><loc>https://site.example.com/attacks/hidden-text/tier-3/a</loc></url><url><loc>https://site.example.com/attacks/meta-tags/tier-1</loc></url></urlset> ATK-HID-003",
+    "<p>" + "\u200b\u200c" * 8 + "</p> run a security self test",
     "<!-- a plain remark -->",
 )
 #: What makes a text look like a payload; words of a chain stand in order on one line.
@@ -33,6 +35,7 @@ KINDS = (
     ("meta-tag", r'(?i)<meta[^>]*name="(?:ai-instructions|security-test-id|security-test-severity)"[^>]*content="([^"]*)"', 6, False),
     ("aria-label", r'(?i)aria-label="([^"]{50,})"', 7, True),
     ("image-alt", r'(?i)<img[^>]*alt="([^"]{50,})"', 6, True),
+    ("hidden-unicode", r"([\x{200B}\x{200C}\x{200D}\x{2060}\x{FEFF}]{8,}|[\x{E0020}-\x{E007E}]{4,})", 8, False),
 )
 HEADER_WEIGHT = 8
 
@@ -71,6 +74,7 @@ def q_surfaces(spark, sf_dir):
 
 _STRIP = ((r"(?is)<script[^>]*>.*?</script>", ""), (r"(?is)<style[^>]*>.*?</style>", ""), (r"<[^>]+>", " "), (r"\s+", " "))
 #: Check ids and severities named in a page.
+ATTACK = r"\b[A-Z]{3,5}-[A-Z]{2,4}-\d{3}\b"
 CHECK = r"(?:PROMPT|INJ|CRED|MEM|TOOL|AUTH|MCP|A2A|RATE|SUPPLY|CONFIG|UNICODE-STEGO|RAG)-\d{3}"
 SEVERITY = r"(?i)severity['\":\s]+(critical|high|medium|low)"
 
@@ -80,7 +84,7 @@ def facts(p: DataFrame) -> DataFrame:
     text = F.col("html")
     for pattern, to in _STRIP:
         text = F.regexp_replace(text, pattern, to)
-    return p.select("page_id", "host", F.substring(F.trim(text), 1, 500).alias("visible"), F.contains("html", F.lit("/api/report")).alias("has_callback"), F.contains("html", F.lit("/api/canary/")).alias("has_canary"), F.regexp_extract("html", CHECK, 0).alias("check_id"), F.lower(F.regexp_extract("html", SEVERITY, 1)).alias("severity"))
+    return p.select("page_id", "host", F.substring(F.trim(text), 1, 500).alias("visible"), F.contains("html", F.lit("/api/report")).alias("has_callback"), F.contains("html", F.lit("/api/canary/")).alias("has_canary"), F.regexp_extract("html", ATTACK, 0).alias("attack_id"), F.regexp_extract("html", CHECK, 0).alias("check_id"), F.lower(F.regexp_extract("html", SEVERITY, 1)).alias("severity"))
 
 
 def q_facts(spark, sf_dir):
@@ -90,15 +94,31 @@ def q_facts(spark, sf_dir):
 _SQL_TEXT = "html"
 for _p, _to in _STRIP:
     _SQL_TEXT = f"regexp_replace({_SQL_TEXT}, {quoted(_p)}, {quoted(_to)}, 'g')"
-SQL_FACTS = f"""{SQL_PAGES}, facts AS (SELECT page_id, host, substr(trim({_SQL_TEXT}), 1, 500) AS visible, contains(html, '/api/report') AS has_callback, contains(html, '/api/canary/') AS has_canary, regexp_extract(html, {quoted(CHECK)}, 0) AS check_id, lower(regexp_extract(html, {quoted(SEVERITY)}, 1)) AS severity FROM crawl)"""
+SQL_FACTS = f"""{SQL_PAGES}, facts AS (SELECT page_id, host, substr(trim({_SQL_TEXT}), 1, 500) AS visible, contains(html, '/api/report') AS has_callback, contains(html, '/api/canary/') AS has_canary, regexp_extract(html, {quoted(ATTACK)}, 0) AS attack_id, regexp_extract(html, {quoted(CHECK)}, 0) AS check_id, lower(regexp_extract(html, {quoted(SEVERITY)}, 1)) AS severity FROM crawl)"""
+
+
+#: What marks a site file as carrying a payload, the addresses of a site map, and the category and tier that an address names.
+FILE_PAYLOAD = "(?i)security[^\\n]*test|ignore[^\\n]*instructions"
+LOC, CATEGORY, TIER = "<loc>([^<]+)</loc>", "/attacks/([a-z0-9-]+)", "/tier-(\\d)"
+
+
+def attack_urls(p: DataFrame) -> DataFrame:
+    """(page_id, host, url, category, tier) of the attack pages that site maps list."""
+    u = p.where(F.contains("html", F.lit("<loc>"))).select("page_id", "host", F.explode(F.regexp_extract_all("html", F.lit(LOC), F.lit(1))).alias("url"))
+    return u.where(F.col("url").rlike(CATEGORY)).select("page_id", "host", "url", F.regexp_extract("url", CATEGORY, 1).alias("category"), F.nullif(F.regexp_extract("url", TIER, 1), F.lit("")).cast("int").alias("tier"))
+
+
+SQL_URLS = f"""locs AS (SELECT page_id, host, unnest(regexp_extract_all(html, {quoted(LOC)}, 1)) AS url FROM crawl), attack_urls AS (SELECT page_id, host, url, regexp_extract(url, {quoted(CATEGORY)}, 1) AS category, nullif(regexp_extract(url, {quoted(TIER)}, 1), '')::INT AS tier FROM locs WHERE regexp_matches(url, {quoted(CATEGORY)}))"""
 
 
 def resilience(p: DataFrame) -> DataFrame:
-    """Score of each host: 100 less deductions for callbacks, canaries, kinds and stealth, and its rating."""
+    """Score of each host: 100 less deductions for poisoned files, callbacks, canaries, kinds, stealth, tier and categories, and its rating."""
     f = facts(p).groupBy("host").agg(F.count("*").alias("n_pages"), F.count_if("has_callback").alias("callbacks"), F.count_if("has_canary").alias("canaries"))
+    u = attack_urls(p).groupBy("host").agg(F.count_distinct("category").alias("categories"), F.max("tier").alias("tier"))
+    files = p.where(F.col("html").rlike(FILE_PAYLOAD)).groupBy("host").agg(F.count("*").alias("files"))
     s = surfaces(p).groupBy("host").agg(F.count("*").alias("n_surfaces"), F.count_distinct("kind").alias("kinds"), F.sum("stealth").alias("stealth"))
-    d = f.join(s, "host", "left").fillna(0, ["n_surfaces", "kinds", "stealth"])
-    lost = F.least(F.lit(100.0), F.col("callbacks") * 2 + F.col("canaries") + F.col("kinds") * 3 + F.col("stealth") * 0.5)
+    d = f.join(s, "host", "left").join(u, "host", "left").join(files, "host", "left").fillna(0, ["n_surfaces", "kinds", "stealth", "categories", "tier", "files"])
+    lost = F.least(F.lit(100.0), F.col("files") * 5 + F.col("callbacks") * 2 + F.col("canaries") + F.col("kinds") * 3 + F.col("stealth") * 0.5 + F.col("tier") * 2 + F.col("categories") * 2)
     score = F.greatest(F.lit(0), F.floor(100 - lost + 0.5)).cast("int")
     rating = F.when(score >= 80, "strong").when(score >= 60, "good").when(score >= 40, "moderate").when(score >= 20, "needs-attention").otherwise("critical")
     return d.select("host", "n_pages", "n_surfaces", "kinds", score.alias("score"), rating.alias("rating"))
@@ -108,27 +128,30 @@ def q_resilience(spark, sf_dir):
     return resilience(pages(spark, sf_dir))
 
 
-SQL_RESILIENCE = f"""WITH {SQL_SURFACES}, {SQL_FACTS.partition("), facts")[1][3:]}{SQL_FACTS.partition("), facts")[2]},
+SQL_RESILIENCE = f"""WITH {SQL_SURFACES}, {SQL_URLS}, {SQL_FACTS.partition("), facts")[1][3:]}{SQL_FACTS.partition("), facts")[2]},
 f AS (SELECT host, count(*) AS n_pages, count(*) FILTER (has_callback) AS callbacks, count(*) FILTER (has_canary) AS canaries FROM facts GROUP BY host),
 s AS (SELECT host, count(*) AS n_surfaces, count(DISTINCT kind) AS kinds, sum(stealth) AS stealth FROM surfaces GROUP BY host),
-d AS (SELECT f.host, n_pages, coalesce(n_surfaces, 0) AS n_surfaces, coalesce(kinds, 0) AS kinds, greatest(0, floor(100 - least(100.0, callbacks * 2 + canaries + coalesce(kinds, 0) * 3 + coalesce(stealth, 0) * 0.5) + 0.5))::INT AS score FROM f LEFT JOIN s USING (host))
+u AS (SELECT host, count(DISTINCT category) AS categories, max(tier) AS tier FROM attack_urls GROUP BY host), p AS (SELECT host, count(*) AS files FROM crawl WHERE regexp_matches(html, {quoted(FILE_PAYLOAD)}) GROUP BY host),
+d AS (SELECT f.host, n_pages, coalesce(n_surfaces, 0) AS n_surfaces, coalesce(kinds, 0) AS kinds, greatest(0, floor(100 - least(100.0, coalesce(files, 0) * 5 + coalesce(tier, 0) * 2 + coalesce(categories, 0) * 2 + callbacks * 2 + canaries + coalesce(kinds, 0) * 3 + coalesce(stealth, 0) * 0.5) + 0.5))::INT AS score FROM f LEFT JOIN s USING (host) LEFT JOIN u USING (host) LEFT JOIN p USING (host))
 SELECT *, CASE WHEN score >= 80 THEN 'strong' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'moderate' WHEN score >= 20 THEN 'needs-attention' ELSE 'critical' END AS rating FROM d"""
 
-#: Fixed value: what marks a site file as carrying a payload.
-FILE_PAYLOAD = "(?i)security[^\\n]*test|ignore[^\\n]*instructions"
+def q_file_payloads(spark, sf_dir):
+    """Pages that carry a file payload, with an excerpt."""
+    p = pages(spark, sf_dir).where(F.col("html").rlike(FILE_PAYLOAD))
+    return p.select("page_id", "host", F.substring(F.regexp_extract("html", f"(?:{FILE_PAYLOAD})[^\\n<]*", 0), 1, 120).alias("excerpt"))
 
 
-def q_attack_urls(spark, sf_dir):
-    """Category and tier of pages from their URLs, and whether their text carries a file payload."""
-    p = pages(spark, sf_dir)
-    return p.select("page_id", F.regexp_extract("url", "^[a-z]+://[^/]*/([^/?#]+)", 1).alias("category"), F.when(F.regexp_extract("url", "/(\\d+)", 1) != "", F.regexp_extract("url", "/(\\d+)", 1).cast("int") % 5).alias("tier"), F.col("html").rlike(FILE_PAYLOAD).alias("has_payload"), F.substring(F.regexp_extract("html", f"(?:{FILE_PAYLOAD})[^\\n<]*", 0), 1, 120).alias("excerpt"))
+SQL_FILE_PAYLOADS = f"""WITH {SQL_PAGES} SELECT page_id, host, substr(regexp_extract(html, {quoted(f"(?:{FILE_PAYLOAD})[^" + chr(92) + "n<]*")}, 0), 1, 120) AS excerpt FROM crawl WHERE regexp_matches(html, {quoted(FILE_PAYLOAD)})"""
 
 
-SQL_ATTACK_URLS = f"""WITH {SQL_PAGES} SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]*/([^/?#]+)', 1) AS category, CASE WHEN regexp_matches(url, '/(\\d+)') THEN regexp_extract(url, '/(\\d+)', 1)::INT % 5 END AS tier, regexp_matches(html, {quoted(FILE_PAYLOAD)}) AS has_payload, substr(regexp_extract(html, {quoted(f"(?:{FILE_PAYLOAD})[^\\n<]*")}, 0), 1, 120) AS excerpt FROM crawl"""
+def q_attack_urls(spark, sf_dir):
+    return attack_urls(pages(spark, sf_dir))
+
 
 QUERIES = {
     "page_surfaces": (q_surfaces, f"WITH {SQL_SURFACES} SELECT * FROM surfaces"),
     "page_facts": (q_facts, f"WITH {SQL_FACTS} SELECT * FROM facts"),
     "site_resilience": (q_resilience, SQL_RESILIENCE),
-    "site_attack_urls": (q_attack_urls, SQL_ATTACK_URLS),
+    "site_attack_urls": (q_attack_urls, f"WITH {SQL_PAGES}, {SQL_URLS} SELECT * FROM attack_urls"),
+    "site_file_payloads": (q_file_payloads, SQL_FILE_PAYLOADS),
 }

@@ -10,10 +10,10 @@ from agentscan.operators.text import SQL_INFERRED, inferred_capabilities
 from agentscan.sources.derived import SQL_ARTIFACTS, SQL_CONFIGS, artifacts, configs
 
 #: Artifact types by the end of the path, and by content where the path says nothing.
-BY_PATH = (("SKILL.md", "skill"), ("SOUL.md", "soul"), ("CLAUDE.md", "instructions"), ("mcp.json", "mcp_config"), ("settings.json", "settings"), ("package.json", "manifest"), ("system-prompt.md", "system_prompt"), (".env", "env"))
-BY_CONTENT = ((r"(?i)\bmcpServers\b", "mcp_config"), (r"(?i)you are (?:now )?an? ", "system_prompt"), (r"(?m)^\s*(?:import|const|def|function) |eval\(", "source"))
+BY_PATH = (("SKILL.md", "skill"), ("SOUL.md", "soul"), ("CLAUDE.md", "instructions"), ("mcp.json", "mcp_config"), ("settings.json", "settings"), ("package.json", "manifest"), ("system-prompt.md", "system_prompt"), (".env", "env"), ("HEARTBEAT.md", "heartbeat"), ("AGENTS.md", "instructions"), (".cursorrules", "instructions"), ("openclaw.json", "agent_config"), (".vscode/mcp.json", "mcp_config"), ("tools.json", "tool_config"), ("memory.json", "memory"), (".sh", "source"), (".py", "source"), (".ts", "source"), (".yaml", "config"), ("README.md", "documentation"))
+BY_CONTENT = ((r"(?i)\bmcpServers\b", "mcp_config"), (r"^---\nname:", "skill"), (r"(?i)\bheartbeat every\b", "heartbeat"), (r"(?i)\"permissions\"\s*:\s*\{", "settings"), (r"(?i)^# SOUL\b|\btrust hierarchy\b", "soul"), (r"(?i)you are (?:now )?an? ", "system_prompt"), (r"(?m)^\s*(?:import|const|def|function) |eval\(", "source"))
 #: Flags of paths.
-CONTEXT = (("is_test", r"(?:^|/)(?:test|tests|__tests__|spec|fixtures)/"), ("is_example", r"(?:^|/)(?:examples?|templates?|docs)/"), ("is_hidden", r"(?:^|/)\.[^/]+"))
+CONTEXT = (("is_test", r"(?:^|/)(?:test|tests|__tests__|spec|fixtures)/"), ("is_example", r"(?:^|/)(?:examples?|templates?|docs)/"), ("is_hidden", r"(?:^|/)\.[^/]+"), ("is_corpus", r"(?:^|/)(?:corpus|datasets?|payloads?)/"), ("is_manifest", r"(?:package|openclaw|manifest)\.json$|\.lock$"), ("is_installed", r"(?:^|/)(?:node_modules|site-packages|vendor)/"))
 
 
 def typed(a: DataFrame) -> DataFrame:
@@ -78,29 +78,34 @@ def _case(col, table, other):
     return "CASE " + " ".join(f"WHEN regexp_matches({col}, {quoted(p)}) THEN {quoted(v) if isinstance(v, str) else v}" for p, v in table) + f" ELSE {other} END"
 
 
+#: Markers of lists, quotes and headings, and ends of sentences and of cells of tables.
+MARKER, SENTENCE = r"^\s*(?:[-*+>]|#{1,6}|\d+[.)])\s+", r"[.!?]+(?:\s|$)|\s*\|\s*"
+
+
 def constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentences that bind, with their domain and how enforceable they are."""
     rows = lines(artifacts(spark, sf_dir).where(F.col("content").rlike(MODAL)), "content", ["project_id", "id"])
-    s = rows.select("project_id", "id", "line_no", F.explode(F.split("line", "[.!?]+(?:\\s|$)")).alias("sentence")).withColumn("sentence", F.trim("sentence")).where(F.col("sentence").rlike(MODAL))
+    plain = F.regexp_replace("line", MARKER, "")
+    s = rows.select("project_id", "id", "line_no", F.explode(F.split(plain, SENTENCE)).alias("sentence")).withColumn("sentence", F.trim("sentence")).where(F.col("sentence").rlike(MODAL))
     force = _when(F.col("sentence"), STRENGTH, 0.2)
     return s.select("project_id", "id", "line_no", "sentence", _when(F.col("sentence"), DOMAINS, "general").alias("domain"), force.alias("enforceability"), F.round(1 - force, 6).alias("bypass_risk"))
 
 
-SQL_CONSTRAINTS = f"""{SQL_ARTIFACTS}, lines AS ({sql_lines("artifacts", "project_id, id")}), sentences AS (SELECT project_id, id, line_no, trim(unnest(regexp_split_to_array(line, '[.!?]+(?:\\s|$)'))) AS sentence FROM lines),
+SQL_CONSTRAINTS = f"""{SQL_ARTIFACTS}, lines AS ({sql_lines("artifacts", "project_id, id")}), sentences AS (SELECT project_id, id, line_no, trim(unnest(regexp_split_to_array(regexp_replace(line, {quoted(MARKER)}, ''), {quoted(SENTENCE)}))) AS sentence FROM lines),
 constraints AS (SELECT project_id, id, line_no, sentence, {_case("sentence", DOMAINS, "'general'")} AS domain, ({_case("sentence", STRENGTH, "0.2")})::DOUBLE AS enforceability, round(1 - ({_case("sentence", STRENGTH, "0.2")})::DOUBLE, 6) AS bypass_risk FROM sentences WHERE regexp_matches(sentence, {quoted(MODAL)}))"""
 
 
 def q_gaps(spark, sf_dir):
     """Domains without a constraint in a project, weak ones, and constraints for each shown capability."""
-    c = constraints(spark, sf_dir).groupBy("project_id").agg(F.collect_set("domain").alias("have"), F.round(F.avg("enforceability"), 6).alias("mean_enforceability"), F.count_if(F.col("enforceability") < 0.6).alias("weak"), F.count("*").alias("n"))
+    c = constraints(spark, sf_dir).groupBy("project_id").agg(F.collect_set("domain").alias("have"), F.round(F.avg("enforceability"), 6).alias("mean_enforceability"), F.count_if(F.col("enforceability") < 0.6).alias("weak"), F.count_if(F.col("enforceability") < 0.3).alias("decorative"), F.count("*").alias("n"))
     k = inferred_capabilities(spark, sf_dir).groupBy("project_id").agg(F.count_distinct("capability").alias("capabilities"))
     names = F.array(*[F.lit(d) for _, d in DOMAINS])
-    return k.join(c, "project_id", "left").select("project_id", F.array_join(F.array_sort(F.array_except(names, F.coalesce("have", F.array().cast("array<string>")))), ",").alias("missing"), "mean_enforceability", F.coalesce("weak", F.lit(0)).alias("weak"), F.round(F.coalesce("n", F.lit(0)) / F.col("capabilities"), 6).alias("ratio"))
+    return k.join(c, "project_id", "left").select("project_id", F.array_join(F.array_sort(F.array_except(names, F.coalesce("have", F.array().cast("array<string>")))), ",").alias("missing"), "mean_enforceability", F.coalesce("weak", F.lit(0)).alias("weak"), F.coalesce("decorative", F.lit(0)).alias("decorative"), F.round(F.coalesce("n", F.lit(0)) / F.col("capabilities"), 6).alias("ratio"))
 
 
 SQL_GAPS = f"""WITH {SQL_CONSTRAINTS}, {SQL_INFERRED.partition("lines AS")[0].replace(SQL_ARTIFACTS + ", ", "")}l2 AS ({sql_lines("artifacts", "project_id, id")}), {SQL_INFERRED.partition("), inferred")[1][3:]}{SQL_INFERRED.partition("), inferred")[2].replace("FROM lines", "FROM l2")},
-c AS (SELECT project_id, list(DISTINCT domain) AS have, round(avg(enforceability), 6) AS mean_enforceability, count(*) FILTER (enforceability < 0.6) AS weak, count(*) AS n FROM constraints GROUP BY project_id), k AS (SELECT project_id, count(DISTINCT capability) AS capabilities FROM inferred GROUP BY project_id)
-SELECT project_id, array_to_string(list_sort(list_filter([{', '.join(quoted(d) for _, d in DOMAINS)}], lambda d: NOT list_contains(coalesce(have, []), d))), ',') AS missing, mean_enforceability, coalesce(weak, 0) AS weak, round(coalesce(n, 0) / capabilities, 6) AS ratio FROM k LEFT JOIN c USING (project_id)"""
+c AS (SELECT project_id, list(DISTINCT domain) AS have, round(avg(enforceability), 6) AS mean_enforceability, count(*) FILTER (enforceability < 0.6) AS weak, count(*) FILTER (enforceability < 0.3) AS decorative, count(*) AS n FROM constraints GROUP BY project_id), k AS (SELECT project_id, count(DISTINCT capability) AS capabilities FROM inferred GROUP BY project_id)
+SELECT project_id, array_to_string(list_sort(list_filter([{', '.join(quoted(d) for _, d in DOMAINS)}], lambda d: NOT list_contains(coalesce(have, []), d))), ',') AS missing, mean_enforceability, coalesce(weak, 0) AS weak, coalesce(decorative, 0) AS decorative, round(coalesce(n, 0) / capabilities, 6) AS ratio FROM k LEFT JOIN c USING (project_id)"""
 
 #: Packages that near names imitate.
 KNOWN = ("mcp-server-git", "mcp-server-fetch", "mcp-server-time", "server-filesystem")

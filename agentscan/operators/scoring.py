@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from agentscan.functions.rules import quoted, scan, sql_scan
-from agentscan.operators import static
-from agentscan.operators.text import INJECTION, MANIPULATION, SKILL
+from agentscan.functions.rules import any_match, line_array, line_hits, quoted, scan, sql_lines, sql_scan
+from agentscan.operators import configs, static
+from agentscan.operators.text import EXFILTRATION, INJECTION, MANIPULATION, PERMISSIVE, SKILL, SQL_INSTRUCTION, instruction_hits
 from agentscan.sources.derived import SQL_ARTIFACTS, artifacts
 
 #: Weights of severities, what they rank as, and the score's decay.
@@ -59,13 +59,28 @@ def prefix(check: Column) -> Column:
     return F.regexp_extract(check, "^([A-Z]+)", 1)
 
 
+#: Families that count as another one.
+FOLDS = (("remote-instructions", "supply-chain"), ("weak-crypto", "misconfiguration"), ("authentication", "exposure"))
+
+
+def catalogue(spark: SparkSession) -> DataFrame:
+    """(check_id, severity, name): every check that some rule can report, as a table."""
+    rows = {r.check_id: (r.severity, r.name or r.check_id) for r in RULES}
+    rows |= {c[0]: (c[1], c[-1]) for c in (*static.FILES, *static.ABSENCE, *static.COMBINATIONS)}
+    rows |= {c.check_id: (c.severity, c.check_id) for c in (*configs.FILES, *configs.SERVERS)}
+    return spark.createDataFrame([(k, *v) for k, v in sorted(rows.items())], "check_id string, severity string, name string")
+
+
 def catalogued(f: DataFrame) -> DataFrame:
-    """Findings with category, family, class and fix; unknown ids keep nulls."""
-    c = f.sparkSession.createDataFrame(list(CATALOGUE), "p string, category string, family string, attack_class string, fix string")
-    return f.withColumn("p", prefix(F.col("check_id"))).join(F.broadcast(c), "p", "left").drop("p")
+    """Findings with category, family (folded), class and fix; unknown ids keep nulls."""
+    c = f.sparkSession.createDataFrame(list(CATALOGUE), "p string, category string, own string, attack_class string, fix string")
+    folds = f.sparkSession.createDataFrame(list(FOLDS), "own string, fold string")
+    j = f.withColumn("p", prefix(F.col("check_id"))).join(F.broadcast(c), "p", "left").join(F.broadcast(folds), "own", "left")
+    return j.select(*f.columns, "category", F.coalesce("fold", "own").alias("family"), "attack_class", "fix")
 
 
-_CAT_SQL = "catalogue(p, category, family, attack_class, fix) AS (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in CATALOGUE) + ")"
+_FOLD = dict(FOLDS)
+_CAT_SQL = "catalogue(p, category, family, attack_class, fix) AS (VALUES " + ", ".join("(" + ", ".join(map(quoted, (p, c, _FOLD.get(f, f), a, x))) + ")" for p, c, f, a, x in CATALOGUE) + ")"
 
 
 def score(f: DataFrame, by: list[str]) -> DataFrame:
@@ -183,10 +198,11 @@ def snapshot_diff(old: DataFrame, new: DataFrame, identity: list[str]) -> DataFr
 
 
 def q_new_vs_existing(spark, sf_dir):
-    """The findings now against an earlier snapshot, in which every tenth document was another."""
+    """The findings now against an earlier snapshot, in which every tenth document was another: one scan tells both counts."""
     f = findings(spark, sf_dir)
-    old = f.where("id % 10 <> 3").unionByName(f.where("id % 10 = 4"))
-    return snapshot_diff(old, f, ["project_id", "check_id"])
+    before = F.when(F.col("id") % 10 == 3, 0).when(F.col("id") % 10 == 4, 2).otherwise(1)
+    g = f.groupBy("project_id", "check_id").agg(F.sum(before).alias("a"), F.count("*").alias("b"))
+    return g.select("project_id", "check_id", F.greatest(F.col("b") - F.col("a"), F.lit(0)).alias("introduced"), F.greatest(F.col("a") - F.col("b"), F.lit(0)).alias("fixed"), F.least("a", "b").alias("kept"))
 
 
 SQL_NEW = f"""WITH {SQL_FINDINGS}, old AS (SELECT * FROM findings WHERE id % 10 <> 3 UNION ALL SELECT * FROM findings WHERE id % 10 = 4),
@@ -234,6 +250,123 @@ def q_census(spark, sf_dir):
 
 SQL_CENSUS = f"WITH {SQL_CAT} SELECT attack_class, family, count(*) AS n, count(DISTINCT check_id) AS checks, grouping(attack_class, family)::BIGINT AS level FROM cat GROUP BY ROLLUP (attack_class, family)"
 
+
+def q_catalogue(spark, sf_dir):
+    """Every catalogued check with how often and in how many projects it was found; checks that nothing meets have zeros."""
+    f = findings(spark, sf_dir).groupBy("check_id").agg(F.count("*").alias("n"), F.count_distinct("project_id").alias("projects"))
+    ids = F.broadcast(catalogue(spark))
+    return f.join(ids.select("check_id"), "check_id", "right").fillna(0, ["n", "projects"]).select("check_id", "n", "projects")
+
+
+_IDS = ", ".join(f"({quoted(x)})" for x in sorted({r.check_id for r in RULES} | {c[0] for c in (*static.FILES, *static.ABSENCE, *static.COMBINATIONS)} | {c.check_id for c in (*configs.FILES, *configs.SERVERS)}))
+SQL_CATALOGUE = f"WITH {SQL_FINDINGS}, ids(check_id) AS (VALUES {_IDS}) SELECT ids.check_id, count(f.check_id) AS n, count(DISTINCT project_id) AS projects FROM ids LEFT JOIN findings f ON f.check_id = ids.check_id GROUP BY ids.check_id"
+
+#: Fixed value: where files stood in the earlier snapshot that have been renamed since.
+OLD_FOLDER = "old/"
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(earlier findings, findings now, renames): in the earlier snapshot some files stood elsewhere, some were absent and some held less."""
+    now = line_hits(artifacts(spark, sf_dir), "content", static.LINE_RULES, ["project_id", "id", "path"], "path").select("project_id", "id", "path", "check_id", F.sha2(F.trim("matched"), 256).alias("line_hash"))
+    moved = F.when(F.col("id") % 10 == 4, F.concat(F.lit(OLD_FOLDER), "path")).otherwise(F.col("path"))
+    old = now.where("id % 10 <> 3 and not (id % 10 = 5 and check_id > 'N')").withColumn("path", moved)
+    renames = artifacts(spark, sf_dir).where("id % 10 = 4").select(F.concat(F.lit(OLD_FOLDER), "path").alias("old_path"), F.col("path").alias("new_path"))
+    return old, now, renames
+
+
+def change_findings(old: DataFrame, now: DataFrame, renames: DataFrame) -> DataFrame:
+    """Findings now as introduced or existing, and the earlier ones that are fixed.
+
+    A finding is known by its check, its file after renames and its trimmed line; equal ones are told
+    apart by number, so three of a kind against two make one introduced.
+    """
+    key = ["project_id", "path", "check_id", "line_hash"]
+    there = old.join(renames, old.path == renames.old_path, "left").select("project_id", F.coalesce("new_path", "path").alias("path"), "check_id", "line_hash")
+    a, b = there.groupBy(*key).agg(F.count("*").alias("a")), now.groupBy(*key).agg(F.count("*").alias("b"))
+    n, o = F.coalesce("b", F.lit(0)), F.coalesce("a", F.lit(0))
+    j = a.join(b, key, "full_outer")
+    return j.select(*key, F.inline(F.filter(F.array(*[F.struct(F.lit(k).alias("status"), v.alias("n")) for k, v in (("introduced", F.greatest(n - o, F.lit(0))), ("existing", F.least(n, o)), ("fixed", F.greatest(o - n, F.lit(0))))]), lambda x: x["n"] > 0)))
+
+
+def q_changes(spark, sf_dir):
+    """Changes by project and check."""
+    return change_findings(*snapshots(spark, sf_dir)).groupBy("project_id", "check_id", "status").agg(F.sum("n").alias("n"))
+
+
+SQL_CHANGES = f"""WITH {SQL_ARTIFACTS}, lines AS ({sql_lines("artifacts", "project_id, id, path")}), n0 AS (SELECT project_id, id, path, check_id, sha256(trim(matched)) AS h FROM ({sql_scan("lines", "line", static.LINE_RULES, "project_id, id, path")})),
+old AS (SELECT project_id, CASE WHEN id % 10 = 4 THEN '{OLD_FOLDER}' || path ELSE path END AS path, check_id, h FROM n0 WHERE id % 10 <> 3 AND NOT (id % 10 = 5 AND check_id > 'N')),
+r AS (SELECT '{OLD_FOLDER}' || path AS old_path, path AS new_path FROM artifacts WHERE id % 10 = 4), o AS (SELECT project_id, coalesce(new_path, path) AS path, check_id, h, row_number() OVER (PARTITION BY project_id, coalesce(new_path, path), check_id, h) AS k FROM old LEFT JOIN r ON old_path = path),
+n AS (SELECT project_id, path, check_id, h, row_number() OVER (PARTITION BY project_id, path, check_id, h) AS k FROM n0), j AS (SELECT coalesce(n.project_id, o.project_id) AS project_id, coalesce(n.check_id, o.check_id) AS check_id, CASE WHEN o.k IS NULL THEN 'introduced' WHEN n.k IS NULL THEN 'fixed' ELSE 'existing' END AS status FROM n FULL JOIN o ON n.project_id IS NOT DISTINCT FROM o.project_id AND n.path = o.path AND n.check_id = o.check_id AND n.h = o.h AND n.k = o.k)
+SELECT project_id, check_id, status, count(*)::BIGINT AS n FROM j GROUP BY ALL"""
+
+
+def states(f: DataFrame) -> DataFrame:
+    """Findings with their state: some don't apply to what they were found in, some are confirmed as fixed."""
+    state = F.when(F.col("path").rlike(r"/docs/"), "not-applicable").when((F.col("id") % 17 == 0) & F.col("check_id").startswith("SKILL"), "confirmed-fixed").otherwise("open")
+    return f.withColumn("state", state)
+
+
+def q_counted(spark, sf_dir):
+    """Which findings count: those that apply and are not confirmed as fixed. The score of the others is not lost but shown apart."""
+    f = states(catalogued(findings(spark, sf_dir)))
+    open_ = score(f.where("state = 'open'"), ["project_id"]).select("project_id", "score")
+    n = f.groupBy("project_id").agg(F.count("*").alias("findings"), F.count_if(F.col("state") == "not-applicable").alias("not_applicable"), F.count_if(F.col("state") == "confirmed-fixed").alias("confirmed_fixed"))
+    return n.join(open_, "project_id", "left").select("project_id", "findings", "not_applicable", "confirmed_fixed", F.coalesce("score", F.lit(100)).alias("score"))
+
+
+_STATE = "CASE WHEN regexp_matches(path, '/docs/') THEN 'not-applicable' WHEN id % 17 = 0 AND starts_with(check_id, 'SKILL') THEN 'confirmed-fixed' ELSE 'open' END"
+SQL_COUNTED = f"""WITH {SQL_CAT}, st AS (SELECT *, {_STATE} AS state FROM cat), op AS (SELECT * FROM st WHERE state = 'open'), {sql_score("project_id", "op")},
+n AS (SELECT project_id, count(*) AS findings, count(*) FILTER (state = 'not-applicable') AS not_applicable, count(*) FILTER (state = 'confirmed-fixed') AS confirmed_fixed FROM st GROUP BY 1)
+SELECT n.*, coalesce(score, 100) AS score FROM n LEFT JOIN scored USING (project_id)"""
+
+
+def q_several_paths(spark, sf_dir):
+    """Findings that name several paths (one for each check in a batch of ten files): suppressed paths leave them, and one without paths goes."""
+    cover = [glob(p) for _, p, c, _, x in SUPPRESSIONS if p and not c and (x is None or x >= "2024-06-01")]
+    g = findings(spark, sf_dir).groupBy("project_id", F.floor(F.col("id") / 10).alias("batch"), "check_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    covered = F.filter("paths", lambda p: any_of([p.rlike(c) for c in cover]))
+    left = F.array_except("paths", covered)
+    return g.select("project_id", "batch", "check_id", F.size("paths").alias("named"), F.size(left).alias("left"), F.array_join(left, ",").alias("paths")).where("left > 0")
+
+
+def any_of(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
+
+
+_COVER = " OR ".join(f"regexp_matches(p, {quoted(glob(p))})" for _, p, c, _, x in SUPPRESSIONS if p and not c and (x is None or x >= "2024-06-01"))
+SQL_SEVERAL = f"""WITH {SQL_FINDINGS}, g AS (SELECT project_id, id // 10 AS batch, check_id, list_sort(list(DISTINCT path)) AS paths FROM findings GROUP BY ALL), l AS (SELECT *, list_filter(paths, lambda p: NOT ({_COVER})) AS kept FROM g)
+SELECT project_id, batch, check_id, len(paths)::INT AS named, len(kept)::INT AS "left", array_to_string(kept, ',') AS paths FROM l WHERE len(kept) > 0"""
+
+
+def q_refiltered(spark, sf_dir):
+    """Suppression applied once to file findings and semantic ones together, so that nothing is counted twice."""
+    semantic = instruction_findings(spark, sf_dir)
+    merged = findings(spark, sf_dir).unionByName(semantic).dropDuplicates(["path", "check_id"])
+    return suppressed(merged).groupBy("project_id").agg(F.count("*").alias("findings"), F.count("suppressed_by").alias("suppressed"), F.count_if("counts").alias("counted"))
+
+
+def instruction_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permissive and exfiltrating lines as findings of their files."""
+    a = artifacts(spark, sf_dir).where(any_match(F.col("content"), [PERMISSIVE, EXFILTRATION]))
+    rows = a.select("project_id", "path", "id", F.inline(instruction_hits(line_array(F.col("content")))))
+    return rows.select("project_id", "path", "id", "check_id", "severity")
+
+
+SQL_REFILTERED = f"""WITH {SQL_FINDINGS}, i AS ({SQL_INSTRUCTION}), m AS (SELECT DISTINCT project_id, path, check_id FROM (SELECT project_id, path, check_id FROM findings UNION ALL SELECT a.project_id, a.path, i.check_id FROM i JOIN artifacts a ON a.id = i.id)), s AS (SELECT *, CASE {_CASE} END::INT AS suppressed_by FROM m)
+SELECT project_id, count(*) AS findings, count(suppressed_by) AS suppressed, count(*) FILTER (suppressed_by IS NULL OR suppressed_by IN ({', '.join(str(r[0]) for r in _SUP if r[4])})) AS counted FROM s GROUP BY project_id"""
+
+
+def q_common(spark, sf_dir):
+    """Findings that two snapshots share as multisets, by check."""
+    f = findings(spark, sf_dir).select("project_id", "check_id")
+    return f.intersectAll(findings(spark, sf_dir).where("id % 10 <> 3").select("project_id", "check_id")).groupBy("check_id").count()
+
+
+SQL_COMMON = f"WITH {SQL_FINDINGS} SELECT check_id, count(*) AS count FROM (SELECT project_id, check_id FROM findings INTERSECT ALL SELECT project_id, check_id FROM findings WHERE id % 10 <> 3) GROUP BY check_id"
+
 QUERIES = {
     "source_scorecard": (q_scorecard, f"WITH {SQL_CAT}, {sql_score('project_id')} SELECT * FROM scored"),
     "findings_catalogued": (q_findings, f"WITH {SQL_CAT} SELECT path, check_id, severity, category, family, attack_class, fix FROM cat"),
@@ -244,7 +377,13 @@ QUERIES = {
     "suppression": (q_suppression, SQL_SUPPRESSION),
     "new_vs_existing": (q_new_vs_existing, SQL_NEW),
     "snapshot_difference": (q_set_difference, SQL_SET),
+    "snapshot_common": (q_common, SQL_COMMON),
+    "change_findings": (q_changes, SQL_CHANGES),
+    "counted_findings": (q_counted, SQL_COUNTED),
+    "suppressed_paths": (q_several_paths, SQL_SEVERAL),
+    "refiltered_findings": (q_refiltered, SQL_REFILTERED),
     "tier_order": (q_tiers, SQL_TIERS),
     "coverage": (q_coverage, SQL_COVERAGE),
     "attack_census": (q_census, SQL_CENSUS),
+    "catalogue_census": (q_catalogue, SQL_CATALOGUE),
 }

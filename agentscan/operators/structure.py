@@ -7,7 +7,7 @@ from pyspark.sql import Window
 
 from agentscan.functions.rules import any_match, quoted
 from agentscan.operators.evidence import SQL_FRONT, SQL_SURFACES, q_front, risk_surfaces
-from agentscan.operators.profiles import SQL_CONSTRAINTS, SQL_TYPES, constraints, typed
+from agentscan.operators.profiles import SQL_CONSTRAINTS, SQL_DECLARED, SQL_TYPES, constraints, declared, typed
 from agentscan.operators.scoring import SQL_FINDINGS, findings
 from agentscan.operators.text import INJECTION, SQL_INFERRED, inferred_capabilities
 from agentscan.sources.derived import SQL_ARTIFACTS, SQL_TURNS, artifacts, turns
@@ -136,11 +136,13 @@ def q_hierarchy(spark, sf_dir):
     a = artifacts(spark, sf_dir).groupBy("project_id").agg(*[F.max(F.col("content").rlike(p).cast("int")).alias(f"t{i}") for i, p in enumerate(HIERARCHY)])
     k = inferred_capabilities(spark, sf_dir).groupBy("project_id").agg(F.count_distinct("capability").alias("shown"))
     score = sum((F.col(f"t{i}") for i in range(len(HIERARCHY))), F.lit(0)) / float(len(HIERARCHY))
-    return a.join(k, "project_id", "left").select("project_id", F.round(score, 6).alias("score"), (score < 0.4).alias("weak"), F.coalesce("shown", F.lit(0)).alias("shown"))
+    d = declared(spark, sf_dir).groupBy("project_id").agg(F.count("*").alias("declared"))
+    shown, said = F.coalesce("shown", F.lit(0)), F.coalesce("declared", F.lit(0))
+    return a.join(k, "project_id", "left").join(d, "project_id", "left").select("project_id", F.round(score, 6).alias("score"), (score < 0.4).alias("weak"), shown.alias("shown"), (shown - said > said).alias("creep"))
 
 
-SQL_HIERARCHY = f"""WITH {SQL_INFERRED}, a AS (SELECT project_id, {" + ".join(f"max(regexp_matches(content, {quoted(p)})::INT)" for p in HIERARCHY)} AS n FROM artifacts GROUP BY 1), k AS (SELECT project_id, count(DISTINCT capability) AS shown FROM inferred GROUP BY 1)
-SELECT project_id, round(n / 5.0::DOUBLE, 6) AS score, n / 5.0::DOUBLE < 0.4 AS weak, coalesce(shown, 0) AS shown FROM a LEFT JOIN k USING (project_id)"""
+SQL_HIERARCHY = f"""WITH {SQL_INFERRED}, a AS (SELECT project_id, {" + ".join(f"max(regexp_matches(content, {quoted(p)})::INT)" for p in HIERARCHY)} AS n FROM artifacts GROUP BY 1), k AS (SELECT project_id, count(DISTINCT capability) AS shown FROM inferred GROUP BY 1), {SQL_DECLARED}, d AS (SELECT project_id, count(*) AS said FROM declared GROUP BY 1)
+SELECT project_id, round(n / 5.0::DOUBLE, 6) AS score, n / 5.0::DOUBLE < 0.4 AS weak, coalesce(shown, 0) AS shown, coalesce(shown, 0) - coalesce(said, 0) > coalesce(said, 0) AS creep FROM a LEFT JOIN k USING (project_id) LEFT JOIN d USING (project_id)"""
 
 
 def q_statistics(spark, sf_dir):

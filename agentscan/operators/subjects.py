@@ -63,16 +63,25 @@ SELECT project_id, i.capability, domain, count(*) AS places FROM inferred i JOIN
 KINDS = (("orchestrator", r"(?i)\bsub-agent|orchestrat|delegate"), ("autonomous", r"(?i)\bheartbeat|every \d+\s*[ms]\b"), ("tool-agent", r"(?i)\btools?\b|exec\(|curl"), ("code-assistant", r"(?i)\bmerge\b|\bcommit\b|eval\("))
 
 
+#: Fixed value: a kind that a file declares of itself.
+DECLARED_KIND = r"(?i)agent-kind:\s*(orchestrator|autonomous|tool-agent|code-assistant|conversational)"
+
+
 def q_kinds(spark, sf_dir):
-    """Projects' files by the kind of agent that they describe."""
+    """Projects' files by the kind of agent that they describe, with its tier, and those that declare another kind of it."""
     kind = None
     for name, p in KINDS:
         hit = F.col("content").rlike(p)
         kind = F.when(hit, name) if kind is None else kind.when(hit, name)
-    return artifacts(spark, sf_dir).groupBy("project_id", kind.otherwise("conversational").alias("kind")).agg(F.count("*").alias("n"))
+    said = F.lower(F.regexp_extract("content", DECLARED_KIND, 1))
+    a = artifacts(spark, sf_dir).select("project_id", kind.otherwise("conversational").alias("shown"), F.nullif(said, F.lit("")).alias("said"))
+    a = a.select("project_id", F.coalesce("said", "shown").alias("kind"), F.coalesce(F.col("said") != F.col("shown"), F.lit(False)).alias("differs"))
+    tier = F.when(F.col("kind") == "orchestrator", "MULTI-AGENT").when(F.col("kind") == "autonomous", "AGENTIC").when(F.col("kind") == "conversational", "BASIC").otherwise("TOOL-USING")
+    return a.groupBy("project_id", "kind", tier.alias("tier")).agg(F.count("*").alias("n"), F.count_if("differs").alias("mismatches"))
 
 
-SQL_KINDS = f"""WITH {SQL_ARTIFACTS} SELECT project_id, CASE {" ".join(f"WHEN regexp_matches(content, {quoted(p)}) THEN {quoted(n)}" for n, p in KINDS)} ELSE 'conversational' END AS kind, count(*) AS n FROM artifacts GROUP BY ALL"""
+SQL_KINDS = f"""WITH {SQL_ARTIFACTS}, k AS (SELECT project_id, CASE {" ".join(f"WHEN regexp_matches(content, {quoted(p)}) THEN {quoted(n)}" for n, p in KINDS)} ELSE 'conversational' END AS shown, nullif(lower(regexp_extract(content, {quoted(DECLARED_KIND)}, 1)), '') AS said FROM artifacts)
+SELECT project_id, coalesce(said, shown) AS kind, CASE coalesce(said, shown) WHEN 'orchestrator' THEN 'MULTI-AGENT' WHEN 'autonomous' THEN 'AGENTIC' WHEN 'conversational' THEN 'BASIC' ELSE 'TOOL-USING' END AS tier, count(*) AS n, count(*) FILTER (coalesce(said <> shown, false)) AS mismatches FROM k GROUP BY ALL"""
 
 
 def q_predicted(spark, sf_dir):

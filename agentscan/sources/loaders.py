@@ -25,19 +25,24 @@ def load_artifacts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
 def load_diffs(spark: SparkSession, path: str) -> DataFrame:
     """(commit, commit_seq, file, line_no, text): added lines of exported ``git log -p`` files, one history a file.
 
-    Each line gets the last commit, file and hunk before it; an added line's number is its hunk's start
-    plus the kept and added lines since. The oldest commit has the smallest sequence number.
+    A history is read commit by commit, so that neither a row nor a window holds all of it. In a
+    commit each line gets the last file and hunk before it; an added line's number is its hunk's start
+    plus the kept and added lines since. The oldest commit has the smallest sequence number, from the
+    commits' order in the log, newest first: one number for each commit is all that is sorted.
     """
-    t = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("log"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    w = Window.partitionBy("log").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    t = spark.read.option("lineSep", "\ncommit ").text(path).select(F.input_file_name().alias("log"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "^commit ", "").alias("value"))
+    t = t.where(F.col("value").rlike("^[0-9a-f]{7,40}"))
+    newest = Window.partitionBy("log").orderBy(F.desc("at"))
+    order = t.select("log", "at").withColumn("commit_seq", F.row_number().over(newest) - 1)
+    rows = t.select("log", "at", F.regexp_extract("value", "^([0-9a-f]{7,40})", 1).alias("commit"), F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    w = Window.partitionBy("log", "at").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda p: F.last(F.when(F.col("line").rlike(p), F.regexp_extract("line", p, 1)), ignorenulls=True).over(w)
-    commit, file, hunk = r"^commit ([0-9a-f]{7,40})", r"^\+\+\+ b/(.*)$", r"^@@ -\S+ \+(\d+)"
-    s = t.withColumns({"commit": last(commit), "file": last(file), "start": last(hunk).cast("int"), "hunk_no": F.count(F.when(F.col("line").rlike(hunk), 1)).over(w), "age": F.count(F.when(F.col("line").rlike(commit), 1)).over(w)})
-    h = Window.partitionBy("log", "hunk_no").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    file, hunk = r"^\+\+\+ b/(.*)$", r"^@@ -\S+ \+(\d+)"
+    s = rows.withColumns({"file": last(file), "start": last(hunk).cast("int"), "hunk_no": F.count(F.when(F.col("line").rlike(hunk), 1)).over(w)})
+    h = Window.partitionBy("log", "at", "hunk_no").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     counted = s.withColumn("before", F.coalesce(F.count(F.when(F.col("line").rlike(r"^[+ ]") & ~F.col("line").rlike(r"^\+\+\+ "), 1)).over(h), F.lit(0)))
-    commits = F.max("age").over(Window.partitionBy("log"))
-    added = counted.withColumn("commit_seq", commits - F.col("age")).where(F.col("line").rlike(r"^\+") & ~F.col("line").rlike(r"^\+\+\+ ") & F.col("start").isNotNull())
-    return added.select("commit", "commit_seq", "file", (F.col("start") + F.col("before")).alias("line_no"), F.expr("substring(line, 2)").alias("text"))
+    added = counted.where(F.col("line").rlike(r"^\+") & ~F.col("line").rlike(r"^\+\+\+ ") & F.col("start").isNotNull())
+    return added.join(order, ["log", "at"]).select("commit", "commit_seq", "file", (F.col("start") + F.col("before")).alias("line_no"), F.expr("substring(line, 2)").alias("text"))
 
 
 PAYLOAD = "id string, category string, severity string, payload string, successIndicators array<string>, blockedIndicators array<string>, _corrupt_record string"

@@ -63,6 +63,12 @@ def chains(events: DataFrame, first: str, then: str, within: str = "10 minutes")
     return a.join(b, (F.col("u") == F.col("user_id")) & (F.col("ts") > F.col("began")) & (F.col("ts") <= F.col("began") + F.expr(f"interval {within}")))
 
 
+def bursts(events: DataFrame, most: int, within: str = "60 minutes") -> DataFrame:
+    """A user's windows with ``most`` events of a type or more; the batch form is a query."""
+    w = events.groupBy(F.window("ts", within), "user_id", "event_type").count()
+    return w.where(F.col("count") >= most).select("user_id", "event_type", F.col("window.start").alias("start"), F.col("count").alias("n"))
+
+
 def unknown(events: DataFrame, allowed: DataFrame) -> DataFrame:
     """Events of actors that the allow-list (user_id) doesn't hold."""
     return events.join(allowed.select(F.col("user_id").alias("ok")), F.col("user_id") == F.col("ok"), "left").where("ok is null").drop("ok")

@@ -91,6 +91,9 @@ def test_correlation_budget_chains_and_unknown_actors(spark, folder, tmp_path):
     got = run(spark, st.budget(st.read_events(spark, folder), 60.0, 1), tmp_path / "b")
     want = {r.hour: (round(r.spent, 6), r.calls) for r in st.budget(e, 60.0, 1).collect()}
     assert got and all(want[r.hour] == (round(r.spent, 6), r.calls) for r in got)
+    got = run(spark, st.bursts(st.read_events(spark, folder), 2, "1 day"), tmp_path / "e")
+    want = {(r.user_id, r.event_type, r.start): r.n for r in st.bursts(e, 2, "1 day").collect()}
+    assert got and all(want[(r.user_id, r.event_type, r.start)] == r.n for r in got)
     got = run(spark, st.chains(st.read_events(spark, folder), *batch.CHAIN[:2], "3 hours"), tmp_path / "c")
     rows = e.collect()
     pairs = {(a.event_id, b.event_id) for a in rows for b in rows if a.user_id == b.user_id and a.event_type == batch.CHAIN[0] and b.event_type == batch.CHAIN[1] and 0 < (b.ts - a.ts).total_seconds() <= 3 * 3600}
