@@ -11,17 +11,17 @@ from pyspark.sql import functions as F
 
 from agentscan.sources.derived import read
 
-FEATURES = 1 << 14
+FEATURES = 1 << 18
 
 
 def model(train: DataFrame):
-    """Hashed word frequencies, weighted by IDF, into a logistic regression; fitted on (text, label)."""
+    """Hashed words, present or not, weighted by IDF, into a logistic regression that keeps few of them; fitted on (text, label)."""
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol="text", outputCol="words", pattern="[^\\p{L}\\p{N}]+"),
-            HashingTF(inputCol="words", outputCol="tf", numFeatures=FEATURES),
-            IDF(inputCol="tf", outputCol="features"),
-            LogisticRegression(maxIter=15, regParam=0.01),
+            HashingTF(inputCol="words", outputCol="tf", numFeatures=FEATURES, binary=True),
+            IDF(inputCol="tf", outputCol="features", minDocFreq=3),
+            LogisticRegression(maxIter=25, regParam=0.01, elasticNetParam=1.0),
         ]
     ).fit(train)
 

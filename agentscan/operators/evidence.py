@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from agentscan.functions.rules import Rule, lines, quoted, scan, sql_lines, sql_scan
 from agentscan.operators.profiles import SQL_INTENT, SQL_TYPES, q_intent, typed
 from agentscan.operators.scoring import _W, DECAY, SQL_CAT, SQL_FINDINGS, catalogued, findings, weight
-from agentscan.sources.derived import SQL_ARTIFACTS, SQL_RESPONSES, SQL_SKILL_FILES, artifacts, read, responses, skill_files
+from agentscan.sources.derived import SQL_ARTIFACTS, SQL_PROBE_ROWS, SQL_RESPONSES, SQL_SKILL_FILES, artifacts, probes, responses, skill_files
 
 CLAUSE = "[.;!?]+(?:\\s|$)| but | however "
 
@@ -177,16 +177,16 @@ SQL_FRONT = f"WITH {SQL_SKILL_FILES}, h AS (SELECT id, regexp_extract(content, '
 
 
 def q_skill_risk(spark, sf_dir):
-    """Risk of skills from publisher, permissions and a revocation list (skills of returned orders' customers)."""
+    """Risk of skills from publisher, permissions and a list of revoked names."""
     f = front_matter(skill_files(spark, sf_dir))
-    revoked = read(spark, sf_dir, "customer").where("c_custkey % 10 = 1").select(F.col("c_custkey").alias("id"), F.lit(True).alias("revoked"))
+    revoked = f.where("id % 10 = 1 and name is not null").select("name", F.lit(True).alias("revoked")).distinct()
     perms = F.coalesce("permissions", F.lit(""))
     risk = F.when(F.col("revoked"), "blocked").when(perms.rlike("shell:|filesystem:\\*"), "high").when(F.col("name").isNull(), "unknown").when(F.col("publisher").isNull(), "medium").otherwise("low")
     trust = F.when(F.col("revoked"), "blocked").when(F.col("publisher").isNotNull(), "verified").when(F.col("version").isNotNull(), "listed").otherwise("listed-unscanned")
-    return f.join(revoked, "id", "left").select("id", risk.alias("risk"), trust.alias("trust"))
+    return f.join(revoked, "name", "left").select("id", risk.alias("risk"), trust.alias("trust"))
 
 
-SQL_SKILL_RISK = f"""WITH f AS ({SQL_FRONT}), j AS (SELECT f.*, c_custkey IS NOT NULL AS revoked FROM f LEFT JOIN customer ON c_custkey = f.id AND c_custkey % 10 = 1)
+SQL_SKILL_RISK = f"""WITH f AS ({SQL_FRONT}), j AS (SELECT f.*, coalesce(f.name IN (SELECT name FROM f WHERE id % 10 = 1 AND name IS NOT NULL), false) AS revoked FROM f)
 SELECT id, CASE WHEN revoked THEN 'blocked' WHEN regexp_matches(coalesce(permissions, ''), 'shell:|filesystem:\\*') THEN 'high' WHEN name IS NULL THEN 'unknown' WHEN publisher IS NULL THEN 'medium' ELSE 'low' END AS risk,
 CASE WHEN revoked THEN 'blocked' WHEN publisher IS NOT NULL THEN 'verified' WHEN version IS NOT NULL THEN 'listed' ELSE 'listed-unscanned' END AS trust FROM j"""
 
@@ -282,15 +282,16 @@ SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >=
 
 
 def q_probes(spark, sf_dir):
-    """Probe results of artifacts (orders' lines as probes): failures, verdict, and claims that they refute."""
-    li = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("artifact"), (F.col("l_returnflag") != "R").alias("passed"), (F.col("l_quantity") > 40).alias("critical"))
-    g = li.groupBy("artifact").agg(F.count("*").alias("probes"), F.count_if(~F.col("passed")).alias("failed"), F.count_if(~F.col("passed") & F.col("critical")).alias("critical_failed"))
+    """Verdicts of probed artifacts, how their behaviour changed since the run before, and how far claims hold, by verdict."""
+    g = probes(spark, sf_dir).groupBy("artifact").agg(F.count("*").alias("probes"), F.count_if(~F.col("passed")).alias("failed"), F.count_if(~F.col("passed") & F.col("critical")).alias("critical_failed"), F.count_if(F.col("passed") != F.col("before")).alias("changed"))
     bad = (F.col("critical_failed") >= 2) | (F.col("failed") / F.col("probes") > 0.3)
-    return g.select("artifact", "probes", "failed", F.when(bad, "malicious").when(F.col("failed") > 0, "suspicious").otherwise("clean").alias("verdict"), F.round(1 - F.col("failed") / F.col("probes"), 6).alias("claim_accuracy")).groupBy("verdict").agg(F.count("*").alias("artifacts"), F.sum("failed").alias("failed"), F.round(F.avg("claim_accuracy"), 6).alias("claim_accuracy"))
+    delta = F.when(F.col("changed") / F.col("probes") > 0.6, "changed").when(F.col("changed") / F.col("probes") > 0.4, "drifting").otherwise("stable")
+    v = g.select(F.when(bad, "malicious").when(F.col("failed") > 0, "suspicious").otherwise("clean").alias("verdict"), delta.alias("behaviour"), "failed", F.round(1 - F.col("failed") / F.col("probes"), 6).alias("claim_accuracy"))
+    return v.groupBy("verdict", "behaviour").agg(F.count("*").alias("artifacts"), F.sum("failed").alias("failed"), F.round(F.avg("claim_accuracy"), 6).alias("claim_accuracy"))
 
 
-SQL_PROBES = """WITH g AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS f, count(*) FILTER (l_returnflag = 'R' AND l_quantity > 40) AS c FROM lineitem GROUP BY 1),
-v AS (SELECT *, CASE WHEN c >= 2 OR f / n > 0.3 THEN 'malicious' WHEN f > 0 THEN 'suspicious' ELSE 'clean' END AS verdict, round(1 - f / n, 6) AS a FROM g) SELECT verdict, count(*) AS artifacts, sum(f)::BIGINT AS failed, round(avg(a), 6) AS claim_accuracy FROM v GROUP BY verdict"""
+SQL_PROBES = f"""WITH {SQL_PROBE_ROWS}, g AS (SELECT artifact, count(*) AS n, count(*) FILTER (NOT passed) AS f, count(*) FILTER (NOT passed AND critical) AS c, count(*) FILTER (passed <> before) AS d FROM probes GROUP BY 1),
+v AS (SELECT *, CASE WHEN c >= 2 OR f / n > 0.3 THEN 'malicious' WHEN f > 0 THEN 'suspicious' ELSE 'clean' END AS verdict, CASE WHEN d / n > 0.6 THEN 'changed' WHEN d / n > 0.4 THEN 'drifting' ELSE 'stable' END AS behaviour, round(1 - f / n, 6) AS a FROM g) SELECT verdict, behaviour, count(*) AS artifacts, sum(f)::BIGINT AS failed, round(avg(a), 6) AS claim_accuracy FROM v GROUP BY ALL"""
 
 
 def q_summary(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from agentscan.functions.rules import quoted
 from agentscan.operators.text import INJECTION
-from agentscan.sources.derived import SQL_ARTIFACTS, artifacts, pick, read, sql_pick
+from agentscan.sources.derived import SQL_ARTIFACTS, SQL_EDGES, artifacts, pick, read, skill_edges, sql_pick
 
 #: Halves of injections that are split over neighbouring components.
 SPLITS = (("split-override", r"(?i)ignore\s+all\s*$", r"(?i)^\s*previous\s+instructions"), ("split-system-tag", r"(?i)\[SYSTEM$", r"(?i)^\s*OVERRIDE\]"), ("split-exfiltration", r"(?i)you\s+must\s+now\s*$", r"(?i)^\s*output\s+all\s+(?:secrets?|credentials?|api\s*keys?)"), ("split-role-change", r"(?i)new\s+role\s*:\s*$", r"(?i)^\s*unrestricted\s+assistant"), ("split-safety-bypass", r"(?i)disregard\s*$", r"(?i)^\s*(safety|security)\s+guidelines"))
@@ -191,17 +191,11 @@ SQL_REPORT = f"""WITH {SQL_VERDICTS}, g AS (SELECT coalesce(category, 'all') AS
 r AS (SELECT category, total, answered, successes, blocked, CASE WHEN answered > 0 THEN least(100, s)::INT END AS risk FROM g) SELECT *, CASE WHEN risk >= 70 THEN 'critical' WHEN risk >= 40 THEN 'high' WHEN risk >= 20 THEN 'medium' WHEN risk IS NOT NULL THEN 'low' ELSE 'unmeasured' END AS band FROM r"""
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst, pin): suppliers' nations as skills that depend on each other, unpinned now and then."""
-    s, c = read(spark, sf_dir, "supplier"), read(spark, sf_dir, "customer")
-    j = s.select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("src")).join(c.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("dst")), "k")
-    return j.where("src <> dst").groupBy("src", "dst").agg(F.min("k").alias("k")).select("src", "dst", F.when(F.col("k") % 4 != 0, F.concat(F.lit("1.0."), "k")).alias("pin"))
+#: Skills of the longest cycles that are listed.
+LISTED = 8
 
 
-SQL_EDGES = "edges AS (SELECT s_nationkey AS src, c_nationkey AS dst, CASE WHEN min(s_suppkey) % 4 <> 0 THEN '1.0.' || min(s_suppkey) END AS pin FROM supplier JOIN customer ON s_suppkey = c_custkey WHERE s_nationkey <> c_nationkey GROUP BY ALL)"
-
-
-def cycles(e: DataFrame, most: int = 3) -> DataFrame:
+def cycles(e: DataFrame, most: int = LISTED) -> DataFrame:
     """Dependency cycles of at most ``most`` skills, each once, from its least skill on.
 
     Paths begin at their least skill and grow only over larger ones, so every cycle is found once and
@@ -220,10 +214,10 @@ def cycles(e: DataFrame, most: int = 3) -> DataFrame:
 
 
 def q_cycles(spark, sf_dir):
-    return cycles(edges(spark, sf_dir))
+    return cycles(skill_edges(spark, sf_dir))
 
 
-SQL_CYCLES = f"""WITH RECURSIVE {SQL_EDGES}, p(path, last) AS (SELECT [src, dst], dst FROM edges WHERE src < dst UNION ALL SELECT list_append(path, dst), dst FROM p JOIN edges ON src = last WHERE len(path) < 3 AND dst > path[1] AND NOT list_contains(path, dst))
+SQL_CYCLES = f"""WITH RECURSIVE {SQL_EDGES}, p(path, last) AS (SELECT [src, dst], dst FROM edges WHERE src < dst UNION ALL SELECT list_append(path, dst), dst FROM p JOIN edges ON src = last WHERE len(path) < {LISTED} AND dst > path[1] AND NOT list_contains(path, dst))
 SELECT len(path)::INT AS n, array_to_string(path, '>') AS cycle FROM p WHERE EXISTS (SELECT 1 FROM edges WHERE src = last AND dst = path[1])"""
 
 
@@ -289,33 +283,24 @@ def cyclic(e: DataFrame) -> DataFrame:
     return alone if several is None else several.unionByName(alone)
 
 
-def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst): parts as skills; the first line's part of every second order depends on the second line's."""
-    x = read(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 0")
-    a = x.where("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("src"))
-    b = x.where("l_linenumber = 2").select("l_orderkey", F.col("l_partkey").alias("dst"))
-    return a.join(b, "l_orderkey").where("src <> dst").select("src", "dst").distinct()
-
-
 def q_cyclic(spark, sf_dir):
-    """Skills on dependency cycles of any length; the skills grow with the tables."""
-    return cyclic(part_edges(spark, sf_dir))
+    """Skills on dependency cycles of any length."""
+    return cyclic(skill_edges(spark, sf_dir))
 
 
-SQL_CYCLIC = """WITH RECURSIVE x AS (SELECT * FROM lineitem WHERE l_orderkey % 2 = 0), e AS (SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM x a JOIN x b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2 WHERE a.l_partkey <> b.l_partkey),
-r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
+SQL_CYCLIC = f"""WITH RECURSIVE {SQL_EDGES}, e AS (SELECT DISTINCT src, dst FROM edges), r(src, dst) AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
 SELECT a.src AS skill, min(a.dst) AS component, count(*) AS n FROM r a JOIN r b ON a.dst = b.src AND b.dst = a.src GROUP BY a.src"""
 
 
 def q_dependencies(spark, sf_dir):
     """Unpinned dependencies, and phantom ones whose skill doesn't exist."""
-    e = edges(spark, sf_dir)
-    nodes = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("dst")).where("dst % 7 <> 0")
+    e = skill_edges(spark, sf_dir)
+    nodes = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("dst"))
     phantom = e.join(nodes, "dst", "left_anti").select("src", "dst", F.lit("SKILL-016").alias("check_id"))
     return e.where("pin is null").select("src", "dst", F.lit("SKILL-015").alias("check_id")).unionByName(phantom)
 
 
-SQL_DEPENDENCIES = f"WITH {SQL_EDGES} SELECT src, dst, 'SKILL-015' AS check_id FROM edges WHERE pin IS NULL UNION ALL SELECT src, dst, 'SKILL-016' FROM edges WHERE dst NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 7 <> 0)"
+SQL_DEPENDENCIES = f"WITH {SQL_EDGES} SELECT src, dst, 'SKILL-015' AS check_id FROM edges WHERE pin IS NULL UNION ALL SELECT src, dst, 'SKILL-016' FROM edges WHERE dst NOT IN (SELECT doc_id FROM documents)"
 
 
 def drift(old: DataFrame, new: DataFrame) -> DataFrame:

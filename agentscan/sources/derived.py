@@ -241,6 +241,30 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.join(before, "seq", "left").select("seq", kept.alias("raw"), F.coalesce("prev_hash", F.repeat(F.lit("0"), 64)).alias("prev_hash"))
 
 
+def skill_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst, pin): documents as skills that depend on each other: rings of five and of three, on older skills, and now and then on none that exists."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"))
+    rings = d.where("src % 11 <> 0").select("src", F.expr("src - src % 5 + (src + 1) % 5").alias("dst"))
+    threes = d.where("src % 15 < 3").select("src", F.expr("src - src % 15 + (src % 15 + 1) % 3").alias("dst"))
+    older = d.where("src % 4 = 1").select("src", F.expr("src div 7").alias("dst"))
+    phantom = d.where("src % 50 = 7").select("src", (F.col("src") + 1_000_000_000).alias("dst"))
+    every = rings.unionByName(threes).unionByName(older).unionByName(phantom).where("src <> dst").distinct()
+    return every.withColumn("pin", F.when(F.col("src") % 4 != 0, F.concat(F.lit("1.0."), "src")))
+
+
+SQL_EDGES = """edges AS (SELECT DISTINCT src, dst, CASE WHEN src % 4 <> 0 THEN '1.0.' || src END AS pin FROM (SELECT doc_id AS src, doc_id - doc_id % 5 + (doc_id + 1) % 5 AS dst FROM documents WHERE doc_id % 11 <> 0 UNION ALL SELECT doc_id, doc_id - doc_id % 15 + (doc_id % 15 + 1) % 3 FROM documents WHERE doc_id % 15 < 3
+UNION ALL SELECT doc_id, doc_id // 7 FROM documents WHERE doc_id % 4 = 1 UNION ALL SELECT doc_id, doc_id + 1000000000 FROM documents WHERE doc_id % 50 = 7) WHERE src <> dst)"""
+
+
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(artifact, probe, critical, passed, before): eight probes of every document, the share that passed in an earlier run beside them."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("artifact"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("probe"))
+    return d.select("artifact", "probe", (F.col("probe") < 3).alias("critical"), (F.col("artifact") * (F.col("probe") + 3) % 7 != 0).alias("passed"), (F.col("artifact") * (F.col("probe") + 1) % 5 != 0).alias("before"))
+
+
+SQL_PROBE_ROWS = "probes AS (SELECT doc_id AS artifact, p AS probe, p < 3 AS critical, doc_id * (p + 3) % 7 <> 0 AS passed, doc_id * (p + 1) % 5 <> 0 AS before FROM documents, range(8) t(p))"
+
+
 def config_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project_id, path, content): a configuration file for every document."""
     d = read(spark, sf_dir, "documents")
