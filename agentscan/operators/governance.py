@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentscan.functions.rules import any_match, line_array, quoted, sql_lines, sql_list
+from agentscan.operators import configs, static
 from agentscan.operators.profiles import SQL_CONSTRAINTS, constraints
-from agentscan.operators.scoring import SQL_FINDINGS, findings
+from agentscan.operators.scoring import SQL_FINDINGS, findings, instruction_findings
 from agentscan.operators.secrets import SQL_SECRETS, secrets
+from agentscan.operators.text import SQL_INSTRUCTION
 from agentscan.sources.derived import SQL_ARTIFACTS, artifacts, read
 
 #: Domains of governance by the letters of their controls, and those that a kind of agent needs.
@@ -227,38 +229,104 @@ SELECT project_id, path, tier, kind, violations, raw_score, score, CASE WHEN cri
 CASE WHEN score = 0 THEN 'not-started' WHEN score >= 80 THEN 'hardened' WHEN score >= 60 THEN 'standard' WHEN score >= 40 THEN 'developing' ELSE 'initial' END AS level,
 CASE WHEN crit > 0 THEN 'none' WHEN failing = 0 AND score >= 75 THEN 'hardened' WHEN high = 0 AND score >= 60 THEN 'standard' ELSE 'essential' END AS conformance FROM g"""
 
-#: Controls of the benchmark: id, level, checks whose findings fail it; without checks it can't be measured here.
-BENCHMARK = (("1.1", "L1", ()), ("1.2", "L1", ("SKILL-002", "SKILL-008")), ("2.1", "L1", ("NET-001", "NET-003")), ("2.2", "L1", ("CODE-001",)), ("3.1", "L2", ("INJ-instruction-override", "INJ-fake-system-tag")), ("3.2", "L2", ("MAN-self_attestation",)), ("3.3", "L2", ("SKILL-004",)), ("4.1", "L3", ("CODE-004", "ENV-002")), ("4.2", "L3", ("SKILL-005",)))
+#: Categories of the benchmark, and its controls: number, level, how it is verified, checks whose findings fail it.
+CATEGORIES = ("Identity & Provenance", "Capability & Authorization", "Input Security", "Output Security", "Credential Protection", "Supply Chain Integrity", "Agent-to-Agent Security", "Memory & Context Integrity", "Operational Security", "Monitoring & Response")
+BENCHMARK = (
+    ("1.1", "L1", "forward", ""),
+    ("1.2", "L1", "manual", ""),
+    ("1.3", "L2", "forward", ""),
+    ("1.4", "L2", "manual", ""),
+    ("2.1", "L1", "forward", "SEM-MCP-001 SEM-MCP-004"),
+    ("2.2", "L1", "automated", "PERM-001 PERM-002 SEM-PERM-001 SEM-PERM-002 SEM-MCP-001"),
+    ("2.3", "L1", "automated", "TOOL-001 TOOL-002"),
+    ("2.4", "L2", "forward", ""),
+    ("2.5", "L2", "automated", "TOOL-004"),
+    ("3.1", "L1", "automated", "PROMPT-001 PROMPT-002 SEM-INST-001 SEM-INST-003"),
+    ("3.2", "L1", "automated", "PROMPT-001"),
+    ("3.3", "L1", "automated", "IO-001 IO-002"),
+    ("3.4", "L1", "automated", "NET-003 IO-004"),
+    ("3.5", "L3", "forward", ""),
+    ("4.1", "L1", "automated", "TOOL-001"),
+    ("4.2", "L1", "automated", "TOOL-004"),
+    ("4.3", "L1", "automated", "NET-003 NET-004 SEM-MCP-005 SEM-INST-002"),
+    ("4.4", "L2", "forward", ""),
+    ("5.1", "L1", "automated", "CRED-001 CRED-002 CRED-003 CRED-004 SEM-CRED-001 SEM-CRED-002 SEM-CRED-003 SEM-CRED-004"),
+    ("5.2", "L1", "automated", "MCP-006 MCP-009"),
+    ("5.3", "L2", "manual", ""),
+    ("5.4", "L2", "manual", ""),
+    ("5.5", "L1", "automated", "LOG-001"),
+    ("6.1", "L1", "automated", "DEP-001 DEP-003"),
+    ("6.2", "L1", "automated", "DEP-001 DEP-002"),
+    ("6.3", "L1", "automated", "DEP-001 DEP-003"),
+    ("6.4", "L1", "automated", "DEP-001 DEP-002"),
+    ("6.5", "L2", "forward", ""),
+    ("7.1", "L2", "forward", ""),
+    ("7.2", "L2", "forward", ""),
+    ("7.3", "L2", "forward", ""),
+    ("7.4", "L2", "automated", "LOG-001 AUDIT-001"),
+    ("8.1", "L2", "forward", ""),
+    ("8.2", "L1", "automated", "PROMPT-001 PROMPT-002"),
+    ("8.3", "L2", "forward", ""),
+    ("8.4", "L3", "forward", ""),
+    ("9.1", "L1", "automated", "PROC-001 PERM-001"),
+    ("9.2", "L1", "automated", "RATE-001"),
+    ("9.3", "L1", "automated", "NET-003 NET-005"),
+    ("9.4", "L2", "automated", "SANDBOX-001 SANDBOX-002"),
+    ("9.5", "L1", "automated", "ENV-001 MCP-008"),
+    ("10.1", "L1", "automated", "LOG-001 AUDIT-001"),
+    ("10.2", "L2", "forward", ""),
+    ("10.3", "L1", "manual", ""),
+    ("10.4", "L2", "manual", ""),
+    ("10.5", "L2", "manual", ""),
+)
+
+
+def _category(control: str) -> str:
+    return CATEGORIES[int(control.split(".")[0]) - 1]
+
+
+def project_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, check_id): what any detector found in a project, each once."""
+    parts = [findings(spark, sf_dir), static.q_absence(spark, sf_dir), configs.q_configs(spark, sf_dir), configs.q_servers(spark, sf_dir), configs.q_chains(spark, sf_dir), instruction_findings(spark, sf_dir)]
+    out = None
+    for p in parts:
+        p = p.select("project_id", "check_id")
+        out = p if out is None else out.unionByName(p)
+    return out.distinct()
 
 
 def compliance(f: DataFrame, files: DataFrame) -> DataFrame:
-    """Status of each control in each project (failed, passed, unverified), rolled up by level."""
-    pairs = [(c, level, k) for c, level, ks in BENCHMARK for k in (ks or (None,))]
-    c = F.broadcast(f.sparkSession.createDataFrame(pairs, "control_id string, level string, check_id string"))
+    """Controls of each project by status, rolled up by level and category; pct is null where nothing was measured.
+
+    Any failure fails a control; without one it is unverified if it isn't automated, else passed.
+    """
+    pairs = [(c, k) for c, _, _, ks in BENCHMARK for k in ks.split()]
+    c = F.broadcast(f.sparkSession.createDataFrame(pairs, "control_id string, check_id string"))
     failed = f.join(c, "check_id").select("project_id", "control_id").distinct().withColumn("failed", F.lit(True))
-    ids = F.broadcast(f.sparkSession.createDataFrame([(c, level, bool(ks)) for c, level, ks in BENCHMARK], "control_id string, level string, automated boolean"))
-    every = files.select("project_id").distinct().select("project_id", F.explode(F.array(*[F.lit(c) for c, _, _ in BENCHMARK])).alias("control_id")).join(ids, "control_id")
+    listed = F.array(*[F.struct(F.lit(c).alias("control_id"), F.lit(level).alias("level"), F.lit(_category(c)).alias("category"), F.lit(how == "automated").alias("automated")) for c, level, how, _ in BENCHMARK])
+    every = files.select("project_id").distinct().select("project_id", F.inline(listed))
     status = F.when(F.col("failed"), "failed").when(~F.col("automated"), "unverified").otherwise("passed")
-    s = every.join(failed, ["project_id", "control_id"], "left").select("project_id", "level", status.alias("status"))
-    g = s.rollup("project_id", "level").agg(F.count_if(F.col("status") == "passed").alias("passed"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "unverified").alias("unverified"))
+    s = every.join(failed, ["project_id", "control_id"], "left").select("project_id", "level", "category", status.alias("status"))
+    g = s.rollup("project_id", "level", "category").agg(F.count_if(F.col("status") == "passed").alias("passed"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(F.col("status") == "unverified").alias("unverified"))
     return g.where("project_id is not null").select("*", F.round(F.try_divide(F.col("passed") * 100.0, F.col("passed") + F.col("failed")), 6).alias("pct"))
 
 
 def q_compliance(spark, sf_dir):
-    return compliance(findings(spark, sf_dir), artifacts(spark, sf_dir))
+    return compliance(project_checks(spark, sf_dir), artifacts(spark, sf_dir))
 
 
-_B = ", ".join(f"({quoted(c)}, {quoted(level)}, {str(bool(ks)).lower()})" for c, level, ks in BENCHMARK)
-_BK = ", ".join(f"({quoted(c)}, {quoted(k)})" for c, _, ks in BENCHMARK for k in ks)
-SQL_COMPLIANCE = f"""WITH {SQL_FINDINGS}, b(control_id, level, automated) AS (VALUES {_B}), k(control_id, check_id) AS (VALUES {_BK}), failed AS (SELECT DISTINCT project_id, control_id FROM findings JOIN k USING (check_id)),
-s AS (SELECT p.project_id, level, CASE WHEN f.control_id IS NOT NULL THEN 'failed' WHEN NOT automated THEN 'unverified' ELSE 'passed' END AS status FROM (SELECT DISTINCT project_id FROM artifacts) p CROSS JOIN b LEFT JOIN failed f ON f.project_id = p.project_id AND f.control_id = b.control_id),
-g AS (SELECT project_id, level, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'unverified') AS unverified FROM s GROUP BY ROLLUP (project_id, level))
+_B = ", ".join(f"({quoted(c)}, {quoted(level)}, {quoted(_category(c))}, {str(how == 'automated').lower()})" for c, level, how, _ in BENCHMARK)
+_BK = ", ".join(f"({quoted(c)}, {quoted(k)})" for c, _, _, ks in BENCHMARK for k in ks.split())
+SQL_CHECKS = f"""{SQL_FINDINGS}, inst AS ({SQL_INSTRUCTION}), checks AS (SELECT project_id, check_id FROM findings UNION SELECT project_id, check_id FROM ({static.SQL_ABSENCE}) UNION SELECT project_id, check_id FROM ({configs.SQL_CONFIGS}) UNION SELECT project_id, check_id FROM ({configs.SQL_SERVER_FINDINGS}) UNION SELECT project_id, check_id FROM ({configs.SQL_CHAINS}) UNION SELECT a.project_id, check_id FROM inst JOIN artifacts a ON a.id = inst.id)"""
+SQL_COMPLIANCE = f"""WITH {SQL_CHECKS}, b(control_id, level, category, automated) AS (VALUES {_B}), k(control_id, check_id) AS (VALUES {_BK}), failed AS (SELECT DISTINCT project_id, control_id FROM checks JOIN k USING (check_id)),
+s AS (SELECT p.project_id, level, category, CASE WHEN f.control_id IS NOT NULL THEN 'failed' WHEN NOT automated THEN 'unverified' ELSE 'passed' END AS status FROM (SELECT DISTINCT project_id FROM artifacts) p CROSS JOIN b LEFT JOIN failed f ON f.project_id = p.project_id AND f.control_id = b.control_id),
+g AS (SELECT project_id, level, category, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'unverified') AS unverified FROM s GROUP BY ROLLUP (project_id, level, category))
 SELECT *, round(passed * 100.0::DOUBLE / nullif(passed + failed, 0), 6) AS pct FROM g WHERE project_id IS NOT NULL"""
 
 
 def ratings(c: DataFrame) -> DataFrame:
     """Rating of each project by its levels' percentages; a level without a measurement feeds no rung."""
-    p = c.where("level is not null").groupBy("project_id").pivot("level", ["L1", "L2", "L3"]).agg(F.first("pct"))
+    p = c.where("level is not null and category is null").groupBy("project_id").pivot("level", ["L1", "L2", "L3"]).agg(F.first("pct"))
     rung = F.when((F.col("L1") == 100) & (F.col("L2") == 100), "Certified").when((F.col("L1") == 100) & (F.col("L2") >= 90), "Compliant").when(F.col("L1") >= 90, "Passing").when(F.col("L1") >= 70, "Needs Improvement").when(F.col("L1").isNotNull(), "Not Passing").otherwise("Not Assessed")
     return p.withColumn("rating", rung)
 
@@ -267,7 +335,7 @@ def q_ratings(spark, sf_dir):
     return ratings(q_compliance(spark, sf_dir))
 
 
-SQL_RATINGS = f"""WITH c AS ({SQL_COMPLIANCE}), p AS (SELECT project_id, max(pct) FILTER (level = 'L1') AS "L1", max(pct) FILTER (level = 'L2') AS "L2", max(pct) FILTER (level = 'L3') AS "L3" FROM c GROUP BY project_id)
+SQL_RATINGS = f"""WITH c AS ({SQL_COMPLIANCE}), p AS (SELECT project_id, max(pct) FILTER (level = 'L1') AS "L1", max(pct) FILTER (level = 'L2') AS "L2", max(pct) FILTER (level = 'L3') AS "L3" FROM c WHERE category IS NULL GROUP BY project_id)
 SELECT *, CASE WHEN "L1" = 100 AND "L2" = 100 THEN 'Certified' WHEN "L1" = 100 AND "L2" >= 90 THEN 'Compliant' WHEN "L1" >= 90 THEN 'Passing' WHEN "L1" >= 70 THEN 'Needs Improvement' WHEN "L1" IS NOT NULL THEN 'Not Passing' ELSE 'Not Assessed' END AS rating FROM p"""
 
 
