@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentscan.functions.rules import any_match, line_array, quoted, sql_lines, sql_list
+from agentscan.functions.rules import any_match, line_array, literal, quoted, sql_lines, sql_list
 from agentscan.operators import configs, static
 from agentscan.operators.profiles import SQL_CONSTRAINTS, constraints
 from agentscan.operators.scoring import SQL_FINDINGS, findings, instruction_findings
@@ -156,21 +156,12 @@ def flags(df: DataFrame) -> DataFrame:
     """``df`` with met: for each control, whether it applies to the file's tier and kind and whether evidence meets it."""
     domains = F.create_map(*[x for k, v in PROFILES.items() for x in (F.lit(k), F.array(*[F.lit(d) for d in v]))])
 
-    def met(low):
-        some = lambda words: any_of([low.rlike(w) if ".*" in w else F.contains(low, F.lit(w)) for w in words.split("|")])
-        return F.array(*[F.struct(F.lit(f"SOUL-{c}").alias("control_id"), F.lit(c[:2]).alias("domain"), F.lit(s).alias("severity"), F.lit(t).alias("least"), some(words).alias("passed")) for c, s, t, words in CONTROLS])
-
-    out = df.withColumn("all", F.transform(F.array("evidence"), met)[0]).withColumn("domains", domains[F.col("kind")])
+    some = lambda words: "(" + " OR ".join(f"low RLIKE {literal(w)}" if ".*" in w else f"contains(low, {literal(w)})" for w in words.split("|")) + ")"
+    each = ", ".join(f"named_struct('control_id', 'SOUL-{c}', 'domain', '{c[:2]}', 'severity', '{s}', 'least', {t}, 'passed', {some(words)})" for c, s, t, words in CONTROLS)
+    out = df.withColumn("all", F.expr(f"transform(array(evidence), low -> array({each}))[0]")).withColumn("domains", domains[F.col("kind")])
     return out.withColumn("met", F.filter("all", lambda m: (m["least"] <= F.col("tier")) & F.array_contains("domains", m["domain"]))).drop("all", "domains", "evidence")
 
 
-def any_of(conditions):
-    out = conditions[0]
-    for c in conditions[1:]:
-        out = out | c
-    return out
-
-
 _VIOLATES = lambda x, n=None: "((" + " OR ".join(f"regexp_matches({x}, {quoted(p)})" for k, p in VIOLATIONS if n in (None, k)) + f") AND NOT regexp_matches({x}, {quoted(FORBIDS)}))"
 _SPLIT = f"regexp_split_to_array(t, {quoted(SENTENCE)})"
 SQL_GOVERNED = f"""{SQL_ARTIFACTS}, ga AS (SELECT * FROM artifacts WHERE regexp_matches(path, {quoted(GOVERNS)})), gl AS ({sql_lines("ga", "path")}),
