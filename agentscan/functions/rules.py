@@ -119,13 +119,22 @@ def _made(text: str, r: Rule, first: str = "") -> str:
     return f"named_struct({first}'check_id', {literal(r.check_id)}, 'severity', {literal(r.severity)}, 'name', {literal(r.name)}, 'matched', regexp_extract({text}, {literal(r.pattern)}, 0))"
 
 
+def rows_of(df: DataFrame, keep: list[str], found: Column, needed: str) -> DataFrame:
+    """``keep`` and the fields of each struct of an array.
+
+    An outer generator and a filter after it: for an inner one the array would be made twice, once for a
+    filter on its size that goes before everything else.
+    """
+    return df.select(*keep, F.inline_outer(found)).where(F.col(needed).isNotNull())
+
+
 def scan(df: DataFrame, text: str, rules: list[Rule], keep: list[str], path: str | None = None) -> DataFrame:
     """One row for each rule that matches a row's text: ``keep``, check_id, severity, name, matched.
 
     All rules are one expression, written as text: a hundred rules are planned at once.
     """
     each = ", ".join(f"CASE WHEN {f'`{path}` RLIKE {literal(r.path)} AND ' if r.path and path else ''}{_may('low', r.pattern)} AND {_is_hit(f'`{text}`', r)} THEN {_made(f'`{text}`', r)} END" for r in rules)
-    return df.select(*keep, F.inline(F.expr(f"transform(array(lower(`{text}`)), low -> filter(array({each}), x -> x IS NOT NULL))[0]")))
+    return rows_of(df, keep, F.expr(f"transform(array(lower(`{text}`)), low -> filter(array({each}), x -> x IS NOT NULL))[0]"), "check_id")
 
 
 def line_hits(df: DataFrame, text: str, rules: list[Rule], keep: list[str], path: str | None = None) -> DataFrame:
@@ -140,7 +149,7 @@ def line_hits(df: DataFrame, text: str, rules: list[Rule], keep: list[str], path
     each = ", ".join(
         f"CASE WHEN {f'`{path}` RLIKE {literal(r.path)} AND ' if r.path and path else ''}{_may('t.low', r.pattern)} THEN filter(transform(t.rows, (line, i) -> CASE WHEN {_is_hit('line', r)} THEN {_made('line', r, first)} END), x -> x IS NOT NULL) ELSE {none} END" for r in rules
     )
-    return df.select(*keep, F.inline(F.expr(f"transform(array(named_struct('low', lower(`{text}`), 'rows', {lines_})), t -> flatten(array({each})))[0]")))
+    return rows_of(df, keep, F.expr(f"transform(array(named_struct('low', lower(`{text}`), 'rows', {lines_})), t -> flatten(array({each})))[0]"), "check_id")
 
 
 def line_array(text: Column) -> Column:

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from agentscan.functions.rules import quoted
+from agentscan.functions.rules import quoted, rows_of
 from agentscan.sources.derived import SQL_CONFIG_FILES, config_files
 
 
@@ -127,7 +127,7 @@ def _sql_failed(source: str, json: str, keep: str, checks: tuple[Check, ...]) ->
 
 def config_findings(files: DataFrame) -> DataFrame:
     """Checks that configuration files (project_id, path, content) fail."""
-    return files.select("project_id", "path", F.inline(failed(F.col("content"), F.col("path"), FILES)))
+    return rows_of(files, ["project_id", "path"], failed(F.col("content"), F.col("path"), FILES), "check_id")
 
 
 def servers(files: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def servers(files: DataFrame) -> DataFrame:
 
 def server_findings(files: DataFrame) -> DataFrame:
     """Checks that servers fail."""
-    return servers(files).select("project_id", "path", "server", F.inline(failed(F.col("json"), F.col("path"), SERVERS)))
+    return rows_of(servers(files), ["project_id", "path", "server"], failed(F.col("json"), F.col("path"), SERVERS), "check_id")
 
 
 def q_configs(spark, sf_dir):

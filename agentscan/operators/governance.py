@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentscan.functions.rules import any_match, line_array, literal, quoted, sql_lines, sql_list
+from agentscan.functions.rules import any_match, line_array, literal, quoted, rows_of, sql_lines, sql_list
 from agentscan.operators import configs, static
 from agentscan.operators.profiles import SQL_CONSTRAINTS, constraints
 from agentscan.operators.scoring import SQL_FINDINGS, findings, instruction_findings
@@ -177,7 +177,7 @@ met AS (SELECT project_id, path, control_id, c.domain, severity, len(list_filter
 
 def controls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project_id, control_id, domain, severity, passed): whether any file of a project meets a control that applies to it."""
-    met = flags(governed(spark, sf_dir)).select("project_id", F.inline("met"))
+    met = rows_of(flags(governed(spark, sf_dir)), ["project_id"], F.col("met"), "control_id")
     return met.groupBy("project_id", "control_id", "domain", "severity").agg(F.max("passed").alias("passed"), F.count("*").alias("files"), F.count_if("passed").alias("files_passed"))
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from agentscan.functions.rules import any_match, quoted
+from agentscan.functions.rules import any_match, quoted, rows_of
 from agentscan.operators.text import INJECTION, TEXT_RULES
 from agentscan.sources.derived import SQL_ARTIFACTS, artifacts
 
@@ -140,7 +140,7 @@ def decoded(texts, layers: int = LAYERS):
     for layer in range(1, layers + 1):
         tokens = [F.transform(F.array_distinct(F.regexp_extract_all("content", F.lit(p), F.lit(0))), named(k)) for k, p in kinds]
         some = current.where(any_match(F.col("content"), [p for _, p in kinds]))
-        level = some.select("id", F.lit(layer).alias("layer"), F.inline(F.concat(*tokens)))
+        level = rows_of(some.withColumn("layer", F.lit(layer)), ["id", "layer"], F.concat(*tokens), "token")
         level = level.select("id", "layer", "encoding", _text(F.col("encoding"), F.col("token")).alias("decoded")).where("is_valid_utf8(decoded)")
         out = level if out is None else out.unionByName(level)
         current = level.select("id", F.col("decoded").alias("content"))

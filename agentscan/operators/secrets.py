@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentscan.functions.rules import any_match, line_array, lines, literals, lowered, quoted, sql_lines
+from agentscan.functions.rules import any_match, line_array, lines, literals, lowered, quoted, rows_of, sql_lines
 from agentscan.sources.derived import SQL_ARTIFACTS, artifacts
 
 _LEFT = "(?:^|[^A-Za-z0-9])"
@@ -78,7 +78,7 @@ def secret_hits(texts: DataFrame, keep: list[str]) -> DataFrame:
         return F.flatten(F.array(*out))
 
     some = texts.where(any_match(F.col("content"), [p for _, p in SHAPES]))
-    hits = some.select(*keep, F.inline(lowered(F.col("content"), found)))
+    hits = rows_of(some, keep, lowered(F.col("content"), found), "value")
     real = ~F.col("value").rlike(PLACEHOLDER) & ~((F.length("value") >= 16) & F.contains(F.lit(RUNS), F.col("value")))
     return hits.where(real).select(*keep, "line_no", "type", F.sha2(F.concat_ws("|", "type", "value"), 256).alias("value_hash"), masked(F.col("value")).alias("masked"))
 
