@@ -146,7 +146,8 @@ def brute_licences(texts):
                 score = 1.0
         for label, ks, t in licences.TEMPLATES:
             tw = licence_words(t)
-            listed = sorted({w for w in tw if df[w]}, key=lambda w: (-idf[w], tw.index(w)))[: licences.INDEXED]
+            listed = sorted({w for w in tw if df[w]}, key=lambda w: (-idf[w], tw.index(w)))
+            listed = [w for n, w in enumerate(listed) if n < licences.LEAST or df[w] <= licences.COMMON * len(texts)][: licences.INDEXED]
             own = [w for w in listed if w in ws][: licences.RARE]
             begins = Counter(j - i for w in own for i, x in enumerate(tw) if x == w for j, y in enumerate(ws) if y == w)
             most = min(licences.RARE, len(listed))
