@@ -107,8 +107,14 @@ def _may(low: str, pattern: str) -> str:
 
 def some_match(text: str, patterns: Iterable[str]) -> Column:
     """``any_match`` of a column by name, as one expression: many patterns cost no more to plan than one."""
-    each = " OR ".join(f"({_may('low', p)} AND `{text}` RLIKE {literal(p)})" for p in patterns)
-    return F.expr(f"coalesce(transform(array(lower(`{text}`)), low -> {each})[0], false)")
+    each = " OR ".join(f"({_may('t.low', p)} AND t.own RLIKE {literal(p)})" for p in patterns)
+    return F.expr(f"coalesce(transform(array(named_struct('low', lower(`{text}`), 'own', `{text}`)), t -> {each})[0], false)")
+
+
+def which(text: str, patterns: list[str]) -> Column:
+    """Numbers of the patterns that a text matches."""
+    each = ", ".join(f"CASE WHEN {_may('t.low', p)} AND t.own RLIKE {literal(p)} THEN {i} END" for i, p in enumerate(patterns))
+    return F.expr(f"transform(array(named_struct('low', lower(`{text}`), 'own', `{text}`)), t -> filter(array({each}), x -> x IS NOT NULL))[0]")
 
 
 def _is_hit(text: str, r: Rule) -> str:
@@ -133,8 +139,10 @@ def scan(df: DataFrame, text: str, rules: list[Rule], keep: list[str], path: str
 
     All rules are one expression, written as text: a hundred rules are planned at once.
     """
-    each = ", ".join(f"CASE WHEN {f'`{path}` RLIKE {literal(r.path)} AND ' if r.path and path else ''}{_may('low', r.pattern)} AND {_is_hit(f'`{text}`', r)} THEN {_made(f'`{text}`', r)} END" for r in rules)
-    return rows_of(df, keep, F.expr(f"transform(array(lower(`{text}`)), low -> filter(array({each}), x -> x IS NOT NULL))[0]"), "check_id")
+    each = ", ".join(f"CASE WHEN {f't.path RLIKE {literal(r.path)} AND ' if r.path and path else ''}{_may('t.low', r.pattern)} AND {_is_hit('t.own', r)} THEN {_made('t.own', r)} END" for r in rules)
+    # the lambda's variable holds the columns, which may be expressions, so that they are made once
+    held = f"named_struct('low', lower(`{text}`), 'own', `{text}`, 'path', {f'`{path}`' if path else 'NULL'})"
+    return rows_of(df, keep, F.expr(f"transform(array({held}), t -> filter(array({each}), x -> x IS NOT NULL))[0]"), "check_id")
 
 
 def line_hits(df: DataFrame, text: str, rules: list[Rule], keep: list[str], path: str | None = None) -> DataFrame:
@@ -147,9 +155,9 @@ def line_hits(df: DataFrame, text: str, rules: list[Rule], keep: list[str], path
     lines_ = f"transform(split(`{text}`, '\\n', -1), l -> CASE WHEN endswith(l, '\\r') THEN substring(l, 1, length(l) - 1) ELSE l END)"
     first = "'line_no', i + 1, "
     each = ", ".join(
-        f"CASE WHEN {f'`{path}` RLIKE {literal(r.path)} AND ' if r.path and path else ''}{_may('t.low', r.pattern)} THEN filter(transform(t.rows, (line, i) -> CASE WHEN {_is_hit('line', r)} THEN {_made('line', r, first)} END), x -> x IS NOT NULL) ELSE {none} END" for r in rules
+        f"CASE WHEN {f't.path RLIKE {literal(r.path)} AND ' if r.path and path else ''}{_may('t.low', r.pattern)} THEN filter(transform(t.rows, (line, i) -> CASE WHEN {_is_hit('line', r)} THEN {_made('line', r, first)} END), x -> x IS NOT NULL) ELSE {none} END" for r in rules
     )
-    return rows_of(df, keep, F.expr(f"transform(array(named_struct('low', lower(`{text}`), 'rows', {lines_})), t -> flatten(array({each})))[0]"), "check_id")
+    return rows_of(df, keep, F.expr(f"transform(array(named_struct('low', lower(`{text}`), 'rows', {lines_}, 'path', {f'`{path}`' if path else 'NULL'})), t -> flatten(array({each})))[0]"), "check_id")
 
 
 def line_array(text: Column) -> Column:

@@ -154,12 +154,12 @@ def governed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flags(df: DataFrame) -> DataFrame:
     """``df`` with met: for each control, whether it applies to the file's tier and kind and whether evidence meets it."""
-    domains = F.create_map(*[x for k, v in PROFILES.items() for x in (F.lit(k), F.array(*[F.lit(d) for d in v]))])
-
-    some = lambda words: "(" + " OR ".join(f"low RLIKE {literal(w)}" if ".*" in w else f"contains(low, {literal(w)})" for w in words.split("|")) + ")"
+    some = lambda words: "(" + " OR ".join(f"t.low RLIKE {literal(w)}" if ".*" in w else f"contains(t.low, {literal(w)})" for w in words.split("|")) + ")"
     each = ", ".join(f"named_struct('control_id', 'SOUL-{c}', 'domain', '{c[:2]}', 'severity', '{s}', 'least', {t}, 'passed', {some(words)})" for c, s, t, words in CONTROLS)
-    out = df.withColumn("all", F.expr(f"transform(array(evidence), low -> array({each}))[0]")).withColumn("domains", domains[F.col("kind")])
-    return out.withColumn("met", F.filter("all", lambda m: (m["least"] <= F.col("tier")) & F.array_contains("domains", m["domain"]))).drop("all", "domains", "evidence")
+    domains = "CASE kind " + " ".join(f"WHEN '{k}' THEN array({', '.join(literal(d) for d in v)})" for k, v in PROFILES.items()) + " END"
+    # the lambda's variable holds what the file is, so that it is not made anew for each control
+    held = f"named_struct('low', evidence, 'tier', tier, 'domains', {domains})"
+    return df.withColumn("met", F.expr(f"transform(array({held}), t -> filter(array({each}), m -> m.least <= t.tier AND array_contains(t.domains, m.domain)))[0]")).drop("evidence")
 
 
 _VIOLATES = lambda x, n=None: "((" + " OR ".join(f"regexp_matches({x}, {quoted(p)})" for k, p in VIOLATIONS if n in (None, k)) + f") AND NOT regexp_matches({x}, {quoted(FORBIDS)}))"
