@@ -84,12 +84,12 @@ def zscores(events: DataFrame) -> DataFrame:
 
     def score(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         k, s, q, last, pending = state.get if state.exists else (0, 0.0, 0.0, -1, "{}")
+        passed = state.getCurrentWatermarkMs()
         counts = {int(m): n for m, n in json.loads(pending).items()}
         for f in frames:
             for m, n in (f["ts"].astype("datetime64[s]").astype("int64") // 60).value_counts().items():
-                if int(m) > last:
+                if int(m) > last and (int(m) + 1) * 60_000 > passed:
                     counts[int(m)] = counts.get(int(m), 0) + int(n)
-        passed = state.getCurrentWatermarkMs()
         out = []
         for m in sorted(m for m in counts if (m + 1) * 60_000 <= passed):
             n = counts.pop(m)
