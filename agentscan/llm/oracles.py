@@ -30,8 +30,8 @@ grp AS (SELECT a AS r, min(doc_id) AS class_id FROM reach JOIN d ON d.r = reach.
 copy AS (SELECT r, min(doc_id) OVER (PARTITION BY shingles) AS copy_class FROM n JOIN d USING (r))
 SELECT doc_id, coalesce(copy_class, doc_id) AS copy_class, class_id, coalesce(k, 0)::BIGINT AS n_links FROM d JOIN grp USING (r) LEFT JOIN cnt USING (r) LEFT JOIN copy USING (r)"""
 
-OP13 = """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS c FROM embeddings
-  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+OP13 = """WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS c FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_inner_product(a.c, b.c)::BIGINT AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.c) = len(b.c) WHERE a.vec_id % 100 = 0),
 pos AS (SELECT anchor_id, id, s FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) <= 5)
 SELECT pos.anchor_id, pos.id AS positive_id, row_number() OVER (PARTITION BY pos.anchor_id, pos.id ORDER BY p.s DESC, p.id)::INTEGER AS rank, p.id AS negative_id, pos.s AS positive_score, p.s AS negative_score
