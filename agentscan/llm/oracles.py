@@ -36,3 +36,25 @@ p AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, l
 pos AS (SELECT anchor_id, id, s FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY s DESC, id) <= 5)
 SELECT pos.anchor_id, pos.id AS positive_id, row_number() OVER (PARTITION BY pos.anchor_id, pos.id ORDER BY p.s DESC, p.id)::INTEGER AS rank, p.id AS negative_id, pos.s AS positive_score, p.s AS negative_score
 FROM pos JOIN p ON p.anchor_id = pos.anchor_id AND NOT p.same AND 80 * pos.s <= 100 * p.s AND 100 * p.s <= 100 * pos.s QUALIFY rank <= 5"""
+
+#: Powers of the rolling hash's base, the highest first, as one list; the hash is a sum of products modulo 2**64.
+_BASE, _SPREAD, _GRAM, _WINDOW = 6364136223846793005, 0x9E3779B97F4A7C15, 12, 32
+_TERMS = " + ".join(f"coalesce(lead(c, {j}) OVER w, 0)::UHUGEINT * {pow(_BASE, _GRAM - 1 - j, 2**64)}::UHUGEINT" for j in range(_GRAM))
+_SHORT = "[" + ", ".join(f"{pow(_BASE, j, 2**64)}::UHUGEINT" for j in range(_GRAM)) + "]"
+
+OP12 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT r, doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC NULLS LAST, r), first_value(t) OVER (ORDER BY doc_id DESC NULLS LAST, r)) AS nt FROM d),
+e AS (SELECT *, left(t, n - n // 3) || left(nt, n // 3) AS et FROM o),
+x AS (SELECT row_number() OVER () AS k, t, length(t) AS n FROM (SELECT t FROM e UNION SELECT et FROM e) WHERE t <> ''),
+c AS (SELECT k, n, generate_subscripts(l, 1) - 1 AS i, unicode(unnest(l))::UBIGINT AS c FROM (SELECT k, n, string_split(t, '') AS l FROM x)),
+h AS (SELECT k, i, greatest(n - {_GRAM}, 0) + 1 AS runs, ({_TERMS}) % 18446744073709551616::UHUGEINT AS h FROM c WHERE n >= {_GRAM} WINDOW w AS (PARTITION BY k ORDER BY i) QUALIFY i <= n - {_GRAM}
+  UNION ALL SELECT k, 0, 1, sum(c::HUGEINT * ({_SHORT}[n - i])::HUGEINT)::UHUGEINT % 18446744073709551616::UHUGEINT FROM c WHERE n < {_GRAM} GROUP BY k),
+key AS (SELECT k, i, runs, ((h * {_SPREAD}::UHUGEINT) % 18446744073709551616::UHUGEINT // 65536::UHUGEINT)::HUGEINT * 4294967296 + 4294967295 - i AS key FROM h),
+kept AS (SELECT DISTINCT k, (key // 4294967296)::BIGINT AS hash, (4294967295 - key % 4294967296)::BIGINT AS pos FROM (SELECT k, i, runs, min(key) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND {_WINDOW - 1} FOLLOWING) AS key FROM key) WHERE i = 0 OR i + {_WINDOW} <= runs),
+fp AS (SELECT k, string_agg(printf('%012x', hash) || printf('%02x', pos - before), '' ORDER BY pos) AS fp FROM (SELECT *, lag(pos, 1, 0) OVER (PARTITION BY k ORDER BY pos) AS before FROM kept) GROUP BY k),
+s AS (SELECT DISTINCT k, hash FROM kept), cnt AS (SELECT k, count(*) AS m FROM s GROUP BY k),
+p AS (SELECT e.*, a.k AS ka, b.k AS kb, c.k AS kc FROM e LEFT JOIN x a ON a.t = e.t LEFT JOIN x b ON b.t = e.et LEFT JOIN x c ON c.t = e.nt),
+both AS (SELECT u.k AS ku, v.k AS kv, count(*) AS both FROM (SELECT DISTINCT ka, kb FROM (SELECT ka, kb FROM p UNION SELECT ka, kc FROM p)) q JOIN s u ON u.k = q.ka JOIN s v ON v.k = q.kb AND v.hash = u.hash GROUP BY ALL)
+SELECT doc_id, n::BIGINT AS n_chars, sha256(et) AS edited_sha256, coalesce(f.fp, '') AS fingerprint, coalesce(g.fp, '') AS edited_fingerprint,
+  CASE WHEN ka IS NULL AND kb IS NULL THEN 1.0 ELSE coalesce(i.both / (x.m + y.m - i.both), 0.0) END::DOUBLE AS near_edited, CASE WHEN ka IS NULL AND kc IS NULL THEN 1.0 ELSE coalesce(j.both / (x.m + z.m - j.both), 0.0) END::DOUBLE AS near_next
+FROM p LEFT JOIN fp f ON f.k = ka LEFT JOIN fp g ON g.k = kb LEFT JOIN cnt x ON x.k = ka LEFT JOIN cnt y ON y.k = kb LEFT JOIN cnt z ON z.k = kc LEFT JOIN both i ON i.ku = ka AND i.kv = kb LEFT JOIN both j ON j.ku = ka AND j.kv = kc"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agentscan.llm import archives, contamination, jaccard, language, licences, mixing, negatives, neighbours, oracles, pages, sharding, tokens
+from agentscan.llm import archives, contamination, fingerprints, jaccard, language, licences, mixing, negatives, neighbours, oracles, pages, sharding, tokens
 from agentscan.llm.common import prepare, read
 
 
@@ -71,6 +71,11 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(read(spark, sf_dir, "documents")).select("doc_id", "copy_class", "class_id", "n_links")
 
 
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return fingerprints.edited_neighbours(read(spark, sf_dir, "documents"))
+
+
 def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read(spark, sf_dir, "embeddings")
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -82,9 +87,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_contamination, op2_archives, op3_neighbours, op4_mixing, op5_licences, op6_sharding, op7_language, op8_tokens, op9_pages, op10_jaccard, op13_negatives, pipeline)}
+    return {f.__name__: f for f in (op1_contamination, op2_archives, op3_neighbours, op4_mixing, op5_licences, op6_sharding, op7_language, op8_tokens, op9_pages, op10_jaccard, op12_fingerprints, op13_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The others draw, hash, train or search approximately; tests hold them against brute force."""
-    return {"op1_contamination": oracles.OP1, "op2_archives": oracles.OP2, "op10_jaccard": oracles.OP10, "op13_negatives": oracles.OP13}
+    return {"op1_contamination": oracles.OP1, "op2_archives": oracles.OP2, "op10_jaccard": oracles.OP10, "op12_fingerprints": oracles.OP12, "op13_negatives": oracles.OP13}
