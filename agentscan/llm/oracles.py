@@ -54,7 +54,7 @@ kept AS (SELECT DISTINCT k, (key // 4294967296)::BIGINT AS hash, (4294967295 - k
 fp AS (SELECT k, string_agg(printf('%012x', hash) || printf('%02x', pos - before), '' ORDER BY pos) AS fp FROM (SELECT *, lag(pos, 1, 0) OVER (PARTITION BY k ORDER BY pos) AS before FROM kept) GROUP BY k),
 s AS (SELECT DISTINCT k, hash FROM kept), cnt AS (SELECT k, count(*) AS m FROM s GROUP BY k),
 p AS (SELECT e.*, a.k AS ka, b.k AS kb, c.k AS kc FROM e LEFT JOIN x a ON a.t = e.t LEFT JOIN x b ON b.t = e.et LEFT JOIN x c ON c.t = e.nt),
-both AS (SELECT u.k AS ku, v.k AS kv, count(*) AS both FROM (SELECT DISTINCT ka, kb FROM (SELECT ka, kb FROM p UNION SELECT ka, kc FROM p)) q JOIN s u ON u.k = q.ka JOIN s v ON v.k = q.kb AND v.hash = u.hash GROUP BY ALL)
+common AS (SELECT u.k AS ku, v.k AS kv, count(*) AS common FROM (SELECT DISTINCT ka, kb FROM (SELECT ka, kb FROM p UNION SELECT ka, kc FROM p)) q JOIN s u ON u.k = q.ka JOIN s v ON v.k = q.kb AND v.hash = u.hash GROUP BY ALL)
 SELECT doc_id, n::BIGINT AS n_chars, sha256(et) AS edited_sha256, coalesce(f.fp, '') AS fingerprint, coalesce(g.fp, '') AS edited_fingerprint,
-  CASE WHEN ka IS NULL AND kb IS NULL THEN 1.0 ELSE coalesce(i.both / (x.m + y.m - i.both), 0.0) END::DOUBLE AS near_edited, CASE WHEN ka IS NULL AND kc IS NULL THEN 1.0 ELSE coalesce(j.both / (x.m + z.m - j.both), 0.0) END::DOUBLE AS near_next
-FROM p LEFT JOIN fp f ON f.k = ka LEFT JOIN fp g ON g.k = kb LEFT JOIN cnt x ON x.k = ka LEFT JOIN cnt y ON y.k = kb LEFT JOIN cnt z ON z.k = kc LEFT JOIN both i ON i.ku = ka AND i.kv = kb LEFT JOIN both j ON j.ku = ka AND j.kv = kc"""
+  CASE WHEN ka IS NULL AND kb IS NULL THEN 1.0 ELSE coalesce(i.common / (x.m + y.m - i.common), 0.0) END::DOUBLE AS near_edited, CASE WHEN ka IS NULL AND kc IS NULL THEN 1.0 ELSE coalesce(j.common / (x.m + z.m - j.common), 0.0) END::DOUBLE AS near_next
+FROM p LEFT JOIN fp f ON f.k = ka LEFT JOIN fp g ON g.k = kb LEFT JOIN cnt x ON x.k = ka LEFT JOIN cnt y ON y.k = kb LEFT JOIN cnt z ON z.k = kc LEFT JOIN common i ON i.ku = ka AND i.kv = kb LEFT JOIN common j ON j.ku = ka AND j.kv = kc"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from agentscan.llm import archives, contamination, fingerprints, jaccard, language, licences, mixing, negatives, neighbours, oracles, pages, sharding, tokens
+from agentscan.llm import archives, contamination, fingerprints, jaccard, language, licences, mixing, negatives, neighbours, oracles, pages, sharding, spelling, tokens
 from agentscan.llm.common import prepare, read
 
 
@@ -71,6 +71,10 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(read(spark, sf_dir, "documents")).select("doc_id", "copy_class", "class_id", "n_links")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return fingerprints.edited_neighbours(read(spark, sf_dir, "documents"))
@@ -87,7 +91,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_contamination, op2_archives, op3_neighbours, op4_mixing, op5_licences, op6_sharding, op7_language, op8_tokens, op9_pages, op10_jaccard, op12_fingerprints, op13_negatives, pipeline)}
+    return {f.__name__: f for f in (op1_contamination, op2_archives, op3_neighbours, op4_mixing, op5_licences, op6_sharding, op7_language, op8_tokens, op9_pages, op10_jaccard, op11_spelling, op12_fingerprints, op13_negatives, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
