@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from agentscan.functions.rules import any_match, line_array, literal, quoted, rows_of, sql_lines, sql_list
-from agentscan.operators import configs, static
 from agentscan.operators.profiles import SQL_CONSTRAINTS, constraints
-from agentscan.operators.scoring import SQL_FINDINGS, findings, instruction_findings
+from agentscan.operators.scoring import SQL_FINDINGS, findings
 from agentscan.operators.secrets import SQL_SECRETS, secrets
-from agentscan.operators.text import SQL_INSTRUCTION
 from agentscan.sources.derived import SQL_ARTIFACTS, artifacts, read
 
 #: Domains of governance by the letters of their controls, and those that a kind of agent needs.
@@ -278,12 +276,7 @@ def _category(control: str) -> str:
 
 def project_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(project_id, check_id): what any detector found in a project, each once."""
-    parts = [findings(spark, sf_dir), static.q_absence(spark, sf_dir), configs.q_configs(spark, sf_dir), configs.q_servers(spark, sf_dir), configs.q_chains(spark, sf_dir), instruction_findings(spark, sf_dir)]
-    out = None
-    for p in parts:
-        p = p.select("project_id", "check_id")
-        out = p if out is None else out.unionByName(p)
-    return out.distinct()
+    return findings(spark, sf_dir).select("project_id", "check_id").distinct()
 
 
 def compliance(f: DataFrame, files: DataFrame) -> DataFrame:
@@ -308,7 +301,7 @@ def q_compliance(spark, sf_dir):
 
 _B = ", ".join(f"({quoted(c)}, {quoted(level)}, {quoted(_category(c))}, {str(how == 'automated').lower()})" for c, level, how, _ in BENCHMARK)
 _BK = ", ".join(f"({quoted(c)}, {quoted(k)})" for c, _, _, ks in BENCHMARK for k in ks.split())
-SQL_CHECKS = f"""{SQL_FINDINGS}, inst AS ({SQL_INSTRUCTION}), checks AS (SELECT project_id, check_id FROM findings UNION SELECT project_id, check_id FROM ({static.SQL_ABSENCE}) UNION SELECT project_id, check_id FROM ({configs.SQL_CONFIGS}) UNION SELECT project_id, check_id FROM ({configs.SQL_SERVER_FINDINGS}) UNION SELECT project_id, check_id FROM ({configs.SQL_CHAINS}) UNION SELECT a.project_id, check_id FROM inst JOIN artifacts a ON a.id = inst.id)"""
+SQL_CHECKS = f"{SQL_FINDINGS}, checks AS (SELECT DISTINCT project_id, check_id FROM findings)"
 SQL_COMPLIANCE = f"""WITH {SQL_CHECKS}, b(control_id, level, category, automated) AS (VALUES {_B}), k(control_id, check_id) AS (VALUES {_BK}), failed AS (SELECT DISTINCT project_id, control_id FROM checks JOIN k USING (check_id)),
 s AS (SELECT p.project_id, level, category, CASE WHEN f.control_id IS NOT NULL THEN 'failed' WHEN NOT automated THEN 'unverified' ELSE 'passed' END AS status FROM (SELECT DISTINCT project_id FROM artifacts) p CROSS JOIN b LEFT JOIN failed f ON f.project_id = p.project_id AND f.control_id = b.control_id),
 g AS (SELECT project_id, level, category, count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'unverified') AS unverified FROM s GROUP BY ROLLUP (project_id, level, category))

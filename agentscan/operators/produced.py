@@ -138,14 +138,7 @@ SQL_PROJECTS = "\nUNION ALL ".join(
 )
 
 
-def q_families(spark, sf_dir):
-    """Findings of all produced families by family: how many, and of how many units."""
-    more = _united([_as(structure.q_code(spark, sf_dir), F.col("id"), "AST-CODE", "high"), _as(prompts.q_lifecycle(spark, sf_dir), F.col("conv_id"), "LIFECYCLE", "high"), _as(configs.q_servers(spark, sf_dir), F.col("path"), "SEM-MCP", "high", F.startswith("check_id", F.lit("SEM-MCP"))), _as(governance.q_grades(spark, sf_dir), F.col("path"), "SOUL-VIOLATION", "high", F.col("violations") != "")])
-    every = _united([q_files(spark, sf_dir), q_projects(spark, sf_dir), more])
-    return every.groupBy(F.regexp_replace("check_id", "-[0-9]+$", "").alias("family")).agg(F.count("*").alias("findings"), F.count_distinct("unit").alias("units"))
-
-
 SQL_FAMILIES = f"""WITH e AS ({SQL_FILES} UNION ALL {SQL_PROJECTS} UNION ALL {_sub(structure.SQL_CODE, "id", "AST-CODE", "high")} UNION ALL {_sub(prompts.SQL_LIFECYCLE, "conv_id", "LIFECYCLE", "high")} UNION ALL {_sub(configs.SQL_SERVER_FINDINGS, "path", "SEM-MCP", "high", "starts_with(check_id, 'SEM-MCP')")} UNION ALL {_sub(governance.SQL_GRADES, "path", "SOUL-VIOLATION", "high", "violations <> ''")})
 SELECT regexp_replace(check_id, '-[0-9]+$', '') AS family, count(*) AS findings, count(DISTINCT unit) AS units FROM e GROUP BY 1"""
 
-QUERIES = {"produced_files": (q_files, SQL_FILES), "produced_projects": (q_projects, SQL_PROJECTS), "produced_families": (q_families, SQL_FAMILIES)}
+QUERIES = {"produced_files": (q_files, SQL_FILES), "produced_projects": (q_projects, SQL_PROJECTS)}

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentscan.functions.rules import quoted
+from agentscan.functions.work import kept
 from agentscan.operators.text import INJECTION
 from agentscan.sources.derived import SQL_ARTIFACTS, SQL_EDGES, artifacts, pick, read, skill_edges, sql_pick
 
@@ -221,23 +219,11 @@ SQL_CYCLES = f"""WITH RECURSIVE {SQL_EDGES}, p(path, last) AS (SELECT [src, dst]
 SELECT len(path)::INT AS n, array_to_string(path, '>') AS cycle FROM p WHERE EXISTS (SELECT 1 FROM edges WHERE src = last AND dst = path[1])"""
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again, so that no step of an iteration is done twice."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/skills-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _inner(e: DataFrame) -> DataFrame:
     """The edges that are left when skills without an edge in or without one out are taken away again and again."""
     n = e.count()
     while n:
-        e = _kept(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        e = kept(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         last, n = n, e.count()
         if n == last:
             break
@@ -255,25 +241,25 @@ def cyclic(e: DataFrame) -> DataFrame:
     e = e.select("src", "dst").where("src is not null and dst is not null").distinct()
     own = e.where("src = dst").select(F.col("src").alias("skill"), F.col("src").alias("top"))
     found = None
-    e = _inner(_kept(e.where("src <> dst")))
+    e = _inner(kept(e.where("src <> dst")))
     while not e.isEmpty():
-        tops = _kept(e.select(F.col("dst").alias("skill"), F.col("dst").alias("top")).distinct())  # every skill left has an edge in
+        tops = kept(e.select(F.col("dst").alias("skill"), F.col("dst").alias("top")).distinct())  # every skill left has an edge in
         while True:
             sent = e.join(tops, e.src == tops.skill).select(F.col("dst").alias("skill"), F.col("top").alias("sent")).groupBy("skill").agg(F.max("sent").alias("sent"))
-            new = _kept(tops.join(sent, "skill").select("skill", F.greatest("top", "sent").alias("top"), (F.col("sent") > F.col("top")).alias("more")))
+            new = kept(tops.join(sent, "skill").select("skill", F.greatest("top", "sent").alias("top"), (F.col("sent") > F.col("top")).alias("more")))
             tops = new.select("skill", "top")
             if new.where("more").isEmpty():
                 break
         a, b = (tops.select(F.col("skill").alias(c), F.col("top").alias(f"{c}_top")) for c in ("src", "dst"))
-        inside = _kept(e.join(a, "src").join(b, "dst").where("src_top = dst_top").select("src", "dst", F.col("src_top").alias("top")))
-        back = reached = _kept(tops.where("skill = top"))
+        inside = kept(e.join(a, "src").join(b, "dst").where("src_top = dst_top").select("src", "dst", F.col("src_top").alias("top")))
+        back = reached = kept(tops.where("skill = top"))
         while not back.isEmpty():
-            back = _kept(inside.join(back.select(F.col("skill").alias("dst")), "dst").select(F.col("src").alias("skill"), "top").distinct().join(reached, "skill", "left_anti"))
+            back = kept(inside.join(back.select(F.col("skill").alias("dst")), "dst").select(F.col("src").alias("skill"), "top").distinct().join(reached, "skill", "left_anti"))
             reached = reached.unionByName(back)
-        reached = _kept(reached)
+        reached = kept(reached)
         found = reached if found is None else found.unionByName(reached)
         gone = reached.select("skill")
-        e = _inner(_kept(inside.join(gone.withColumnRenamed("skill", "src"), "src", "left_anti").join(gone.withColumnRenamed("skill", "dst"), "dst", "left_anti").select("src", "dst")))
+        e = _inner(kept(inside.join(gone.withColumnRenamed("skill", "src"), "src", "left_anti").join(gone.withColumnRenamed("skill", "dst"), "dst", "left_anti").select("src", "dst")))
     if found is not None:
         several = found.join(found.groupBy("top").agg(F.min("skill").alias("component"), F.count("*").alias("n")).where("n > 1"), "top").select("skill", "component", "n")
         alone = own.join(several, "skill", "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from agentscan.functions.rules import any_match, line_array, line_hits, quoted, rows_of, scan, sql_lines, sql_scan
 from agentscan.operators import configs, static
-from agentscan.operators.text import EXFILTRATION, INJECTION, MANIPULATION, PERMISSIVE, SKILL, SQL_INSTRUCTION, instruction_hits
+from agentscan.operators.text import EXFILTRATION, INJECTION, MANIPULATION, PERMISSIVE, SKILL, instruction_hits
 from agentscan.sources.derived import SQL_ARTIFACTS, artifacts
 
 #: Weights of severities, what they rank as, and the score's decay.
@@ -58,17 +58,54 @@ CATALOGUE = (
     ("TOOL", "configuration", "misconfiguration", "access", "List the tools that are allowed."),
     ("UNICODE", "hidden-text", "scanner-evasion", "manipulation", "Remove what doesn't show."),
     ("WEBCRED", "credentials", "credential-exposure", "access", "Move the file out of the served folder."),
+    ("AST-CAP", "permissions", "misconfiguration", "access", "Declare the capability or remove what uses it."),
+    ("AST-CODE", "code", "code-execution", "execution", "Keep input from outside away from what runs."),
+    ("AST-CRED", "credentials", "credential-exposure", "access", "Remove the credential and renew it."),
+    ("AST-EXFIL", "network", "exfiltration", "exfiltration", "Remove the transmission."),
+    ("AST-GOV", "governance", "governance", "manipulation", "State the missing rule."),
+    ("AST-HEARTBEAT", "supply", "remote-instructions", "execution", "Pin what is fetched."),
+    ("AST-INJECT", "injection-hardening", "injection", "manipulation", "Remove the instruction."),
+    ("AST-MANIP", "injection-hardening", "scanner-evasion", "manipulation", "Remove what addresses the scanner."),
+    ("AST-PERSIST", "network", "exfiltration", "exfiltration", "Constrain what is sent."),
+    ("AST-PROMPT", "governance", "governance", "manipulation", "State order of trust and refusals."),
+    ("AST-SCOPE", "permissions", "misconfiguration", "access", "Narrow the permissions."),
+    ("CVE", "supply", "supply-chain", "execution", "Update to a mended version."),
+    ("DNA", "identity", "identity", "access", "Declare and sign the profile."),
+    ("GATEWAY", "network", "exposure", "access", "Bind to this machine and require a token."),
+    ("GIT", "configuration", "misconfiguration", "access", "Ignore keys and environment files."),
+    ("LIFECYCLE", "injection-hardening", "injection", "manipulation", "Separate and order the prompt's parts."),
+    ("PROMPT", "governance", "governance", "manipulation", "Harden the prompt."),
+    ("RATE", "network", "exposure", "access", "Limit rates."),
+    ("SEM-CRED", "credentials", "credential-exposure", "access", "Remove the credential and renew it."),
+    ("SEM-INST", "governance", "governance", "manipulation", "Bound the instruction."),
+    ("SEM-MCP", "configuration", "misconfiguration", "access", "Separate the servers and narrow them."),
+    ("SEM-PERM", "permissions", "misconfiguration", "access", "Narrow the permissions."),
+    ("SHELL", "network", "exfiltration", "exfiltration", "Keep credential files and requests apart."),
+    ("VSCODE", "configuration", "misconfiguration", "access", "Correct the server's entry."),
+    ("WEBEXPOSE", "network", "exposure", "access", "Move the file out of the served folder."),
 )
 _FAMILIES = [(SKILL, ""), (INJECTION, "INJ-"), (MANIPULATION, "MAN-"), (static.LINE_RULES, "")]
 RULES = [r._replace(check_id=p + r.check_id) for rules, p in _FAMILIES for r in rules]
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(project_id, path, id, check_id, severity): what the file detectors find, one row a file and check."""
+def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, path, id, check_id, severity): what the rules on whole texts find, one row a file and check."""
     return scan(artifacts(spark, sf_dir), "content", RULES, ["project_id", "path", "id"], "path").select("project_id", "path", "id", "check_id", "severity")
 
 
-SQL_FINDINGS = f"{SQL_ARTIFACTS}, findings AS (SELECT project_id, path, id, check_id, severity FROM ({sql_scan('artifacts', 'content', RULES, 'project_id, path, id')}))"
+SQL_SCAN = f"{SQL_ARTIFACTS}, scanned AS (SELECT project_id, path, id, check_id, severity FROM ({sql_scan('artifacts', 'content', RULES, 'project_id, path, id')}))"
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project_id, path, id, check_id, severity): what all detectors find, as written once (``store``)."""
+    from agentscan.operators import store  # its detectors are built on this module
+
+    return store.findings(spark, sf_dir).select("project_id", "path", "id", "check_id", "severity")
+
+
+#: Stands for the SQL of all detectors, which the registry puts in.
+EVERY = "/* the findings of all detectors */"
+SQL_FINDINGS = f"{SQL_ARTIFACTS}, findings AS (SELECT project_id, path, id, check_id, severity FROM ({EVERY}))"
 
 
 def weight(severity: Column) -> Column:
@@ -79,19 +116,34 @@ def rank(severity: Column) -> Column:
     return F.coalesce(*[F.when(severity == k, F.lit(v)) for k, v in RANKS.items()], F.lit(0))
 
 
+#: What of an id names its entry in the catalogue: the family, with the analyzer before it where there is one.
+PREFIX = "^((?:AST|SEM)-[A-Z]+|[A-Z][A-Z0-9]*)"
+
+
 def prefix(check: Column) -> Column:
-    return F.regexp_extract(check, "^([A-Z]+)", 1)
+    return F.regexp_extract(check, PREFIX, 1)
 
 
 #: Families that count as another one.
 FOLDS = (("remote-instructions", "supply-chain"), ("weak-crypto", "misconfiguration"), ("authentication", "exposure"))
 
 
+#: Checks of detectors that are no list of rules, by default severity.
+OTHER_CHECKS = {
+    "critical": ("AST-CRED-002", "AST-CRED-003", "AST-SCOPE-004", "SEM-CRED-002", "SEM-CRED-003", "SEM-INST-002", "UNICODE-STEGO-004", "LIFECYCLE-001", "LIFECYCLE-002", "MCP-SSE", "MCP-TOOLS", "CONFIG-EXPOSED", "API-KEY-EXPOSED"),
+    "high": ("AST-CAP-002", "AST-CODE-001", "AST-CODE-002", "AST-CODE-003", "AST-CRED-001", "AST-EXFIL-001", "AST-GOV-001", "AST-GOV-003", "AST-GOV-004", "AST-HEARTBEAT-001", "AST-INJECT-001", "AST-MANIP-001", "AST-PERSIST-001", "AST-PROMPT-001", "AST-PROMPT-003", "AST-SCOPE-001")
+    + ("SEM-CRED-001", "SEM-INST-001", "SEM-MCP-005", "UNICODE-STEGO-001", "LIFECYCLE-003", "LIFECYCLE-005", "LIFECYCLE-006", "LIFECYCLE-007", "LIFECYCLE-008", "CLAUDE-MD-EXPOSED", "SOUL-VIOLATION"),
+    "medium": ("AST-CAP-001", "AST-GOV-002", "AST-GOV-005", "AST-PROMPT-002", "AST-PROMPT-004", "AST-SCOPE-002", "AST-SCOPE-003", "SEM-INST-003", "SEM-MCP-006", "UNICODE-STEGO-005", "LIFECYCLE-004", "LIFECYCLE-009", "LIFECYCLE-010"),
+    "low": ("SEM-INST-004",),
+}
+
+
 def catalogue(spark: SparkSession) -> DataFrame:
     """(check_id, severity, name): every check that some rule can report, as a table."""
     rows = {r.check_id: (r.severity, r.name or r.check_id) for r in RULES}
     rows |= {c[0]: (c[1], c[-1]) for c in (*static.FILES, *static.ABSENCE, *static.COMBINATIONS)}
     rows |= {c.check_id: (c.severity, c.check_id) for c in (*configs.FILES, *configs.SERVERS)}
+    rows |= {c: (s, c) for s, ids in OTHER_CHECKS.items() for c in ids}
     return spark.createDataFrame([(k, *v) for k, v in sorted(rows.items())], "check_id string, severity string, name string")
 
 
@@ -104,7 +156,7 @@ def catalogued(f: DataFrame) -> DataFrame:
 
 
 _FOLD = dict(FOLDS)
-_CAT_SQL = "catalogue(p, category, family, attack_class, fix) AS (VALUES " + ", ".join("(" + ", ".join(map(quoted, (p, c, _FOLD.get(f, f), a, x))) + ")" for p, c, f, a, x in CATALOGUE) + ")"
+CATALOGUE_SQL = "catalogue(p, category, family, attack_class, fix) AS (VALUES " + ", ".join("(" + ", ".join(map(quoted, (p, c, _FOLD.get(f, f), a, x))) + ")" for p, c, f, a, x in CATALOGUE) + ")"
 
 
 def score(f: DataFrame, by: list[str]) -> DataFrame:
@@ -135,7 +187,7 @@ g AS (SELECT {by}, count(*) AS n_findings, round(sum(w), 6) AS weight, bool_or(s
 scored AS (SELECT {by}, n_findings, weight, floor(100 * exp(-weight / {DECAY}) + 0.5)::INT AS raw_score, CASE WHEN open_high THEN least({CAP}, floor(100 * exp(-weight / {DECAY}) + 0.5)::INT) ELSE floor(100 * exp(-weight / {DECAY}) + 0.5)::INT END AS score FROM g)"""
 
 
-SQL_CAT = f"{SQL_FINDINGS}, {_CAT_SQL}, cat AS (SELECT f.*, category, family, attack_class, fix FROM findings f LEFT JOIN catalogue c ON c.p = regexp_extract(f.check_id, '^([A-Z]+)', 1))"
+SQL_CAT = f"{SQL_FINDINGS}, {CATALOGUE_SQL}, cat AS (SELECT f.*, category, family, attack_class, fix FROM findings f LEFT JOIN catalogue c ON c.p = regexp_extract(f.check_id, '{PREFIX}', 1))"
 
 
 def q_findings(spark, sf_dir):
@@ -282,7 +334,7 @@ def q_catalogue(spark, sf_dir):
     return f.join(ids.select("check_id"), "check_id", "right").fillna(0, ["n", "projects"]).select("check_id", "n", "projects")
 
 
-_IDS = ", ".join(f"({quoted(x)})" for x in sorted({r.check_id for r in RULES} | {c[0] for c in (*static.FILES, *static.ABSENCE, *static.COMBINATIONS)} | {c.check_id for c in (*configs.FILES, *configs.SERVERS)}))
+_IDS = ", ".join(f"({quoted(x)})" for x in sorted({r.check_id for r in RULES} | {c[0] for c in (*static.FILES, *static.ABSENCE, *static.COMBINATIONS)} | {c.check_id for c in (*configs.FILES, *configs.SERVERS)} | {c for ids in OTHER_CHECKS.values() for c in ids}))
 SQL_CATALOGUE = f"WITH {SQL_FINDINGS}, ids(check_id) AS (VALUES {_IDS}) SELECT ids.check_id, count(f.check_id) AS n, count(DISTINCT project_id) AS projects FROM ids LEFT JOIN findings f ON f.check_id = ids.check_id GROUP BY ids.check_id"
 
 #: Fixed value: where files stood in the earlier snapshot that have been renamed since.
@@ -366,9 +418,8 @@ SELECT project_id, batch, check_id, len(paths)::INT AS named, len(kept)::INT AS
 
 
 def q_refiltered(spark, sf_dir):
-    """Suppression applied once to file findings and semantic ones together, so that nothing is counted twice."""
-    semantic = instruction_findings(spark, sf_dir)
-    merged = findings(spark, sf_dir).unionByName(semantic).dropDuplicates(["path", "check_id"])
+    """Suppression applied once to the findings of all detectors, so that nothing is counted twice."""
+    merged = findings(spark, sf_dir).dropDuplicates(["project_id", "path", "check_id"])
     return suppressed(merged).groupBy("project_id").agg(F.count("*").alias("findings"), F.count("suppressed_by").alias("suppressed"), F.count_if("counts").alias("counted"))
 
 
@@ -379,7 +430,7 @@ def instruction_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("project_id", "path", "id", "check_id", "severity")
 
 
-SQL_REFILTERED = f"""WITH {SQL_FINDINGS}, i AS ({SQL_INSTRUCTION}), m AS (SELECT DISTINCT project_id, path, check_id FROM (SELECT project_id, path, check_id FROM findings UNION ALL SELECT a.project_id, a.path, i.check_id FROM i JOIN artifacts a ON a.id = i.id)), s AS (SELECT *, CASE {_CASE} END::INT AS suppressed_by FROM m)
+SQL_REFILTERED = f"""WITH {SQL_FINDINGS}, m AS (SELECT DISTINCT project_id, path, check_id FROM findings), s AS (SELECT *, CASE {_CASE} END::INT AS suppressed_by FROM m)
 SELECT project_id, count(*) AS findings, count(suppressed_by) AS suppressed, count(*) FILTER (suppressed_by IS NULL OR suppressed_by IN ({', '.join(str(r[0]) for r in _SUP if r[4])})) AS counted FROM s GROUP BY project_id"""
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from agentscan.operators import classifier, configs, events, evidence, governance, hidden, pages, produced, profiles, prompts, scoring, secrets, static, structure, subjects, text
+from agentscan.operators import classifier, configs, events, evidence, governance, hidden, pages, produced, profiles, prompts, scoring, secrets, static, store, structure, subjects, text
 
-MODULES = (text, secrets, hidden, pages, events, profiles, configs, static, scoring, governance, prompts, evidence, structure, subjects, produced, classifier)
+MODULES = (text, secrets, hidden, pages, events, profiles, configs, static, scoring, governance, prompts, evidence, structure, subjects, produced, store, classifier)
 
 
 def queries() -> dict:
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
+    return {name: sql.replace(scoring.EVERY, store.SQL_EVERY) for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
