@@ -45,7 +45,7 @@ _SHORT = "[" + ", ".join(f"{pow(_BASE, j, 2**64)}::UHUGEINT" for j in range(_GRA
 OP12 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 o AS (SELECT r, doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id DESC NULLS LAST, r), first_value(t) OVER (ORDER BY doc_id DESC NULLS LAST, r)) AS nt FROM d),
 e AS (SELECT *, left(t, n - n // 3) || left(nt, n // 3) AS et FROM o),
-x AS (SELECT row_number() OVER () AS k, t, length(t) AS n FROM (SELECT t FROM e UNION SELECT et FROM e) WHERE t <> ''),
+x AS (SELECT md5(t) AS k, t, length(t) AS n FROM (SELECT t FROM e UNION SELECT et FROM e) WHERE t <> ''),
 c AS (SELECT k, n, generate_subscripts(l, 1) - 1 AS i, unicode(unnest(l))::UBIGINT AS c FROM (SELECT k, n, string_split(t, '') AS l FROM x)),
 h AS (SELECT k, i, greatest(n - {_GRAM}, 0) + 1 AS runs, ({_TERMS}) % 18446744073709551616::UHUGEINT AS h FROM c WHERE n >= {_GRAM} WINDOW w AS (PARTITION BY k ORDER BY i) QUALIFY i <= n - {_GRAM}
   UNION ALL SELECT k, 0, 1, sum(c::HUGEINT * ({_SHORT}[n - i])::HUGEINT)::UHUGEINT % 18446744073709551616::UHUGEINT FROM c WHERE n < {_GRAM} GROUP BY k),
@@ -58,3 +58,22 @@ common AS (SELECT u.k AS ku, v.k AS kv, count(*) AS common FROM (SELECT DISTINCT
 SELECT doc_id, n::BIGINT AS n_chars, sha256(et) AS edited_sha256, coalesce(f.fp, '') AS fingerprint, coalesce(g.fp, '') AS edited_fingerprint,
   CASE WHEN ka IS NULL AND kb IS NULL THEN 1.0 ELSE coalesce(i.common / (x.m + y.m - i.common), 0.0) END::DOUBLE AS near_edited, CASE WHEN ka IS NULL AND kc IS NULL THEN 1.0 ELSE coalesce(j.common / (x.m + z.m - j.common), 0.0) END::DOUBLE AS near_next
 FROM p LEFT JOIN fp f ON f.k = ka LEFT JOIN fp g ON g.k = kb LEFT JOIN cnt x ON x.k = ka LEFT JOIN cnt y ON y.k = kb LEFT JOIN cnt z ON z.k = kc LEFT JOIN common i ON i.ku = ka AND i.kv = kb LEFT JOIN common j ON j.ku = ka AND j.kv = kc"""
+
+#: One byte for each letter beyond ASCII, as DuckDB's edit distance counts bytes; words hold none of these.
+_BEYOND, _BYTES = "".join(map(chr, range(0xC0, 0x100))), "".join(map(chr, range(0x21, 0x61))).replace("'", "''")
+
+#: A checksum's table by its rule (eight shifts a value), and the checksum of each run byte by byte.
+OP11 = f"""WITH RECURSIVE bit(i, s, v) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, s + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bit WHERE s < 8),
+tab AS (SELECT i, v FROM bit WHERE s = 8),
+runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL HAVING length(run) >= 6),
+b AS (SELECT run, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs),
+crc(run, c, h, i, v) AS (SELECT run, c, h, 0, 4294967295 FROM b UNION ALL SELECT run, c, h, crc.i + 1, xor(crc.v // 256, tab.v) FROM crc JOIN tab ON tab.i = xor(crc.v % 256, ('0x' || substr(h, 2 * crc.i + 1, 2))::BIGINT) WHERE 2 * crc.i < length(h)),
+s AS (SELECT run, c, xor(v, 4294967295) AS v FROM crc WHERE 2 * i = length(h)),
+w AS (SELECT word, sum(c)::BIGINT AS n FROM (SELECT CASE WHEN v % 199 = 0 THEN left(run, v % length(run)) || substr(run, v % length(run) + 2) ELSE run END AS word, c FROM s) WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+y AS (SELECT *, translate(word, '{_BEYOND}', '{_BYTES}') AS bytes FROM w),
+near AS (SELECT a.word, a.n, o.word AS other, o.n AS other_n FROM y a JOIN y o ON abs(length(a.word) - length(o.word)) <= 1 AND levenshtein(a.bytes, o.bytes) = 1),
+f AS (SELECT w.word, any_value(w.n) AS n, count(other) AS n_near, arg_min(other, (-other_n, other)) AS form, max(other_n) AS form_n FROM w LEFT JOIN near USING (word) GROUP BY w.word),
+g AS (SELECT word, n, n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM f),
+walk(word, root) AS (SELECT word, word FROM g UNION SELECT walk.word, g.form FROM walk JOIN g ON g.word = walk.root WHERE g.form IS NOT NULL),
+last AS (SELECT walk.word, root FROM walk JOIN g ON g.word = root WHERE g.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM g JOIN last USING (word)"""

@@ -96,4 +96,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """The others draw, hash, train or search approximately; tests hold them against brute force."""
-    return {"op1_contamination": oracles.OP1, "op2_archives": oracles.OP2, "op10_jaccard": oracles.OP10, "op12_fingerprints": oracles.OP12, "op13_negatives": oracles.OP13}
+    return {"op1_contamination": oracles.OP1, "op2_archives": oracles.OP2, "op10_jaccard": oracles.OP10, "op11_spelling": oracles.OP11, "op12_fingerprints": oracles.OP12, "op13_negatives": oracles.OP13}
