@@ -4,8 +4,8 @@ Vectors are hashed by several tables of Gaussian projections cut into cells. A q
 table its own bucket and the neighbouring ones in order of their estimated success, the least sum of
 squared distances to the crossed cell borders first. Buckets meet their visitors in tasks, a large
 bucket in several parts. What travels there is no vector but a code of one byte a component, with the
-distance between the two: it bounds every cosine from below and above. A query's nearest among a small
-sample of the index is a floor for its nearest of all, and only candidates that floor or bounds rule out
+distance between the two: it bounds every cosine from below and above. A query's nearest among a
+sixteenth of the index, 2,048 entries at most, are a floor for its nearest of all, and only candidates that floor or bounds rule out
 are left behind. The candidates of all tables are merged, and what is left is ranked by the exact cosine
 of the original vectors.
 """
@@ -28,9 +28,11 @@ WIDTH = 1.5
 NEAREST = 5
 #: Distinct vectors of a bucket that one part holds at most.
 PART = 2048
-#: Entries that every query is compared with first, candidates that a task holds before it returns them,
-#: and queries that one exact pass takes.
-SAMPLE, HELD, EXACT = 2048, 200_000, 1024
+#: One entry in so many is in the sample that gives a query its floor, and how many are at most: the floor lies
+#: some SAMPLE_PART times as deep as the neighbours that are sought, at any size of the index.
+SAMPLE_PART, SAMPLE = 16, 2048
+#: Candidates that a task holds before it returns them, and the entries and queries of one cell of the exact pass.
+HELD, EXACT_ENTRIES, EXACT_QUERIES = 200_000, 16_384, 1024
 
 
 def _parameters(dim: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -217,42 +219,50 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _scan(queries: list[tuple[int, list[float]]], most: int):
-    """(query, rep) of the ``most`` nearest of each query in a batch of entries, by exact cosines."""
-    by_length: dict[int, list[tuple[int, list[float]]]] = {}
-    for q in queries:
-        by_length.setdefault(len(q[1]), []).append(q)
-    units = {n: (np.array([r for r, _ in qs], np.int64), np.array([v for _, v in qs], np.float64)) for n, qs in by_length.items()}
+def _scan(most: int):
+    """(query, rep) of the ``most`` nearest of each query of a cell among its entries, by exact cosines."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in _by_length(batch["vec"]):
-                part = batch.take(pa.array(at))
-                x = _units(part["vec"])
-                if x.shape[1] not in units:
-                    continue
-                reps, q = units[x.shape[1]]
-                score = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ x.T
-                edge = -np.partition(-score, most - 1, axis=1)[:, most - 1] if len(x) >= most else np.full(len(q), -np.inf)
-                i, j = np.nonzero(score >= edge[:, None] - 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array(reps[i]), part["rep"].take(pa.array(j))], names=["query", "rep"])
+    def run(entries: pa.Table, queries: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        by_length = {len(queries["own"][int(at[0])]): at for at in _by_length(queries["own"].combine_chunks())} if queries.num_rows else {}
+        for at in _by_length(entries["vec"].combine_chunks()) if by_length and entries.num_rows else ():
+            part = entries.take(pa.array(at)).combine_chunks()
+            x = _units(part["vec"].combine_chunks())
+            if x.shape[1] not in by_length:
+                continue
+            asks = queries.take(pa.array(by_length[x.shape[1]])).combine_chunks()
+            score = _units(asks["own"].combine_chunks()) @ x.T
+            edge = -np.partition(-score, most - 1, axis=1)[:, most - 1] if len(x) >= most else np.full(len(score), -np.inf)
+            i, j = np.nonzero(score >= edge[:, None] - 1e-9)
+            found.append((asks["query"].to_numpy()[i], part["rep"].to_numpy()[j]))
+        return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["query", "rep"])
 
     return run
 
 
+def _exact(entries: DataFrame, poor: DataFrame, most: int) -> DataFrame:
+    """(query, rep): the ``most`` nearest of each query in each block of entries, all blocks of both in one job."""
+    parts, chunks = (max(1, -(-df.count() // n)) for df, n in ((entries, EXACT_ENTRIES), (poor, EXACT_QUERIES)))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = entries.select("rep", "vec", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("part"), every(chunks, "chunk"))
+    right = poor.select("query", "own", every(parts, "part"), F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int").alias("chunk"))
+    return left.groupBy("part", "chunk").cogroup(right.groupBy("part", "chunk")).applyInArrow(_scan(most), "query long, rep long")
+
+
 def cosine(a: str, b: str):
     """The cosine of two vectors in double precision."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 50, most: int = NEAREST) -> DataFrame:
+def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", every: int = 50, most: int = NEAREST, exact: bool = True) -> DataFrame:
     """query_id, rank, vec_id, score: the ``most`` nearest found of each row whose id is divisible by ``every``.
 
     score: the cosine of the original vectors in double precision; ties go to the smaller vec_id.
     Equal vectors are one entry of the index that keeps their ``most`` + 1 smallest ids, as no query
     needs more of them, so a very common vector is neither a large bucket nor a cap on what is found.
-    A query whose buckets hold too few is compared with all entries, exactly, in blocks of queries.
+    A query whose buckets hold too few above its floor is compared with all entries, exactly, in blocks of
+    both; without ``exact`` it has what was found.
     Rows whose vector is null, empty, zero or holds a null or non-finite component take no part, nor
     do null ids; vectors of other lengths are other spaces. A repeated id counts once per vector.
     Fewer candidates give fewer rows, no candidate or an empty table none.
@@ -269,7 +279,8 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     asks = written(asking.groupBy("query").agg(F.first("own").alias("own")), "asks")
 
     row = "bucket long, visit boolean, rep long, code binary, scale float, away float, floor double"
-    sample = [list(r["vec"]) for r in entries.select("vec", F.xxhash64("rep").alias("h")).orderBy("h").limit(SAMPLE).collect()]
+    drawn = entries.select("vec", F.xxhash64("rep", F.lit("sample")).alias("h")).where(F.pmod("h", F.lit(SAMPLE_PART)) == 0).orderBy("h").limit(SAMPLE)
+    sample = [list(r["vec"]) for r in drawn.collect()]
     visits = asks.select(F.col("query").alias("rep"), F.col("own").alias("vec")).mapInArrow(_hash(True, sample, most + 1), row)
     hashed = written(entries.select("rep", "vec").mapInArrow(_hash(False), row).unionByName(visits), "hashed")
     large = written(hashed.where("not visit").groupBy("bucket").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).where("parts > 1"), "large")
@@ -288,11 +299,10 @@ def nearest(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
 
     known = scored(pairs, "scored")
     poor = asks.join(known.groupBy("query").agg(F.sum(F.size("ids")).alias("n")), "query", "left").where(F.coalesce("n", F.lit(0)) <= most).select("query", "own")
-    poor = written(poor, "poor")
-    blocks = -(-poor.count() // EXACT)
-    for b in range(blocks):
-        some = [(r["query"], list(r["own"])) for r in poor.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()]  # about EXACT rows
-        known = known.unionByName(scored(entries.select("rep", "vec").mapInArrow(_scan(some, most + 1), "query long, rep long").distinct(), f"exact-{b}"))
+    if exact:
+        poor = written(poor, "poor")
+        if not poor.isEmpty():
+            known = known.unionByName(scored(_exact(entries.select("rep", "vec"), poor, most + 1), "exact"))
 
     lists = known.dropDuplicates(["query", "rep"]).groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("near"))
     flat = F.flatten(F.transform("near", lambda c: F.transform(c["ids"], lambda i: F.struct((-c["score"]).alias("s"), i.alias("i")))))
