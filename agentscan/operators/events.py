@@ -15,8 +15,9 @@ HISTORY = 30
 BURST, BURST_MINUTES = 2, 60
 BUDGET_VALUE, BUDGET_CALLS = 600.0, 12
 SESSION = "30 minutes"
-#: Event types in the order of an attack chain.
+#: Event types in the order of an attack chain, and the time from its first to its last.
 CHAIN = ("view", "click", "purchase")
+CHAIN_SECONDS = 86_400
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,32 +47,32 @@ SQL_RATES = "SELECT date_trunc('minute', ts) AS minute, event_type, count(*) AS
 
 
 def zscores(e: DataFrame) -> DataFrame:
-    """Each hour's rate of a type against all its earlier hours; 0 until HISTORY of them exist.
+    """Each minute's rate of a type against all its earlier minutes that have events; 0 until HISTORY of them exist.
 
     Sums of whole days are carried forward first, so that no window holds more than a day of one type
     and the days of one type.
     """
-    n = e.groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").cast("double").alias("n")).withColumn("day", F.to_date("hour"))
+    n = e.groupBy("event_type", F.date_trunc("minute", "ts").alias("minute")).agg(F.count("*").cast("double").alias("n")).withColumn("day", F.to_date("minute"))
     days = n.groupBy("event_type", "day").agg(F.count("*").alias("k"), F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("q"))
     before = Window.partitionBy("event_type").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     carried = days.select("event_type", "day", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in "ksq"])
-    inside = Window.partitionBy("event_type", "day").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1)
-    own = n.select("event_type", "hour", "day", "n", *[F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(f"{c}1") for c, x in (("k", F.lit(1)), ("s", F.col("n")), ("q", F.col("n") * F.col("n")))])
+    inside = Window.partitionBy("event_type", "day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    own = n.select("event_type", "minute", "day", "n", *[F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(f"{c}1") for c, x in (("k", F.lit(1)), ("s", F.col("n")), ("q", F.col("n") * F.col("n")))])
     j = own.join(carried, ["event_type", "day"])
     k, s, q = (F.col(f"{c}0") + F.col(f"{c}1") for c in "ksq")
     mean = F.try_divide(s, k)
     sd = F.sqrt(F.greatest(F.try_divide(q, k) - mean * mean, F.lit(0.0)))
     z = F.when((k >= HISTORY) & (sd > 0), F.try_divide(F.col("n") - mean, sd)).otherwise(0.0)
-    return j.select("event_type", "hour", F.col("n").cast("long").alias("n"), F.round(z, 6).alias("z"))
+    return j.select("event_type", "minute", F.col("n").cast("long").alias("n"), F.round(z, 6).alias("z"))
 
 
 def q_zscores(spark, sf_dir):
     return zscores(events(spark, sf_dir))
 
 
-SQL_ZSCORES = f"""WITH n AS (SELECT event_type, date_trunc('hour', ts) AS hour, count(*)::DOUBLE AS n FROM events GROUP BY ALL),
-w AS (SELECT *, count(*) OVER b AS k, avg(n) OVER b AS m, stddev_pop(n) OVER b AS sd FROM n WINDOW b AS (PARTITION BY event_type ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT event_type, hour, n::BIGINT AS n, round(CASE WHEN k >= {HISTORY} AND sd > 0 THEN (n - m) / sd ELSE 0 END, 6) AS z FROM w"""
+SQL_ZSCORES = f"""WITH n AS (SELECT event_type, date_trunc('minute', ts) AS minute, count(*)::DOUBLE AS n FROM events GROUP BY ALL),
+w AS (SELECT *, count(*) OVER b AS k, avg(n) OVER b AS m, stddev_pop(n) OVER b AS sd FROM n WINDOW b AS (PARTITION BY event_type ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT event_type, minute, n::BIGINT AS n, round(CASE WHEN k >= {HISTORY} AND sd > 0 THEN (n - m) / sd ELSE 0 END, 6) AS z FROM w"""
 
 
 def q_correlation(spark, sf_dir):
@@ -112,16 +113,37 @@ s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k"""
 
 
+def attack_chains(e: DataFrame, chain: tuple[str, ...] = CHAIN, within: int = CHAIN_SECONDS) -> DataFrame:
+    """(user_id, event_id, ts, first_id, began): events that end a chain of types, others between them allowed, in time.
+
+    Of the chains that end with an event the one that began last counts, which is in time if any is. A
+    user's events are dealt by spans of the time limit, each with the span before it, so that no window
+    holds more than two spans of a user. Events of one time follow their ids; nulls take no part.
+    """
+    second = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = F.floor(second / (within * 1_000_000))
+    near = e.where("user_id is not null and ts is not null").select("user_id", "event_id", "ts", "event_type", F.explode(F.array(F.struct(span.alias("span"), F.lit(True).alias("own")), F.struct((span + 1).alias("span"), F.lit(False).alias("own")))).alias("in"))
+    near = near.select("user_id", "event_id", "ts", "event_type", "in.*")
+    before = Window.partitionBy("user_id", "span").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    reached = F.struct(F.col("ts").alias("began"), F.col("event_id").alias("first_id"))
+    for k, kind in enumerate(chain):
+        if k:
+            reached = F.col(f"until{k}")
+        here = F.when(F.col("event_type") == kind, reached)
+        if k + 1 < len(chain):
+            near = near.withColumn(f"until{k + 1}", F.last(here, ignorenulls=True).over(before))
+    done = near.where((F.col("event_type") == chain[-1]) & F.col("own")).select("user_id", "event_id", "ts", reached.alias("begin"))
+    return done.select("user_id", "event_id", "ts", "begin.first_id", "begin.began").where(second - F.unix_micros(F.col("began").cast("timestamp")) <= within * 1_000_000)
+
+
 def q_chain(spark, sf_dir):
-    """Three events of a user in a row that form the chain, with the time from first to last."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = events(spark, sf_dir).select("user_id", "event_id", "ts", "event_type", *[F.lag("event_type", k).over(w).alias(f"t{k}") for k in (1, 2)], F.lag("ts", 2).over(w).alias("began"))
-    hit = (F.col("t2") == CHAIN[0]) & (F.col("t1") == CHAIN[1]) & (F.col("event_type") == CHAIN[2])
-    return e.where(hit).select("user_id", "event_id", "began", "ts")
+    """Events that end an attack chain, with the event that began it."""
+    return attack_chains(events(spark, sf_dir))
 
 
-SQL_CHAIN = f"""WITH e AS (SELECT user_id, event_id, ts, event_type, lag(event_type, 1) OVER w AS t1, lag(event_type, 2) OVER w AS t2, lag(ts, 2) OVER w AS began FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, event_id, began, ts FROM e WHERE t2 = '{CHAIN[0]}' AND t1 = '{CHAIN[1]}' AND event_type = '{CHAIN[2]}'"""
+SQL_CHAIN = f"""WITH a AS (SELECT *, last_value(CASE WHEN event_type = '{CHAIN[0]}' THEN {{'began': ts, 'first_id': event_id}} END IGNORE NULLS) OVER w AS u1 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, last_value(CASE WHEN event_type = '{CHAIN[1]}' THEN u1 END IGNORE NULLS) OVER w AS u2 FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_id, event_id, ts, u2.first_id AS first_id, u2.began AS began FROM b WHERE event_type = '{CHAIN[2]}' AND ts - u2.began <= to_seconds({CHAIN_SECONDS})"""
 
 
 def q_unknown_actors(spark, sf_dir):

@@ -6,15 +6,13 @@ watermark are dropped by Spark and counted in the query's progress.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from agentscan.operators.events import HISTORY, RULES
+from agentscan.operators.events import CHAIN, CHAIN_SECONDS, HISTORY, RULES
 from agentscan.operators.text import text_payloads
 
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -74,34 +72,104 @@ def unknown(events: DataFrame, allowed: DataFrame) -> DataFrame:
     return events.join(allowed.select(F.col("user_id").alias("ok")), F.col("user_id") == F.col("ok"), "left").where("ok is null").drop("ok")
 
 
-def zscores(events: DataFrame) -> DataFrame:
-    """Deviation of each finished minute's rate of a type from all its minutes before.
+class _Deviations(StatefulProcessor):
+    """Scores a type's finished minutes in turn. State is three sums, which expire when the type stays silent."""
 
-    A minute is finished, and scored once, when the watermark has passed its end: until then late rows
-    are still counted in it, and later ones are dropped. A type that falls silent is flushed by a timeout
-    in event time. State is three sums, the last finished minute and the counts of the open ones.
+    def __init__(self, forget: int) -> None:
+        self.forget = forget
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getValueState("sums", "k long, s double, q double", self.forget)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        k, s, q = self.sums.get() or (0, 0.0, 0.0)
+        for minute, n in sorted((r["minute"], r["n"]) for r in rows):
+            sd = max(q / k - (s / k) ** 2, 0.0) ** 0.5 if k else 0.0
+            yield Row(event_type=key[0], minute=minute, n=n, z=(n - s / k) / sd if k >= HISTORY and sd > 0 else 0.0)
+            k, s, q = k + 1, s + n, q + n * n
+        self.sums.update((k, s, q))
+
+    def close(self) -> None:
+        pass
+
+
+def zscores(events: DataFrame, forget_days: int = 400) -> DataFrame:
+    """Deviation of each finished minute's rate of a type from all its minutes before, in two stages.
+
+    Minutes are counted by a windowed aggregation, combined before the shuffle, and leave it once when the
+    watermark has passed their end: late rows are counted until then and dropped after it. Only finished
+    minutes, one row each, reach the state of their type; a type without any for ``forget_days`` starts anew.
+    """
+    keep_state_in_rocksdb(events.sparkSession)
+    minutes = rates(events)
+    return minutes.groupBy("event_type").transformWithState(_Deviations(forget_days * 86_400_000), "event_type string, minute timestamp, n long, z double", "Append", "ProcessingTime")
+
+
+class _Chains(StatefulProcessor):
+    """An automaton for each actor: for every length of the chain's beginning, where the latest one such began.
+
+    Events wait until the watermark has passed them and are then read in order; one timer stands at the
+    earliest that waits. When nothing waits and no beginning is still in time, the actor's state goes.
     """
 
-    def score(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        k, s, q, last, pending = state.get if state.exists else (0, 0.0, 0.0, -1, "{}")
-        passed = state.getCurrentWatermarkMs()
-        counts = {int(m): n for m, n in json.loads(pending).items()}
-        for f in frames:
-            for m, n in (f["ts"].astype("datetime64[s]").astype("int64") // 60).value_counts().items():
-                if int(m) > last and (int(m) + 1) * 60_000 > passed:
-                    counts[int(m)] = counts.get(int(m), 0) + int(n)
+    def __init__(self, chain: tuple[str, ...], within: int) -> None:
+        self.chain, self.within = chain, within * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, event_id long, event_type string")
+        self.begun = handle.getListState("begun", "length int, began long, first_id long")
+
+    def _wait(self, at: int, timerValues) -> None:  # noqa: N803
+        self.handle.registerTimer(max(at // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        new = [(r["at"], r["event_id"], r["event_type"]) for r in rows if r["at"] > passed]  # a row behind the watermark is too late
+        if new:
+            self.waiting.appendList(new)
+            self._wait(min(new)[0], timerValues)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(tuple(r) for r in self.waiting.get())
+        begun = {r[0]: (r[1], r[2]) for r in self.begun.get()}
         out = []
-        for m in sorted(m for m in counts if (m + 1) * 60_000 <= passed):
-            n = counts.pop(m)
-            sd = max(q / k - (s / k) ** 2, 0.0) ** 0.5 if k else 0.0
-            out.append((key[0], pd.Timestamp(m * 60, unit="s"), n, (n - s / k) / sd if k >= HISTORY and sd > 0 else 0.0))
-            k, s, q, last = k + 1, s + n, q + n * n, m
-        state.update((k, s, q, last, json.dumps(counts)))
-        if counts:
-            state.setTimeoutTimestamp(max((min(counts) + 1) * 60_000, passed + 1))
-        yield pd.DataFrame(out, columns=["event_type", "minute", "n", "z"])
-
-    return events.select("ts", "event_type").groupBy("event_type").applyInPandasWithState(score, "event_type string, minute timestamp, n long, z double", "k long, s double, q double, last long, pending string", "append", GroupStateTimeout.EventTimeTimeout)
+        for at, event_id, kind in (w for w in waiting if w[0] <= passed):
+            for k in reversed(range(len(self.chain))):  # longest first, so that an event takes one step alone
+                if kind != self.chain[k] or k and k not in begun:
+                    continue
+                began = begun[k] if k else (at, event_id)
+                if k + 1 < len(self.chain):
+                    begun[k + 1] = began
+                elif at - began[0] <= self.within:
+                    out.append(Row(user_id=key[0], event_id=event_id, at=at, first_id=began[1], began=began[0]))
+        left = [w for w in waiting if w[0] > passed]
+        begun = {k: b for k, b in begun.items() if passed - b[0] <= self.within}
+        self.waiting.put(left) if left else self.waiting.clear()
+        self.begun.put([(k, *b) for k, b in begun.items()]) if begun else self.begun.clear()
+        if left:
+            self._wait(left[0][0], timerValues)
+        elif begun:
+            self._wait(max(b[0] for b in begun.values()) + self.within, timerValues)
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def attack_chains(events: DataFrame, chain: tuple[str, ...] = CHAIN, within: int = CHAIN_SECONDS) -> DataFrame:
+    """The stream's form of the batch operator of this name: the same rows, each when the watermark has passed it."""
+    keep_state_in_rocksdb(events.sparkSession)
+    rows = events.where(F.col("event_type").isin(*chain) & F.col("user_id").isNotNull()).select("user_id", "ts", F.unix_micros("ts").alias("at"), "event_id", "event_type")
+    found = rows.groupBy("user_id").transformWithState(_Chains(chain, within), "user_id long, event_id long, at long, first_id long, began long", "Append", "EventTime")
+    return found.select("user_id", "event_id", F.timestamp_micros("at").alias("ts"), "first_id", F.timestamp_micros("began").alias("began"))
+
+
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """State of several variables and timers needs the store that spills to disk."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def policy_failures(raw: DataFrame) -> DataFrame:

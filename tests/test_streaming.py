@@ -65,6 +65,80 @@ def test_zscores_of_finished_minutes_each_once(spark, folder, tmp_path):
     assert all(r.n == want[(r.event_type, r.minute)][0] and abs(r.z - want[(r.event_type, r.minute)][1]) < 1e-6 for r in got)
 
 
+def test_zscores_equal_the_batch_form(spark, folder, tmp_path):
+    from agentscan.operators import events as batch
+
+    e = spark.read.schema(st.SCHEMA).parquet(folder)
+    want = {(r.event_type, r.minute): (r.n, r.z) for r in batch.zscores(e).collect()}
+    got = run(spark, st.zscores(st.read_events(spark, folder, 1)), tmp_path)
+    assert len(got) > 0.95 * len(want) and all((r.n, round(r.z, 6)) == want[(r.event_type, r.minute)] for r in got)
+
+
+def brute_chains(rows, chain, within):
+    """Every end of a chain with its latest beginning, by trying all events before it."""
+    out, by = {}, {}
+    for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+        by.setdefault(r.user_id, []).append(r)
+    for user, es in by.items():
+        for j, last in enumerate(es):
+            if last.event_type != chain[-1]:
+                continue
+            for i in reversed(range(j)):
+                k, at = 0, i
+                while at < j and k < len(chain) - 1:
+                    if es[at].event_type == chain[k] and (k or at == i):
+                        k += 1
+                    elif at == i:
+                        break
+                    at += 1
+                if k == len(chain) - 1:
+                    if (last.ts - es[i].ts).total_seconds() <= within:
+                        out[last.event_id] = (user, es[i].event_id)
+                    break
+    return out
+
+
+@pytest.mark.parametrize(("chain", "within"), [(("view", "click", "purchase"), 86_400), (("error", "view"), 40_000), (("click", "click", "view"), 200_000), (("view", "error", "click", "purchase"), 10**6)])
+def test_chains_with_gaps_in_batch_and_stream(spark, folder, tmp_path, chain, within):
+    from datetime import timedelta
+
+    from agentscan.operators import events as batch
+
+    e = spark.read.schema(st.SCHEMA).parquet(folder)
+    rows = e.collect()
+    want = brute_chains(rows, chain, within)
+    got = {r.event_id: (r.user_id, r.first_id) for r in batch.attack_chains(e, chain, within).collect()}
+    assert got == want and len(want) > 5
+    end = max(r.ts for r in rows) - timedelta(minutes=20)
+    streamed = run(spark, st.attack_chains(st.read_events(spark, folder, 1), chain, within), tmp_path)
+    assert {r.event_id: (r.user_id, r.first_id) for r in streamed if r.ts < end} == {r.event_id: want[r.event_id] for r in rows if r.event_id in want and r.ts < end}
+    assert len(streamed) == len({r.event_id for r in streamed})
+
+
+def test_chains_of_one_busy_actor_with_ties_and_late_rows(spark, tmp_path):
+    import random
+    import time
+    from datetime import datetime, timedelta
+
+    from agentscan.operators import events as batch
+
+    r, t = random.Random(5), datetime(2024, 1, 1)
+    rows = [(i, t + timedelta(seconds=i // 3 * 20 + r.randrange(3) * 20), 1 if i % 3 else None, r.choice(["view", "click", "purchase", "x"]), 1.0, "{}") for i in range(600)]
+    folder = str(tmp_path / "in")
+    for k in range(0, 600, 150):
+        part = rows[k : k + 150]
+        r.shuffle(part)
+        spark.createDataFrame(part, st.SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(1.1)
+    e = spark.read.schema(st.SCHEMA).parquet(folder)
+    named = [x for x in e.collect() if x.user_id]
+    want = brute_chains(named, batch.CHAIN, 300)
+    assert {x.event_id: (x.user_id, x.first_id) for x in batch.attack_chains(e, within=300).collect()} == want and want
+    got = run(spark, st.attack_chains(st.read_events(spark, folder, 1), within=300), tmp_path)
+    end = max(x.ts for x in named) - timedelta(minutes=11)
+    assert {x.event_id: (x.user_id, x.first_id) for x in got if x.ts < end} == {x.event_id: want[x.event_id] for x in named if x.event_id in want and x.ts < end}
+
+
 def test_late_rows_join_their_minute_or_are_dropped(spark, tmp_path):
     from datetime import datetime, timedelta
 
