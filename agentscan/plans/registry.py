@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from agentscan.operators import classifier, configs, events, evidence, governance, hidden, pages, produced, profiles, prompts, scoring, secrets, static, store, structure, subjects, text
+from agentscan.operators import classifier, configs, events, evidence, governance, hidden, leaves, pages, produced, profiles, prompts, scoring, secrets, static, store, structure, subjects, text
 
-MODULES = (text, secrets, hidden, pages, events, profiles, configs, static, scoring, governance, prompts, evidence, structure, subjects, produced, store, classifier)
+MODULES = (text, secrets, hidden, pages, events, profiles, configs, static, scoring, governance, prompts, evidence, structure, subjects, produced, leaves, store, classifier)
 
 
 def queries() -> dict:
