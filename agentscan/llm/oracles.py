@@ -19,7 +19,7 @@ its AS (SELECT r, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS ids FROM
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""
 
 OP2 = """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
-SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN strlen(h) >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN strlen(h) >= 100 AND page_id <> first THEN first END AS refers_to FROM f"""
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN strlen(h) >= 100 AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN strlen(h) >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f"""
 
 OP10 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, {words("text")} AS w FROM documents),
 s AS (SELECT DISTINCT r, array_to_string(w[i + 1 : i + 5], ' ') AS sh FROM (SELECT r, w, unnest(range(greatest(len(w) - 5, 0) + 1)) AS i FROM d WHERE len(w) > 0)),

@@ -60,7 +60,8 @@ def slotted(placed: DataFrame, key: str = "doc_id") -> DataFrame:
     part = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.lit("slot")), F.lit(ranges)).cast("int")
     equal = written(placed.select(*[F.col(f"`{c}`") for c in cols]).groupBy(*[F.col(f"`{c}`") for c in cols]).agg(F.count("*").alias("n")).withColumn("range", part), "slots")
     counts = equal.groupBy("shard", "range").agg(F.sum("n").alias("rows"))
-    before = counts.select("shard", F.explode(F.sequence(F.col("range") + 1, F.lit(ranges))).alias("range"), "rows").groupBy("shard", "range").agg(F.sum("rows").alias("base"))
+    running = F.sum("rows").over(Window.partitionBy("shard").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("shard", "range", running.alias("base"))
     w = Window.partitionBy("shard", "range").orderBy(F.col(f"`{key}`").asc_nulls_first(), "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
     inside = equal.withColumn("ahead", F.coalesce(F.sum("n").over(w), F.lit(0)))
     first = F.coalesce(F.col("base"), F.lit(0)) + F.col("ahead")

@@ -84,3 +84,18 @@ def test_query_relabels(spark):
     table = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()
     want = brute([(r.vec_id, r.embedding, (r.label + 1) % 10 if r.vec_id % 7 == 0 else r.label) for r in table])
     assert sorted((r.anchor_id, r.positive_id, r["rank"], r.negative_id, r.positive_score, r.negative_score) for r in rows) == want and want
+
+
+def test_sql_of_archives_with_null_ids(spark):
+    """The archives' SQL with null page ids: a null id's page revisits the smallest, as in the query."""
+    import duckdb
+
+    from agentscan.llm import archives, oracles
+
+    rows = [(None, "http://a/1", "x" * 200), (4, "http://a/2", "x" * 200), (7, "http://a/3", "x" * 200), (None, None, None)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    got = archives.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).select(*names).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({oracles.OP2})").fetchall(), key=str)

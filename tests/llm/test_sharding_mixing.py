@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from agentscan.llm.mixing import drawn, mix, split_tree, targets
-from agentscan.llm.sharding import place, shard_records
+from agentscan.llm.sharding import place, shard_records, slotted
 
 ROWS = [(i, "w " * (i % 7) if i % 9 else None, ["a", "b", "c", "d", None][i % 5], i) for i in range(200)] + [(3, "x y", "a", 1)] * 3 + [(None, "null key", "a", 0), (None, "", None, 0)]
 SCHEMA = "doc_id long, text string, source string, size long"
@@ -146,3 +146,20 @@ def test_shards_are_written_in_shuffled_order(spark, tmp_path):
     assert all(v == sorted(v) for v in files.values())
     ids = [x.doc_id for x in sorted(back, key=lambda x: (x.shard, x.position))]
     assert ids != sorted(ids)
+
+
+def test_slots_over_many_ranges(spark):
+    """Five thousand ranges of slots: the ranges' first slots are running sums."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    spark.conf.set("spark.sql.shuffle.partitions", "5000")
+    try:
+        placed = place(docs)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "4")
+        out = slotted(placed).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+    by = defaultdict(list)
+    for r in out:
+        by[r.shard].append(r.slot)
+    assert sum(map(len, by.values())) == 3000 and all(sorted(v) == list(range(len(v))) for v in by.values())
