@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import base64
+import codecs
 import zlib
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from agentscan.functions.rules import any_match, quoted, rows_of
 from agentscan.operators.text import INJECTION, TEXT_RULES
@@ -92,25 +93,41 @@ TOKENS = (
 )
 GZIP = "\\bH4sI[A-Za-z0-9+/]{20,}={0,2}"
 ALPHABET, ROT13 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm"
-#: Layers of encoding that are opened, and bytes of a compressed token that are read at most.
-LAYERS, MOST_BYTES = 3, 262_144
+#: Layers of encoding that are opened; characters of a piece of a compressed token's text, those that it shares
+#: with the piece before, and bytes that are unpacked of one token.
+LAYERS, PIECE, OVERLAP, MOST_BYTES = 3, 262_144, 4_096, 1 << 26
 
 
-@F.pandas_udf(StringType())
-def _gunzip(tokens: pd.Series) -> pd.Series:
-    """The text of compressed tokens; null where one is broken, longer than MOST_BYTES or no text."""
+def unpacked(token: str) -> Iterator[tuple[str, bool]]:
+    """The text of a compressed token, piece by piece, each with the end of the one before.
 
-    def opened(token: str | None) -> str | None:
-        if token is None:
-            return None
-        try:
-            raw = base64.b64decode(token + "=" * (-len(token) % 4))
-            out = zlib.decompressobj(31).decompress(raw, MOST_BYTES + 1)
-            return out.decode() if len(out) <= MOST_BYTES else None
-        except (ValueError, zlib.error):
-            return None
-
-    return tokens.map(opened)
+    At MOST_BYTES a last, empty piece says that the token holds more. A token that is broken or no text
+    has the pieces before that place.
+    """
+    stream, text, held, total = zlib.decompressobj(31), codecs.getincrementaldecoder("utf-8")(), "", 0
+    try:
+        rest = base64.b64decode(token + "=" * (-len(token) % 4))
+        while not stream.eof:
+            if total >= MOST_BYTES:
+                yield "", True
+                return
+            raw = stream.decompress(rest, PIECE)
+            rest, total = stream.unconsumed_tail, total + len(raw)
+            piece = text.decode(raw, stream.eof)
+            if piece:
+                yield held + piece, False
+                held = (held + piece)[-OVERLAP:]
+            if not raw and not rest:
+                return
+    except (ValueError, zlib.error):
+        return
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for key, layer, token in zip(b["id"], b["layer"], b["token"].to_pylist(), strict=True):
+            for piece, more in unpacked(token):
+                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()], b["id"].type), pa.array([layer.as_py()], pa.int32()), pa.array(["gzip"]), pa.array([piece]), pa.array([more])], names=["id", "layer", "encoding", "decoded", "truncated"])
 
 
 def _text(kind, token):
@@ -123,13 +140,15 @@ def _text(kind, token):
         .when(kind == "hex", F.unhex(token))
         .when(kind == "hex-escape", F.unhex(F.replace(token, F.lit("\\x"), F.lit(""))))
     )
-    return F.when(kind == "gzip", _gunzip(F.when(kind == "gzip", token))).otherwise(raw.cast("string"))
+    return raw.cast("string")
 
 
 def decoded(texts, layers: int = LAYERS):
-    """Texts hidden in encoded tokens of texts (id, content), layer by layer: id, layer, encoding, decoded.
+    """Texts hidden in encoded tokens of texts (id, content), layer by layer: id, layer, encoding, decoded, truncated.
 
-    A layer decodes what the one before revealed, all its tokens; compressed ones are opened as well.
+    A layer decodes what the one before revealed, all its tokens. Compressed ones are unpacked as a
+    stream: a long text is several rows that overlap, and one that exceeds the limit ends with an empty
+    row that is truncated.
     """
     kinds = [*TOKENS, ("gzip", GZIP)]
 
@@ -137,20 +156,23 @@ def decoded(texts, layers: int = LAYERS):
         return lambda t: F.struct(F.lit(kind).alias("encoding"), t.alias("token"))
 
     out, current = None, texts
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, layer int, encoding string, decoded string, truncated boolean"
     for layer in range(1, layers + 1):
         tokens = [F.transform(F.array_distinct(F.regexp_extract_all("content", F.lit(p), F.lit(0))), named(k)) for k, p in kinds]
         some = current.where(any_match(F.col("content"), [p for _, p in kinds]))
-        level = rows_of(some.withColumn("layer", F.lit(layer)), ["id", "layer"], F.concat(*tokens), "token")
-        level = level.select("id", "layer", "encoding", _text(F.col("encoding"), F.col("token")).alias("decoded")).where("is_valid_utf8(decoded)")
+        found = rows_of(some.withColumn("layer", F.lit(layer)), ["id", "layer"], F.concat(*tokens), "token")
+        plain = found.where("encoding <> 'gzip'").select("id", "layer", "encoding", _text(F.col("encoding"), F.col("token")).alias("decoded"), F.lit(False).alias("truncated")).where("is_valid_utf8(decoded)")
+        level = plain.unionByName(found.where("encoding = 'gzip'").select("id", "layer", "token").mapInArrow(_unpacked, schema))
         out = level if out is None else out.unionByName(level)
         current = level.select("id", F.col("decoded").alias("content"))
-    turned = texts.select("id", F.lit(1).alias("layer"), F.lit("rot13").alias("encoding"), F.translate("content", ALPHABET, ROT13).alias("decoded"))
+    turned = texts.select("id", F.lit(1).alias("layer"), F.lit("rot13").alias("encoding"), F.translate("content", ALPHABET, ROT13).alias("decoded"), F.lit(False).alias("truncated"))
     return out.unionByName(turned)
 
 
 def q_encoded(spark, sf_dir):
-    """Encoded tokens, up to three layers deep, whose text carries a payload: the rules run again on what was hidden."""
-    return decoded(artifacts(spark, sf_dir).select("id", "content")).where(any_match(F.col("decoded"), PAYLOADS))
+    """Encoded tokens, up to three layers deep, whose text carries a payload or was not read to its end: the rules run again on what was hidden."""
+    found = decoded(artifacts(spark, sf_dir).select("id", "content"))
+    return found.where(F.col("truncated") | any_match(F.col("decoded"), PAYLOADS))
 
 
 _SQL_BYTES = {
@@ -169,7 +191,7 @@ def _sql_layer(n: int, source: str) -> str:
 
 
 SQL_ENCODED = f"""WITH {SQL_ARTIFACTS}, {", ".join(_sql_layer(n, "artifacts" if n == 1 else f"d{n - 1}") for n in range(1, LAYERS + 1))}, d AS ({" UNION ALL ".join(f"SELECT * FROM d{n}" for n in range(1, LAYERS + 1))} UNION ALL SELECT id, 1, 'rot13', translate(content, '{ALPHABET}', '{ROT13}') FROM artifacts)
-SELECT id, layer, encoding, content AS decoded FROM d WHERE content IS NOT NULL AND regexp_matches(content, {quoted(PAYLOAD)})"""
+SELECT id, layer, encoding, content AS decoded, false AS truncated FROM d WHERE content IS NOT NULL AND regexp_matches(content, {quoted(PAYLOAD)})"""
 
 QUERIES = {
     "invisible_chars": (q_invisible, SQL_INVISIBLE),
