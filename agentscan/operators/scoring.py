@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -238,7 +240,11 @@ n AS (SELECT project_id, count(*) FILTER (severity = 'critical') AS criticals, c
 SELECT project_id, scored.score AS score_now, coalesce(scored2.score, 100) AS score_then, criticals, highs FROM scored LEFT JOIN scored2 USING (project_id) JOIN n USING (project_id)"""
 
 #: Suppressions: tier, path glob or null, check id or null, whether the finding still counts, expiry or null.
-SUPPRESSIONS = ((1, "*/test/*", None, False, None), (2, "*/docs/*", "MAN-self_attestation", True, None), (3, None, "SKILL-006", True, None), (3, None, "SKILL-008", True, "2020-01-01"))
+SUPPRESSIONS = ((1, "*/test/*", None, False, None), (2, "*/docs/*", "MAN-self_attestation", True, None), (3, None, "SKILL-006", True, None), (3, None, "SKILL-008", True, "2020-01-01"), (3, "*/public/*", "WEBEXPOSE-001", False, "2999-12-31"))
+
+
+#: The day on which suppressions are held against their expiry in SQL.
+TODAY = datetime.date.today().isoformat()
 
 
 def glob(g: str) -> str:
@@ -246,10 +252,33 @@ def glob(g: str) -> str:
     return "(?i)^" + "".join(".*" if c == "*" else "\\" + c if c in ".+?()[]{}^$|\\" else c for c in g) + "$"
 
 
-def suppressed(f: DataFrame, rules=SUPPRESSIONS, today: str = "2024-06-01") -> DataFrame:
-    """Findings with the first suppression that covers them (least tier, expired ones left out) and whether they count."""
-    tier = F.least(*[F.when((F.col("path").rlike(glob(p)) if p else F.lit(True)) & (F.col("check_id") == c if c else F.lit(True)), F.struct(F.lit(t).alias("tier"), F.lit(i).alias("rule"), F.lit(s).alias("scored"))) for i, (t, p, c, s, x) in enumerate(rules) if x is None or x >= today])
-    out = f.withColumn("s", tier)
+def literal_folder(g: str | None) -> str:
+    """The folder, in lower case, in which every path that a glob covers lies."""
+    return "" if g is None else g[: g.partition("*")[0].rfind("/") + 1].lower()
+
+
+def suppression_rules(spark: SparkSession, rules) -> DataFrame:
+    """Suppressions as a table: (rule, tier, pattern, check_id, scored, expires, folder)."""
+    rows = [(i, t, glob(p) if p else None, c, s, x, literal_folder(p)) for i, (t, p, c, s, x) in enumerate(rules)]
+    return spark.createDataFrame(rows, "rule int, tier int, pattern string, check_id string, scored boolean, expires string, folder string").withColumn("expires", F.to_date("expires"))
+
+
+def suppressed(f: DataFrame, rules=SUPPRESSIONS, today: Column | None = None) -> DataFrame:
+    """Findings with the first suppression that covers them (least tier, then number) and whether they count.
+
+    ``rules`` is a table of suppressions or rows for one. A rule meets a finding by equality, on its check
+    or any and on one of the folders above the path, and only then its glob is matched, so thousands of
+    rules cost what they meet. A rule whose day is before ``today`` (the current date) covers nothing.
+    """
+    table = rules if isinstance(rules, DataFrame) else suppression_rules(f.sparkSession, rules)
+    open_ = table.where(F.col("expires").isNull() | (F.col("expires") >= (F.current_date() if today is None else today)))
+    open_ = open_.select("tier", "rule", "scored", "pattern", "folder", F.coalesce("check_id", F.lit("*")).alias("on_check"))
+    parts = F.split(F.lower("path"), "/")
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
+    each = f.select("path", "check_id").distinct().select("path", "check_id", F.explode(folders).alias("folder")).select("*", F.explode(F.array("check_id", F.lit("*"))).alias("on_check"))
+    met = each.join(open_, ["folder", "on_check"]).where(F.col("pattern").isNull() | F.rlike("path", F.col("pattern")))
+    first = met.groupBy("path", "check_id").agg(F.min(F.struct("tier", "rule", "scored")).alias("s"))
+    out = f.join(first, ["path", "check_id"], "left")
     return out.select(*f.columns, F.col("s.rule").alias("suppressed_by"), (F.col("s").isNull() | F.col("s.scored")).alias("counts"))
 
 
@@ -259,7 +288,7 @@ def q_suppression(spark, sf_dir):
     return s.groupBy("check_id", "suppressed_by").agg(F.count("*").alias("n"), F.count_if("counts").alias("counted"))
 
 
-_SUP = [(i, t, p, c, s) for i, (t, p, c, s, x) in enumerate(SUPPRESSIONS) if x is None or x >= "2024-06-01"]
+_SUP = [(i, t, p, c, s) for i, (t, p, c, s, x) in enumerate(SUPPRESSIONS) if x is None or x >= TODAY]
 _CASE = " ".join(f"WHEN {' AND '.join(([f'regexp_matches(path, {quoted(glob(p))})'] if p else []) + ([f'check_id = {quoted(c)}'] if c else []))} THEN {i}" for i, t, p, c, s in sorted(_SUP, key=lambda r: r[1]))
 SQL_SUPPRESSION = f"""WITH {SQL_FINDINGS}, s AS (SELECT *, CASE {_CASE} END::INT AS suppressed_by FROM findings)
 SELECT check_id, suppressed_by, count(*) AS n, count(*) FILTER (suppressed_by IS NULL OR suppressed_by IN ({', '.join(str(r[0]) for r in _SUP if r[4])})) AS counted FROM s GROUP BY ALL"""

@@ -52,3 +52,23 @@ def test_changed_tables_are_scanned_again(spark, tmp_path, monkeypatch):
 def test_no_findings(spark, tmp_path):
     none = store.findings(spark, SF).where("false")
     assert scoring.score(scoring.catalogued(none.drop("category")), ["project_id"]).count() == 0
+
+
+def test_suppressions_as_a_table(spark):
+    """Ten thousand rules by folder and check; the least tier covers, an expired rule doesn't, globs ignore case."""
+    rules = [(2, f"p{i}/src/*", f"C-{i % 7}", i % 2 == 0, None) for i in range(10_000)]
+    rules += [(1, "P5/SRC/deep/*.md", None, False, None), (1, "p6/*", None, False, "2024-05-31"), (3, None, "C-1", True, "2024-06-01"), (0, "*/x.py", "C-2", False, None)]
+    found = [("p5/src/deep/a.md", "C-5"), ("p5/src/a.md", "C-5"), ("p5/src/a.md", "C-4"), ("p6/src/a", "C-6"), ("q/a", "C-1"), ("q/a", "C-3"), ("p9/src/x.py", "C-2"), ("p8/src/a", "C-1"), ("p8/src/a", "C-1")]
+    f = spark.createDataFrame(found, "path string, check_id string")
+    got = sorted((r.path, r.check_id, r.suppressed_by, r.counts) for r in scoring.suppressed(f, rules, F.lit("2024-06-01").cast("date")).collect())
+
+    def expected(path, check):
+        import re
+
+        cover = [(t, i, s) for i, (t, g, c, s, x) in enumerate(rules) if (g is None or re.search(scoring.glob(g), path)) and c in (None, check) and (x is None or x >= "2024-06-01")]
+        t, i, s = min(cover) if cover else (None, None, True)
+        return path, check, i, s
+
+    assert got == sorted(expected(*x) for x in found)
+    later = {(r.path, r.check_id): r.suppressed_by for r in scoring.suppressed(f, rules, F.lit("2024-06-02").cast("date")).collect()}
+    assert later[("q/a", "C-1")] is None
