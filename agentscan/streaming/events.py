@@ -73,13 +73,10 @@ def unknown(events: DataFrame, allowed: DataFrame) -> DataFrame:
 
 
 class _Deviations(StatefulProcessor):
-    """Scores a type's finished minutes in turn. State is three sums, which expire when the type stays silent."""
-
-    def __init__(self, forget: int) -> None:
-        self.forget = forget
+    """Scores a type's finished minutes in turn. State is three sums a type."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sums = handle.getValueState("sums", "k long, s double, q double", self.forget)
+        self.sums = handle.getValueState("sums", "k long, s double, q double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
         k, s, q = self.sums.get() or (0, 0.0, 0.0)
@@ -93,16 +90,16 @@ class _Deviations(StatefulProcessor):
         pass
 
 
-def zscores(events: DataFrame, forget_days: int = 400) -> DataFrame:
+def zscores(events: DataFrame) -> DataFrame:
     """Deviation of each finished minute's rate of a type from all its minutes before, in two stages.
 
     Minutes are counted by a windowed aggregation, combined before the shuffle, and leave it once when the
     watermark has passed their end: late rows are counted until then and dropped after it. Only finished
-    minutes, one row each, reach the state of their type; a type without any for ``forget_days`` starts anew.
+    minutes, one row each, reach the state of their type. It needs no clock, so a run over what is there ends.
     """
     keep_state_in_rocksdb(events.sparkSession)
     minutes = rates(events)
-    return minutes.groupBy("event_type").transformWithState(_Deviations(forget_days * 86_400_000), "event_type string, minute timestamp, n long, z double", "Append", "ProcessingTime")
+    return minutes.groupBy("event_type").transformWithState(_Deviations(), "event_type string, minute timestamp, n long, z double", "Append", "None")
 
 
 class _Chains(StatefulProcessor):
