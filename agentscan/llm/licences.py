@@ -46,10 +46,8 @@ TEMPLATES = (
     ("proprietary", ("all rights reserved",), "Copyright. All rights reserved."),
 )
 #: Rare words of a template that are indexed, those of them that a document is looked up by, its own
-#: rarest, and the part of these that must agree on one place. Words that stand in more than COMMON of
-#: the documents are not indexed, but for a template's LEAST rarest.
+#: rarest, and the part of these that must agree on one place. A word is indexed however common it is.
 INDEXED, RARE, ALIGNED = 16, 6, 0.6
-COMMON, LEAST = 0.1, 3
 
 _WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -74,10 +72,9 @@ def _vocabulary() -> list[str]:
     return sorted({w for t in texts for w in _split(t)})
 
 
-def rarest(words: list[str], idf: dict[str, float], df: dict[str, int], total: int) -> list[tuple[str, list[int]]]:
+def rarest(words: list[str], idf: dict[str, float], df: dict[str, int]) -> list[tuple[str, list[int]]]:
     """The INDEXED rarest words of a template that the corpus has, rarest first, with their places in it."""
     own = sorted((w for w in set(words) if df.get(w, 0)), key=lambda w: (-idf[w], words.index(w)))
-    own = [w for n, w in enumerate(own) if n < LEAST or df[w] <= COMMON * total]
     return [(w, [i for i, x in enumerate(words) if x == w]) for w in own[:INDEXED]]
 
 
@@ -112,7 +109,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
 
     keys = sorted({k for _, ks, _ in TEMPLATES for k in ks})
     phrases = {p: p.split() for p in [p for p, _ in BASE] + keys}
-    indexed_words = [rarest(_split(t), idf, df, total) for _, _, t in TEMPLATES]
+    indexed_words = [rarest(_split(t), idf, df) for _, _, t in TEMPLATES]
     anchors = sorted({ws[anchor(ws)] for ws in phrases.values()} | {w for ws in indexed_words for w, _ in ws})
 
     worded = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row__"), words_of(F.col(f"`{text}`")).alias("w"))
