@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from agentscan.operators import classifier, configs, events, evidence, governance, grants, harvest, hidden, leaves, names, pages, produced, profiles, prompts, scoring, secrets, static, store, structure, subjects, text
+from agentscan.operators import classifier, configs, events, evidence, governance, grants, harvest, hidden, leaves, ledger, names, pages, produced, profiles, prompts, scoring, secrets, static, store, structure, subjects, text
 
-MODULES = (text, secrets, hidden, pages, events, profiles, configs, static, scoring, governance, prompts, evidence, structure, subjects, produced, leaves, store, harvest, names, grants, classifier)
+MODULES = (text, secrets, hidden, pages, events, profiles, configs, static, scoring, governance, prompts, evidence, structure, subjects, produced, leaves, store, harvest, names, grants, ledger, classifier)
 
 
 def queries() -> dict:

@@ -22,6 +22,19 @@ def load_artifacts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame
     return f.where(~F.col("path").rlike(VENDORED)).select(F.split(rel, "/")[0].alias("project_id"), rel.alias("path"), F.col("length").alias("size"), F.when(small, F.col("content").cast("string")).alias("content"), (~small).alias("truncated"))
 
 
+def load_ledger(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """(project_id, path, size, state): every file under ``path`` and what ``load_artifacts`` does with it.
+
+    state is ``read``, ``cut`` (over the limit) or ``skipped`` (in a vendored folder, whatever its
+    size). Only names and sizes are asked of the file system; no content is read. Spark's reader lists no
+    file of zero bytes, so empty files have no row, here as in ``load_artifacts``.
+    """
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
+    rel = F.regexp_replace("path", f"^.*?{'/' + path.strip('/').split('/')[-1]}/", "")
+    state = F.when(F.col("path").rlike(VENDORED), "skipped").when(F.col("length") > MOST_BYTES, "cut").otherwise("read")
+    return f.select(F.split(rel, "/")[0].alias("project_id"), rel.alias("path"), F.col("length").alias("size"), state.alias("state"))
+
+
 def load_diffs(spark: SparkSession, path: str) -> DataFrame:
     """(commit, commit_seq, file, line_no, text): added lines of exported ``git log -p`` files, one history a file.
 
