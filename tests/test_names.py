@@ -41,6 +41,15 @@ def test_lookalikes_join_by_equality(spark):
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_lookalikes_send_no_index_to_the_driver(spark, tmp_path):
+    """A small file of known names has an index a hundred times its size; read from a file, the planner took it for small."""
+    spark.range(2000).select(F.concat(F.lit("known-package-"), "id").alias("name")).write.parquet(str(tmp_path / "k"))
+    spark.range(500).select(F.concat(F.lit("knwn-package-"), "id").alias("name")).write.parquet(str(tmp_path / "n"))
+    found = names.lookalikes(spark.read.parquet(str(tmp_path / "n")), spark.read.parquet(str(tmp_path / "k")))
+    assert found.count() == 500
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
