@@ -3,8 +3,9 @@
 Vectors are hashed by several tables of Gaussian projections cut into cells. A query visits in each
 table its own bucket and the neighbouring ones in order of their estimated success, the least sum of
 squared distances to the crossed cell borders first. Buckets meet their visitors in tasks, a large
-bucket in several parts. What travels there is no vector but a code of one byte a component, with the
-distance between the two: it bounds every cosine from below and above. A query's nearest among a
+bucket in several parts. What travels there is no vector but a code of two bytes a component, with the
+distance between the two: it bounds every cosine from below and above, closely enough (some 0.0001) to
+rank near copies, so that a query among many of them keeps a few and not all. A query's nearest among a
 sixteenth of the index, 2,048 entries at most, are a floor for its nearest of all, and only candidates that floor or bounds rule out
 are left behind. The candidates of all tables are merged, and what is left is ranked by the exact cosine
 of the original vectors.
@@ -26,6 +27,8 @@ TABLES, PROJECTIONS, PROBES = 8, 5, 30
 #: Width of a cell, where the projections of unit vectors have standard deviation 1.
 WIDTH = 1.5
 NEAREST = 5
+#: Steps of a code to either side of nought.
+STEPS = 32_767
 #: Distinct vectors of a bucket that one part holds at most.
 PART = 2048
 #: One entry in so many is in the sample that gives a query its floor, and how many are at most: the floor lies
@@ -91,9 +94,9 @@ def _units(column: pa.Array) -> np.ndarray:
 
 
 def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of one byte a component, what a step is worth, and the distances of vectors from their codes."""
-    scale = (np.abs(unit).max(1) / 127).astype(np.float32)
-    code = np.rint(unit / scale[:, None]).clip(-127, 127).astype(np.int8)
+    """Codes of two bytes a component, what a step is worth, and the distances of vectors from their codes."""
+    scale = (np.abs(unit).max(1) / STEPS).astype(np.float32)
+    code = np.rint(unit / scale[:, None]).clip(-STEPS, STEPS).astype(np.int16)
     away = np.linalg.norm(unit - code * scale[:, None].astype(np.float64), axis=1)
     return code, scale, np.nextafter(away.astype(np.float32), np.float32(9))
 
@@ -156,16 +159,15 @@ def _search(most: int):
 
     def one(t: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
         visit = t["visit"].to_numpy().astype(bool)
-        size = np.array([len(c) for c in t["code"].to_pylist()])
+        size = np.array([len(c) // 2 for c in t["code"].to_pylist()])
         for dim in np.unique(size):
             data, asks = (np.flatnonzero((size == dim) & (visit == v)) for v in (False, True))
             if not len(data) or not len(asks):
                 continue
             raw = t["code"].to_pylist()
-            real = np.float32 if dim <= 1000 else np.float64  # sums of products of codes are exact
             floor = t["floor"].to_numpy()
-            code, scale, away, rep = (lambda i, r=real, n=int(dim): np.frombuffer(b"".join(raw[k] for k in i), np.int8).reshape(-1, n).astype(r)), t["scale"].to_numpy().astype(np.float64), t["away"].to_numpy().astype(np.float64), t["rep"].to_numpy()
-            x = code(data)
+            code, scale, away, rep = (lambda i, n=int(dim): np.frombuffer(b"".join(raw[k] for k in i), np.int16).reshape(-1, n).astype(np.float64)), t["scale"].to_numpy().astype(np.float64), t["away"].to_numpy().astype(np.float64), t["rep"].to_numpy()
+            x = code(data)  # sums of products of codes are exact in double precision
             for a in range(0, len(asks), 256):
                 q = asks[a : a + 256]
                 score = (code(q) @ x.T) * scale[q][:, None] * scale[data]
