@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agentscan.functions.held import flags, marks
-from agentscan.functions.needed import formula
+from agentscan.functions.needed import formula, plain
 from agentscan.operators import evidence, hidden, profiles, scoring, secrets, static, store, structure, subjects, text
 from agentscan.sources import derived
 
@@ -71,3 +71,28 @@ def test_found_arrays_are_made_once(spark):
     """An inner generator filters by the size of its array first, so every pattern was tried twice."""
     for d in (static.q_absence, structure.q_code, text.q_instruction_files, profiles.declared):
         assert "(size(" not in _plan(d(spark, SF)), d.__name__
+
+
+def test_what_several_detectors_read_is_found_once(spark):
+    """Surfaces, capabilities and front matter were looked for again by each detector that reads them."""
+    several = (evidence.risk_surfaces, text.inferred_capabilities, evidence.q_front)
+    alone = [sorted(map(str, d(spark, SF).collect())) for d in several]
+    with derived.marked_artifacts(spark, SF, store.ASKED):
+        first = [d(spark, SF) for d in several]
+        assert [a.inputFiles() == d(spark, SF).inputFiles() for a, d in zip(first, several, strict=True)] == [True] * 3
+        assert [a.inputFiles() != derived.artifacts(spark, SF).inputFiles() for a in first[:2]] == [True] * 2
+        assert not any("regexp" in _plan(d(spark, SF)).lower() or "arrow" in _plan(d(spark, SF)).lower() for d in several)
+        assert [sorted(map(str, d(spark, SF).collect())) for d in several] == alone
+    assert not derived._ONCE
+
+
+def test_plain_literals_need_no_second_search(spark):
+    """Java looked again for literals that a text's marks had told of already."""
+    assert [p for p in ("(?i)api_key|token", "(?i)password") if not plain(p)] == []
+    # a shared beginning, a border, a case, a short word and a class tell less than a match
+    assert [p for p in ("(?i)secret|sensitive", r"(?i)\bagent\b", "token", "(?i)ab", "(?i)a.c|token", "(?i)[ab]cd", "(?i)") if plain(p)] == []
+    every = [p for p in store.ASKED if isinstance(p, str) and plain(p)]
+    assert len(every) > 20
+    texts = spark.createDataFrame([(w,) for p in every for w in (p[4:].split("|")[0].upper(), p[4:].split("|")[-1] + "x", p[5:])] + [(None,), ("Kelvin toKen",)], "content string")
+    both = texts.select(marks(texts, "content", every).alias("may"), F.array(*[F.coalesce(F.col("content").rlike(p), F.lit(False)) for p in every]).alias("hit")).collect()
+    assert [r for r in both if r.may != r.hit] == []
